@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quillspark.llm import words
 from quillspark.llm.tables import partitions, table
@@ -110,7 +111,7 @@ def as_text(sketches: np.ndarray) -> list[str]:
 
 def fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
     """``docs`` with a column of fingerprints: 4 hexadecimal digits a sample. Other columns stay as they are."""
-    schema = docs.drop(name).schema.add(name, "string")
+    schema = StructType([*docs.drop(name).schema, StructField(name, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
