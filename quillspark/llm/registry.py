@@ -1,11 +1,12 @@
 """The queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from quillspark.llm import fingerprints, media, mixing, packing
+from quillspark.llm import fingerprints, language, media, mixing, packing
 
 QUERIES = {
     "op1_consistent_weighted_fingerprints": fingerprints.op1_consistent_weighted_fingerprints,
     "op2_source_mix": mixing.op2_source_mix,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op7_ogg_media": media.op7_ogg_media,
+    "op10_hyperdimensional_language": language.op10_hyperdimensional_language,
 }
 ORACLES = {"op2_source_mix": mixing.OP2_SQL}
