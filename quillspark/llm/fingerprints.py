@@ -19,6 +19,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,18 +122,10 @@ def fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint")
     return docs.drop(name).mapInArrow(run, schema)
 
 
-def _blocks_of_ids(docs: DataFrame, blocks: int) -> tuple[list, DataFrame]:
-    """Bounds between about equal blocks of doc_id, and the frame with each row's block; a null doc_id is in the lowest."""
-    bounds = docs.select(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], 20 * blocks)).first()[0] or []
-    bounds = sorted(set(bounds))
-
-    def place(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") > F.lit(bounds[mid]), place(mid + 1, hi)).otherwise(place(lo, mid))
-
-    return bounds, docs.withColumn("block", place(0, len(bounds)))
+def _block_ends(docs: DataFrame, blocks: int) -> list[int]:
+    """The greatest doc_id of each of about ``blocks`` blocks of like size, in order. Percentiles are ids that occur."""
+    found = docs.select(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks + 1)], 20 * blocks)).first()[0]
+    return sorted(set(found or []))
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -145,18 +138,20 @@ def with_edits(docs: DataFrame) -> DataFrame:
     shuffle deals the texts out by blocks of doc_id; each block also gets the row that follows its last one, so nothing
     is ordered in one task. An empty table gives an empty result."""
     spark = docs.sparkSession
-    number = 4 * partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    _, docs = _blocks_of_ids(docs, number)
-    tops = [tuple(x) for x in docs.groupBy("block").agg(F.max("doc_id")).orderBy(F.desc("block")).collect()]
-    if not tops:
-        return spark.createDataFrame([], RESULT)
-    # the first rows of a block also end the block before it (the highest block's end the lowest)
-    cases = [(F.col("block") == b) & F.col("doc_id").eqNullSafe(F.lit(top)) for b, top in tops]
-    before = [tops[i - 1][0] for i in range(len(tops))]
-    also = F.coalesce(*[F.when(c, F.lit(b)) for c, b in zip(cases, before, strict=True)]) if len(cases) > 1 else F.when(cases[0], F.lit(before[0]))
-    sent = docs.withColumn("copies", F.array_compact(F.array(F.struct(F.col("block").alias("to"), F.lit(0).alias("end")), F.when(also.isNotNull(), F.struct(also.alias("to"), F.lit(1).alias("end"))))))
-    sent = sent.select("doc_id", "text", F.inline("copies"))
+    ends = _block_ends(docs, 4 * partitions(spark))
+    # null ids belong to the lowest block
+    key = F.coalesce("doc_id", F.lit(ends[0] - 1 if ends else 0))
+    held = np.array(ends or [0])
+
+    @F.pandas_udf("array<struct<to int, end int>>")
+    def places(ids: pd.Series) -> pd.Series:
+        block = np.searchsorted(held, ids.to_numpy())
+        # the first row of a block also ends the block before it (the highest block's ends the lowest)
+        first = held[block] == ids.to_numpy()
+        return pd.Series([[{"to": b, "end": 0}, {"to": (b + 1) % len(held), "end": 1}] if f else [{"to": b, "end": 0}] for b, f in zip(block.tolist(), first.tolist(), strict=True)])
+
+    sent = docs.select("doc_id", "text", F.inline(places(key)))
     dealt = sent.repartition(partitions(spark), "to").sortWithinPartitions("to", "end", F.desc_nulls_last("doc_id"), "text")
     return dealt.select("to", "end", "doc_id", "text").mapInArrow(_edit, RESULT)
 
