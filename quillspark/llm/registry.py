@@ -1,12 +1,13 @@
 """The queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from quillspark.llm import fingerprints, language, maintext, media, mixing, packing
+from quillspark.llm import fingerprints, language, maintext, media, mixing, packing, warc
 
 QUERIES = {
     "op1_consistent_weighted_fingerprints": fingerprints.op1_consistent_weighted_fingerprints,
     "op2_source_mix": mixing.op2_source_mix,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op7_ogg_media": media.op7_ogg_media,
+    "op8_warc_revisits": warc.op8_warc_revisits,
     "op9_text_density_extraction": maintext.op9_text_density_extraction,
     "op10_hyperdimensional_language": language.op10_hyperdimensional_language,
 }
