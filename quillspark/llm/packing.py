@@ -31,9 +31,10 @@ from quillspark.llm.tables import partitions, table, written
 
 CAPACITY, END_ID = 4096, 1
 # Words whose ids a Python process keeps; it starts anew beyond that.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 1_000_000
 _SALTS = 64
 # A word that ends in letters or digits of Latin-1, and the punctuation after it ("<" may begin a special token).
+_LETTERS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+")
 _TAIL = re.compile(r"([^<]*[a-z0-9\xdf-\xf6\xf8-\xff])([!-/:;=?@\[-`{-~]+)")
 
 
@@ -72,6 +73,16 @@ class WordIds:
         parts = {w: m.groups() for w in new if (m := _TAIL.fullmatch(w))}
         new.difference_update(parts)
         new.update(x for both in parts.values() for x in both if x not in self.known)
+        plain = [w for w in new if _LETTERS.fullmatch(w)]
+        new.difference_update(plain)
+        # words of letters alone are one unit each to the tokenizer, so many go as one text and are told apart again
+        for i in range(0, len(plain), 2_000):
+            part = plain[i : i + 2_000]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            raw, units = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids)
+            edges = [0, *(4 * (np.flatnonzero(units[1:] != units[:-1]) + 1)).tolist(), len(raw)]
+            for word, x, y in zip(part, edges[:-1], edges[1:], strict=True):
+                self.known[word] = raw[x:y]
         listed = list(new)
         for i in range(0, len(listed), 20_000):
             part = listed[i : i + 20_000]
@@ -98,12 +109,12 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
         ids = _made[path]
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1)
+            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             at = 0
             while at < len(names):
                 part, size = [], 0
-                while at + len(part) < len(names) and size < 1 << 20:
-                    part.append(texts[at + len(part)].as_py() or "")
+                while at + len(part) < len(names) and size < 1 << 21:
+                    part.append(texts[at + len(part)] or "")
                     size += len(part[-1])
                 rows: list[tuple] = []
                 for doc_id, made in zip(names[at : at + len(part)], ids.ids(part), strict=True):
