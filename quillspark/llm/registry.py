@@ -1,11 +1,12 @@
 """The queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from quillspark.llm import fingerprints, language, maintext, media, mixing, packing, quality, warc
+from quillspark.llm import fingerprints, language, maintext, media, mixing, neardup, packing, quality, warc
 
 QUERIES = {
     "op1_consistent_weighted_fingerprints": fingerprints.op1_consistent_weighted_fingerprints,
     "op2_source_mix": mixing.op2_source_mix,
     "op3_ordinal_quality": quality.op3_ordinal_quality,
+    "op4_signature_tree_join": neardup.op4_signature_tree_join,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op7_ogg_media": media.op7_ogg_media,
     "op8_warc_revisits": warc.op8_warc_revisits,
