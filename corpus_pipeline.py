@@ -1,8 +1,76 @@
-"""The corpus pipeline: stages are added as their operators are."""
+"""The corpus pipeline: five stages over ``documents``, each on all that the one before kept.
+
+Each stage takes (spark, docs, sf_dir), decides, and returns the columns of documents; the last returns the packed pieces.
+``run`` writes each stage's rows as Parquet in the shared folder and rereads them as the next one's docs, so a lost
+executor costs no more than the stage at work. SQL cannot express the stages (a fitted classifier, tokenizer ids), so
+tests hold them against brute force."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.llm import mixing, neardup, packing, personal, quality
+from quillspark.llm.tables import table, written
+
+
+def _columns(docs: DataFrame, like: DataFrame) -> DataFrame:
+    return docs.select(*like.columns)
+
+
+def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose chance of the best grade is too small. The classifier learns from labels of these documents."""
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return _columns(quality.score(docs, model).where("keep"), docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each component of near duplicates (five words, similarity 0.8): that with the least doc_id.
+
+    Documents without words link with nothing and stay. Of several rows with that doc_id the one with the least text stays."""
+    found = neardup.linked_components(docs)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_id"), (F.col("n_shingles") > 0).alias("k_words"), (F.col("n_copies") > 1).alias("k_copies")).distinct()
+    worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")) & (worded == F.col("k_words")))
+    # ids are unique but for repeated rows, which are copies
+    repeated = joined.groupBy("doc_id", "k_words").agg(F.count("*").alias("rows")).where("rows > 1 AND k_words").select(F.col("doc_id").alias("r_id"))
+    once = joined.join(repeated, F.col("doc_id").eqNullSafe(F.col("r_id")) & F.col("k_words"), "left")
+    single, several = once.where("r_id IS NULL"), once.where("r_id IS NOT NULL")
+    return _columns(single, docs).unionByName(_columns(several, docs).orderBy("text").dropDuplicates(["doc_id"]))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data in every text, and counts its characters anew."""
+    changed = personal.redact(docs, personal.learn(docs))
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return _columns(changed, docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    mixed = mixing.mixed(docs).where("copies > 0")
+    return _columns(mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents (a copy is a document of its own) with their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", reject_poor),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("personal data", redact_personal_data),
+    ("source mix", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"stage{i}")
+    return docs

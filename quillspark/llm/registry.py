@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from quillspark.llm import fingerprints, language, maintext, media, mixing, neardup, packing, quality, warc
+from quillspark.llm import fingerprints, language, maintext, media, mixing, neardup, packing, personal, quality, warc
 
 QUERIES = {
     "op1_consistent_weighted_fingerprints": fingerprints.op1_consistent_weighted_fingerprints,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_ordinal_quality": quality.op3_ordinal_quality,
     "op4_signature_tree_join": neardup.op4_signature_tree_join,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_candidate_boosting": personal.op6_candidate_boosting,
     "op7_ogg_media": media.op7_ogg_media,
     "op8_warc_revisits": warc.op8_warc_revisits,
     "op9_text_density_extraction": maintext.op9_text_density_extraction,
