@@ -27,16 +27,16 @@ def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component of near duplicates (five words, similarity 0.8): that with the least doc_id.
 
-    Documents without words link with nothing and stay. Of several rows with that doc_id the one with the least text stays."""
+    Documents without words link with nothing and stay. Rows of one doc_id and one text count once; other texts under a
+    kept doc_id, and texts without a doc_id in a component without any, stay."""
     found = neardup.linked_components(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_id"), (F.col("n_shingles") > 0).alias("k_words"), (F.col("n_copies") > 1).alias("k_copies")).distinct()
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_id"), (F.col("n_shingles") > 0).alias("k_words")).distinct()
     worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")) & (worded == F.col("k_words")))
-    # ids are unique but for repeated rows, which are copies
-    repeated = joined.groupBy("doc_id", "k_words").agg(F.count("*").alias("rows")).where("rows > 1 AND k_words").select(F.col("doc_id").alias("r_id"))
+    # ids are unique but for repeated rows; only those are looked at again
+    repeated = joined.where("k_words").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("r_id"), F.lit(True).alias("again"))
     once = joined.join(repeated, F.col("doc_id").eqNullSafe(F.col("r_id")) & F.col("k_words"), "left")
-    single, several = once.where("r_id IS NULL"), once.where("r_id IS NOT NULL")
-    return _columns(single, docs).unionByName(_columns(several, docs).orderBy("text").dropDuplicates(["doc_id"]))
+    return _columns(once.where("again IS NULL"), docs).unionByName(_columns(once.where("again"), docs).dropDuplicates(["doc_id", "text"]))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
