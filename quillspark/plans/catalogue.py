@@ -1,4 +1,528 @@
 """The registered queries and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillspark.functions import text as T
+from quillspark.functions import vectors
+from quillspark.operators import audit, code, context, graph, history, lexical, semantic, trace
+from quillspark.plans import views as V
+from quillspark.sources import payloads
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):  # noqa: ANN201
+    """Registers a function under its name, with its SQL."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- SQL fragments
+
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+
+
+def _tokens(value: str) -> str:
+    whole = rf"list_filter(list_transform(regexp_split_to_array(lower({value}), '[^\p{{L}}\p{{N}}_/.\-]+'), lambda t: regexp_replace(t, '^[-_/.]+|[-_/.]+$', '', 'g')), lambda t: t <> '')"
+    made = f"flatten(list_transform({whole}, lambda t: CASE WHEN regexp_matches(t, '[-_/.]') THEN list_concat([t], list_filter(regexp_split_to_array(t, '[-_/.]'), lambda p: p <> '')) ELSE [t] END))"
+    return f"list_filter({made}, lambda t: t NOT IN ({_STOP}))"
+
+
+def _canonical(value: str) -> str:
+    words = rf"list_filter(regexp_split_to_array(lower({value}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+    kept = f"list_filter({words}, lambda w: w NOT IN ({_STOP}))"
+    return f"array_to_string(CASE WHEN len({kept}) > 0 THEN {kept} ELSE {words} END, ' ')"
+
+
+_FIELDS = {"title": "title", "tags": "array_to_string(tags, ' ')", "path": "path", "type": "type", "body": "body"}
+_FIELD_TOKENS = "field_tokens AS (" + " UNION ALL ".join(f"SELECT uri, '{f}' AS field, {_tokens(e)} AS tokens FROM doc_pages" for f, e in _FIELDS.items()) + ")"
+_POSTINGS = f"{V.DOC_PAGES}, {_FIELD_TOKENS}, postings AS (SELECT uri, field, term, count(*) AS tf FROM (SELECT uri, field, unnest(tokens) AS term FROM field_tokens) GROUP BY ALL)"
+ASKED = "Apache License version idiot"
+
+
+def _class(question: str) -> str:
+    q = _canonical(f"'{question}'")
+    no_ext = r"regexp_replace(path, '\.[^./]*$', '')"
+    names = [_canonical(x) for x in ("title", "path", no_ext, f"split_part({no_ext}, '/', -1)")]
+    return f"CASE WHEN {q} IN ({', '.join(names)}) THEN 3 WHEN contains({names[0]}, {q}) OR contains({names[1]}, {q}) THEN 2 WHEN list_contains(list_transform(tags, lambda t: {_canonical('t')}), {q}) THEN 1 ELSE 0 END"
+
+
+def _scores(question: str, pages: str = "doc_pages") -> str:
+    """CTEs asked, counts and scored (uri, score)."""
+    fields = ", ".join(f"{_tokens(e)} AS t_{f}" for f, e in _FIELDS.items())
+    n_fields = list(_FIELDS)
+    lens = ", ".join(f"len(t_{f}) AS len_{f}" for f in n_fields)
+    tfs = ", ".join(f"len(list_filter(t_{f}, lambda t: t = q)) AS tf_{f}" for f in n_fields)
+    totals = ", ".join(f"CASE WHEN sum(len(t_{f})) > 0 THEN sum(len(t_{f}))::DOUBLE / count(*) ELSE 1.0::DOUBLE END AS mean_{f}" for f in n_fields)
+    weighted = " + ".join(f"CASE WHEN tf_{f} > 0 THEN {lexical.WEIGHTS[f]}::DOUBLE * tf_{f} / (0.25::DOUBLE + 0.75::DOUBLE * len_{f} / mean_{f}) ELSE 0.0::DOUBLE END" for f in ("title", "tags", "path", "type", "body"))
+    return f"""asked AS (SELECT q, i FROM (SELECT unnest(qs) AS q, generate_subscripts(qs, 1) AS i FROM (SELECT list_distinct({_tokens(f"'{question}'")}) AS qs))),
+  split AS (SELECT uri, {fields} FROM {pages}), means AS (SELECT count(*) AS n, {totals} FROM split),
+  tf AS (SELECT uri, q, {lens}, {tfs} FROM split, asked), df AS (SELECT q, sum(CASE WHEN {' + '.join(f'tf_{f}' for f in n_fields)} > 0 THEN 1 ELSE 0 END) AS df FROM tf GROUP BY q),
+  wf AS (SELECT uri, q, df, n, {weighted} AS w FROM tf JOIN df USING (q), means),
+  scored AS (SELECT uri, sum(ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (2.2::DOUBLE * w) / (1.2::DOUBLE + w)) AS score FROM wf WHERE w > 0 GROUP BY uri)"""
+
+
+# ---- lexical ranking
+
+
+@query(f"WITH {_POSTINGS} SELECT uri, field, term, tf FROM postings")
+def lex_postings(spark, d):
+    return lexical.postings(V.doc_pages(spark, d))
+
+
+@query(f"WITH {_POSTINGS} SELECT term, count(DISTINCT uri) AS df FROM postings GROUP BY term")
+def lex_df(spark, d):
+    return lexical.document_frequency(lexical.postings(V.doc_pages(spark, d)))
+
+
+@query(f"WITH {V.DOC_PAGES}, {_FIELD_TOKENS} SELECT field, count(*) AS n, sum(len(tokens))::BIGINT AS total, CASE WHEN sum(len(tokens)) = 0 THEN 1.0 ELSE sum(len(tokens))::DOUBLE / count(*) END AS mean FROM field_tokens GROUP BY field")
+def lex_field_stats(spark, d):
+    return lexical.field_means(lexical.field_lengths(V.doc_pages(spark, d)))
+
+
+@query(f"WITH {V.DOC_PAGES}, {_scores(ASKED)} SELECT uri, class, round(score * 100, 0) / 100 AS score FROM (SELECT uri, {_class(ASKED)} AS class, coalesce(score, 0.0) AS score FROM doc_pages LEFT JOIN scored USING (uri)) WHERE class > 0 OR score > 0 ORDER BY class DESC, score DESC, uri LIMIT 10")
+def lex_bm25_topk(spark, d):
+    return lexical.search(V.doc_pages(spark, d), ASKED, 10)
+
+
+@query(f"WITH {V.DOC_PAGES}, scoped AS (SELECT doc_pages.* FROM doc_pages JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0 AND type = 'en'), {_scores(ASKED, 'scoped')} SELECT uri, round(score * 100, 0) / 100 AS score FROM scored ORDER BY scored.score DESC, uri LIMIT 5")
+def lex_memory_scoped(spark, d):
+    """The scope is cut out before corpus statistics are taken."""
+    labels = V.table(spark, d, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
+    pages = V.doc_pages(spark, d).where("type = 'en'").join(labels, "doc_id")
+    found = lexical.scores(pages, ASKED).orderBy(F.desc("score"), "uri").limit(5)
+    return found.select("uri", T.rounded(F.col("score")).alias("score"))
+
+
+@query(f"WITH {V.DOC_PAGES} SELECT uri, {_class('src3')} AS class FROM doc_pages WHERE class > 0")
+def lex_match_class(spark, d):
+    pages = V.doc_pages(spark, d)
+    return pages.select("uri", T.match_class(F.lit("src3"), F.col("title"), F.lit(None).cast("array<string>"), F.col("path"), F.col("tags")).alias("class")).where("class > 0")
+
+
+@query(f"WITH {V.DOC_PAGES} SELECT uri, {_canonical('title')} AS canonical, trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g')) AS identity FROM doc_pages")
+def lex_canonical_titles(spark, d):
+    return V.doc_pages(spark, d).select("uri", T.canonical(F.col("title")).alias("canonical"), T.identity(F.col("title")).alias("identity"))
+
+
+@query("SELECT doc_id, CASE WHEN length(f) <= 80 THEN f ELSE trim(substr(f, 1, 79)) || '…' END AS description FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM documents)")
+def lex_cut_description(spark, d):
+    return V.table(spark, d, "documents").select("doc_id", T.cut(F.col("text"), 80).alias("description"))
+
+
+# ---- pages
+
+
+@query(f"WITH {V.DOC_PAGES} SELECT uri, title, type FROM doc_pages ORDER BY uri")
+def page_list(spark, d):
+    return V.doc_pages(spark, d).select("uri", "title", "type").orderBy("uri")
+
+
+@query(f"WITH {V.DOC_PAGES} SELECT uri, title FROM doc_pages WHERE contains(lower(concat_ws(' ', title, type, uri)), lower(trim(' SRC1/ '))) AND type = 'en'")
+def page_text_filter(spark, d):
+    pages = V.doc_pages(spark, d)
+    return pages.where(F.contains(F.lower(F.concat_ws(" ", "title", "type", "uri")), F.lower(F.trim(F.lit(" SRC1/ ")))) & (F.col("type") == "en")).select("uri", "title")
+
+
+@query(f"WITH {V.DOC_PAGES} SELECT uri, title FROM doc_pages WHERE uri > 'kb://corpus/src12/' ORDER BY uri LIMIT 200")
+def page_keyset_next(spark, d):
+    return history.keyset_page(V.doc_pages(spark, d).select("uri", "title"), "kb://corpus/src12/", 200)
+
+
+@query(f"WITH {V.WEB_PAGES} SELECT path, uri, precedence FROM web_pages QUALIFY row_number() OVER (PARTITION BY path ORDER BY precedence, uri) = 1")
+def overlay_precedence(spark, d):
+    return history.overlay(V.web_pages(spark, d).select("path", "uri", "precedence"))
+
+
+@query(f"WITH {V.DOC_PAGES} SELECT type, count(*) AS pages FROM doc_pages GROUP BY type")
+def pages_per_type(spark, d):
+    return V.doc_pages(spark, d).groupBy("type").agg(F.count("*").alias("pages"))
+
+
+@query(f"WITH {V.DOC_PAGES} SELECT type AS name, min_by(uri, doc_id) AS uri, min_by(title, doc_id) AS description FROM doc_pages GROUP BY type")
+def type_summary(spark, d):
+    """The first page of each type, in scan order, describes it."""
+    first = F.min_by(F.struct("uri", "title"), "doc_id")
+    return V.doc_pages(spark, d).groupBy(F.col("type").alias("name")).agg(first.alias("x")).select("name", "x.uri", F.col("x.title").alias("description"))
+
+
+@query("SELECT source AS dir, count(*) AS pages, string_agg(doc_id || '.md', ',' ORDER BY doc_id || '.md') AS listed FROM documents GROUP BY source")
+def index_by_directory(spark, d):
+    docs = V.table(spark, d, "documents")
+    return docs.groupBy(F.col("source").alias("dir")).agg(F.count("*").alias("pages"), F.array_join(F.array_sort(F.collect_list(F.concat(F.col("doc_id").cast("string"), F.lit(".md")))), ",").alias("listed"))
+
+
+# ---- graph
+
+
+@query(f"WITH {V.FK_EDGES} SELECT DISTINCT from_uri, to_uri, relation FROM fk_edges")
+def graph_edges_dedup(spark, d):
+    edges = V.fk_edges(spark, d).withColumn("ord", F.lit(0))
+    return graph.build_edges(edges, edges.select("from_uri", "to_uri", "raw", "ord")).select("from_uri", "to_uri", "relation")
+
+
+@query(f"WITH {V.FK_EDGES} SELECT DISTINCT from_uri, to_uri, relation FROM fk_edges WHERE from_uri = 'nation:7' OR to_uri = 'nation:7'")
+def graph_neighbors_both(spark, d):
+    return graph.neighbours(V.fk_edges(spark, d), "nation:7").select("from_uri", "to_uri", "relation")
+
+
+@query(r"""WITH links AS (SELECT 'page:' || page_id AS from_uri, regexp_extract(url, '^https?://([^/]+)/', 1) || href AS to_uri FROM (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS href FROM pages)),
+known AS (SELECT DISTINCT regexp_replace(url, '^https?://', '') AS to_uri FROM pages) SELECT from_uri, to_uri, count(*) AS links FROM links WHERE to_uri NOT IN (SELECT to_uri FROM known) GROUP BY ALL""")
+def graph_dangling(spark, d):
+    known = V.table(spark, d, "pages").select(F.regexp_replace("url", "^https?://", "").alias("uri")).distinct()
+    return graph.dangling(V.hrefs(spark, d), known).groupBy("from_uri", "to_uri").agg(F.count("*").alias("links"))
+
+
+@query(f"""WITH RECURSIVE {V.FK_EDGES}, both_ways AS (SELECT from_uri, to_uri FROM fk_edges UNION SELECT to_uri, from_uri FROM fk_edges),
+level1 AS (SELECT to_uri AS node, 1 AS level FROM both_ways WHERE from_uri = 'region:1'), level2 AS (SELECT DISTINCT b.to_uri AS node, 2 AS level FROM level1 JOIN both_ways b ON node = from_uri WHERE b.to_uri <> 'region:1' AND b.to_uri NOT IN (SELECT node FROM level1)),
+level3 AS (SELECT DISTINCT b.to_uri AS node, 3 AS level FROM level2 JOIN both_ways b ON node = from_uri WHERE b.to_uri <> 'region:1' AND b.to_uri NOT IN (SELECT node FROM level1 UNION ALL SELECT node FROM level2))
+SELECT 'region:1' AS node, 0 AS level UNION ALL SELECT * FROM level1 UNION ALL SELECT * FROM level2 UNION ALL SELECT * FROM level3""")
+def graph_reachable_by_level(spark, d):
+    return graph.paths_from(graph.undirected(V.fk_edges(spark, d)), "region:1", 3).select("node", "level")
+
+
+@query(f"""WITH {V.FK_EDGES} SELECT s.from_uri AS node, 'customer:1 ' || n.to_uri || ' ' || s.from_uri AS path FROM fk_edges n JOIN fk_edges s ON n.to_uri = s.to_uri WHERE n.from_uri = 'customer:1' AND s.from_uri LIKE 'supplier:%'""")
+def graph_shortest_paths(spark, d):
+    """One search from a customer; its paths to all suppliers of its nation."""
+    found = graph.paths_from(graph.undirected(V.fk_edges(spark, d)), "customer:1", 2)
+    return found.where(F.col("node").startswith("supplier:")).select("node", F.array_join("path", " ").alias("path"))
+
+
+@query(f"""WITH {V.FK_EDGES}, both_ways AS (SELECT from_uri, to_uri FROM fk_edges UNION SELECT to_uri, from_uri FROM fk_edges),
+one AS (SELECT to_uri AS node, 1 AS hops FROM both_ways WHERE from_uri = 'nation:3'), two AS (SELECT b.to_uri AS node, 2 AS hops FROM one JOIN both_ways b ON node = from_uri)
+SELECT node, min(hops) AS hops FROM (SELECT 'nation:3' AS node, 0 AS hops UNION ALL SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY node ORDER BY min(hops), node LIMIT 300""")
+def graph_ego2(spark, d):
+    return graph.ego(V.fk_edges(spark, d), "nation:3")
+
+
+_NEXT = "chain AS (SELECT doc_id, CASE WHEN doc_id % 10 IN (1, 2, 3) THEN doc_id + 1 WHEN doc_id % 10 = 5 THEN doc_id + 1 WHEN doc_id % 10 = 6 THEN doc_id - 1 WHEN doc_id % 10 = 8 THEN -1 END AS authored FROM documents), known AS (SELECT c.doc_id, c.authored, k.doc_id AS next FROM chain c LEFT JOIN documents k ON k.doc_id = c.authored)"
+
+
+def _succession(spark, d):
+    """Chains of up to three, loops of two and broken ends, by the last digit of doc_id."""
+    last = F.col("doc_id") % 10
+    authored = F.when(last.isin(1, 2, 3, 5), F.col("doc_id") + 1).when(last == 6, F.col("doc_id") - 1).when(last == 8, F.lit(-1).cast("long"))
+    pages = V.table(spark, d, "documents").select("doc_id", authored.alias("authored"))
+    known = pages.select(F.col("doc_id").alias("next"))
+    met = pages.join(known, F.col("authored") == F.col("next"), "left")
+    return graph.supersession(met.select(F.col("doc_id").cast("string").alias("uri"), F.col("next").cast("string").alias("next"), F.col("authored").cast("string").alias("authored")))
+
+
+_WALK = f"""WITH RECURSIVE {_NEXT}, walk AS (SELECT doc_id AS uri, [doc_id] AS chain, next, authored, NULL::VARCHAR AS status FROM known WHERE authored IS NOT NULL
+UNION ALL SELECT w.uri, list_append(w.chain, w.next), k.next, k.authored, CASE WHEN list_contains(w.chain, w.next) THEN 'cycle' END FROM walk w JOIN known k ON k.doc_id = w.next WHERE w.status IS NULL AND w.next IS NOT NULL AND len(w.chain) < 34)
+"""
+
+
+@query(_WALK + "SELECT uri::VARCHAR AS uri, CASE WHEN status = 'cycle' THEN 'cycle' WHEN authored IS NULL THEN 'current' ELSE 'missing_target' END AS status, array_to_string(chain, '>') AS chain FROM walk WHERE status = 'cycle' OR authored IS NULL OR next IS NULL")
+def supersession_resolve(spark, d):
+    return _succession(spark, d).select("uri", "status", F.array_join("chain", ">").alias("chain"))
+
+
+@query(f"WITH {_NEXT} SELECT DISTINCT least(a.doc_id::VARCHAR, b.doc_id::VARCHAR) || ',' || greatest(a.doc_id::VARCHAR, b.doc_id::VARCHAR) AS members FROM known a JOIN known b ON a.next = b.doc_id AND b.next = a.doc_id")
+def supersession_cycle(spark, d):
+    return graph.cycles(_succession(spark, d)).select(F.array_join("members", ",").alias("members"))
+
+
+# ---- vectors
+
+
+def _first_vector(spark, d):
+    return [float(x) for x in V.table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0]]
+
+
+_COSINE = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / (sqrt(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE))))"
+
+
+@query(f"SELECT label::VARCHAR AS uri, arg_max(vec_id, s) AS chunk, round(max(s), 6) AS similarity FROM (SELECT e.label, e.vec_id, {_COSINE} AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) GROUP BY label ORDER BY max(s) DESC, uri LIMIT 5")
+def vec_topk_distinct(spark, d):
+    return semantic.nearest(V.vec_chunks(spark, d), _first_vector(spark, d), 5).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("SELECT vec_id, len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) > 0 AS valid FROM embeddings")
+def vec_validate(spark, d):
+    return V.table(spark, d, "embeddings").select("vec_id", vectors.is_valid(F.col("embedding"), 64).alias("valid"))
+
+
+@query()
+def chunk_pack(spark, d):
+    pages = V.doc_pages(spark, d)
+    return semantic.chunks(pages.select("uri", F.replace("body", F.lit("\n"), F.lit("\n\n")).alias("body"))).select("uri", F.col("chunk").cast("long").alias("chunk"), F.length("content").cast("long").alias("chars"))
+
+
+# ---- evidence context
+
+
+@query(f"""WITH {V.DOC_PAGES}, {_scores(ASKED)}, lex AS (SELECT uri, row_number() OVER (ORDER BY score DESC, uri) AS position FROM scored ORDER BY position LIMIT 100),
+vec AS (SELECT uri, row_number() OVER (ORDER BY length(body) DESC, uri) AS position FROM doc_pages ORDER BY position LIMIT 100)
+SELECT uri, round(sum(part), 9) AS fused FROM (SELECT uri, 1.0::DOUBLE / (60 + position) AS part FROM lex UNION ALL SELECT uri, 100.0::DOUBLE / (60 + position) FROM vec) GROUP BY uri""")
+def ctx_rrf(spark, d):
+    """Two top lists, fused by reciprocal ranks; the lists are bounded, so their windows are small."""
+    pages = V.doc_pages(spark, d)
+    best = lexical.scores(pages, ASKED).orderBy(F.desc("score"), "uri").limit(100)
+    long = pages.select("uri", F.length("body").alias("n")).orderBy(F.desc("n"), "uri").limit(100)
+    lex = best.withColumn("position", F.row_number().over(Window.orderBy(F.desc("score"), "uri")))
+    vec = long.withColumn("position", F.row_number().over(Window.orderBy(F.desc("n"), "uri")))
+    return lexical.fused({"lexical": (lex, 1.0), "vector": (vec, 100.0)}).withColumn("fused", F.round("fused", 9))
+
+
+_HOLDS = """CASE WHEN valid_from IS NOT NULL OR valid_until IS NOT NULL THEN (valid_from IS NULL OR '2024-09-01T00:00:00Z' >= valid_from) AND (valid_until IS NULL OR '2024-09-01T00:00:00Z' <= valid_until)
+  WHEN observed_at IS NULL OR length(observed_at) = 10 THEN NULL ELSE observed_at <= '2024-09-01T00:00:00Z' END"""
+
+
+@query(f"WITH {V.DOC_TRUST} SELECT uri, CASE WHEN status <> 'active' THEN 'status' WHEN NOT list_contains(tags, 'en') THEN 'tag' WHEN confidence < 0.5 THEN 'confidence' WHEN tier <> 'core' THEN 'tier' WHEN h IS NULL THEN 'time_undetermined' WHEN NOT h THEN 'time' END AS reason FROM (SELECT *, {_HOLDS} AS h FROM doc_trust)")
+def ctx_constraints(spark, d):
+    reason = context.omission({"status": "active", "tags": ["en"], "min_confidence": 0.5, "tier": "core", "as_of": "2024-09-01T00:00:00Z"})
+    return V.doc_trust(spark, d).select("uri", reason.alias("reason"))
+
+
+@query(f"WITH {V.DOC_TRUST} SELECT uri, {_HOLDS} AS applicable FROM doc_trust")
+def ctx_asof(spark, d):
+    from quillspark.functions import times
+
+    trust = V.doc_trust(spark, d)
+    return trust.select("uri", times.applicability(times.instant(F.lit("2024-09-01T00:00:00Z")), *[F.col(c) for c in ("valid_from", "valid_until", "observed_at", "occurred_at")]).alias("applicable"))
+
+
+@query("""WITH c AS (SELECT doc_id AS position, text AS content FROM documents ORDER BY doc_id LIMIT 100), p AS (SELECT *, row_number() OVER (ORDER BY position) AS rn, coalesce(sum(length(content)) OVER (ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM c),
+t AS (SELECT *, rn <= 5 AND used < 6000 AS accepted FROM p) SELECT position, accepted, CASE WHEN accepted THEN least(length(content), 6000 - used)::BIGINT END AS kept_chars,
+CASE WHEN NOT accepted THEN CASE WHEN sum(accepted::INT) OVER (ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 5 THEN 'evidence_limit' ELSE 'character_limit' END END AS reason FROM t""")
+def ctx_budget(spark, d):
+    ranked = V.table(spark, d, "documents").select(F.col("doc_id").alias("position"), F.col("text").alias("content")).orderBy("position").limit(100)
+    return context.budget(ranked, 5, 6000).drop("content")
+
+
+_TERMS = T.question_terms("the idiot license, nonsense")
+_HITS = " + ".join(f"((length(lower(line)) - length(replace(lower(line), '{t}', ''))) // {len(t)})" for t in _TERMS)
+
+
+@query(f"""WITH lines AS (SELECT doc_id, i AS place, lines[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents)),
+every AS (SELECT doc_id, 0 AS place, '' AS section, text AS content, 0 AS hits FROM documents UNION ALL SELECT doc_id, place, place::VARCHAR, line, {_HITS} FROM lines)
+SELECT doc_id::VARCHAR AS uri, section, substr(content, 1, 200) AS content, length(content) > 200 AS truncated FROM every QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, place) = 1""")
+def ctx_excerpt(spark, d):
+    """Each line of a document is a section of it."""
+    docs = V.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("uri"), "text")
+    whole = docs.select("uri", F.lit(0).alias("place"), F.lit("").alias("section"), F.col("text").alias("content"))
+    lines = docs.select("uri", F.posexplode(F.split("text", "\n")).alias("p", "content")).select("uri", (F.col("p") + 1).alias("place"), (F.col("p") + 1).cast("string").alias("section"), "content")
+    return context.excerpts(whole.unionByName(lines), "the idiot license, nonsense", 200)
+
+
+# ---- audit
+
+
+@query(f"WITH {V.FK_EDGES}, pages_ AS (SELECT 'nation:' || n_nationkey AS uri, 'Nation' AS type FROM nation UNION ALL SELECT 'supplier:' || s_suppkey, 'Supplier' FROM supplier UNION ALL SELECT 'region:' || r_regionkey, 'Concept' FROM region) SELECT uri FROM pages_ WHERE type <> 'Concept' AND uri NOT IN (SELECT to_uri FROM fk_edges) AND uri <> 'supplier:3'")
+def audit_orphan(spark, d):
+    one = lambda name, key, kind: V.table(spark, d, name).select(F.concat(F.lit(f"{kind.lower()}:"), F.col(key).cast("string")).alias("uri"), F.lit("Concept" if kind == "Region" else kind).alias("type"))
+    pages = one("nation", "n_nationkey", "Nation").unionByName(one("supplier", "s_suppkey", "Supplier")).unionByName(one("region", "r_regionkey", "Region"))
+    found = audit.orphans(pages, V.fk_edges(spark, d), spark.createDataFrame([("supplier:3",)], "uri string"))
+    return found.select(F.col("uris")[0].alias("uri"))
+
+
+@query(f"WITH {V.IDENTITIES}, k AS (SELECT DISTINCT uri, type, trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g')) AS identity FROM identities) SELECT type, identity, string_agg(uri, ',' ORDER BY uri) AS uris FROM k WHERE identity <> '' GROUP BY type, identity HAVING count(*) > 1")
+def audit_duplicate_identity(spark, d):
+    pages = V.identities(spark, d)
+    found = audit.duplicate_identities(pages)
+    kinds = pages.select("uri", "type")
+    return found.select(F.col("uris")[0].alias("uri"), F.col("evidence")[0].alias("identity"), F.array_join("uris", ",").alias("uris")).join(kinds, "uri").select("type", "identity", "uris")
+
+
+@query(f"WITH {V.IDENTITIES}, k AS (SELECT DISTINCT uri, tag, trim(regexp_replace(lower(tag), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g')) AS normal FROM (SELECT uri, unnest(tags) AS tag FROM identities)) SELECT string_agg(DISTINCT tag, '|' ORDER BY tag) AS spellings, count(DISTINCT uri) AS pages FROM k WHERE normal <> '' GROUP BY normal HAVING count(DISTINCT tag) > 1")
+def audit_tag_fragmentation(spark, d):
+    return audit.tag_fragments(V.identities(spark, d)).select(F.array_join("evidence", "|").alias("spellings"), F.size("uris").cast("long").alias("pages"))
+
+
+_SAME_SOURCE = "links AS (SELECT 'kb://corpus/' || a.source || '/' || a.doc_id || '.md' AS from_uri, 'kb://corpus/' || b.source || '/' || b.doc_id || '.md' AS to_uri, CASE WHEN a.doc_id % 4 = 0 THEN 'contradicts' ELSE 'links_to' END AS relation FROM documents a JOIN documents b ON b.doc_id = (a.doc_id * 7 + 3) % 1000)"
+
+
+def _doc_links(spark, d):
+    """A link from each document to one other, by doc_id."""
+    docs = V.table(spark, d, "documents").select("doc_id", F.concat(F.lit("kb://corpus/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("uri"))
+    other = docs.select(F.col("doc_id").alias("o_id"), F.col("uri").alias("to_uri"))
+    return docs.join(other, (F.col("doc_id") * 7 + 3) % 1000 == F.col("o_id")).select(F.col("uri").alias("from_uri"), "to_uri", F.when(F.col("doc_id") % 4 == 0, "contradicts").otherwise("links_to").alias("relation"))
+
+
+@query(f"WITH {_SAME_SOURCE} SELECT DISTINCT least(from_uri, to_uri) || ' ' || greatest(from_uri, to_uri) AS pair FROM links WHERE relation = 'contradicts'")
+def audit_contradiction(spark, d):
+    return audit.contradictions(_doc_links(spark, d)).select(F.array_join("uris", " ").alias("pair"))
+
+
+@query(f"WITH {_SAME_SOURCE}, f AS (SELECT from_uri AS uri, to_uri AS other FROM links WHERE relation = 'contradicts' UNION SELECT to_uri, from_uri FROM links WHERE relation = 'contradicts') SELECT uri, string_agg(other, ' ' ORDER BY other) AS others FROM f GROUP BY uri")
+def trust_contradiction_lists(spark, d):
+    return audit.contradiction_lists(_doc_links(spark, d)).select("uri", F.array_join("others", " ").alias("others"))
+
+
+@query(f"WITH {_SAME_SOURCE}, {V.DOC_TRUST} SELECT DISTINCT from_uri, to_uri FROM links JOIN doc_trust a ON a.uri = from_uri JOIN doc_trust b ON b.uri = to_uri WHERE a.status <> 'retired' AND b.status = 'retired'")
+def audit_active_ref_retired(spark, d):
+    found = audit.retired_references(_doc_links(spark, d), V.doc_trust(spark, d).select("uri", "status"))
+    return found.select(F.col("uris")[0].alias("from_uri"), F.col("uris")[1].alias("to_uri"))
+
+
+_SEEN = "coalesce(CASE WHEN length(observed_at) = 10 THEN observed_at || 'T00:00:00Z' ELSE observed_at END, valid_until, valid_from)"
+
+
+@query(f"WITH {V.DOC_TRUST} SELECT uri, {_SEEN} AS seen FROM doc_trust WHERE {_SEEN}::TIMESTAMP < TIMESTAMP '2025-06-01' - INTERVAL 2400 HOUR")
+def audit_stale(spark, d):
+    found, _ = audit.stale(V.doc_trust(spark, d), "2025-06-01T00:00:00Z", "2400h")
+    return found.select(F.col("uris")[0].alias("uri"), F.col("evidence")[0].alias("seen"))
+
+
+@query(f"WITH {_SAME_SOURCE} SELECT pair FROM (SELECT DISTINCT least(from_uri, to_uri) || ' ' || greatest(from_uri, to_uri) AS pair FROM links WHERE relation = 'contradicts') ORDER BY pair LIMIT 50 OFFSET 20")
+def audit_page(spark, d):
+    """A page of ordered findings; all are of one class and severity here, so their uris decide."""
+    every = audit.ordered(audit.contradictions(_doc_links(spark, d)))
+    return audit.page_of(every, 20, 50).select(F.array_join("uris", " ").alias("pair"))
+
+
+@query(f"""WITH {_SAME_SOURCE}, {V.DOC_TRUST} SELECT class, count(*) AS findings FROM (SELECT DISTINCT 'contradiction' AS class, least(from_uri, to_uri) AS a, greatest(from_uri, to_uri) AS b FROM links WHERE relation = 'contradicts'
+UNION ALL SELECT DISTINCT 'active_reference_retired', from_uri, to_uri FROM links JOIN doc_trust a ON a.uri = from_uri JOIN doc_trust b ON b.uri = to_uri WHERE a.status <> 'retired' AND b.status = 'retired'
+UNION ALL SELECT 'orphan', uri, '' FROM doc_trust WHERE uri NOT IN (SELECT to_uri FROM links)) GROUP BY class""")
+def audit_counts(spark, d):
+    links, trust = _doc_links(spark, d), V.doc_trust(spark, d)
+    every = audit.ordered(audit.contradictions(links), audit.retired_references(links, trust.select("uri", "status")), audit.orphans(trust, links))
+    return every.groupBy("class").agg(F.count("*").alias("findings"))
+
+
+# ---- revisions and changes
+
+
+_LIFE = "CASE WHEN {s0} IS DISTINCT FROM {s1} AND {s1} IN ('archived', 'retired') THEN {s1} WHEN {n1} IS NOT NULL AND {n0} IS DISTINCT FROM {n1} THEN 'superseded' ELSE 'updated' END"
+
+
+@query(f"WITH {V.REVISIONS} SELECT path, ordinal, CASE WHEN row_number() OVER w = 1 THEN 'added' ELSE {_LIFE.format(s0='lag(status) OVER w', s1='status', n0='lag(successor) OVER w', n1='successor')} END AS class FROM revisions WINDOW w AS (PARTITION BY path ORDER BY ordinal)")
+def hist_lifecycle(spark, d):
+    return history.page_history(V.revisions(spark, d)).select("path", "ordinal", "class")
+
+
+def _snapshots(spark, d):
+    """Each page's newest revision in the first and in the second half of the events; a few pages only in one."""
+    rows = V.revisions(spark, d)
+    newest = lambda f: f.groupBy("path").agg(F.max_by(F.struct("revision", "status", "successor", "origin"), "ordinal").alias("x")).select("path", "x.*")
+    half = F.col("ordinal") % 1000 < 500
+    early, late = newest(rows.where(half)), newest(rows.where(~half))
+    return early.where("CAST(path AS INT) % 9 <> 1"), late.where("CAST(path AS INT) % 9 <> 2")
+
+
+_SNAPSHOTS = f"{V.REVISIONS}, b AS (SELECT * FROM revisions WHERE ordinal % 1000 < 500 AND path::INT % 9 <> 1 QUALIFY row_number() OVER (PARTITION BY path ORDER BY ordinal DESC) = 1), a AS (SELECT * FROM revisions WHERE ordinal % 1000 >= 500 AND path::INT % 9 <> 2 QUALIFY row_number() OVER (PARTITION BY path ORDER BY ordinal DESC) = 1)"
+
+
+@query(f"""WITH {_SNAPSHOTS} SELECT * FROM (SELECT coalesce(b.path, a.path) AS path, CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'effective_removed' WHEN b.origin IS DISTINCT FROM a.origin THEN 'origin_replaced'
+WHEN b.revision IS DISTINCT FROM a.revision THEN {_LIFE.format(s0='b.status', s1='a.status', n0='b.successor', n1='a.successor')} END AS class, b.revision AS before, a.revision AS after FROM b FULL JOIN a ON a.path = b.path) WHERE class IS NOT NULL""")
+def cdc_snapshot_diff(spark, d):
+    return history.snapshot_changes(*_snapshots(spark, d))
+
+
+@query(f"WITH {_SNAPSHOTS} SELECT * FROM (SELECT coalesce(b.path, a.path) AS path, CASE WHEN a.path IS NULL THEN 'delete' WHEN b.path IS NULL OR b.revision IS DISTINCT FROM a.revision OR b.status IS DISTINCT FROM a.status THEN 'upsert' END AS change FROM b FULL JOIN a ON a.path = b.path) WHERE change IS NOT NULL")
+def code_document_changes(spark, d):
+    before, after = (f.select("path", F.col("revision").alias("digest"), F.col("status").alias("language")) for f in _snapshots(spark, d))
+    return history.document_changes(before, after)
+
+
+@query(f"WITH {_SNAPSHOTS} SELECT * FROM (SELECT coalesce(b.path, a.path) AS uri, CASE WHEN a.path IS NULL THEN 'removed' WHEN b.path IS NULL THEN 'added' WHEN b.revision IS DISTINCT FROM a.revision OR b.origin IS DISTINCT FROM a.origin THEN 'updated' END AS change FROM b FULL JOIN a ON a.path = b.path) WHERE change IS NOT NULL")
+def resource_observe(spark, d):
+    before, after = (f.select(F.col("path").alias("uri"), "revision", "origin") for f in _snapshots(spark, d))
+    return history.resource_changes(before, after)
+
+
+@query("""WITH e AS (SELECT DISTINCT user_id, event_type, event_id % 1000 < 500 AS early FROM events) SELECT CASE WHEN early THEN 'removed' ELSE 'added' END AS change, user_id::VARCHAR AS from_uri, event_type AS to_uri, 'did' AS relation FROM e x WHERE NOT EXISTS (SELECT 1 FROM e y WHERE y.user_id = x.user_id AND y.event_type = x.event_type AND y.early <> x.early)""")
+def rel_diff(spark, d):
+    events = V.table(spark, d, "events").select(F.col("user_id").cast("string").alias("from_uri"), F.col("event_type").alias("to_uri"), F.lit("did").alias("relation"), (F.col("event_id") % 1000 < 500).alias("early"))
+    return history.edge_changes(events.where("early"), events.where("NOT early"))
+
+
+@query("SELECT doc_id, 'sha256:' || sha256(text) AS revision FROM documents")
+def revision_digest(spark, d):
+    return V.table(spark, d, "documents").select("doc_id", history.revision(F.col("text")).alias("revision"))
+
+
+@query("""WITH l AS (SELECT sha256('page:' || page_id || chr(0) || sha256(html)) AS line FROM pages), p AS (SELECT substr(line, 1, 3) AS part, sha256(string_agg(line, chr(10) ORDER BY line)) AS d FROM l GROUP BY 1) SELECT 'sha256:' || sha256(string_agg(part || d, chr(10) ORDER BY part || d)) AS digest FROM p""")
+def fingerprint_snapshot(spark, d):
+    pages = V.table(spark, d, "pages").select(F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("uri"), F.sha2("html", 256).alias("revision"))
+    return audit.snapshot_digest(pages)
+
+
+# ---- evidence and runs
+
+
+@query("SELECT event_type AS kind, user_id AS source_id, event_id AS key, event_id % 10 = 0 AS tombstone FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id) = 1")
+def evidence_latest(spark, d):
+    return trace.latest(V.evidence(spark, d)).select("kind", "source_id", "key", "tombstone")
+
+
+@query("""WITH l AS (SELECT event_type AS kind, user_id AS source_id, event_id % 10 = 0 AS tombstone FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id) = 1) SELECT kind, source_id FROM l WHERE NOT tombstone AND source_id % 4 <> 0""")
+def evidence_tombstones(spark, d):
+    records = V.evidence(spark, d)
+    return trace.tombstones(trace.latest(records), records.where("source_id % 4 = 0"))
+
+
+@query("""WITH r AS (SELECT event_id, user_id, event_type, value FROM events), old AS (SELECT user_id, event_type, arg_min(value, event_id) AS value FROM r WHERE event_id % 3 = 0 GROUP BY 1, 2), new AS (SELECT user_id, event_type, arg_min(value, event_id) AS value FROM r WHERE event_id % 3 <> 0 GROUP BY 1, 2)
+SELECT new.user_id AS source_id, new.event_type AS kind, CASE WHEN old.user_id IS NULL THEN 'created' WHEN old.value = new.value THEN 'unchanged' ELSE 'conflict' END AS result FROM new LEFT JOIN old USING (user_id, event_type)""")
+def evidence_dedup(spark, d):
+    records = V.evidence(spark, d)
+    first = lambda f: f.groupBy("source_id", "kind").agg(F.min_by("value", "key").alias("value"))
+    found = trace.append_result(first(records.where("key % 3 = 0")), first(records.where("key % 3 <> 0")), ["source_id", "kind"], ["value"])
+    return found.select("source_id", "kind", "result")
+
+
+@query("""WITH r AS (SELECT conv_id AS run_id, turn AS sequence, count(*) OVER w > 4 OR sum(length(text)) OVER w > 900 AS over_limit FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT *, min(CASE WHEN over_limit THEN sequence END) OVER (PARTITION BY run_id) AS continuation FROM r) SELECT run_id, sequence, continuation FROM c WHERE continuation IS NULL OR sequence < continuation""")
+def trace_budget(spark, d):
+    return trace.run_budget(V.runs(spark, d), 4, 900).select("run_id", "sequence", "continuation")
+
+
+@query("SELECT run_id, expected, found FROM (SELECT conv_id AS run_id, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) + 1 AS expected, turn AS found FROM conversations WHERE (conv_id + turn) % 5 <> 1) WHERE expected <> found")
+def trace_gaps(spark, d):
+    return trace.gaps(V.runs(spark, d).where("(run_id + sequence) % 5 <> 1"))
+
+
+@query("SELECT conv_id AS run_id, count(*) AS entries, min(turn) = 0 AND max(turn) + 1 = count(DISTINCT turn) AND max((role = 'assistant')::INT) = 1 AS complete FROM conversations WHERE (conv_id + turn) % 7 <> 1 GROUP BY conv_id")
+def trace_complete(spark, d):
+    return trace.completeness(V.runs(spark, d).where("(run_id + sequence) % 7 <> 1"), "assistant")
+
+
+@query("SELECT conv_id AS run_id, count(*) AS evidence, count(*) FILTER (role = 'outcome') AS outcomes, count(CASE WHEN role = 'assistant' THEN 1 END) AS attributions FROM conversations WHERE conv_id IN (SELECT event_id FROM events WHERE event_type = 'purchase') GROUP BY conv_id")
+def learn_collect(spark, d):
+    runs = V.table(spark, d, "events").where("event_type = 'purchase'").select(F.col("event_id").alias("run_id"))
+    return trace.learning(V.runs(spark, d).withColumn("knowledge_uri", F.when(F.col("kind") == "assistant", "kb://x")), runs)
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS updated_at, coalesce(nullif(json_extract_string(props, '$.node_id'), ''), nullif(json_extract_string(props, '$.sha'), ''), json_extract_string(props, '$.k')) AS source_id FROM events")
+def payload_fields(spark, d):
+    events = V.table(spark, d, "events")
+    return events.select("event_id", F.get_json_object("props", "$.k").alias("id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("updated_at"), payloads.first_of(F.col("props"), "node_id", "sha", "k").alias("source_id"))
+
+
+# ---- code index
+
+
+@query(f"WITH {V.SYMBOLS}, {V.RELATIONS}, n AS (SELECT DISTINCT id AS symbol_id, unnest([name, qualified_name]) AS name FROM symbols), g AS (SELECT name, string_agg(symbol_id, ',' ORDER BY symbol_id) AS ids, count(*) AS c FROM n GROUP BY name) SELECT id, target, coalesce(ids, '') AS candidates, CASE WHEN c IS NULL THEN 'unresolved' WHEN c = 1 THEN 'resolved' ELSE 'ambiguous' END AS resolution FROM relations LEFT JOIN g ON target = name")
+def code_resolve(spark, d):
+    return code.resolve(V.relations(spark, d), V.symbols(spark, d)).select("id", "target", F.array_join("candidates", ",").alias("candidates"), "resolution")
+
+
+@query(f"""WITH {V.SYMBOLS}, {V.RELATIONS}, adj AS (SELECT DISTINCT r.id AS relation_id, a.id AS from_id, b.id AS to_id FROM relations r JOIN symbols a ON r.source = a.name OR r.source = a.qualified_name JOIN symbols b ON r.target = b.name OR r.target = b.qualified_name)
+SELECT to_id AS symbol_id, min(relation_id) AS relation_id FROM adj WHERE from_id = 's1' AND to_id <> 's1' GROUP BY to_id""")
+def code_neighbors(spark, d):
+    symbols = V.symbols(spark, d)
+    return code.neighbours(code.adjacency(code.resolve(V.relations(spark, d), symbols), symbols), "s1")
+
+
+@query("SELECT capability, CASE min(r) WHEN 1 THEN 'unsupported' WHEN 2 THEN 'partial' ELSE 'complete' END AS level FROM (SELECT p_type AS capability, CASE WHEN p_size % 50 = 1 THEN 1 WHEN p_retailprice > 1000 THEN 2 ELSE 3 END AS r FROM part) GROUP BY capability")
+def code_coverage(spark, d):
+    level = F.when(F.col("p_size") % 50 == 1, "unsupported").when(F.col("p_retailprice") > 1000, "partial").otherwise("complete")
+    return code.coverage(V.table(spark, d, "part").select(F.array(F.struct(F.col("p_type").alias("capability"), level.alias("level"))).alias("coverage")))
+
+
+@query(f"WITH {V.SYMBOLS}, h AS (SELECT * FROM symbols WHERE (contains(lower(name), 're') OR contains(lower(qualified_name), 're')) AND language = 'go') SELECT id, name, (SELECT count(*) FROM h) AS total FROM h ORDER BY name, id LIMIT 20")
+def code_search(spark, d):
+    return code.search(V.symbols(spark, d), "RE", "go", 20).select("id", "name", "total")
