@@ -26,9 +26,9 @@ def keep_words(words: Column) -> Column:
 def tokens(value: Column, drop_stop_words: bool = True) -> Column:
     """Lower-cased runs of letters, numbers and ``-_/.``, trimmed of these four; compounds are followed by their parts."""
     runs = F.split(F.lower(F.coalesce(value, F.lit(""))), r"[^\p{L}\p{N}_/.\-]+")
-    whole = F.filter(F.transform(runs, lambda t: F.regexp_replace(t, r"^[-_/.]+|[-_/.]+$", "")), lambda t: t != "")
+    whole = F.filter(F.transform(runs, lambda t: F.btrim(t, F.lit("-_/."))), lambda t: t != "")
     parts = lambda t: F.filter(F.split(t, "[-_/.]"), lambda p: p != "")
-    made = F.flatten(F.transform(whole, lambda t: F.when(t.rlike("[-_/.]"), F.concat(F.array(t), parts(t))).otherwise(F.array(t))))
+    made = F.flatten(F.transform(whole, lambda t: F.when(F.translate(t, "-_/.", "") != t, F.concat(F.array(t), parts(t))).otherwise(F.array(t))))
     return keep_words(made) if drop_stop_words else made
 
 

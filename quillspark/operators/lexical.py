@@ -53,10 +53,17 @@ def scores(pages: DataFrame, question: str) -> DataFrame:
     if not asked:
         return spark.createDataFrame([], "uri string, score double")
     wanted = F.array(*[F.lit(t) for t in asked])
-    count = lambda tokens: F.transform(wanted, lambda q: F.size(F.filter(tokens, lambda t: t == q)))
     fields = [f for f in FIELDS if f in pages.columns]
-    split = pages.select("uri", *[T.tokens(_field(f)).alias(f"t_{f}") for f in fields])
-    counted = split.select("uri", *[F.size(f"t_{f}").alias(f"len_{f}") for f in fields], *[count(F.col(f"t_{f}")).alias(f"tf_{f}") for f in fields])
+
+    def counts(tokens: Column) -> Column:
+        """Length, and how often each asked term occurs. The lambda binds the tokens, so they are made once."""
+        made = F.transform(F.array(tokens), lambda t: F.struct(F.size(t).alias("len"), F.transform(wanted, lambda q: F.size(F.filter(t, lambda x: x == q))).alias("tf")))
+        return F.element_at(made, 1)
+
+    # a generator of one row keeps later projections from being merged into this one and repeating its work
+    row = F.struct(*[counts(T.tokens(_field(f))).alias(f) for f in fields])
+    counted = pages.select("uri", F.inline(F.array(row)))
+    counted = counted.select("uri", *[F.col(f"{f}.len").alias(f"len_{f}") for f in fields], *[F.col(f"{f}.tf").alias(f"tf_{f}") for f in fields])
     sums = counted.agg(
         F.count("*").alias("n"),
         *[F.sum(f"len_{f}").alias(f"total_{f}") for f in fields],
