@@ -526,3 +526,90 @@ def code_coverage(spark, d):
 @query(f"WITH {V.SYMBOLS}, h AS (SELECT * FROM symbols WHERE (contains(lower(name), 're') OR contains(lower(qualified_name), 're')) AND language = 'go') SELECT id, name, (SELECT count(*) FROM h) AS total FROM h ORDER BY name, id LIMIT 20")
 def code_search(spark, d):
     return code.search(V.symbols(spark, d), "RE", "go", 20).select("id", "name", "total")
+
+
+@query(f"""WITH {V.FK_EDGES}, s AS (SELECT to_uri FROM fk_edges WHERE from_uri = 'customer:1'), r AS (SELECT DISTINCT to_uri FROM fk_edges WHERE from_uri IN (SELECT to_uri FROM s) AND relation = 'in_region')
+SELECT 'found' AS status, 'customer:1 ' || (SELECT to_uri FROM s) || ' ' || (SELECT to_uri FROM r) AS path, 'in_nation in_region' AS relations""")
+def graph_path_status(spark, d):
+    """From a customer to its region, along edges as they point."""
+    edges = V.fk_edges(spark, d)
+    nation = edges.where("from_uri = 'customer:1'").select("to_uri")
+    region = edges.where("relation = 'in_region'").join(nation.withColumnRenamed("to_uri", "from_uri"), "from_uri").first()["to_uri"]
+    nodes = edges.select(F.col("from_uri").alias("uri")).unionByName(edges.select(F.col("to_uri").alias("uri"))).distinct()
+    found = graph.path_status(edges, nodes, "customer:1", region, depth=3)
+    return spark.createDataFrame([(found["status"], " ".join(found["nodes"]), " ".join(found["relations"]))], "status string, path string, relations string")
+
+
+@query("""WITH o AS (SELECT a.doc_id, a.source, b.doc_id AS o_id, b.source AS o_source, a.doc_id % 3 AS k FROM documents a LEFT JOIN documents b ON b.doc_id = (a.doc_id * 7 + 3) % 1000)
+SELECT 'kb://corpus/' || source || '/' || doc_id || '.md' AS from_uri, CASE WHEN k < 2 AND o_id IS NOT NULL THEN 'kb://corpus/' || o_source || '/' || o_id || '.md' END AS to_uri FROM o""")
+def vault_resolve_links(spark, d):
+    """Absolute links, relative ones without extension, and links to nothing, resolved to pages."""
+    from quillspark.sources import vault
+
+    pages = V.table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("stem"))
+    other = pages.select(F.col("doc_id").alias("o_id"), F.col("stem").alias("o_stem"))
+    met = pages.join(other, (F.col("doc_id") * 7 + 3) % 1000 == F.col("o_id"), "left")
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("/"), "o_stem", F.lit(".md"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("../"), "o_stem"))
+    known = met.select(F.concat("stem", F.lit(".md")).alias("path"), F.concat(F.lit("kb://corpus/"), "stem", F.lit(".md")).alias("uri"), F.coalesce(raw, F.lit("nowhere.md")).alias("raw"))
+    return vault.resolve(known.select("path", "uri"), known.select(F.col("uri").alias("from_uri"), "raw", F.lit(0).alias("ord"))).select("from_uri", "to_uri")
+
+
+@query("SELECT 'src/' || source AS dir, count(*) AS pages, string_agg('- [' || substr(split_part(text, chr(10), 1), 1, 20) || '](' || doc_id || '.md)', chr(10) ORDER BY '- [' || substr(split_part(text, chr(10), 1), 1, 20) || '](' || doc_id || '.md)') AS content FROM documents GROUP BY source")
+def vault_index_pages(spark, d):
+    from quillspark.sources import vault
+
+    pages = V.table(spark, d, "documents").select(F.concat(F.lit("src/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.substring(F.substring_index("text", "\n", 1), 1, 20).alias("title"))
+    return vault.index_pages(pages).where("dir LIKE 'src/%'").select("dir", F.size(F.split("content", "\n")).cast("long").alias("pages"), "content")
+
+
+def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table as a stream of its files."""
+    schema = V.table(spark, d, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").load(d, format="parquet")
+
+
+def _drained(stream: DataFrame, mode: str) -> DataFrame:
+    """All that a stream gives until it has read what there is, with the number of its batch."""
+    import uuid
+
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
+    root = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out/*")
+
+
+@query("SELECT user_id::VARCHAR AS delivery_id, count(*) FILTER (n = 1) AS created, count(*) FILTER (n > 1) AS repeated FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) GROUP BY user_id")
+def stream_deliveries(spark, d):
+    """Each user's events as deliveries under one id: the first is created, the others are repeats."""
+    from quillspark.streaming import pipelines
+
+    sent = _stream(spark, d, "events").select(F.col("user_id").cast("string").alias("delivery_id"), F.sha2(F.col("user_id").cast("string"), 256).alias("digest"))
+    found = _drained(pipelines.deliveries(sent), "append")
+    return found.groupBy("delivery_id").agg(F.count_if(F.col("result") == "created").alias("created"), F.count_if(F.col("result") == "unchanged").alias("repeated"))
+
+
+@query("SELECT conv_id::VARCHAR AS run_id, count(*) AS entries, max((turn = 2)::INT) = 1 AS complete FROM conversations GROUP BY conv_id")
+def stream_runs(spark, d):
+    """Runs as they arrive; the third entry counts as the outcome."""
+    from quillspark.streaming import pipelines
+
+    entries = _stream(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("run_id"), F.col("turn").alias("sequence"), F.when(F.col("turn") == 2, "outcome").otherwise(F.col("role")).alias("kind"))
+    found = _drained(pipelines.run_completeness(entries), "update")
+    return found.groupBy("run_id").agg(F.max_by(F.struct("entries", "complete"), "batch").alias("x")).select("run_id", "x.entries", "x.complete")
+
+
+@query()
+def hist_line_diff(spark, d):
+    """Each user turn against the answer to it, line by line; Python in the tasks, since the alignment is a recurrence."""
+    from quillspark.functions import markup
+
+    runs = V.runs(spark, d).where("sequence < 2")
+    pairs = runs.groupBy("run_id").agg(F.min_by("content", "sequence").alias("before"), F.max_by("content", "sequence").alias("after"))
+    diff = F.udf(lambda a, b: markup.line_diff(a or "", b or ""), "string")
+    return pairs.select("run_id", diff("before", "after").alias("diff"))
