@@ -331,7 +331,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, perce
     pairs = written(pairs, "pairs")
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts")).withColumnRenamed("a", "m_a")
     salted = pairs.join(many, F.col("a") == F.col("m_a")).withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    needs = salted.select(F.col("b").alias("node"), "a", "part", F.lit(1).alias("side")).unionByName(salted.select(F.col("a").alias("node"), "a", "part", F.lit(0).alias("side")).distinct())
+    # exploded, not a union: a join above a union may be done once for each of its sides, and texts are large
+    sides = F.array(F.struct(F.col("b").alias("node"), F.lit(1).alias("side")), F.struct(F.col("a").alias("node"), F.lit(0).alias("side")))
+    needs = salted.select("a", "part", F.inline(sides)).distinct()
     named = needs.join(nodes.select(F.col("node").alias("n_node"), "id"), F.col("node") == F.col("n_node")).drop("n_node")
     texts = docs.select(F.col("doc_id").cast("long").alias("d_id"), F.coalesce("text", F.lit("")).alias("text"))
     sent = named.join(texts, F.col("id").eqNullSafe(F.col("d_id"))).select("a", "part", "side", "node", "text")
