@@ -12,9 +12,9 @@ similarity of their sets reaches ``percent``. Copies, documents of one set, are
 3. What remains is verified on the whole sets, computed anew from the texts.
 
 Three passes keep the work linear in groups of many near copies. The first takes a few shingles a document, and links
-each document to the first of its group only. The second takes all shingles at which different components still meet, and
-tries the most promising pair of each two components. The third tries every pair between components that still meet: that
-makes the components exact. A group of more than ``CELL`` nodes at one shingle is split into cells and pairs of cells;
+each document to the first of its group only. The second takes a quarter of the shingles, where different components still meet
+there, and tries the most promising pair of each two components. The third takes all shingles and tries every pair between
+components that still meet: that makes the components exact. A group of more than ``CELL`` nodes at one shingle is split into cells and pairs of cells;
 nodes of its main component need no pairs among each other.
 
 Defined results: null, empty and wordless texts have an empty set and link with nothing; equal rows are copies; a null
@@ -310,7 +310,8 @@ def _candidates(nodes: DataFrame, comps: DataFrame | None, mode: str, percent: i
         placed = _cells_of_stars(met)
     else:
         known = nodes.select("node", "firsts").join(comps.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
-        posted = known.select("node", F.coalesce("component", "node").alias("comp"), F.explode("firsts").alias("token"))
+        tried = F.filter("firsts", lambda x: F.pmod(x, F.lit(4)) == 0) if mode == "best" else F.col("firsts")
+        posted = known.select("node", F.coalesce("component", "node").alias("comp"), F.explode(tried).alias("token"))
         spanned = posted.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select(F.col("token").alias("s_token"))
         open_ = written(posted.join(spanned, F.col("token") == F.col("s_token"), "left_semi"), "postings")
         sizes = open_.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("group_n"), F.max(F.struct("c", "comp")).alias("top"))
