@@ -405,15 +405,19 @@ def hist_lifecycle(spark, d):
 
 
 def _snapshots(spark, d):
-    """Each page's newest revision in the first and in the second half of the events; a few pages only in one."""
-    rows = V.revisions(spark, d)
-    newest = lambda f: f.groupBy("path").agg(F.max_by(F.struct("revision", "status", "successor", "origin"), "ordinal").alias("x")).select("path", "x.*")
-    half = F.col("ordinal") % 1000 < 500
-    early, late = newest(rows.where(half)), newest(rows.where(~half))
-    return early.where("CAST(path AS INT) % 9 <> 1"), late.where("CAST(path AS INT) % 9 <> 2")
+    """Each page's newest revision up to the middle of the log, and at its end; a page whose newest is a tombstone is gone.
+
+    A page is what a user did of one kind."""
+    events = V.table(spark, d, "events")
+    kinds = events.select(F.col("event_id").alias("ordinal"), F.col("event_type").alias("kind"))
+    rows = V.revisions(spark, d).join(kinds, "ordinal").withColumn("path", F.concat_ws("/", "path", "kind"))
+    middle = events.agg((F.max("event_id") / 2).alias("middle"))
+    facts = F.struct("revision", "status", "successor", "origin", "ordinal")
+    newest = lambda f: f.groupBy("path").agg(F.max_by(facts, "ordinal").alias("x")).select("path", "x.*").where("ordinal % 10 <> 0").drop("ordinal")  # noqa: E731  each tenth is a tombstone
+    return newest(rows.join(F.broadcast(middle), F.col("ordinal") <= F.col("middle"))), newest(rows)
 
 
-_SNAPSHOTS = f"{V.REVISIONS}, b AS (SELECT * FROM revisions WHERE ordinal % 1000 < 500 AND path::INT % 9 <> 1 QUALIFY row_number() OVER (PARTITION BY path ORDER BY ordinal DESC) = 1), a AS (SELECT * FROM revisions WHERE ordinal % 1000 >= 500 AND path::INT % 9 <> 2 QUALIFY row_number() OVER (PARTITION BY path ORDER BY ordinal DESC) = 1)"
+_SNAPSHOTS = f"{V.REVISIONS}, kinds AS (SELECT event_id AS ordinal, event_type AS kind FROM events), keyed AS (SELECT r.path || '/' || kind AS path, ordinal, revision, status, successor, origin FROM revisions r JOIN kinds USING (ordinal)), b AS (SELECT * FROM (SELECT * FROM keyed WHERE ordinal <= (SELECT max(event_id) / 2 FROM events) QUALIFY row_number() OVER (PARTITION BY path ORDER BY ordinal DESC) = 1) WHERE ordinal % 10 <> 0), a AS (SELECT * FROM (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY path ORDER BY ordinal DESC) = 1) WHERE ordinal % 10 <> 0)"
 
 
 @query(f"""WITH {_SNAPSHOTS} SELECT * FROM (SELECT coalesce(b.path, a.path) AS path, CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'effective_removed' WHEN b.origin IS DISTINCT FROM a.origin THEN 'origin_replaced'
@@ -480,14 +484,19 @@ def trace_budget(spark, d):
     return trace.run_budget(V.runs(spark, d), 4, 900).select("run_id", "sequence", "continuation")
 
 
-@query("SELECT run_id, expected, found FROM (SELECT conv_id AS run_id, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) + 1 AS expected, turn AS found FROM conversations WHERE (conv_id + turn) % 5 <> 1) WHERE expected <> found")
+def _torn_runs(spark, d):
+    """Runs in which every fourth sequence number is missing: all entries, renumbered."""
+    return V.runs(spark, d).withColumn("sequence", F.col("sequence") + F.floor(F.col("sequence") / 3))
+
+
+@query("SELECT run_id, expected, found FROM (SELECT conv_id AS run_id, lag(turn + turn // 3) OVER (PARTITION BY conv_id ORDER BY turn) + 1 AS expected, turn + turn // 3 AS found FROM conversations) WHERE expected <> found")
 def trace_gaps(spark, d):
-    return trace.gaps(V.runs(spark, d).where("(run_id + sequence) % 5 <> 1"))
+    return trace.gaps(_torn_runs(spark, d))
 
 
-@query("SELECT conv_id AS run_id, count(*) AS entries, min(turn) = 0 AND max(turn) + 1 = count(DISTINCT turn) AND max((role = 'assistant')::INT) = 1 AS complete FROM conversations WHERE (conv_id + turn) % 7 <> 1 GROUP BY conv_id")
+@query("SELECT conv_id AS run_id, count(*) AS entries, min(turn) = 0 AND max(turn + turn // 3) + 1 = count(DISTINCT turn) AND max((role = 'assistant')::INT) = 1 AS complete FROM conversations GROUP BY conv_id")
 def trace_complete(spark, d):
-    return trace.completeness(V.runs(spark, d).where("(run_id + sequence) % 7 <> 1"), "assistant")
+    return trace.completeness(_torn_runs(spark, d), "assistant")
 
 
 @query("SELECT conv_id AS run_id, count(*) AS evidence, count(*) FILTER (role = 'outcome') AS outcomes, count(CASE WHEN role = 'assistant' THEN 1 END) AS attributions FROM conversations WHERE conv_id IN (SELECT event_id FROM events WHERE event_type = 'purchase') GROUP BY conv_id")
