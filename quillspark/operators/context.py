@@ -68,3 +68,50 @@ def excerpts(sections: DataFrame, question: str, limit: int) -> DataFrame:
     scored = sections.withColumn("hits", F.when(F.col("place") == 0, 0).otherwise(hits))
     best = scored.groupBy("uri").agg(F.max_by(F.struct("section", "content"), F.struct("hits", -F.col("place"))).alias("x"))
     return best.select("uri", "x.section", F.substring("x.content", 1, limit).alias("content"), (F.length("x.content") > limit).alias("truncated"))
+
+
+STRATEGIES = {"lexical": (1.0, 0.0), "vector": (1.0, 100.0), "hybrid": (1.0, 1.0)}
+
+
+def resolve(pages: DataFrame, trust: DataFrame, question: str, strategy: str = "lexical", vector: DataFrame | None = None, constraints: dict | None = None, most_items: int = 5, most_chars: int = 6000, edges: DataFrame | None = None, depth: int = 2, pool: int = 100) -> dict:
+    """Evidence for a question: excerpts of the pages taken, why others were left out, paths from the first to the others.
+
+    ``pages``: (uri, title, path, type, tags, body, sections); ``trust``: what ``omission`` reads; ``vector``: (uri, position)
+    of a vector search. Candidates are a pool of at most ``pool`` from each list, fused by reciprocal ranks; a candidate
+    that is no page any more is stale. Everything up to the final rows is one plan over that bounded pool."""
+    from quillspark.operators import graph, lexical
+
+    by_rank = Window.orderBy(F.desc("class"), F.desc("score"), "uri")
+    lists = {"lexical": (lexical.top(lexical.ranked(pages, question), pool).withColumn("position", F.row_number().over(by_rank)), STRATEGIES[strategy][0])}
+    if vector is not None and STRATEGIES[strategy][1]:
+        lists["vector"] = (vector.orderBy("position").limit(pool), STRATEGIES[strategy][1])
+    fused = lexical.fused(lists)
+    ranked = fused.withColumn("position", F.row_number().over(Window.orderBy(F.desc("fused"), "uri")))
+    has_edges = edges is not None and (constraints or {}).get("relationship")
+    facts = trust
+    if has_edges:
+        own = edges.groupBy(F.col("from_uri").alias("uri")).agg(F.collect_list(F.struct("relation", "to_uri", "raw")).alias("edges"))
+        facts = trust.join(own, "uri", "left")
+    reason = omission(constraints or {}, F.col("edges") if has_edges else None)
+    live = pages.select("uri", "body", "sections", F.lit(True).alias("known"))
+    met = ranked.join(live, "uri", "left").join(facts, "uri", "left")
+    judged = met.withColumn("reason", F.when(F.col("known").isNull(), "stale_candidate").otherwise(reason)).persist()
+    try:
+        fine = judged.where("reason IS NULL").select("uri", "position", "body", "sections")
+        whole = fine.select("uri", F.lit(0).alias("place"), F.lit("").alias("section"), F.col("body").alias("content"))
+        parts = fine.select("uri", F.posexplode("sections").alias("p", "s")).select("uri", (F.col("p") + 1).alias("place"), F.col("s.section").alias("section"), F.col("s.content").alias("content"))
+        chosen = excerpts(whole.unionByName(parts), question, most_chars).join(fine.select("uri", "position"), "uri")
+        rows = budget(chosen, most_items, most_chars).orderBy("position").collect()
+        left_out = [(r["uri"], r["reason"]) for r in judged.where("reason IS NOT NULL").orderBy("position").select("uri", "reason").collect()]
+    finally:
+        judged.unpersist()
+    taken = [{"uri": r["uri"], "section": r["section"], "content": r["content"][: r["kept_chars"]], "truncated": r["truncated"] or r["kept_chars"] < len(r["content"])} for r in rows if r["accepted"]]
+    left_out += [(r["uri"], r["reason"]) for r in rows if not r["accepted"]]
+    paths, gaps = {}, [] if taken else ["no evidence"]
+    if edges is not None and len(taken) > 1:
+        # one search from the first page finds the paths to all others
+        others = [t["uri"] for t in taken[1:]]
+        found = graph.paths_from(graph.directed(edges, "both"), taken[0]["uri"], depth, others)
+        paths = {r["node"]: list(r["path"]) for r in found.where(F.col("node").isin(*others)).collect()}
+        gaps += [f"no path to {u}" for u in others if u not in paths]
+    return {"evidence": taken, "omissions": left_out[:pool], "paths": paths, "gaps": gaps}

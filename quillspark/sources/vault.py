@@ -209,3 +209,76 @@ def first_per_type(pages: DataFrame) -> DataFrame:
     first = Window.partitionBy("title").orderBy("precedence", "path")
     concepts = pages.where("type = 'Concept'").withColumn("n", F.row_number().over(first)).where("n = 1").select(F.col("title").alias("name"), "uri", "description")
     return pages.select(F.col("type").alias("name")).distinct().join(concepts, "name", "left").withColumn("description", F.coalesce(F.nullif("description", F.lit("")), F.col("name")))
+
+
+def write_page(spark: SparkSession, root: str, path: str, content: str) -> bool:
+    """Puts a page in place by rename; false where it is there already, byte for byte."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{path}")
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    data = content.encode()
+    if system.exists(target) and system.getFileStatus(target).getLen() == len(data):
+        stream = system.open(target)
+        try:
+            if jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8") == content:
+                return False
+        finally:
+            stream.close()
+    new = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{path}.new")
+    out = system.create(new, True)
+    out.write(bytearray(data))
+    out.close()
+    if system.exists(target):
+        system.delete(target, False)
+    return bool(system.rename(new, target))
+
+
+def apply_change(pages: DataFrame, root: str, vault: str, path: str, content: str, expected: str | None, digest: str) -> dict:
+    """Plans again and writes the page only if the plan is the one that was agreed on."""
+    plan = plan_change(pages, vault, path, content, expected)
+    if plan["digest"] != digest:
+        raise ValueError("the plan has changed")
+    return plan | {"written": write_page(pages.sparkSession, root, path, content)}
+
+
+def add_memory(pages: DataFrame, root: str, text: str, user: str, agent: str) -> str:
+    """ADD with a new page of type Memory, or NOOP where this user and agent have that text."""
+    import hashlib
+
+    digest = hashlib.sha256(text.strip().encode()).hexdigest()
+    known = newest_memory(pages, user, agent).where(F.get_json_object("metadata", "$.hash") == digest)
+    if not known.isEmpty():
+        return "NOOP"
+    first = text.strip().split("\n")[0][:120]
+    fields = {"type": "Memory", "title": first, "status": "active", "user_id": user, "agent_id": agent, "hash": digest}
+    head = "\n".join(f"{k}: {json.dumps(v)}" for k, v in fields.items())
+    write_page(pages.sparkSession, root, f"memory/{digest[:24]}.md", f"---\n{head}\n---\n# Memory\n\n{text.strip()}\n")
+    return "ADD"
+
+
+def procedures(pages: DataFrame, tags: tuple[str, ...] = ()) -> DataFrame:
+    """Pages of type Procedure that a model may invoke and that have all tags, with their steps; a faulty contract fails."""
+    parsed = F.udf(lambda body: (lambda r: {"steps": r[0], "problems": r[1]})(markup.procedure(body or "")), "steps array<struct<name:string,inputs:string,process:string,completion:string>>, problems array<string>")
+    wanted = F.array(*[F.lit(t) for t in tags]).cast("array<string>")
+    kept = pages.where((F.col("type") == "Procedure") & (F.get_json_object("metadata", "$.invocation") == "model") & (F.size(F.array_except(wanted, "tags")) == 0))
+    found = kept.withColumn("p", parsed("body"))
+    bad = F.raise_error(F.concat(F.lit("procedure "), "uri", F.lit(": "), F.array_join("p.problems", "; ")))
+    return found.select("uri", "title", "tags", F.when(F.size("p.problems") == 0, F.col("p.steps")).otherwise(bad.cast("array<struct<name:string,inputs:string,process:string,completion:string>>")).alias("steps")).orderBy("uri")
+
+
+def knowledge_audit(pages: DataFrame, types: tuple[str, ...] = (), tiers: tuple[str, ...] = (), entry_points: DataFrame | None = None, now: str | None = None, after: str | None = None) -> DataFrame:
+    """All findings about the selected pages, in order; links are taken from all pages."""
+    from quillspark.operators import audit
+
+    links, facts = edges(pages), trust(pages)
+    chosen = audit.selected(pages.join(facts.select("uri", "tier"), "uri"), types, tiers).select("uri")
+    of = lambda frame: frame.join(chosen, "uri", "left_semi")
+    both = links.join(chosen.withColumnRenamed("uri", "from_uri"), "from_uri", "left_semi")
+    picked = of(pages)
+    found = [
+        audit.authored(of(marks(pages))), audit.orphans(picked, links, entry_points), audit.superseded(of(graph.supersession(succession(pages)))),
+        audit.retired_references(both, facts), audit.duplicate_identities(picked), audit.tag_fragments(picked), audit.ambiguities(picked), audit.contradictions(both),
+    ]
+    if now and after:
+        found.append(audit.stale(of(facts).withColumn("committed_at", F.lit(None).cast("string")), now, after)[0])
+    return audit.ordered(*found)

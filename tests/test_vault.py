@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import audit, graph, lexical
+from quillspark.operators import audit, context, graph, lexical
 from quillspark.sources import vault
 
 _PAGES = {
@@ -85,3 +85,43 @@ def test_sources_in_order():
     assert vault.ordered_sources(configs, "x") == [("X", "x"), ("Y", "y"), ("Z", "z")]
     with pytest.raises(ValueError, match="cycle"):
         vault.ordered_sources({"x": {"vault": "X", "imports": ["x"]}}, "x")
+
+
+def test_evidence_for_a_question(pages):
+    edges, trust = vault.edges(pages), vault.trust(pages)
+    got = context.resolve(pages, trust, "alpha beta", edges=edges, constraints={"type": "Note"})
+    assert {e["uri"][-4:] for e in got["evidence"]} == {"a.md", "b.md"} and got["paths"]
+    few = context.resolve(pages, trust, "alpha beta", most_items=1, most_chars=5, constraints={"status": "active"})
+    assert len(few["evidence"]) == 1 and len(few["evidence"][0]["content"]) == 5 and few["evidence"][0]["truncated"] and ("kb://v1/b.md", "status") in few["omissions"]
+    near = pages.sparkSession.createDataFrame([("kb://gone/x.md", 1), ("kb://v2/d.md", 2)], "uri string, position int")
+    mixed = context.resolve(pages, trust, "alpha", strategy="vector", vector=near)
+    assert ("kb://gone/x.md", "stale_candidate") in mixed["omissions"] and mixed["evidence"][0]["uri"] == "kb://v2/d.md"
+
+
+def test_whole_audit_and_filters(pages):
+    every = {r["class"] for r in vault.knowledge_audit(pages, now="2025-01-01T00:00:00Z", after="24h").collect()}
+    assert {"orphan", "cyclic_supersession", "contradiction", "authored_stale"} <= every
+    assert {r["class"] for r in vault.knowledge_audit(pages, types=("Concept",)).collect()} == set()
+
+
+def test_writes(spark, pages, tmp_path):
+    text = "---\ntype: Note\ntitle: New\n---\n[a](a.md)"
+    digest = vault.plan_change(pages, "v1", "new.md", text, None)["digest"]
+    with pytest.raises(ValueError, match="changed"):
+        vault.apply_change(pages, str(tmp_path), "v1", "new.md", text, None, "sha256:0")
+    assert vault.apply_change(pages, str(tmp_path), "v1", "new.md", text, None, digest)["written"] and (tmp_path / "new.md").read_text() == text
+    assert not vault.write_page(spark, str(tmp_path), "new.md", text)
+    assert vault.add_memory(pages, str(tmp_path), "likes tea", "u", "g") == "ADD"
+    found = vault.scan(spark, str(tmp_path), "v1")
+    assert vault.add_memory(found, str(tmp_path), "likes tea ", "u", "g") == "NOOP" and vault.newest_memory(found, "x", "g").count() == 0
+
+
+def test_procedures(spark, tmp_path):
+    body = "## Inputs\ni\n## Process\np\n## Completion\nc\n"
+    (tmp_path / "p.md").write_text(f"---\ntype: Procedure\ntitle: P\ninvocation: model\ntags: [x, y]\n---\n{body}")
+    (tmp_path / "q.md").write_text(f"---\ntype: Procedure\ntitle: Q\ninvocation: user\n---\n{body}")
+    found = vault.procedures(vault.scan(spark, str(tmp_path)), ("x",)).collect()
+    assert [r.title for r in found] == ["P"] and found[0].steps[0].process == "p"
+    (tmp_path / "r.md").write_text("---\ntype: Procedure\ntitle: R\ninvocation: model\ntags: [x]\n---\nnothing")
+    with pytest.raises(Exception, match="no inputs"):
+        vault.procedures(vault.scan(spark, str(tmp_path)), ("x",)).collect()
