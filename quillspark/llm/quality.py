@@ -15,6 +15,7 @@ null quality counts as 0, a null toxic as 0; a document rated twice counts twice
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -206,15 +207,18 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
             for row, data, offsets in words.blocks(batch.column(0)):
                 own, place = model.found(*features(data, offsets))
                 edges = np.searchsorted(own, np.arange(len(offsets)))
-                lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(place.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([lists, grades.slice(row, len(offsets) - 1).cast(pa.int32())], names=["places", "grade"])
-
-    # rows of the bounded sample, as numbers of features; equal ones are counted by Spark's order-free sort
-    sampled = texts.mapInArrow(rows, "places array<int>, grade int").toArrow().sort_by([("grade", "ascending")])
-    lists = sorted(zip(sampled.column("grade").to_pylist(), sampled.column("places").to_pylist(), strict=True))
-    own = np.repeat(np.arange(len(lists)), [len(p) for _, p in lists])
-    place = np.array([x for _, p in lists for x in p], np.int64)
-    weights, thresholds = fit(own, place, np.array([g for g, _ in lists]), len(hashes))
+                place = place.astype(np.int32)
+                grade_of = grades.slice(row, len(offsets) - 1).cast(pa.int32())
+                keys = [int.from_bytes(hashlib.blake2b(place[a:b].tobytes() + bytes([g]), digest_size=8).digest(), "little", signed=True) for a, b, g in zip(edges[:-1], edges[1:], grade_of.to_pylist(), strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(place))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), lists, grade_of], names=["key", "places", "grade"])
+
+    # the bounded sample's rows, as numbers of features in plain arrays; the order by key is the same on every run
+    sampled = texts.mapInArrow(rows, "key long, places array<int>, grade int").toArrow().sort_by("key").combine_chunks()
+    lists = sampled.column("places").combine_chunks()
+    place = lists.flatten().to_numpy(zero_copy_only=False)
+    own = np.repeat(np.arange(len(lists), dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
+    weights, thresholds = fit(own, place, sampled.column("grade").to_numpy(), len(hashes))
     return Model(hashes, weights, thresholds)
 
 
