@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,14 +30,15 @@ def fresh(spark: SparkSession, what: str) -> str:
 
 
 def written(frame: DataFrame, what: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: lineage ends here, and lost executors lose nothing of it."""
+    """The frame as a Parquet table in the shared folder: lineage ends here, and lost executors lose nothing of it.
+
+    What the write shuffled is of no use afterwards, so those files go at once, not when the driver collects garbage."""
     spark = frame.sparkSession
     path = fresh(spark, what)
-    frame.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     return spark.read.schema(frame.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that this library made in the shared folder."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
