@@ -3,9 +3,10 @@
 A page becomes a tree of elements, without those that never hold an article's text (scripts, styles, menus, forms and
 the like, by element, role, or a word of class or id). Each node gets its characters per tag, adjusted by how many of
 its characters and tags are links' (and by the whole body's share of link characters), and the sum of its children's
-densities. The subtree with the greatest sum is the text. Where that lies inside an ``article`` or ``main`` element, all
-of that element is the text, with its heading; else the least density on the path from the body to that subtree is the
-threshold, and under every node that reaches it the subtree of the greatest sum is taken too.
+densities. The subtree with the greatest sum is text; the least density on the path from the body to it is the threshold,
+and under every node that reaches it the subtree of the greatest sum is taken too. An element's name only widens what was
+taken so: to all of the outermost ``article`` around it, with heading and short paragraphs, and the greatest subtree, if no
+``article`` holds it, to the ``main`` element around it.
 
 A task reads one page at a time; nothing is shuffled. Defined results: null, empty or textless html gives an empty
 text; unclosed and stray tags, unclosed comments and quotes are read as browsers roughly do; equal pages give equal
@@ -251,10 +252,6 @@ class _Page:
         path = [best]
         while self.parents[path[-1]] >= 0:
             path.append(self.parents[path[-1]])
-        held = [i for i in path if self.tags[i] in ("article", "main")]
-        if held:
-            top = next((i for i in held if self.tags[i] == "article"), held[0])
-            return [(top, self.ends[top])]
         upto = next((k for k, i in enumerate(path) if self.tags[i] == "body"), len(path) - 1)
         threshold = min(density[i] for i in path[: upto + 1])
         # the greatest sum in each subtree
@@ -263,7 +260,17 @@ class _Page:
             p = self.parents[i]
             if sums[most[i]] > sums[most[p]] or sums[most[i]] == sums[most[p]] and most[i] < most[p]:
                 most[p] = most[i]
-        return [(most[i], self.ends[most[i]]) for i in range(len(sums)) if self.chars[i] and density[i] >= threshold]
+        taken = {most[i] for i in range(len(sums)) if self.chars[i] and density[i] >= threshold}
+        # the outermost article around each node
+        around = [-1] * len(sums)
+        for i in range(1, len(sums)):
+            around[i] = around[self.parents[i]]
+            if around[i] < 0 and self.tags[i] == "article":
+                around[i] = i
+        wide = {around[i] if around[i] >= 0 else i for i in taken}
+        if around[best] < 0:
+            wide.update(i for i in path if self.tags[i] == "main")
+        return [(i, self.ends[i]) for i in wide]
 
 
 def main_text(html: str | None) -> str:

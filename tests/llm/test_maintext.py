@@ -26,6 +26,18 @@ def test_pages(html, want):
     assert maintext.main_text(html) == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<main><article><h2>One</h2><p>{_LONG}</p><p>{_LONG}</p><p>{_LONG}</p></article><article><h2>Two</h2><p>{_LONG}</p><p>{_LONG}</p></article></main>", ["One", _P, _P, _P, "Two", _P, _P]),
+        (f"<body><article><p>{_LONG}</p><p>{_LONG}</p></article><div><p>{_LONG}</p><p>{_LONG}</p></div><p><a href=x>more</a></p></body>", [_P, _P, _P, _P]),
+        (f"<body><article><h1>All</h1><article><p>{_LONG}</p><p>{_LONG}</p></article><article><p>{_LONG}</p><p>short</p></article></article></body>", ["All", _P, _P, _P, "short"]),
+    ],
+)
+def test_articles_do_not_end_the_choice(html, want):
+    assert maintext.main_text(html).split("\n\n") == want
+
+
 def test_bad_pages_end():
     for html in ("<" * 50000, "<div>" * 30000 + "x", "<p " + "a='b" * 20000, "<b>" * 20000 + "<p>" * 20000, "<!--" * 20000, "</div>" * 20000, "<script>" + "x" * 10000):
         assert isinstance(maintext.main_text(html), str)
