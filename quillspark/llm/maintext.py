@@ -1,7 +1,10 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree of elements, without those that never hold an article's text (scripts, styles, menus, forms and
-the like, by element, role, or a word of class or id). Each node gets its characters per tag, adjusted by how many of
+A page becomes a tree of elements, without those that never hold an article's text (scripts, styles, menus and the like, by
+element or role). Forms, and elements whose class or id has a token made of marks alone (``sidebar``, ``cookie-notice``; not
+``has-sidebar``), go too, unless they hold most of the page's text or an article or main element. Inside an article only
+clear marks count, and ids of headings and sections count nowhere, as they repeat what a heading says. If nothing would be
+left, no mark counts. Each node gets its characters per tag, adjusted by how many of
 its characters and tags are links' (and by the whole body's share of link characters), and the sum of its children's
 densities. The subtree with the greatest sum is text; the least density on the path from the body to it is the threshold,
 and under every node that reaches it the subtree of the greatest sum is taken too. An element's name only widens what was
@@ -38,40 +41,64 @@ _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that never are an article's text.
-_DROPPED = frozenset("head script style noscript template nav footer aside form button select option textarea input label fieldset iframe object embed svg math canvas audio video map menu dialog title xmp noframes noembed".split())
+_DROPPED = frozenset("head script style noscript template nav footer aside button select option textarea input label iframe object embed svg math canvas audio video map menu dialog title xmp noframes noembed".split())
+#: Elements that are not an article's text unless they hold most of the page.
+_FORMS = frozenset(["form", "fieldset"])
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status".split())
 #: Words of class or id that mark what is not the article.
 _MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot adbox adsbygoogle banner promo promos promotion sponsor sponsored sponsors sidebar sidebars rail comment comments commentlist disqus respond replies discussion cookie cookies consent gdpr notice notices notification alert disclaimer newsletter subscribe subscription signup login popup modal overlay paywall share sharing social related recommended recommendations trending breadcrumb breadcrumbs nav navbar navigation menu menus footer masthead toolbar topbar pagination pager widget widgets search skip tags".split()
 )
+#: Marks that are an article's own subjects too; inside an article they say nothing.
+_SUBJECTS = frozenset("discussion notice notices notification alert disclaimer banner promotion advertising consent cookie cookies rail search skip tags social sharing share related recommended recommendations trending respond replies subscription signup login navigation menu menus toolbar widget widgets modal overlay popup footer sponsor sponsors".split())
+#: Words that beside a mark only say where or what box it is.
+_NEUTRAL = frozenset("area bar block body bottom box buttons container content form global inner item items left link links list main outer page primary right secondary section site slot thread top unit wrap wrapper".split())
+_COMMENTS = frozenset(["comment", "comments", "commentlist"])
 _HEADERS = frozenset(["header", "siteheader", "pageheader"])
 _CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "tbody": "thead tbody tr td th", "tfoot": "tbody tr td th", "thead": "tr td th"}
 _CLOSES = {k: frozenset(v.split()) for k, v in _CLOSES.items()}
 _UNTIL = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"])}
+_CLEAR, _ALL = _MARKS - _SUBJECTS, _MARKS | _HEADERS
+_HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def _unwanted(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is left out with all that it holds. ``inside``: it is in an article or main element."""
+def _marked(value: str, marks: frozenset[str]) -> bool:
+    """Whether a token of a class or id is made of marks, and of words that only say where or what box it is."""
+    for token in value.split():
+        words = {w.lower() for w in _CAMEL.findall(token)}
+        if words <= marks | _NEUTRAL and not words.isdisjoint(marks):
+            return True
+    return False
+
+
+def _unwanted(tag: str, attrs: str, inside: bool) -> int:
+    """2 for an element that is left out with all that it holds, 1 for one that is so unless it holds most of the page's
+    text or an article. ``inside``: it is in an article or main element."""
     if tag in _DROPPED or tag == "header" and not inside:
-        return True
-    if not attrs or tag in ("html", "body", "article", "main"):
-        return bool(attrs) and tag == "article" and bool(re.search(r"class\s*=\s*[\"']?[^\"'>]*\bcomment", attrs, re.I))
-    for name, *values in _ATTRIBUTE.findall(attrs):
-        name, value = name.lower(), "".join(values)
+        return 2
+    level = int(tag in _FORMS)
+    if not attrs or tag in ("html", "body", "main"):
+        return level
+    found = [(name.lower(), "".join(values)) for name, *values in _ATTRIBUTE.findall(attrs)]
+    if tag == "article":
+        return int(any(name == "class" and _marked(value, _COMMENTS) for name, value in found))
+    section = tag in _HEADINGS or tag == "section" or any(name == "class" and "section" in value.split() for name, value in found)
+    for name, value in found:
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return 2
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
+                return 2
         elif name == "role":
-            if value.lower() in _ROLES:
-                return True
-        elif value:
-            words = {w.lower() for w in _CAMEL.findall(value)}
-            if not words.isdisjoint(_MARKS) or not inside and not words.isdisjoint(_HEADERS):
-                return True
-    return False
+            if value.lower() == "form":
+                level = 1
+            elif value.lower() in _ROLES:
+                return 2
+        elif value and not (name == "id" and section):
+            if _marked(value, _CLEAR if inside else _ALL):
+                level = 1
+    return level
 
 
 class _Page:
@@ -80,44 +107,63 @@ class _Page:
     def __init__(self, html: str) -> None:
         self.tags, self.parents, self.ends = ["#root"], [-1], [0]
         self.chars, self.link_chars, self.count, self.links = [0], [0], [0], [0]
-        self.blocks: list[tuple[int, str]] = []
+        self.marked = [False]
+        self.pieces: list[list[tuple[int, str]]] = []  # by block of text
         self._read(html)
+        gone = self._gone()
         for i in range(len(self.tags) - 1, 0, -1):
             p = self.parents[i]
+            self.ends[p] = max(self.ends[p], self.ends[i])
+            if gone[i]:
+                self.chars[i] = self.link_chars[i] = self.count[i] = self.links[i] = 0
+                continue
             self.chars[p] += self.chars[i]
             self.link_chars[p] += self.link_chars[i]
             self.count[p] += self.count[i] + 1
             self.links[p] += self.links[i] + (self.tags[i] == "a")
-            self.ends[p] = max(self.ends[p], self.ends[i])
+        self.blocks: list[tuple[int, str]] = []
+        for pieces in self.pieces:
+            kept = [(i, part) for i, part in pieces if not gone[i]]
+            whole = " ".join("".join([part for _, part in kept]).split())
+            if whole:
+                self.blocks.append((next(i for i, part in kept if part and not part.isspace()), whole))
+
+    def _gone(self) -> list[bool]:
+        """Whether a node lies in a marked element that holds neither most of the page's text nor an article or main."""
+        n = len(self.tags)
+        if not any(self.marked):
+            return [False] * n
+        held, keeps = self.chars[:], [False] * n
+        for i in range(n - 1, 0, -1):
+            p = self.parents[i]
+            held[p] += held[i]
+            keeps[p] |= keeps[i] or self.tags[i] in ("article", "main") and not self.marked[i] and held[i] > 0
+        gone = [False] * n
+        for i in range(1, n):
+            gone[i] = gone[self.parents[i]] or self.marked[i] and not keeps[i] and 2 * held[i] <= held[0]
+        return gone if any(c and not g for c, g in zip(self.chars, gone, strict=True)) else [False] * n
 
     def _read(self, html: str) -> None:
         stack, skipped = [0], 0  # skipped: the depth at which an unwanted element began
-        pieces: list[str] = []
-        owner, links, inside, paragraphs, begun = 0, 0, 0, 0, False
+        pieces: list[tuple[int, str]] = []
+        links, inside, paragraphs = 0, 0, 0
         at = 0
 
         def text(part: str, unescaped: bool = True) -> None:
-            nonlocal owner, begun
             if skipped or not part:
                 return
             if unescaped and "&" in part:
                 part = unescape(part)
             node = stack[-1]
             n = len(part) - part.count(" ")
-            if not begun and not part.isspace():
-                owner, begun = node, True
-            pieces.append(part)
+            pieces.append((node, part))
             self.chars[node] += n
             if links:
                 self.link_chars[node] += n
 
         def flush() -> None:
-            nonlocal begun
-            begun = False
             if pieces:
-                whole = " ".join("".join(pieces).split())
-                if whole:
-                    self.blocks.append((owner, whole))
+                self.pieces.append(pieces[:])
                 pieces.clear()
 
         def pop() -> None:
@@ -208,13 +254,15 @@ class _Page:
                         break
             if tag in _BLOCK:
                 flush()
-            if _unwanted(tag, attrs, inside > 0):
+            unwanted = _unwanted(tag, attrs, inside > 0)
+            if unwanted == 2:
                 hidden.append(tag)
                 skipped = len(stack)
                 continue
             node = len(self.tags)
             self.tags.append(tag)
             self.parents.append(stack[-1])
+            self.marked.append(unwanted == 1)
             self.ends.append(node)
             for counts in (self.chars, self.link_chars, self.count, self.links):
                 counts.append(0)

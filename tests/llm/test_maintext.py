@@ -38,6 +38,24 @@ def test_articles_do_not_end_the_choice(html, want):
     assert maintext.main_text(html).split("\n\n") == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<body><div class='layout has-sidebar'><p>{_LONG}</p><p>{_LONG}</p></div></body>", [_P, _P]),
+        (f"<body><form id=aspnetForm><input name=x><h1>Head</h1><p>{_LONG}</p><p>{_LONG}</p><label>mail</label></form></body>", ["Head", _P, _P]),
+        (f"<body><form><fieldset><article><h1>Head</h1><p>{_LONG}</p></article><div class=sidebar>{_LONG}</div></fieldset></form></body>", ["Head", _P]),
+        (f"<article><p>{_LONG}</p><section id='discussion'><h2 id='related-work'>Related</h2><p>{_LONG}</p></section><div class='post category-social'><p>{_LONG}</p></div></article>", [_P, "Related", _P, _P]),
+        (f"<article><p>{_LONG}</p><p>{_LONG}</p><h2 class=notice>Notice</h2><div class='section' id=comments><p>{_LONG}</p></div></article>", [_P, _P, "Notice", _P]),
+        (f"<body><div class=sidebar><p>{_LONG}</p><p>{_LONG}</p></div><div class=main>x</div></body>", [_P, _P]),
+        (f"<body><div class=widget><p>{_LONG}</p></div><div class=widget><p>{_LONG}</p></div></body>", [_P, _P]),
+        (f"<main><article class='post comment-open'><p>{_LONG}</p></article><article class='comment-body'><p>{_LONG}</p></article></main>", [_P]),
+        (f"<article><p>a <span class=ad>buy</span>b {_LONG}</p><p>{_LONG}</p><div class='sidebarBox'>{_LONG}</div></article>", [f"a b {_P}", _P]),
+    ],
+)
+def test_marks_do_not_take_the_text(html, want):
+    assert maintext.main_text(html).split("\n\n") == want
+
+
 def test_bad_pages_end():
     for html in ("<" * 50000, "<div>" * 30000 + "x", "<p " + "a='b" * 20000, "<b>" * 20000 + "<p>" * 20000, "<!--" * 20000, "</div>" * 20000, "<script>" + "x" * 10000):
         assert isinstance(maintext.main_text(html), str)
