@@ -3,10 +3,14 @@
 Four kinds: email, ip, card, phone. The base rules of each kind (a pattern, leftmost and without overlaps, and a check of
 what it matched) always stand. Beside them generators with high recall propose spans, which may overlap each other and
 the base's: written-out addresses, numbers without a plus sign, cards beside other digits. A candidate has a few small
-format and context features. Spark counts, over all documents, how often each combination of features occurs and how
-often it is a base span too; boosted trees of two splits are fitted to that table (its size is bounded by the features'
-ranges, not by the data), and each kind's threshold is where the monotone calibration of the score on these counts
-reaches ``CHANCE``. Trees and thresholds become column expressions. A candidate inside a base span adds nothing.
+format and context features. Its label is whether it is a base span or, for a form that the base rules cannot match (a
+number without a plus sign, a written-out address), whether evidence of its own speaks for it: an announcing word close
+before it, or a way of writing that little else has (see ``_evident``). Spark counts, over all documents, how often each
+combination of features occurs and how often with a positive label; boosted trees of two splits are fitted to that table
+(its size is bounded by the features' ranges, not by the data) with weights that let rare forms count, and each kind's
+threshold is where the monotone calibration of the score on the counts reaches ``CHANCE``. Trees and thresholds become
+column expressions. A candidate inside a base span adds nothing. Without a plus sign, an announcement or a usual grouping
+a number stays, and so does "me at host.com", which is mostly prose.
 
 Defined results: a null text is an empty one; positions are code points, the end excluded; equal rows get equal spans;
 nothing is shuffled but the counts; an empty table gives an empty result; other columns stay."""
@@ -42,8 +46,15 @@ PROPOSED = {
 _NEEDS = {"email": r"@|[(\[{\x20]\x20?at[)\]}\x20]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20.-]?[0-9]){12}", "phone": r"\+[0-9]|[0-9](?:[\x20().+/-]{0,4}[0-9]){6}"}
 #: Words that announce a kind.
 _ANNOUNCE = {"email": r"e-?mail|contact|write|correo|courriel", "ip": r"\bip\b|host|server|address|adresse", "card": r"card|visa|karte|carte|tarjeta|amex", "phone": r"phone|tel|call|fax|mobile|telef|anruf"}
+#: Stricter announcements, right before what they announce.
+_CLOSE = {"email": r"(?:e-?mail|contact|write|correo|courriel)[^\n.]{0,8}$", "phone": r"(?:phone|\btel\b|\bcall\b|\bfax\b|mobile|telef|anruf)[^0-9]{0,12}$"}
+_DATE = r"(?:19|20)[0-9]{2}[-./](?:0[1-9]|1[0-2])[-./]|(?<![0-9])[0-3]?[0-9][-./][01]?[0-9][-./](?:19|20)[0-9]{2}(?![0-9])"
+#: Ways to write a number without a plus sign: an area code in parentheses, 00 and a country code, three groups of 3, 3, 4.
+_GROUPED = r"^(?:1[\x20.-]?)?\((?:[2-9][0-9]{2}|0[0-9]{1,3})\)[\x20./-]{0,2}[0-9]|^00[1-9][0-9]{0,2}[\x20./(-]|^(?:1[.-])?[2-9][0-9]{2}([.-])[0-9]{3}\1[0-9]{4}$"
+_BRACKETED = r"[(\[{]\x20?at\x20?[)\]}].*[A-Za-z]{2}$|@.*[(\[{]\x20?dot\x20?[)\]}]\x20?[A-Za-z]{2,}$"
+_ENDING = r"(?:@|\x20at\x20).*(?:\x20dot\x20|[(\[{]\x20?dot\x20?[)\]}]\x20?)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu|at|ch|it|nl|us)$"
 _PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{0,2})"
-FEATURES = ("digits", "separators", "valid", "plus", "before", "after", "announced", "written_out")
+FEATURES = ("digits", "separators", "valid", "plus", "before", "after", "announced", "written_out", "usual")
 _SPAN = "array<struct<start:int,end:int,m:string>>"
 
 
@@ -105,6 +116,25 @@ def _char_class(c: Column) -> Column:
     return F.when(F.length(c) == 0, 0).when(c.rlike(r"\s"), 1).when(c.rlike(r"\p{L}"), 2).when(c.rlike("[0-9]"), 3).otherwise(4)
 
 
+def _usual(kind: str, m: Column) -> Column:
+    """Whether a candidate that no base rule can match is written as little else is."""
+    if kind == "email":
+        return ~m.rlike(r"^[A-Za-z0-9@._%+-]++$") & m.rlike(f"{_BRACKETED}|{_ENDING}")
+    if kind == "phone":
+        return ~m.startswith("+") & _checks(kind, m) & m.rlike(_GROUPED) & ~m.rlike(_DATE)
+    return F.lit(False)
+
+
+def _evident(kind: str, text: Column, x: Column) -> Column:
+    """Whether something else than the base rule speaks for a candidate that the base rule can never match."""
+    m, seen = x["m"], F.lower(F.substring(text, F.greatest(x["start"] - 24, F.lit(0)) + 1, F.least(x["start"], F.lit(24))))
+    if kind == "email":
+        return _usual(kind, m) | ~m.rlike(r"^[A-Za-z0-9@._%+-]++$") & m.rlike(r"\x20dot\x20[A-Za-z]{2,}$") & seen.rlike(_CLOSE[kind])
+    if kind == "phone":
+        return _usual(kind, m) | ~m.startswith("+") & _checks(kind, m) & seen.rlike(_CLOSE[kind]) & ~m.rlike(_DATE) & ~_checks("ip", m)
+    return F.lit(False)
+
+
 def _features(kind: str, text: Column, x: Column) -> dict[str, Column]:
     """Small whole numbers about a candidate."""
     m, digits = x["m"], _digits(x["m"])
@@ -118,6 +148,7 @@ def _features(kind: str, text: Column, x: Column) -> dict[str, Column]:
         "after": _char_class(F.substring(text, x["end"] + 1, F.lit(1))),
         "announced": F.lower(seen).rlike(_ANNOUNCE[kind]).cast("int"),
         "written_out": (m.rlike(r"\b(?:at|dot)\b") & ~m.contains("@")).cast("int"),
+        "usual": _usual(kind, m).cast("int"),
     }
 
 
@@ -128,7 +159,7 @@ class Model:
     trees: dict[str, list[tuple]] = field(default_factory=dict)
     thresholds: dict[str, float] = field(default_factory=dict)
 
-    def score(self, kind: str, f: dict[str, Column]) -> Column:
+    def score(self, kind: str, f: dict[str, Column] | Column) -> Column:
         total = F.lit(0.0)
         for a, s, b, t, leaves in self.trees[kind]:
             total = total + F.when(f[a] <= s, F.when(f[b] <= t, leaves[0]).otherwise(leaves[1])).otherwise(F.when(f[b] <= t, leaves[2]).otherwise(leaves[3]))
@@ -136,7 +167,9 @@ class Model:
 
 
 def _boost(x: np.ndarray, n: np.ndarray, positive: np.ndarray) -> tuple[list[tuple], np.ndarray]:
-    """Trees of two splits by second-order gradient boosting on counted rows; the rows' scores."""
+    """Trees of two splits by second-order gradient boosting on counted rows; the rows' scores. A row weighs as the
+    logarithm of its count, so that a rare form is fitted too however large the table."""
+    n, positive = np.log1p(n), positive / n * np.log1p(n)
     scores, trees = np.zeros(len(x)), []
     splits = [(j, v) for j in range(x.shape[1]) for v in np.unique(x[:, j])[:-1].tolist()] or [(0, int(x[0, 0]))]
     sides = np.array([x[:, j] <= v for j, v in splits])
@@ -174,18 +207,18 @@ def _row(kind: str):  # noqa: ANN202
     def row(x: Column) -> Column:
         counted = [c.cast("int").alias(n) for n, c in _features(kind, F.col("pd_text"), x).items()]
         is_base = F.exists(f"base_{kind}", lambda b: (b["start"] == x["start"]) & (b["end"] == x["end"]))
-        return F.struct(F.lit(kind).alias("kind"), *counted, is_base.cast("int").alias("is_base"))
+        return F.struct(F.lit(kind).alias("kind"), *counted, (is_base | _evident(kind, F.col("pd_text"), x)).cast("int").alias("is_positive"))
 
     return row
 
 
 def learn(docs: DataFrame) -> Model:
-    """A model from all documents: counts of candidates by features, and of those that are base spans."""
+    """A model from all documents: counts of candidates by features, and of those with a positive label."""
     spans = _with_spans(docs.select("text"), F.coalesce(F.col("text"), F.lit("")))
     rows = []
     for k in KINDS:
         rows.append(F.transform(f"cand_{k}", _row(k)))
-    counted = spans.select(F.inline(F.concat(*rows))).groupBy("kind", *FEATURES).agg(F.count("*").alias("n"), F.sum("is_base").alias("positive")).collect()
+    counted = spans.select(F.inline(F.concat(*rows))).groupBy("kind", *FEATURES).agg(F.count("*").alias("n"), F.sum("is_positive").alias("positive")).collect()
     model = Model()
     for kind in KINDS:
         own = sorted((tuple(r[f] for f in FEATURES), r["n"], r["positive"]) for r in counted if r["kind"] == kind)
@@ -200,7 +233,9 @@ def learn(docs: DataFrame) -> Model:
 def _wanted(kind: str, model: Model):  # noqa: ANN202
     def wanted(x: Column) -> Column:
         inside = F.exists(f"base_{kind}", lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"]))
-        return ~inside & (model.score(kind, _features(kind, F.col("pd_text"), x)) >= model.thresholds[kind])
+        # as an array of one, so that features are made once and not for each tree
+        features = F.array(F.struct(*[c.alias(n) for n, c in _features(kind, F.col("pd_text"), x).items()]))
+        return ~inside & F.exists(features, lambda f: model.score(kind, f) >= model.thresholds[kind])
 
     return wanted
 

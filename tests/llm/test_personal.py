@@ -59,6 +59,22 @@ def test_digest_columns_and_added_spans(spark, docs_of, stored):
     assert got[901].spans == "" and got[901].n_email == 0
 
 
+def test_forms_that_no_base_rule_matches(docs_of):
+    rnd = random.Random(7)
+    plain = lambda n: n + _right("card", str(n))  # noqa: E731  no card
+    rows = [(i, f"w {rnd.choice('abc')}{i}@mail.example.com or +1 (5{i % 90 + 10}) 555-3824, id {plain(10**15 + i * 7919)}, {10**9 + i} of 2024-01-{i % 28 + 1:02} 10.20.{i % 200}.130 at {i}.com") for i in range(300)]
+    added = ["(555) 123-4567", "0049 30 1234567", "me (at) host dot com", "jo[at]host.org", "joe at host dot com", "555-123-4567"]
+    rows += [(1000 + i, f"so {x}, then") for i, x in enumerate(added)]
+    rows += [(2000, "please call 5551234567 now"), (2001, "look at polka dot dresses"), (2002, "vol. 12 (2019) 345-678"), (2003, "meet me at host.com"), (2004, "call 2024-01-15 10")]
+    docs = docs_of(rows)
+    got = {r.doc_id: r.text for r in personal.redact(docs, personal.learn(docs)).collect()}
+    assert [got[1000 + i] for i in range(6)] == [f"so [{k}], then" for k in ("PHONE", "PHONE", "EMAIL", "EMAIL", "EMAIL", "PHONE")]
+    assert got[2000] == "please call [PHONE] now"
+    assert [got[i] for i, _ in rows[-4:]] == [t for _, t in rows[-4:]]
+    for i, text in rows[:300]:
+        assert got[i].endswith(text[text.index(", id") :].replace(f"10.20.{i % 200}.130", "[IP]")), text
+
+
 def test_redaction(docs_of):
     docs = docs_of([(1, "é a@b.cd, 1.2.3.4 x"), (2, None), (3, "clean"), (3, "clean"), (4, "+1 (743) 555-3824")])
     got = [(r.doc_id, r.text) for r in personal.redact(docs, personal.learn(docs)).orderBy("doc_id").collect()]
