@@ -1,7 +1,9 @@
 """N-gram Jaccard join by signature trees.
 
 A document is the set of its distinct word shingles (64-bit hashes; A-Z folded). Documents link where the Jaccard
-similarity of their sets reaches ``percent``. Copies, documents of one set, are one node. The join is exact:
+similarity of their sets reaches ``percent``. Copies, documents of one set, are one node. The components are exact, but the
+links are not enumerated: pairs of nodes known to be in one component are never tried, so the search yields some links that
+span each component, neither all pairs nor their number. The method:
 
 1. Shingles are put in one order for all documents, rare ones first (rarity by a sketch of counts of fixed size, so
    that passages many documents share come last). Linked sets share one of the first n - ceil(t n) + 1 shingles of both:
