@@ -11,7 +11,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators import trace
+from quillspark.operators import audit, trace
 
 
 class Conflict(Exception):
@@ -61,7 +61,9 @@ class SnapshotStore:
     def publish(self, pages: DataFrame, expected: str | None) -> str:
         """Writes objects (path, content) that are not there yet and a manifest, then moves the pointer."""
         entries = pages.select("path", F.sha2("content", 256).alias("digest"), F.length("content").cast("long").alias("size"), "content")
-        digest = entries.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("\0", "path", "digest"))), "\n"), 256)).first()[0]
+        # in parts, so that no task holds all pages
+        named = entries.select(F.coalesce("path", F.lit("")).alias("uri"), F.coalesce("digest", F.lit("")).alias("revision"))
+        digest = audit.snapshot_digest(named).first()["digest"].removeprefix("sha256:")
         known, _ = self.current.read()
         new = entries.select("digest", "content").dropDuplicates(["digest"])
         if known:

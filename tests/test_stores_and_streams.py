@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import semantic
+from quillspark.operators import audit, semantic
 from quillspark.sources import code as code_source
 from quillspark.sources import payloads, stores
 from quillspark.streaming import pipelines
@@ -21,6 +21,15 @@ def test_snapshots(spark, tmp_path):
     assert store.read().count() == 2
 
 
+def test_snapshot_names_are_hashed_in_parts(spark, tmp_path):
+    store = stores.SnapshotStore(spark, str(tmp_path / "s"))
+    pages = spark.createDataFrame([("a.md", b"x"), ("b.md", b"x"), ("c.md", b"y")], "path string, content binary")
+    store.publish(pages, None)
+    want = audit.snapshot_digest(pages.select(F.col("path").alias("uri"), F.sha2("content", 256).alias("revision"))).first()["digest"]
+    assert "sha256:" + store.current.read()[0]["manifest"] == want
+    assert store.read().count() == 3
+
+
 def test_generations(spark, tmp_path):
     store = stores.GenerationStore(spark, str(tmp_path / "g"), kept=1)
     for i in range(4):
