@@ -1,17 +1,47 @@
-"""Connected components of an edge table, by alternating stars.
+"""Connected components of an edge table, by local contraction and alternating stars.
 
-Each round points every node's larger neighbours, then the node itself and its smaller ones, at the least node around.
-Both steps are a minimum by node (pre-aggregated) and a join, so that a node with a third of all edges is neither
-gathered in one group nor sent to one task. Rounds end when the edges stay as they are: a node then has one edge, to the
-least node of its component."""
+Each round first joins what the edges of one partition connect (union-find in the task, edges to the least node). Then
+every node's larger neighbours, then the node itself and its smaller ones, are pointed at the least node around. Both
+steps are a minimum by node (pre-aggregated) and a join, so that a node with a third of all edges is neither gathered in
+one group nor sent to one task. Rounds end when each node has one edge, to the least node of its component."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.tables import written
 
+#: Edges that a task contracts at once, so that its memory stays bounded.
+EDGES = 1 << 20
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) -> edges from each node to the least node that the edges at hand connect it with."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    def stars() -> pa.RecordBatch:
+        found = [(x, root(x)) for x in list(up)]
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found if f[0] != f[1]], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+    for batch in batches:
+        for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            a, b = root(u), root(v)
+            up[max(a, b)] = min(a, b)
+        if len(up) > EDGES:
+            yield stars()
+            up.clear()
+    yield stars()
+
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -26,12 +56,15 @@ def _small(edges: DataFrame) -> DataFrame:
     return met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v"))).where("u > v").distinct()
 
 
+def _done(edges: DataFrame) -> bool:
+    """Whether every node has one edge up, or is the upper end of edges only."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e")).select("e.*")
+    return ends.groupBy("x").agg(F.sum("up").alias("ups"), F.max("down").alias("top")).where("ups > 1 OR ups = 1 AND top = 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v) that is not the least of its component."""
-    state, now = None, edges.select("u", "v").where("u <> v")
-    while True:
-        now = written(_small(_large(now)), "stars")
-        new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(30,0)"))).first())
-        if new == state:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        state = new
+    now = written(edges.select("u", "v").where("u <> v").mapInArrow(_contract, "u long, v long").distinct(), "stars")
+    while not _done(now):
+        now = written(_small(_large(now)).mapInArrow(_contract, "u long, v long").distinct(), "stars")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -11,27 +11,32 @@ span each component, neither all pairs nor their number. The method:
 2. The nodes that meet at a shingle form a signature tree: leaves hold a bitmap of the set's shingles and its size,
    inner nodes the OR of their children's bitmaps and the range of their sizes. A dual traversal drops pairs of nodes
    whose sizes do not fit or whose largest possible overlap, the common bits plus what bits may hide, is too small.
-3. What remains is verified on the whole sets, computed anew from the texts.
+   (Up to ``FANOUT`` nodes are one leaf level, so that many such groups are compared at once.)
+3. A task never emits pairs: of each node that may link with another component it tells the least component that such
+   pairs lead to. What these connect is a cluster. Its nodes meet once, by a tree of their whole sets, computed anew from the
+   texts, where the pairs left are verified exactly; links that join no components are not emitted either. So all rows
+   between stages grow with the nodes, not with pairs.
 
-Three passes keep the work linear in groups of many near copies. The first takes a few shingles a document, and links
-each document to the first of its group only. The second takes a quarter of the shingles, where different components still meet
-there, and tries the most promising pair of each two components. The third takes all shingles and tries every pair between
-components that still meet: that makes the components exact. A group of more than ``CELL`` nodes at one shingle is split into cells and pairs of cells;
-nodes of its main component need no pairs among each other.
+The first round takes a few shingles a document, which joins most of a large family; the second takes all shingles at
+which different components still meet. A group of more than ``CELL`` nodes is dealt into blocks, which are searched each
+for themselves; if there was one, a third round lets every two blocks meet, nodes of the group's main component only
+with the others. That makes the components exact.
 
 Defined results: null, empty and wordless texts have an empty set and link with nothing; equal rows are copies; a null
 doc_id takes part, but names no component (a component without any id is null); a repeated doc_id with other text is
-another node; an empty table gives an empty result; other columns never matter."""
+another node; an empty table gives an empty result; other columns never matter. A very long text costs memory in
+proportion to its own words, in one task."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +46,8 @@ from quillspark.llm.tables import partitions, table, written
 
 SHINGLE, PERCENT = 5, 80
 CELL, FANOUT, MOST_BITS = 1024, 16, 8192
+#: Shingles of the texts that one block of a cell verifies at once, but for a single longer text.
+SHINGLES = 1 << 21
 #: The sketch of counts: 2 ** 20 counters in parts of 2 ** 12, whatever the size of the data.
 _BITS, _PART = 20, 1 << 12
 _U = np.uint64
@@ -66,12 +73,15 @@ def rarity(docs: DataFrame, k: int) -> np.ndarray:
             for _, sets in shingle_sets(batch.column(0), k):
                 total += np.bincount((np.concatenate(sets) >> _U(64 - _BITS)).astype(np.int64), minlength=1 << _BITS)
         parts = [total[i : i + _PART].tobytes() for i in range(0, 1 << _BITS, _PART)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
+        salt = TaskContext.get().partitionId() % 64
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([salt] * len(parts), pa.int32()), pa.array(parts, pa.binary())], names=["part", "salt", "counts"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": frame["part"][:1], "counts": [np.sum([np.frombuffer(c, np.int64) for c in frame["counts"]], axis=0).tobytes()]})
+        return pd.DataFrame({"part": frame["part"][:1], "salt": frame["salt"][:1], "counts": [np.sum([np.frombuffer(c, np.int64) for c in frame["counts"]], axis=0).tobytes()]})
 
-    parts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
+    schema = "part int, salt int, counts binary"
+    counted = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, schema)
+    parts = counted.groupBy("part", "salt").applyInPandas(add, schema).groupBy("part").applyInPandas(add, schema).select("part", "counts").collect()
     total = np.zeros(1 << _BITS, np.int64)
     for part, counts in parts:
         total[part * _PART : (part + 1) * _PART] = np.frombuffer(counts, np.int64)
@@ -100,27 +110,29 @@ def _signed(a: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """(doc_id, n, node, first shingles, bitmap) of each document."""
+    """(doc_id, hash of the text, n, node, first shingles, bitmap) of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)  # 1 MB, whatever the data's size
-    schema = "doc_id long, n long, node long, firsts array<long>, bits binary"
+    schema = "doc_id long, hash long, n long, node long, firsts array<long>, bits binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, sets in shingle_sets(batch.column(1), k):
+            for row, sets in shingle_sets(batch.column(2), k):
                 firsts = [_signed(prefix(s, shared.value, percent)) if len(s) else np.zeros(0, np.int64) for s in sets]
                 ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(row, len(sets)),
+                        batch.column(1).slice(row, len(sets)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([node_of(s) for s in sets], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts))),
                         pa.array([bitmap(s) for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n", "node", "firsts", "bits"],
+                    names=["doc_id", "hash", "n", "node", "firsts", "bits"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.select("doc_id", F.xxhash64("text"), "text").mapInArrow(run, schema)
 
 
 class Tree:
@@ -135,18 +147,18 @@ class Tree:
             self.levels.append((np.bitwise_or.reduceat(b, at, axis=0), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at), np.maximum.reduceat(slack, at), np.minimum.reduceat(c0, at), np.maximum.reduceat(c1, at)))
 
 
-def _possible(a: tuple, p: np.ndarray, b: tuple, q: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whether leaves under nodes p of a level and q of another may link, and the bound on their overlap."""
+def _possible(a: tuple, p: np.ndarray, b: tuple, q: np.ndarray, percent: int) -> np.ndarray:
+    """Those places where leaves under nodes p of a level and q of another may link, by the bound on their overlap."""
     keep = np.flatnonzero((100 * b[2][q] >= percent * a[1][p]) & (100 * a[2][p] >= percent * b[1][q]) & ~((a[4][p] == a[5][p]) & (b[4][q] == b[5][q]) & (a[4][p] == b[4][q])))
     p, q = p[keep], q[keep]
     common = np.bitwise_count(a[0][p] & b[0][q]).sum(axis=1, dtype=np.int64)
     most = np.minimum(np.minimum(a[2][p], b[2][q]), common + np.minimum(a[3][p], b[3][q]))
     fits = (100 + percent) * most >= percent * (a[1][p] + b[1][q])
-    return keep[fits], most[fits]
+    return keep[fits]
 
 
-def dual(a: Tree, b: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(leaf of a, leaf of b, bound) of the pairs that may link; each unordered pair once where a is b."""
+def dual(a: Tree, b: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(leaf of a, leaf of b) of the pairs that may link; each unordered pair once where a is b."""
 
     def pairs_of(m: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         return np.repeat(np.arange(m), n), np.tile(np.arange(n), m)
@@ -161,12 +173,12 @@ def dual(a: Tree, b: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarra
         if len(p) > width:
             stack += [(i, j, p[s : s + width], q[s : s + width]) for s in range(0, len(p), width)]
             continue
-        keep, bound = _possible(a.levels[i], p, b.levels[j], q, percent)
+        keep = _possible(a.levels[i], p, b.levels[j], q, percent)
         p, q = p[keep], q[keep]
         if not len(p):
             continue
         if i == 0 and j == 0:
-            yield p, q, bound
+            yield p, q
             continue
         down_a, down_b = (i > 0 and (i >= j or a is b)), (j > 0 and (j >= i or a is b))
         x, y = pairs_of(FANOUT if down_a else 1, FANOUT if down_b else 1)
@@ -177,189 +189,278 @@ def dual(a: Tree, b: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarra
         stack.append((i, j, p[real], q[real]))
 
 
-def _fold(bits: np.ndarray, width: int) -> np.ndarray:
-    """Bitmaps of fewer bits: bit h of the wider one is bit h mod width."""
-    return np.bitwise_or.reduce(bits.reshape(len(bits), -1, width), axis=1)
+class Bitmaps:
+    """Bitmaps of several widths (in 64-bit words, powers of two) in one flat array; a wide one folds to fewer bits by OR."""
+
+    def __init__(self, column: pa.Array) -> None:
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        self.flat = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].copy().view(_U)
+        self.at, self.width = (offsets[:-1] - offsets[0]) // 8, np.diff(offsets) // 8
+
+    def take(self, rows: np.ndarray, width: int) -> np.ndarray:
+        """The bitmaps of rows, none narrower than ``width``: bit h of a wider one is bit h mod width."""
+        out = np.empty((len(rows), width), _U)
+        for w in np.unique(self.width[rows]).tolist():
+            own = np.flatnonzero(self.width[rows] == w)
+            out[own] = np.bitwise_or.reduce(self.flat[self.at[rows[own]][:, None] + np.arange(w)].reshape(len(own), w // width, width), axis=1)
+        return out
 
 
 class Group:
-    """The nodes that meet in a cell, by bitmap width."""
+    """Rows that meet in a cell, by bitmap width, with a signature tree for each width that is asked for."""
 
-    def __init__(self, nodes: np.ndarray, comps: np.ndarray, sizes: np.ndarray, bits: list[bytes]) -> None:
-        widths = np.array([len(b) // 8 for b in bits])
-        self.parts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+    def __init__(self, rows: np.ndarray, comps: np.ndarray, sizes: np.ndarray, bitmaps: Bitmaps) -> None:
+        self.bitmaps, self.parts, widths = bitmaps, {}, bitmaps.width[rows]
         for w in np.unique(widths).tolist():
-            own = np.flatnonzero(widths == w)
-            own = own[np.lexsort((nodes[own], sizes[own], comps[own]))]
-            self.parts[w] = (nodes[own], comps[own], sizes[own], np.frombuffer(b"".join([bits[i] for i in own]), _U).reshape(len(own), w))
+            own = rows[widths == w]
+            own = own[np.lexsort((own, sizes[own], comps[own]))]
+            self.parts[w] = (own, comps[own], sizes[own])
         self.trees: dict[tuple[int, int], Tree] = {}
 
     def tree(self, w: int, folded: int) -> Tree:
         if (w, folded) not in self.trees:
-            _, comps, sizes, bits = self.parts[w]
-            self.trees[w, folded] = Tree(bits if w == folded else _fold(bits, folded), sizes, comps)
+            rows, comps, sizes = self.parts[w]
+            self.trees[w, folded] = Tree(self.bitmaps.take(rows, folded), sizes, comps)
         return self.trees[w, folded]
 
 
-def meetings(left: Group, right: Group, percent: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(node, node, component, component, bound ratio) arrays of pairs that may link between two groups (or in one)."""
-    for w, (nodes, comps, sizes, _) in left.parts.items():
-        for v, (nodes2, comps2, sizes2, _) in right.parts.items():
-            if left is right and v < w or max(w, v) > 2 * min(w, v):
-                continue  # sizes of linked sets differ by less than a factor of 2, and so do widths by more than one step
+def meetings(left: Group, right: Group, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, row) arrays of pairs of different components that may link between two groups (or in one)."""
+    for w, (rows, comps, _) in left.parts.items():
+        for v, (rows2, comps2, _) in right.parts.items():
+            if left is right and v < w:
+                continue
             least = min(w, v)
-            for p, q, bound in dual(left.tree(w, least), right.tree(v, least), percent):
+            for p, q in dual(left.tree(w, least), right.tree(v, least), percent):
                 differ = comps[p] != comps2[q]
-                p, q, bound = p[differ], q[differ], bound[differ]
-                if len(p):
-                    yield nodes[p], nodes2[q], comps[p], comps2[q], bound / (sizes[p] + sizes2[q] - bound)
-
-
-def _stars(group: Group, percent: int) -> Iterator[tuple[int, int, int, int, float]]:
-    """Pairs of the first node with all that may link to it, then of the first of the rest, and so on."""
-    everything = [(int(x), w, i) for w, part in group.parts.items() for i, x in enumerate(part[0])]
-    taken: set[int] = set()
-    for node, w, i in sorted(everything):
-        if node in taken:
+                if differ.any():
+                    yield rows[p[differ]], rows2[q[differ]]
+
+
+def joined(labels: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels (each at most its index, a label its own) after joining the sets of x and y pairwise: the least index of each set."""
+    while True:
+        a, b = labels[x], labels[y]
+        differ = np.flatnonzero(a != b)
+        if not len(differ):
+            return labels
+        x, y, a, b = x[differ], y[differ], a[differ], b[differ]
+        np.minimum.at(labels, np.maximum(a, b), np.minimum(a, b))
+        while (next_ := labels[labels]).tobytes() != labels.tobytes():
+            labels = next_
+
+
+def _codes(group: np.ndarray, comps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a number of each row's component in its group, ordered by component; the component of each number)."""
+    order = np.lexsort((comps, group))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(group[order]) != 0) | (np.diff(comps[order]) != 0)
+    code = np.empty(len(order), np.int64)
+    code[order] = np.cumsum(new) - 1
+    return code, comps[order][new]
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole cells at a time: (rows, where each cell begins and the last ends). The rows come sorted by key and cell, the first two columns."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        taken.add(node)
-        nodes, comps, sizes, bits = group.parts[w]
-        one = Group(nodes[i : i + 1], comps[i : i + 1], sizes[i : i + 1], [bits[i].tobytes()])
-        for a, b, ca, cb, ratio in meetings(one, group, percent):
-            for x in zip(a.tolist(), b.tolist(), ca.tolist(), cb.tolist(), ratio.tolist(), strict=True):
-                if x[1] not in taken:
-                    taken.add(x[1])
-                    yield x
-
+        key, cell = (batch.column(i).to_numpy() for i in (0, 1))
+        if rest and (rest[0].column(0)[0].as_py(), rest[0].column(1)[0].as_py()) == (key[-1], cell[-1]):
+            rest.append(batch)
+            continue
+        last = int(np.flatnonzero((key != key[-1]) | (cell != cell[-1]))[-1]) + 1 if (key[0], cell[0]) != (key[-1], cell[-1]) else 0
+        whole, rest = pa.Table.from_batches([*rest, batch.slice(0, last)]), [batch.slice(last)]
+        if whole.num_rows:
+            yield whole, _edges(whole)
+    if rest:
+        whole = pa.Table.from_batches(rest)
+        yield whole, _edges(whole)
+
+
+def _edges(rows: pa.Table) -> np.ndarray:
+    key, cell = (rows.column(i).to_numpy() for i in (0, 1))
+    return np.concatenate([[0], np.flatnonzero((np.diff(key) != 0) | (np.diff(cell) != 0)) + 1, [len(key)]])
+
+
+def _sides(start: int, end: int, side: np.ndarray, comps: np.ndarray, sizes: np.ndarray, bitmaps: Bitmaps) -> tuple[Group, Group] | None:
+    """What is to meet in a cell: its rows among each other, or where two blocks meet, those of one with those of the other."""
+    rows = np.arange(start, end)
+    left, right = (rows[side[start:end] == s] for s in (0, 1))
+    if not len(left):
+        return None
+    first = Group(left, comps, sizes, bitmaps)
+    return first, Group(right, comps, sizes, bitmaps) if len(right) else first
+
+
+def _small_cells(edges: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, row) of all pairs in cells of up to ``FANOUT`` rows, each one leaf of a tree."""
+    p, q = [], []
+    count = np.diff(edges)
+    for m in range(2, FANOUT + 1):
+        starts = edges[:-1][count == m]
+        i, j = np.triu_indices(m, 1)
+        p.append((starts[:, None] + i).ravel())
+        q.append((starts[:, None] + j).ravel())
+    p, q = np.concatenate(p), np.concatenate(q)
+    two = np.repeat(np.maximum.reduceat(side, edges[:-1]), count)
+    fits = np.where(two[p] == 1, side[p] != side[q], True)
+    return p[fits], q[fits]
+
+
+def _may_link(p: np.ndarray, q: np.ndarray, sizes: np.ndarray, bitmaps: Bitmaps, percent: int) -> np.ndarray:
+    """Which of the pairs of rows may link, by size and by the common bits and what bits may hide."""
+    fits = np.flatnonzero((100 * sizes[q] >= percent * sizes[p]) & (100 * sizes[p] >= percent * sizes[q]))
+    least = np.minimum(bitmaps.width[p[fits]], bitmaps.width[q[fits]])
+    found = np.zeros(len(p), bool)
+    for w in np.unique(least).tolist():
+        own, step = fits[least == w], max(1, (1 << 20) // w)
+        for part in (own[s : s + step] for s in range(0, len(own), step)):
+            a, b, na, nb = bitmaps.take(p[part], w), bitmaps.take(q[part], w), sizes[p[part]], sizes[q[part]]
+            bits = lambda x: np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+            most = np.minimum(np.minimum(na, nb), bits(a & b) + np.minimum(na - bits(a), nb - bits(b)))
+            found[part] = (100 + percent) * most >= percent * (na + nb)
+    return found
+
+
+MET = "node long, comp long, root long, split boolean"
+
+
+def _search(percent: int):  # noqa: ANN202
+    """The task's side of the search: sorted rows (token, cell, side, node, comp, n, bits, split) -> those nodes that may
+    link with one of another component in their cell, each with the least component that such pairs lead to there; and a
+    row of nulls that tells if a group was split."""
 
-FOUND = "a long, b long, ca long, cb long, ratio double"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, edges in _cells(batches):
+            side, node, comps, sizes = (rows.column(i).to_numpy() for i in range(2, 6))
+            bitmaps = Bitmaps(rows.column(6))
+            code, of_code = _codes(np.repeat(np.arange(len(edges) - 1), np.diff(edges)), comps)
+            labels, touched = np.arange(len(of_code)), np.zeros(len(node), bool)
+            p, q = _small_cells(edges, side)
+            p, q = (x[comps[p] != comps[q]] for x in (p, q))
+            fits = _may_link(p, q, sizes, bitmaps, percent)
+            pairs = [(p[fits], q[fits])]
+            for i in np.flatnonzero(np.diff(edges) > FANOUT).tolist():
+                sides = _sides(edges[i], edges[i + 1], side, comps, sizes, bitmaps)
+                for p, q in [] if sides is None else meetings(*sides, percent):
+                    touched[p] = touched[q] = True
+                    labels = joined(labels, code[p], code[q])
+            for p, q in pairs:
+                touched[p] = touched[q] = True
+                labels = joined(labels, code[p], code[q])
+            split = pc.any(rows.column(7)).as_py()
+            out = [pa.array([*x[touched].tolist(), *[None] * split], pa.int64()) for x in (node, comps, of_code[labels[code]])]
+            yield pa.RecordBatch.from_arrays([*out, pa.array([False] * int(touched.sum()) + [True] * split, pa.bool_())], names=["node", "comp", "root", "split"])
 
+    return run
 
-def _search(mode: str, percent: int):  # noqa: ANN202
-    """The task's side of a pass: cells in order, rows (token, cell, side, node, comp, n, bits) -> candidate pairs."""
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        for _, own in groupby(rows, key=lambda r: r[:2]):
-            yield list(own)
+def _overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    ends = np.cumsum([0, *map(len, others)])
+    flat = np.concatenate(others)
+    hits = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    return np.add.reduceat(hits, ends[:-1], dtype=np.int64)
+
+
+def _cell_links(sides: tuple[Group, Group] | None, sets: list[np.ndarray], code: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Links (row, row) that span what a cell's exact links connect; pairs whose components are joined by then are not tried."""
+    if sides is None:
+        return
+    labels, sizes = np.arange(code.max() + 1), np.array([len(s) for s in sets])
+    for p, q in meetings(*sides, percent):
+        order = np.argsort(p, kind="stable")
+        p, q = p[order], q[order]
+        for pivot, partners in zip(p[first := np.flatnonzero(np.diff(p, prepend=-1))].tolist(), np.split(q, first[1:]), strict=True):
+            for some in (partners[s : s + CELL] for s in range(0, len(partners), CELL)):
+                some = some[labels[code[some]] != labels[code[pivot]]]
+                if not len(some):
+                    continue
+                common = _overlaps(sets[pivot], [sets[i] for i in some.tolist()])
+                for other in some[100 * common >= percent * (sizes[pivot] + sizes[some] - common)].tolist():
+                    if labels[code[other]] != labels[code[pivot]]:
+                        labels = joined(labels, code[[pivot]], code[[other]])
+                        yield pivot, other
+
+
+def _verify(k: int, percent: int):  # noqa: ANN202
+    """The task's side of the verification: sorted rows (cluster, cell, side, node, comp, text) -> links (u, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: dict[tuple, tuple] = {}
-
-        def batch() -> pa.RecordBatch:
-            columns = list(zip(*out.values(), strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.float64()], strict=True)], names=["a", "b", "ca", "cb", "ratio"])
-
-        def group(rows: list[tuple]) -> Group:
-            return Group(np.array([r[3] for r in rows]), np.array([r[4] for r in rows]), np.array([r[5] for r in rows]), [r[6] for r in rows])
-
-        for rows in cells(batches):
-            if len(rows) < 2:
-                continue
-            if mode == "stars":
-                found = _stars(group(rows), percent)
-            else:
-                left, right = [r for r in rows if r[2] == 0], [r for r in rows if r[2] == 1]
-                first = group(left) if left else None
-                sides = (first, group(right)) if left and right else (first, first) if left else None
-                found = (x for m in (meetings(*sides, percent) if sides else ()) for x in zip(*(c.tolist() for c in m), strict=True))
-            for a, b, ca, cb, ratio in found:
-                if ca > cb:
-                    a, b, ca, cb = b, a, cb, ca
-                key = (ca, cb) if mode == "best" else (a, b)
-                if key not in out or out[key][4] < ratio:
-                    out[key] = (a, b, ca, cb, ratio)
-            if len(out) > 50_000:
-                yield batch()
-                out.clear()
-        if out:
-            yield batch()
+        for rows, edges in _cells(batches):
+            for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                own = rows.slice(start, end - start)
+                side, node, comps = (own.column(i).to_numpy() for i in (2, 3, 4))
+                sets = [s for _, part in shingle_sets(own.column(5), k) for s in part]
+                bitmaps = Bitmaps(pa.array([bitmap(s) for s in sets], pa.binary()))
+                code, _ = _codes(np.zeros(len(node), np.int64), comps)
+                found = list(_cell_links(_sides(0, len(node), side, comps, np.array([len(s) for s in sets]), bitmaps), sets, code, percent))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(node[[x[i] for x in found]]) for i in (0, 1)], names=["u", "v"])
 
     return run
 
 
-def _cells_of_stars(met: DataFrame) -> DataFrame:
-    """Each node once, in a cell by its hash; the group's first node in all of its cells."""
-    number = F.ceil(F.col("group_n") / CELL).cast("int")
-    cell = F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0), number - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), number).cast("int")))
-    return met.withColumn("cell", F.explode(cell)).withColumn("side", F.lit(0))
-
-
-def _cells_of_pairs(met: DataFrame) -> DataFrame:
-    """All pairs of nodes of different components meet in a cell; nodes of the main component only with the others.
-
-    A small group is one cell. Else the others are in blocks; two blocks meet in the cell of their numbers, and a block
-    meets each block of the main component in a cell of its own."""
-    rest, main = (F.ceil(F.greatest(c, F.lit(1)) / CELL).cast("int") for c in (F.col("group_n") - F.col("main_n"), F.col("main_n")))
-    hashed = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    in_main = F.col("comp") == F.col("main")
-    cell = lambda i, j, side: F.struct((i * 1_000_000 + j).cast("long").alias("cell"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"))
-    own = hashed(rest)
-    with_rest = F.transform(F.sequence(F.lit(0), rest - 1), lambda j: cell(F.least(own, j).cast("long"), F.greatest(own, j).cast("long"), F.when(own <= j, 0).otherwise(1)))
-    with_main = F.transform(F.sequence(F.lit(0), main - 1), lambda k: cell(own.cast("long"), (k + 500_000).cast("long"), 0))
-    from_main = F.transform(F.sequence(F.lit(0), rest - 1), lambda i: cell(i.cast("long"), (hashed(main) + 500_000).cast("long"), 1))
-    whole = F.array(cell(F.lit(0).cast("long"), F.lit(0).cast("long"), 0))
-    return met.withColumn("to", F.explode(F.when(F.col("group_n") <= CELL, whole).when(in_main, from_main).otherwise(F.concat(with_rest, with_main)))).select("*", "to.cell", "to.side").drop("to")
-
-
-def _candidates(nodes: DataFrame, comps: DataFrame | None, mode: str, percent: int) -> DataFrame:
-    """Pairs of nodes to verify. ``nodes``: (node, n, firsts, bits); ``comps``: (node, component) where it is another."""
-    if mode == "stars":
-        firsts = F.filter(F.col("firsts"), lambda x, i: (i < 2) | (F.pmod(x, F.lit(16)) == 0))
-        posted = nodes.select("node", F.explode(firsts).alias("token")).withColumn("comp", F.col("node"))
-        groups = posted.groupBy("token").agg(F.count("*").alias("group_n"), F.min("node").alias("first")).where("group_n > 1").withColumnRenamed("token", "g_token")
-        met = posted.join(groups, F.col("token") == F.col("g_token"))
-        placed = _cells_of_stars(met)
+def _in_cells(rows: DataFrame, key: str, weight: str | None, every: bool) -> DataFrame:
+    """The rows (key, node, comp, ...) of groups with more than one component, with ``cell`` and ``side``: a group of up to ``CELL`` nodes and ``SHINGLES`` of weight is
+    one cell. A larger one is dealt into blocks by node. Unless ``every``, blocks are cells, and each node is in one. Else
+    every two nodes that are not both of the group's main component meet: those outside it are in blocks of their own; two
+    blocks meet in the cell of their numbers, and a block meets each block of the main component."""
+    heavy = F.lit(0) if weight is None else F.col(weight)
+    parts = lambda c, w: F.ceil(F.greatest(c / CELL, w / SHINGLES, F.lit(1))).cast("int")
+    whole = [F.min("comp").alias("least"), F.max("comp").alias("most")]
+    if not every:
+        groups = rows.groupBy(key).agg(*whole, F.count("*").alias("c"), F.sum(heavy).alias("w")).select(F.col(key).alias("g_key"), "least", "most", parts(F.col("c"), F.col("w")).alias("parts"))
     else:
-        known = nodes.select("node", "firsts").join(comps.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
-        tried = F.filter("firsts", lambda x: F.pmod(x, F.lit(4)) == 0) if mode == "best" else F.col("firsts")
-        posted = known.select("node", F.coalesce("component", "node").alias("comp"), F.explode(tried).alias("token"))
-        spanned = posted.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select(F.col("token").alias("s_token"))
-        open_ = written(posted.join(spanned, F.col("token") == F.col("s_token"), "left_semi"), "postings")
-        sizes = open_.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("group_n"), F.max(F.struct("c", "comp")).alias("top"))
-        groups = sizes.select(F.col("token").alias("g_token"), "group_n", F.col("top.c").alias("main_n"), F.col("top.comp").alias("main"))
-        placed = _cells_of_pairs(open_.join(groups, F.col("token") == F.col("g_token")))
+        by_comp = rows.groupBy(key, "comp").agg(F.count("*").alias("c"), F.sum(heavy).alias("w"))
+        groups = by_comp.groupBy(key).agg(*whole, F.sum("c").alias("all_c"), F.sum("w").alias("all_w"), F.max(F.struct("c", "w", "comp")).alias("top"))
+        groups = groups.select(F.col(key).alias("g_key"), "least", "most", F.col("top.comp").alias("top"), parts(F.col("all_c"), F.col("all_w")).alias("parts"), parts(F.col("all_c") - F.col("top.c"), F.col("all_w") - F.col("top.w")).alias("rest"), parts(F.col("top.c"), F.col("top.w")).alias("main"))
+    met = rows.join(groups.where("least <> most"), F.col(key) == F.col("g_key"))
+    hashed = lambda n: F.pmod(F.xxhash64("node"), n).cast("long")
+    if not every:
+        return met.select(*rows.columns, hashed(F.col("parts")).alias("cell"), F.lit(0).alias("side"), "parts")
+    of = lambda i, j, side: F.struct((i * (1 << 31) + j).alias("cell"), side.cast("int").alias("side"))
+    own, upto = hashed(F.col("rest")), lambda n: F.transform(F.sequence(F.lit(0), n - 1), lambda i: i.cast("long"))
+    with_rest = F.transform(upto(F.col("rest")), lambda j: of(F.least(own, j), F.greatest(own, j), own > j))
+    with_main = F.transform(upto(F.col("main")), lambda j: of(own, F.col("rest") + j, F.lit(0)))
+    from_main = F.transform(upto(F.col("rest")), lambda i: of(i, F.col("rest") + hashed(F.col("main")), F.lit(1)))
+    whole = F.array(of(F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0)))
+    to = F.when(F.col("parts") == 1, whole).when(F.col("comp") == F.col("top"), from_main).otherwise(F.concat(with_rest, with_main))
+    return met.select(*rows.columns, F.inline(to), "parts")
+
+
+def _round(nodes: DataFrame, docs: DataFrame, comps: DataFrame | None, few: bool, every: bool, k: int, percent: int) -> tuple[DataFrame, bool]:
+    """(links found between components, whether some group was split). ``few``: only some of the first shingles meet."""
+    spark = nodes.sparkSession
+    firsts = F.filter("firsts", lambda x, i: (i < 2) | (F.pmod(x, F.lit(16)) == 0)) if few else F.col("firsts")
+    known = nodes.select("node", "firsts").withColumn("comp", F.col("node"))
+    if comps is not None:
+        known = known.drop("comp").join(comps.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left").withColumn("comp", F.coalesce("component", "node"))
+    met = _in_cells(known.select("node", "comp", F.explode(firsts).alias("token")), "token", None, every)
     signed = nodes.select(F.col("node").alias("s_node"), "n", "bits")
-    full = placed.select("token", "cell", "side", "node", "comp").join(signed, F.col("node") == F.col("s_node"))
-    full = full.select("token", F.col("cell").cast("long").alias("cell"), F.col("side").cast("int").alias("side"), "node", "comp", "n", "bits")
-    dealt = full.repartition(partitions(nodes.sparkSession), "token", "cell").sortWithinPartitions("token", "cell")
-    found = dealt.mapInArrow(_search(mode, percent), FOUND)
-    if mode == "best":
-        return found.groupBy("ca", "cb").agg(F.max(F.struct("ratio", "a", "b")).alias("x")).select("x.a", "x.b")
-    return found.select("a", "b").distinct()
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose whole sets link. Each text goes to the tasks of its pairs once a pair, a first node's once a task."""
-    pairs = written(pairs, "pairs")
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts")).withColumnRenamed("a", "m_a")
-    salted = pairs.join(many, F.col("a") == F.col("m_a")).withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    # exploded, not a union: a join above a union may be done once for each of its sides, and texts are large
-    sides = F.array(F.struct(F.col("b").alias("node"), F.lit(1).alias("side")), F.struct(F.col("a").alias("node"), F.lit(0).alias("side")))
-    needs = salted.select("a", "part", F.inline(sides)).distinct()
-    named = needs.join(nodes.select(F.col("node").alias("n_node"), "id"), F.col("node") == F.col("n_node")).drop("n_node")
-    texts = docs.select(F.col("doc_id").cast("long").alias("d_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sent = named.join(texts, F.col("id").eqNullSafe(F.col("d_id"))).select("a", "part", "side", "node", "text")
-    dealt = sent.repartition(partitions(docs.sparkSession), "a", "part").sortWithinPartitions("a", "part", "side")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, first = None, None
-        for batch in batches:
-            a, part, side, node = (batch.column(i).to_pylist() for i in range(4))
-            linked = []
-            for row, sets in shingle_sets(batch.column(4), k):
-                for i, s in enumerate(sets, row):
-                    if node_of(s) != node[i]:
-                        continue  # another text under the same doc_id
-                    if side[i] == 0:
-                        key, first = (a[i], part[i]), s
-                    elif key == (a[i], part[i]):
-                        common = len(np.intersect1d(first, s, assume_unique=True))
-                        if 100 * common >= percent * (len(first) + len(s) - common):
-                            linked.append((a[i], node[i]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in linked], pa.int64()), pa.array([x[1] for x in linked], pa.int64())], names=["u", "v"])
-
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    full = met.join(signed, F.col("node") == F.col("s_node")).select("token", "cell", "side", "node", "comp", "n", "bits", F.col("parts") > 1)
+    dealt = full.repartition(partitions(spark), "token", "cell").sortWithinPartitions("token", "cell")
+    found = written(dealt.mapInArrow(_search(percent), MET).distinct(), "met")
+    split = not every and not found.where("split").isEmpty()
+    found = found.where("NOT split")
+    clusters = components(found.select(F.col("comp").alias("u"), F.col("root").alias("v")).distinct())
+    active = found.select("node", "comp").distinct().join(clusters.withColumnRenamed("node", "k_comp"), F.col("comp") == F.col("k_comp"), "left")
+    named = nodes.select(F.col("node").alias("n_node"), "n", "rep")
+    placed = active.select("node", "comp", F.coalesce("component", "comp").alias("cluster")).join(named, F.col("node") == F.col("n_node")).drop("n_node")
+    placed = written(_in_cells(placed, "cluster", "n", every), "placed")
+    links = written(_texts(placed, docs).repartition(partitions(spark), "cluster", "cell").sortWithinPartitions("cluster", "cell").mapInArrow(_verify(k, percent), "u long, v long"), "links")
+    return links, split or not every and not placed.where("parts > 1").isEmpty()
+
+
+def _texts(placed: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cluster, cell, side, node, comp, text): each placed node with the text of the row that stands for it."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("hash")).alias("d_rep"), "text")
+    needed = placed.select("rep").distinct()
+    one = rows.join(needed, F.col("d_rep") == F.col("rep"), "left_semi").groupBy("d_rep").agg(F.first("text").alias("text"))
+    return placed.join(one, F.col("rep") == F.col("d_rep")).select("cluster", "cell", "side", "node", "comp", "text")
 
 
 def linked_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -367,19 +468,21 @@ def linked_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
     docs = docs.select("doc_id", "text")
     signed = written(signatures(docs, k, percent, rarity(docs, k)), "signatures")
     full = signed.where("n > 0")
-    copies = written(full.groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("firsts").alias("firsts"), F.first("bits").alias("bits")), "nodes")
-    links, comps = None, None
-    for mode in ("stars", "best", "all"):
-        new = written(_verified(_candidates(copies, comps, mode, percent), docs, copies, k, percent), "links")
-        if comps is None or not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            comps = components(links)
-    of_node = copies.select("node", "id", "n_copies").join(comps.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "hash"))
+    nodes = written(full.groupBy("node").agg(F.min("doc_id").alias("id"), rep.alias("rep"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("firsts").alias("firsts"), F.first("bits").alias("bits")), "nodes")
+    links, _ = _round(nodes, docs, None, True, False, k, percent)
+    comps = components(links)
+    split, every = True, False
+    while split:
+        new, split = _round(nodes, docs, comps, False, every, k, percent)
+        links, every = links.unionByName(new), True
+        comps = components(links)
+    of_node = nodes.select("node", "id", "n_copies").join(comps.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
     of_node = of_node.select("node", "id", "n_copies", F.coalesce("component", "node").alias("component"))
     least = of_node.groupBy("component").agg(F.min("id").alias("component_id")).withColumnRenamed("component", "l_component")
     named = written(of_node.join(least, F.col("component") == F.col("l_component")).select(F.col("node").alias("w_node"), "component_id", "n_copies"), "components")
-    joined = signed.select("doc_id", "n", "node").join(named, (F.col("node") == F.col("w_node")) & (F.col("n") > 0), "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    placed = signed.select("doc_id", "n", "node").join(named, (F.col("node") == F.col("w_node")) & (F.col("n") > 0), "left")
+    return placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
 
 
 def op4_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,12 +82,68 @@ def test_odd_rows(docs_of):
     assert [r.component_id for r in neardup.linked_components(docs_of([(1, None), (2, "")])).orderBy("doc_id").collect()] == [1, 2]
 
 
+def _near_copies(seed, n, edits):
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(150)]
+    rows = []
+    for _ in range(n):
+        own = list(base)
+        for _ in range(rnd.randint(1, edits)):
+            own[rnd.randrange(len(own))] = f"n{rnd.randrange(10**6)}"
+        rows.append(" ".join(own))
+    return rows
+
+
+@pytest.mark.parametrize("ids", ["own", "null", "same"])
+def test_rows_between_stages_grow_with_the_family_not_with_its_pairs(docs_of, monkeypatch, ids):
+    """Near copies of which many pairs are just below the threshold: none of the tables written has more rows than a small multiple of them."""
+    most = []
+    kept = neardup.written
+
+    def counted(frame, what):
+        table = kept(frame, what)
+        most[-1] = max(most[-1], table.count())
+        return table
+
+    monkeypatch.setattr(neardup, "written", counted)
+    for n in (150, 300, 600):
+        most.append(0)
+        texts = _near_copies(3, n, 12)
+        rows = [({"own": i, "null": None, "same": 7}[ids], t) for i, t in enumerate(texts)]
+        got = neardup.linked_components(docs_of(rows), 4, 85).collect()
+        assert len(got) == n
+        if ids == "own" and n == 150:
+            assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == _expected(rows, 4, 85)
+    assert most[2] <= 2.2 * most[1] and most[1] <= 2.2 * most[0] and most[2] <= 4 * 600
+
+
+def test_blocks_of_a_family_meet(docs_of, monkeypatch):
+    monkeypatch.setattr(neardup, "CELL", 16)
+    rows = list(enumerate(_near_copies(5, 90, 14)))
+    got = neardup.linked_components(docs_of(rows), 4, 85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == _expected(rows, 4, 85)
+
+
+def test_labels_join_like_union_find():
+    rnd = np.random.default_rng(1)
+    for n in (1, 5, 60):
+        labels = np.arange(n)
+        for _ in range(4):
+            x, y = rnd.integers(0, n, (2, n // 3))
+            labels = neardup.joined(labels, x, y)
+            assert (labels[x] == labels[y]).all() and (labels <= np.arange(n)).all() and (labels[labels] == labels).all()
+
+
 def test_trees_find_every_pair_that_may_link():
     rnd = np.random.default_rng(5)
     sets = [np.unique(rnd.choice(2**62, 40).astype(np.uint64)) for _ in range(30)]
     sets += [np.unique(np.concatenate([s[: rnd.integers(30, 41)], rnd.choice(2**62, 3).astype(np.uint64)])) for s in sets for _ in range(6)]
     n = len(sets)
-    group = neardup.Group(np.arange(n), np.arange(n), np.array([len(s) for s in sets]), [neardup.bitmap(s) for s in sets])
-    seen = {tuple(sorted(p)) for a, b, *_ in neardup.meetings(group, group, 80) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    sizes, bitmaps = np.array([len(s) for s in sets]), neardup.Bitmaps(pa.array([neardup.bitmap(s) for s in sets], pa.binary()))
+    group = neardup.Group(np.arange(n), np.arange(n), sizes, bitmaps)
+    seen = {tuple(sorted(p)) for a, b in neardup.meetings(group, group, 80) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    p, q = np.triu_indices(n, 1)
+    may = neardup._may_link(p, q, sizes, bitmaps, 80)
+    assert seen == set(zip(p[may].tolist(), q[may].tolist(), strict=True))
     linked = {(i, j) for i in range(n) for j in range(i + 1, n) if 100 * (c := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - c)}
     assert linked and linked <= seen and len(seen) < 4 * len(linked)
