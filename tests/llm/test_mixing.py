@@ -45,3 +45,14 @@ def test_edge_cases(docs_of):
     assert {(r.doc_id, r.copies, r.target) for r in alone} == {(1, 1, 3.0), (2, 1, 3.0)}
     clash = mixing.mixed(docs_of([(1, "a b")]).selectExpr("*", "1 AS target", "2 AS size", "3 AS rate")).first()
     assert clash["size"] == 2
+
+
+def test_null_and_repeated_ids_draw_by_text(docs_of):
+    rows = [(None, f"w{i} " * 20, "null ids") for i in range(900)] + [(7, f"v{i} " * 20, "one id") for i in range(900)] + [(10_000 + i, "u " * 20, "others") for i in range(600)]
+    taken = defaultdict(int)
+    target = {}
+    for r in mixing.mixed(docs_of(rows)).collect():
+        taken[r.source] += r.size * r.copies
+        target[r.source] = r.target
+    for s in target:
+        assert 0 < target[s] and taken[s] == pytest.approx(target[s], rel=0.1)
