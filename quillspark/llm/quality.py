@@ -5,13 +5,17 @@ with s the logistic function: one set of weights, shared by all grades, on hashe
 their first bytes) and of punctuation, and of a few rounded shares (repeated words and lines, capitals, punctuation, rules), and thresholds in
 order. It gives each text its expected grade, and the tail probability P(grade >= 2) by which documents are selected.
 
-Learning reads a bounded sample of the ratings: about ``SAMPLE`` rows, chosen by a hash of doc_id. Spark counts on that
-sample in how many texts of each grade a hash occurs; the hashes whose grades differ most from the others' are the
-features, ``FEATURES`` at most. Scoring covers every text, whole, in one pass without a shuffle.
-
-Defined results: a null text is an empty one; without ratings, or with ratings of one grade, all documents are kept with
-the prior's expected grade; equal texts score alike; other columns stay; ratings of unknown documents do not count; a
-null quality counts as 0, a null toxic as 0; a document rated twice counts twice."""
+Learning reads a bounded sample of the ratings: those of about ``SAMPLE`` documents, chosen by a hash of doc_id. They are
+written with their texts once, in the shared folder. Spark counts on that sample in how many texts of each grade a hash
+occurs; the hashes whose grades differ most from the others' are the features, ``FEATURES`` at most. Scoring covers every
+text, whole, in one pass without a shuffle.
+
+Defined results: a null text is an empty one; without ratings, with ratings of one grade, or where no feature tells the
+grades apart, all documents are kept with the prior's expected grade; equal texts score alike; other columns stay;
+ratings of unknown documents do not count; a null quality counts as 0, a null toxic as 0; a document rated with several
+grades counts once with each, equal ratings count once, and of several texts under one doc_id the least one counts, so
+that repeated rows cannot swell the sample; a very long text takes memory in proportion to itself, in one task; an empty
+table gives an empty result."""
 
 from __future__ import annotations
 
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from quillspark.llm import words
-from quillspark.llm.tables import table
+from quillspark.llm.tables import table, written
 
 SAMPLE, FEATURES, LEAST_TEXTS, LEAST_Z, KEEP_AT, GRADES = 20_000, 2_000, 5, 5.0, 0.8, 3
 _U = np.uint64
@@ -165,12 +169,13 @@ def grade(quality: Column, toxic: Column) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FEATURES, seed: int = 11) -> Model:
     """A model from at most about ``sample`` ratings (doc_id, quality, toxic)."""
-    rated = labels.where("doc_id IS NOT NULL").select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade"))
-    total = rated.count()
+    rated = labels.where("doc_id IS NOT NULL").select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade")).distinct()
+    total = rated.select("doc_id").distinct().count()
     share = min(1.0, sample / max(total, 1))
-    chosen = rated.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
+    chosen = rated.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
     # the sample's size is bounded, so it may be sent to every task
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "grade")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = written(texts.groupBy("doc_id", "grade").agg(F.min("text").alias("text")).select("text", "grade"), "sample")
 
     def occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,6 +203,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
         ]
     )
     strong = counted.where(everything >= LEAST_TEXTS).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "h").limit(most).select("h").collect()
+    if not strong:
+        raw = np.cumsum(sizes)[:-1] / all_n
+        return Model(np.zeros(0, _U), np.zeros(0), np.log((raw * all_n + 0.5) / (all_n - raw * all_n + 0.5)))
     hashes = np.sort(np.array([r["h"] for r in strong], np.int64).view(_U))
     model = Model(hashes, np.zeros(len(hashes)), np.zeros(GRADES - 1))
 
@@ -231,7 +239,8 @@ def score(docs: DataFrame, model: Model, keep_at: float = KEEP_AT) -> DataFrame:
         for batch in batches:
             below = model.at_most(model.latent(batch.column(batch.schema.get_field_index("text"))))
             tail = 1.0 - below[:, -1]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((1.0 - below).sum(axis=1)), pa.array(tail), pa.array(tail >= keep_at)], [*batch.schema.names, "expected_grade", "tail_probability", "keep"])
+            keep = tail >= keep_at if len(model.hashes) else np.ones(len(tail), bool)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((1.0 - below).sum(axis=1)), pa.array(tail), pa.array(keep)], [*batch.schema.names, "expected_grade", "tail_probability", "keep"])
 
     return docs.mapInArrow(run, schema)
 

@@ -46,8 +46,64 @@ def test_edges(spark, docs_of):
     assert quality.score(odd.limit(0), model).count() == 0
     none = quality.learn(docs_of(rows), rated.limit(0))
     assert {r.keep for r in quality.score(docs_of(rows[:5]), none).collect()} == {True}
-    same = quality.learn(docs_of(rows), rated.where("quality = 1 AND toxic = 0"))
-    assert {r.keep for r in quality.score(docs_of(rows[:5]), same).collect()} == {True}
+    for only in ("quality = 1 AND toxic = 0", "quality = 1 AND toxic = 1", "quality = 0"):
+        same = quality.learn(docs_of(rows), rated.where(only))
+        assert {r.keep for r in quality.score(docs_of(rows[:5]), same).collect()} == {True}, only
+    # two grades that nothing tells apart
+    alike = quality.learn(docs_of([(i, "same words here") for i in range(60)]), spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int"))
+    assert {r.keep for r in quality.score(docs_of(rows[:5]), alike).collect()} == {True}
+
+
+def test_fit_reaches_the_optimum_of_an_independent_likelihood():
+    """The penalised likelihood of the fitted model, written anew with plain loops, is not improved by any small step."""
+    rnd = np.random.default_rng(4)
+    n, width = 240, 4
+    x = rnd.integers(0, 2, (n, width))
+    latent = x @ np.array([2.0, -1.5, 0.7, 0.0]) + rnd.logistic(size=n)
+    grades = np.where(latent < -0.5, 0, np.where(latent < 1.0, 1, 2))
+    owner, place = np.nonzero(x)
+    weights, thresholds = quality.fit(owner, place, grades, width, penalty=1.0, steps=2000)
+
+    def likelihood(w, t):
+        total = -0.5 * float(w @ w)
+        for row, g in zip(x, grades, strict=True):
+            below = lambda k: 0.0 if k < 0 else 1.0 if k >= 2 else 1 / (1 + np.exp(-(t[k] - row @ w)))  # noqa: B023, E731
+            total += np.log(below(g) - below(g - 1))
+        return total
+
+    best = likelihood(weights, thresholds)
+    assert thresholds[0] < thresholds[1] and weights[0] > 1 and weights[1] < -0.7
+    for i in range(width + 2):
+        for step in (-0.05, 0.05):
+            w, t = weights.copy(), np.array(thresholds, float)
+            (w if i < width else t)[i if i < width else i - width] += step
+            assert likelihood(w, t) < best + 1e-4
+
+
+def test_scores_equal_the_formula(docs_of):
+    model = quality.Model(np.sort(quality.features(raw := np.frombuffer(b"good bad", np.uint8), np.array([0, len(raw)]))[1]), np.zeros(0), np.array([-1.0, 0.5]))
+    model.weights = np.linspace(-1, 1, len(model.hashes))
+    for text, r in zip(texts := ["good bad", "bad", "other", ""], quality.score(docs_of(list(enumerate(texts))).coalesce(1), model).orderBy("doc_id").collect(), strict=True):
+        data = np.frombuffer(text.encode(), np.uint8)
+        known = set(quality.features(data, np.array([0, len(data)]))[1].tolist()) if text else set()
+        z = sum(w for h, w in zip(model.hashes.tolist(), model.weights.tolist(), strict=True) if h in known)
+        if text:
+            assert abs(r.tail_probability - (1 - 1 / (1 + np.exp(-(0.5 - z))))) < 1e-9
+            assert abs(r.expected_grade - sum(1 - 1 / (1 + np.exp(-(t - z))) for t in (-1.0, 0.5))) < 1e-9
+
+
+def test_repeated_rows_do_not_swell_the_sample(spark, docs_of):
+    rows, labels = _corpus(200)
+    many = rows + [(5, f"other text {i}") for i in range(500)]
+    rated = spark.createDataFrame(labels + [labels[5]] * 500, "doc_id long, quality int, toxic int")
+    kept = []
+    plain = quality.written
+    quality.written = lambda frame, what: kept.append(plain(frame, what)) or kept[-1]
+    try:
+        quality.learn(docs_of(many), rated)
+    finally:
+        quality.written = plain
+    assert kept[0].count() == len(rows)
 
 
 def test_samples_are_bounded_and_reruns_agree(spark, docs_of):
