@@ -10,7 +10,9 @@ language. Prototypes are centred: what all languages share is taken off each by
 do not decide. Nothing is shuffled but those sums.
 
 Defined results: ``und`` with score 0.0 for a null text or one without a letter, or where nothing was learned; equal
-texts get equal results; other columns are never read."""
+texts, long or short, get equal results; a very long text is looked at in pieces that see one character over their
+edges, and trigrams are bound some thousand at a time, so memory does not grow with a text's trigrams; an empty table
+gives an empty result; other columns are never read."""
 
 from __future__ import annotations
 
@@ -25,20 +27,18 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from quillspark.llm.tables import table
 
 DIMENSIONS, NONE, SEED = 512, "und", 77
-_BLOCK = 1 << 17
+#: Characters that a task looks at together, trigram vectors that it binds at once, and texts whose bundles it holds.
+BLOCK, TRIGRAMS, ROWS = 1 << 17, 1 << 13, 1 << 11
 
 
 class _Letters:
     """Numbers of code points (0: not a letter) and their vectors; vectors are made when first met."""
 
-    def __init__(self, dimensions: int) -> None:
+    def __init__(self) -> None:
         self.number = np.zeros(0x110000, np.int32)
         self.seen = np.zeros(0x110000, bool)
         self.seen[[0x20, 0x0A]] = True
         self.vectors = self._vector(0)[None]
-        self.dimensions = dimensions
-        self.trigrams: dict[int, int] = {}
-        self.bound = np.zeros((0, dimensions), np.float32)
 
     def _vector(self, code: int) -> np.ndarray:
         return np.random.default_rng([SEED, code]).integers(0, 2, DIMENSIONS).astype(np.int8) * 2 - 1
@@ -64,31 +64,67 @@ _made: list[_Letters] = []
 
 def _letters() -> _Letters:
     if not _made:
-        _made.append(_Letters(DIMENSIONS))
+        _made.append(_Letters())
     return _made[0]
 
 
-def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _portions(texts: list[str]) -> Iterator[list[tuple[int, str, int, int]]]:
+    """Lower-cased pieces (text number, piece, characters of context before, after), about ``BLOCK`` characters at a time.
+
+    A longer text is cut into pieces that see one character over their edges."""
+    part: list[tuple[int, str, int, int]] = []
+    size = 0
+    for i, text in enumerate(texts):
+        lowered = (text or "").lower()
+        for at in range(0, len(lowered), BLOCK):
+            end = min(at + BLOCK, len(lowered))
+            part.append((i, lowered[max(at - 1, 0) : end + 1], int(at > 0), int(end < len(lowered))))
+            size += end - at
+            if size >= BLOCK:
+                yield part
+                part, size = [], 0
+    if part:
+        yield part
+
+
+def trigrams(pieces: list[tuple[int, str, int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """(text number, trigram) of every trigram with a letter in its midst."""
-    lowered = [t.lower() for t in texts]
-    # two breaks between texts, so that no trigram joins two of them
-    codes = np.frombuffer("\n\n".join(["", *lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    # two breaks between pieces, so that no trigram joins two of them
+    codes = np.frombuffer("\n\n".join(["", *(p[1] for p in pieces), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     n = _letters().numbers(codes).astype(np.int64)
-    ends = np.cumsum([len(t) + 2 for t in lowered])
-    middle = np.flatnonzero(n[1:-1]) + 1
+    lengths = np.array([len(p[1]) for p in pieces])
+    ends = np.cumsum(lengths + 2)
+    own = np.ones(len(n), bool)
+    for side, at in ((2, ends - lengths), (3, ends - 1)):
+        own[at[[p[side] > 0 for p in pieces]]] = False
+    middle = np.flatnonzero((n[1:-1] > 0) & own[1:-1]) + 1
     keys = (n[middle - 1] << 42) | (n[middle] << 21) | n[middle + 1]
-    return np.searchsorted(ends, middle - 2, "right"), keys
-
-
-def _portions(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    at = 0
-    while at < len(texts):
-        part, size = [], 0
-        while at + len(part) < len(texts) and size < _BLOCK:
-            part.append(texts[at + len(part)] or "")
-            size += len(part[-1])
-        yield at, part
-        at += len(part)
+    return np.array([p[0] for p in pieces])[np.searchsorted(ends, middle - 2, "right")], keys
+
+
+def bundles(texts: list[str], of: np.ndarray, groups: int) -> np.ndarray:
+    """The summed trigram vectors of each group of texts (``of``: a text's group). Only ``TRIGRAMS`` vectors are bound at once."""
+    out = np.zeros((groups, DIMENSIONS))
+    for part in _portions(texts):
+        own, keys = trigrams(part)
+        if not len(keys):
+            continue
+        found, back = np.unique(keys, return_inverse=True)
+        here, place = np.unique(of[own], return_inverse=True)
+        for first in range(0, len(found), TRIGRAMS):
+            vectors = _letters().bind(found[first : first + TRIGRAMS])
+            width = max(1, (1 << 19) // len(vectors))
+            inside = slice(None) if len(found) <= TRIGRAMS else (back >= first) & (back < first + len(vectors))
+            row, column = place[inside], back[inside] - first
+            if len(here) > width:
+                order = np.argsort(row, kind="stable")
+                row, column = row[order], column[order]
+            for i in range(0, len(here), width):
+                rows = min(width, len(here) - i)
+                span = slice(*np.searchsorted(row, [i, i + rows])) if len(here) > width else slice(None)
+                counts = np.bincount((row[span] - i) * len(vectors) + column[span], minlength=rows * len(vectors))
+                out[here[i : i + rows]] += counts.reshape(rows, -1).astype(np.float32) @ vectors
+    return out
 
 
 def held_out(doc_id: Column) -> Column:
@@ -102,19 +138,11 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs = batch.column(1).to_pylist()
-            for at, part in _portions(batch.column(0).to_pylist()):
-                own, keys = trigrams(part)
-                if not len(keys):
-                    continue
-                found, back = np.unique(keys, return_inverse=True)
-                vectors = _letters().bind(found)
-                names = sorted(set(langs[at : at + len(part)]))
-                place = {x: i for i, x in enumerate(names)}
-                of = np.array([place[x] for x in langs[at : at + len(part)]])[own]
-                counts = np.bincount(of * len(found) + back, minlength=len(names) * len(found)).reshape(len(names), -1)
-                for name, v in zip(names, counts.astype(np.float32) @ vectors, strict=True):
-                    sums[name] = sums.get(name, 0.0) + v.astype(np.float64)
+            langs = batch.column(1).dictionary_encode()
+            names = langs.dictionary.to_pylist()
+            summed = bundles(batch.column(0).to_pylist(), langs.indices.to_numpy(), len(names))
+            for name, v in zip(names, summed, strict=True):
+                sums[name] = sums.get(name, 0.0) + v
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
@@ -146,25 +174,11 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             langs, scores = [NONE] * len(texts), np.zeros(len(texts))
-            for at, part in _portions(texts) if names else ():
-                own, keys = trigrams(part)
-                if not len(keys):
-                    continue
-                found, back = np.unique(keys, return_inverse=True)
-                vectors = _letters().bind(found)
-                # texts in order: counts of a few at a time against all vectors
-                bundle = np.empty((len(part), DIMENSIONS), np.float32)
-                edges = np.searchsorted(own, np.arange(len(part) + 1))
-                width = max(1, (1 << 19) // len(found))
-                for i in range(0, len(part), width):
-                    rows = min(width, len(part) - i)
-                    span = slice(edges[i], edges[i + rows])
-                    counts = np.bincount((own[span] - i) * len(found) + back[span], minlength=rows * len(found))
-                    bundle[i : i + rows] = counts.reshape(rows, -1).astype(np.float32) @ vectors
-                norms = np.linalg.norm(bundle.astype(np.float64), axis=1)
-                cosines = (bundle @ unit.T) / np.maximum(norms, 1e-12)[:, None]
+            for at in range(0, len(texts) if names else 0, ROWS):
+                bundle = bundles(own := texts[at : at + ROWS], np.arange(len(own)), len(own))
+                cosines = (bundle @ unit.T) / np.maximum(np.linalg.norm(bundle, axis=1), 1e-12)[:, None]
                 best = cosines.argmax(axis=1)
-                for j in np.flatnonzero(np.diff(edges)):
+                for j in np.flatnonzero(bundle.any(axis=1)).tolist():
                     langs[at + j] = names[best[j]]
                     scores[at + j] = min(1.0, max(0.0, (1.0 + float(cosines[j, best[j]])) / 2))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], [*batch.schema.names, "lang_pred", "score"])

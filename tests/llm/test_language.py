@@ -44,8 +44,44 @@ def test_nothing_to_learn(docs_of):
 
 
 def test_bundles_are_sums_of_bound_letters():
-    _, keys = language.trigrams(["Añb"])
     letters = language._letters()
-    codes = [letters.vectors[letters.numbers(np.array([ord(c)], np.uint32))[0]] for c in " añb "]
-    want = sum(np.roll(codes[i], 2) * np.roll(codes[i + 1], 1) * codes[i + 2] for i in range(3))
-    assert (letters.bind(keys).sum(axis=0) == want).all()
+
+    def vector(c):
+        number = letters.numbers(np.array([ord(c)], np.uint32))[0]
+        return letters.vectors[number].astype(int)
+
+    for text in ("Añb", "x", "one, Two  3 três"):
+        codes = [vector(c) for c in f" {text.lower()} "]
+        want = sum(np.roll(codes[i - 1], 2) * np.roll(codes[i], 1) * codes[i + 1] for i in range(1, len(codes) - 1) if f" {text.lower()} "[i].isalpha())
+        assert (language.bundles([text], np.zeros(1, int), 1)[0] == want).all()
+
+
+def test_long_texts_in_pieces_equal_whole_ones(monkeypatch):
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice("abcdeÄ語、 \nΣ") for _ in range(n)) for n in (0, 1, 2, 700, 3000, 40)] + [None]
+    of = np.array([0, 1, 2, 3, 3, 0, 1])
+    whole = language.bundles(texts, of, 4)
+    monkeypatch.setattr(language, "BLOCK", 37)
+    monkeypatch.setattr(language, "TRIGRAMS", 5)
+    assert (language.bundles(texts, of, 4) == whole).all() and whole[3].any()
+
+
+def test_learn_and_predict_equal_brute_force(docs_of):
+    rows = _rows(90)
+    vectors: dict = {}
+    letter = lambda c: vectors.setdefault(c, np.random.default_rng([language.SEED, ord(c) if c.isalpha() else 0]).integers(0, 2, language.DIMENSIONS) * 2 - 1)
+
+    def bundled(text):
+        t = f" {text.lower()} "
+        return sum((np.roll(letter(t[i - 1]), 2) * np.roll(letter(t[i]), 1) * letter(t[i + 1]) for i in range(1, len(t) - 1) if t[i].isalpha()), np.zeros(language.DIMENSIONS))
+
+    sums = {x: sum(bundled(t) for _, t, _, lang in rows if lang == x) for x in "abc"}
+    unit = {x: v / np.linalg.norm(v) for x, v in sums.items()}
+    shared = sum(unit.values()) / 3
+    less = {x: v - (v @ shared) / (shared @ shared) * shared for x, v in unit.items()}
+    got = language.predict(docs_of(rows), language.learn(docs_of(rows).select("text", "lang"))).collect()
+    for r in got:
+        b = bundled(r.text)
+        cosines = {x: b @ v / np.linalg.norm(v) / np.linalg.norm(b) for x, v in less.items()}
+        best = max(cosines, key=cosines.get)
+        assert r.lang_pred == best and abs(r.score - (1 + cosines[best]) / 2) < 1e-5
