@@ -111,6 +111,6 @@ def occurrences(value: Column, term: Column) -> Column:
 
 
 def lifecycle(before_status: Column, after_status: Column, before_next: Column, after_next: Column) -> Column:
-    """archived or retired by a new status, superseded by a new successor, else updated."""
+    """archived where the status has become archived or retired, superseded by a new successor, else updated."""
     changed = ~before_status.eqNullSafe(after_status)
-    return F.when(changed & after_status.isin("archived", "retired"), after_status).when(after_next.isNotNull() & ~before_next.eqNullSafe(after_next), F.lit("superseded")).otherwise("updated")
+    return F.when(changed & after_status.isin("archived", "retired"), "archived").when(after_next.isNotNull() & ~before_next.eqNullSafe(after_next), "superseded").otherwise("updated")

@@ -1,7 +1,8 @@
 """Rule-based audit: one frame of findings a class, all with the same columns.
 
-Columns: class, classification, severity, uris (array, in order), evidence (array of strings). Filters restrict which
-pages are reported; links are always taken from all pages."""
+Columns: class, classification (authored, fact or candidate), severity, confidence, author_decision (whether an author is
+to decide), uris (array, sorted), evidence (array of strings). Filters restrict which pages are reported; links are always
+taken from all pages."""
 
 from __future__ import annotations
 
@@ -12,13 +13,16 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions import times
+from quillspark.operators import graph
 
+RETIRED = ("archived", "retired")
 SEVERITIES = ("high", "medium", "low")
 
 
-def _found(frame: DataFrame, name: str, classification: str, severity: str | Column, uris: Column, evidence: Column) -> DataFrame:
-    severity = F.lit(severity) if isinstance(severity, str) else severity
-    return frame.select(F.lit(name).alias("class"), F.lit(classification).alias("classification"), severity.alias("severity"), uris.alias("uris"), evidence.alias("evidence"))
+def _found(frame: DataFrame, name: str | Column, classification: str, severity: str | Column, uris: Column, evidence: Column, confidence: str = "high") -> DataFrame:
+    name, severity = (F.lit(c) if isinstance(c, str) else c for c in (name, severity))
+    facts = (name.alias("class"), F.lit(classification).alias("classification"), severity.alias("severity"), F.lit(confidence).alias("confidence"))
+    return frame.select(*facts, F.lit(classification == "candidate").alias("author_decision"), F.array_sort(uris).alias("uris"), evidence.alias("evidence"))
 
 
 def selected(pages: DataFrame, types: tuple[str, ...] = (), tiers: tuple[str, ...] = ()) -> DataFrame:
@@ -35,7 +39,7 @@ def authored(pages: DataFrame) -> DataFrame:
     names = F.concat(F.lit("authored_"), F.col("kind"))
     severity = F.when(F.col("kind") == "incorrect", "high").otherwise("medium")
     uris = F.array_compact(F.array("uri", "target_uri"))
-    own = marks.select(names.alias("class"), F.lit("authored").alias("classification"), severity.alias("severity"), uris.alias("uris"), F.array("reason").alias("evidence"))
+    own = _found(marks, names, "authored", severity, uris, F.array("reason"))
     broken = marks.where("target IS NOT NULL AND target_uri IS NULL")
     return own.unionByName(_found(broken, "broken_maintenance_target", "fact", "high", F.array("uri"), F.array("target")))
 
@@ -48,21 +52,33 @@ def orphans(pages: DataFrame, edges: DataFrame, entry_points: DataFrame | None =
     return _found(kept, "orphan", "fact", "medium", F.array("uri"), F.array(F.lit("0")))
 
 
-def superseded(chains: DataFrame) -> DataFrame:
-    """Broken, cyclic and non-current successions, from ``graph.supersession``."""
-    broken = _found(chains.where("status = 'missing_target'"), "broken_supersession", "fact", "high", F.array("uri"), F.col("chain"))
-    members = chains.where("status = 'cycle'").select(F.array_sort(F.slice("chain", 1, F.size("chain") - 1)).alias("members")).distinct()
-    cyclic = _found(members, "cyclic_supersession", "fact", "high", F.col("members"), F.col("members"))
-    later = chains.where("status = 'current' AND size(chain) > 2")
-    return broken.unionByName(cyclic).unionByName(_found(later, "non_current_supersession", "fact", "high", F.array("uri", "last"), F.col("chain")))
-
-
-def retired_references(edges: DataFrame, trust: DataFrame, retired: tuple[str, ...] = ("archived", "retired")) -> DataFrame:
-    """Active pages that refer to a retired one; each pair once."""
+def superseded(succession: DataFrame, trust: DataFrame, reported: DataFrame | None = None, hops: int = 32) -> DataFrame:
+    """Successors that resolve to nothing, cycles, and successors that are retired or succeeded themselves.
+
+    ``succession``: (uri, next, authored) of all pages; ``trust``: (uri, status); ``reported``: (uri) restricts the findings.
+    Only a page whose own successor is not there is broken, not those before it. Pages that lead into one cycle from
+    outside it give a finding of their own, as their way is another; a page on such a way is not judged further."""
+    own = succession.where("authored IS NOT NULL")
+    if reported is not None:
+        own = own.join(reported.select("uri"), "uri", "left_semi")
+    broken = _found(own.where("next IS NULL"), "broken_supersession", "fact", "high", F.array("uri"), F.array("authored"))
+    cyclic = graph.supersession(succession, hops).where("status = 'cycle'").join(own.where("next IS NOT NULL").select("uri"), "uri", "left_semi")
+    members = F.when(F.element_at("chain", 1) == F.element_at("chain", -1), F.slice("chain", 1, F.size("chain") - 1)).otherwise(F.col("chain"))
+    ways = cyclic.select(F.array_sort(members).alias("members")).distinct()
+    loops = _found(ways, "cyclic_supersession", "fact", "high", F.col("members"), F.col("members"))
+    facts = succession.select(F.col("uri").alias("next"), F.col("authored").alias("n_authored")).join(trust.select(F.col("uri").alias("next"), "status"), "next", "left")
+    met = own.join(cyclic.select("uri"), "uri", "left_anti").join(facts, "next").where(F.col("status").isin(*RETIRED) | F.col("n_authored").isNotNull())
+    later = _found(met, "non_current_supersession", "fact", "high", F.array("uri", "next"), F.array(F.coalesce("status", F.lit(""))))
+    return broken.unionByName(loops).unionByName(later)
+
+
+def retired_references(edges: DataFrame, trust: DataFrame, retired: tuple[str, ...] = RETIRED) -> DataFrame:
+    """Pages not retired that refer to a retired one, for each relation but succession."""
     status = lambda side: trust.select(F.col("uri").alias(f"{side}_uri"), F.col("status").alias(f"{side}_status"))
-    met = edges.select("from_uri", "to_uri").distinct().join(status("from"), "from_uri").join(status("to"), "to_uri")
-    hit = met.where(F.col("to_status").isin(*retired) & ~F.coalesce(F.col("from_status").isin(*retired), F.lit(False)))
-    return _found(hit, "active_reference_retired", "fact", "high", F.array("from_uri", "to_uri"), F.array("to_status"))
+    named = edges.where("relation <> 'superseded_by'").select("from_uri", "to_uri", "relation").distinct()
+    met = named.join(status("to").where(F.col("to_status").isin(*retired)), "to_uri").join(status("from"), "from_uri", "left")
+    hit = met.where(~F.coalesce(F.col("from_status").isin(*retired), F.lit(False)))
+    return _found(hit, "active_reference_retired", "fact", "high", F.array("from_uri", "to_uri"), F.array("from_uri", "relation", "to_uri", "to_status"))
 
 
 def duplicate_identities(pages: DataFrame, marked: DataFrame | None = None) -> DataFrame:
@@ -75,7 +91,7 @@ def duplicate_identities(pages: DataFrame, marked: DataFrame | None = None) -> D
         pairs = marked.select("from_uri", "to_uri")
         member = keyed.select("type", "identity", F.col("uri").alias("from_uri")).join(pairs, "from_uri").join(keyed.select(F.col("type").alias("t2"), F.col("identity").alias("i2"), F.col("uri").alias("to_uri")), "to_uri")
         groups = groups.join(member.where("t2 <=> type AND i2 = identity").select("type", "identity").distinct(), ["type", "identity"], "left_anti")
-    return _found(groups, "duplicate_identity", "candidate", "low", F.col("uris"), F.array("identity"))
+    return _found(groups, "duplicate_identity", "candidate", "low", F.col("uris"), F.array("identity"), "medium")
 
 
 def tag_fragments(pages: DataFrame) -> DataFrame:
@@ -88,13 +104,13 @@ def tag_fragments(pages: DataFrame) -> DataFrame:
 def ambiguities(pages: DataFrame) -> DataFrame:
     """Pages with claims (array of structs kind, line, column) that are marked ambiguous."""
     marked = pages.withColumn("hits", F.filter("claims", lambda c: c["kind"] == "ambiguous")).where(F.size("hits") > 0)
-    return _found(marked, "ambiguity", "fact", "medium", F.array("uri"), F.transform("hits", lambda c: F.concat_ws(":", c["line"].cast("string"), c["column"].cast("string"))))
+    return _found(marked, "ambiguity", "candidate", "medium", F.array("uri"), F.transform("hits", lambda c: F.concat_ws(":", c["line"].cast("string"), c["column"].cast("string"))))
 
 
 def contradictions(edges: DataFrame) -> DataFrame:
     """Pairs of pages one of which contradicts the other, each pair once."""
     pairs = edges.where("relation = 'contradicts'").select(F.least("from_uri", "to_uri").alias("a"), F.greatest("from_uri", "to_uri").alias("b")).distinct()
-    return _found(pairs, "contradiction", "fact", "high", F.array("a", "b"), F.array(F.lit("contradicts")))
+    return _found(pairs, "contradiction", "candidate", "high", F.array("a", "b"), F.array(F.lit("contradicts")))
 
 
 def contradiction_lists(edges: DataFrame) -> DataFrame:
@@ -104,13 +120,15 @@ def contradiction_lists(edges: DataFrame) -> DataFrame:
 
 
 def stale(pages: DataFrame, now: str, after: str) -> tuple[DataFrame, DataFrame]:
-    """Findings of pages older than a duration at a given time, and (uri, reason) of pages without a readable time."""
-    seen = times.staleness_time(*[F.col(c) for c in ("observed_at", "valid_until", "valid_from", "occurred_at", "committed_at")])
-    aged = pages.withColumn("seen", seen)
+    """Findings of pages older than a duration at a given time, with the field that tells it, and (uri, reason) of pages
+    without a readable time."""
+    fields = ("observed_at", "valid_until", "valid_from", "occurred_at", "committed_at")
+    field = F.coalesce(*[F.when(times.instant_or_date(F.col(c)).isNotNull(), F.lit(c)) for c in fields])
+    aged = pages.withColumns({"seen": times.staleness_time(*[F.col(c) for c in fields]), "seen_in": field})
     limit = times.seconds_of(after)
     old = aged.where(F.lit(now).cast("timestamp").cast("double") - F.col("seen").cast("double") > limit)
     unknown = aged.where("seen IS NULL").select("uri", F.lit("timestamp_unknown").alias("reason"))
-    return _found(old, "stale", "candidate", "medium", F.array("uri"), F.array(F.date_format("seen", "yyyy-MM-dd'T'HH:mm:ss'Z'"))), unknown
+    return _found(old, "stale", "candidate", "medium", F.array("uri"), F.array(F.date_format("seen", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "seen_in")), unknown
 
 
 def finding_id(frame: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def neighbours(edges: DataFrame, uri: str, direction: str = "both", relations: t
     sides = {"out": F.col("from_uri") == uri, "in": F.col("to_uri") == uri}
     touched = kept.where(sides[direction] if direction in sides else sides["out"] | sides["in"])
     first = Window.partitionBy("from_uri", "to_uri", "relation").orderBy("raw")
-    return touched.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+    return touched.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n").orderBy("from_uri", "to_uri", "relation")
 
 
 def bounded(frame: DataFrame, order: list, limit: int) -> DataFrame:

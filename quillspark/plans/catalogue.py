@@ -210,14 +210,18 @@ def graph_ego2(spark, d):
 _NEXT = "chain AS (SELECT doc_id, CASE WHEN doc_id % 10 IN (1, 2, 3) THEN doc_id + 1 WHEN doc_id % 10 = 5 THEN doc_id + 1 WHEN doc_id % 10 = 6 THEN doc_id - 1 WHEN doc_id % 10 = 8 THEN -1 END AS authored FROM documents), known AS (SELECT c.doc_id, c.authored, k.doc_id AS next FROM chain c LEFT JOIN documents k ON k.doc_id = c.authored)"
 
 
-def _succession(spark, d):
-    """Chains of up to three, loops of two and broken ends, by the last digit of doc_id."""
+def _successors(spark, d):
+    """(uri, next, authored): chains of up to three, loops of two and broken ends, by the last digit of doc_id."""
     last = F.col("doc_id") % 10
     authored = F.when(last.isin(1, 2, 3, 5), F.col("doc_id") + 1).when(last == 6, F.col("doc_id") - 1).when(last == 8, F.lit(-1).cast("long"))
     pages = V.table(spark, d, "documents").select("doc_id", authored.alias("authored"))
     known = pages.select(F.col("doc_id").alias("next"))
     met = pages.join(known, F.col("authored") == F.col("next"), "left")
-    return graph.supersession(met.select(F.col("doc_id").cast("string").alias("uri"), F.col("next").cast("string").alias("next"), F.col("authored").cast("string").alias("authored")))
+    return met.select(F.col("doc_id").cast("string").alias("uri"), F.col("next").cast("string").alias("next"), F.col("authored").cast("string").alias("authored"))
+
+
+def _succession(spark, d):
+    return graph.supersession(_successors(spark, d))
 
 
 _WALK = f"""WITH RECURSIVE {_NEXT}, walk AS (SELECT doc_id AS uri, [doc_id] AS chain, next, authored, NULL::VARCHAR AS status FROM known WHERE authored IS NOT NULL
@@ -235,6 +239,20 @@ def supersession_cycle(spark, d):
     return graph.cycles(_succession(spark, d)).select(F.array_join("members", ",").alias("members"))
 
 
+_RETIRED_DOCS = "rated AS (SELECT doc_id, CASE WHEN max(toxic) = 1 THEN 'retired' ELSE 'active' END AS status FROM labels GROUP BY doc_id)"
+
+
+@query(_WALK + f""", {_RETIRED_DOCS}, ways AS (SELECT uri, CASE WHEN chain[1] = chain[-1] THEN chain[:-2] ELSE chain END AS members FROM walk WHERE status = 'cycle')
+SELECT 'broken_supersession' AS class, doc_id::VARCHAR AS uris FROM known WHERE authored IS NOT NULL AND next IS NULL
+UNION ALL SELECT DISTINCT 'cyclic_supersession', array_to_string(list_sort(list_transform(members, lambda m: m::VARCHAR)), ',') FROM ways
+UNION ALL SELECT 'non_current_supersession', array_to_string(list_sort([k.doc_id::VARCHAR, n.doc_id::VARCHAR]), ',') FROM known k JOIN known n ON n.doc_id = k.next LEFT JOIN rated r ON r.doc_id = n.doc_id
+  WHERE k.doc_id NOT IN (SELECT uri FROM ways) AND (r.status = 'retired' OR n.authored IS NOT NULL)""")
+def audit_superseded(spark, d):
+    """Broken, cyclic and non-current successions; rated documents that are toxic are retired."""
+    rated = V.table(spark, d, "labels").groupBy(F.col("doc_id").cast("string").alias("uri")).agg(F.when(F.max("toxic") == 1, "retired").otherwise("active").alias("status"))
+    return audit.superseded(_successors(spark, d), rated).select("class", F.array_join("uris", ",").alias("uris"))
+
+
 # ---- vectors
 
 
@@ -342,14 +360,19 @@ def audit_tag_fragmentation(spark, d):
     return audit.tag_fragments(V.identities(spark, d)).select(F.array_join("evidence", "|").alias("spellings"), F.size("uris").cast("long").alias("pages"))
 
 
-_SAME_SOURCE = "links AS (SELECT 'kb://corpus/' || a.source || '/' || a.doc_id || '.md' AS from_uri, 'kb://corpus/' || b.source || '/' || b.doc_id || '.md' AS to_uri, CASE WHEN a.doc_id % 4 = 0 THEN 'contradicts' ELSE 'links_to' END AS relation FROM documents a JOIN documents b ON b.doc_id = (a.doc_id * 7 + 3) % 1000)"
+_SAME_SOURCE = "links AS (SELECT 'kb://corpus/' || a.source || '/' || a.doc_id || '.md' AS from_uri, 'kb://corpus/' || b.source || '/' || b.doc_id || '.md' AS to_uri, CASE WHEN a.doc_id % 4 = 0 THEN 'contradicts' ELSE 'links_to' END AS relation FROM documents a JOIN documents b ON b.doc_id = (a.doc_id * 7 + 3) % (SELECT max(doc_id) + 1 FROM documents))"
+
+
+def _other(docs):
+    """The document that one links to, by number, among all there are."""
+    return (F.col("doc_id") * 7 + 3) % F.lit(docs.agg(F.max("doc_id")).first()[0] + 1)
 
 
 def _doc_links(spark, d):
     """A link from each document to one other, by doc_id."""
     docs = V.table(spark, d, "documents").select("doc_id", F.concat(F.lit("kb://corpus/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("uri"))
     other = docs.select(F.col("doc_id").alias("o_id"), F.col("uri").alias("to_uri"))
-    return docs.join(other, (F.col("doc_id") * 7 + 3) % 1000 == F.col("o_id")).select(F.col("uri").alias("from_uri"), "to_uri", F.when(F.col("doc_id") % 4 == 0, "contradicts").otherwise("links_to").alias("relation"))
+    return docs.join(other, _other(docs) == F.col("o_id")).select(F.col("uri").alias("from_uri"), "to_uri", F.when(F.col("doc_id") % 4 == 0, "contradicts").otherwise("links_to").alias("relation"))
 
 
 @query(f"WITH {_SAME_SOURCE} SELECT DISTINCT least(from_uri, to_uri) || ' ' || greatest(from_uri, to_uri) AS pair FROM links WHERE relation = 'contradicts'")
@@ -362,10 +385,20 @@ def trust_contradiction_lists(spark, d):
     return audit.contradiction_lists(_doc_links(spark, d)).select("uri", F.array_join("others", " ").alias("others"))
 
 
-@query(f"WITH {_SAME_SOURCE}, {V.DOC_TRUST} SELECT DISTINCT from_uri, to_uri FROM links JOIN doc_trust a ON a.uri = from_uri JOIN doc_trust b ON b.uri = to_uri WHERE a.status <> 'retired' AND b.status = 'retired'")
+_STATUS = "status AS (SELECT uri, status FROM doc_trust)"
+_REFERENCES = "every AS (SELECT * FROM links UNION SELECT from_uri, to_uri, 'superseded_by' FROM links WHERE relation = 'contradicts'), refs AS (SELECT DISTINCT from_uri, relation, to_uri FROM every JOIN status b ON b.uri = to_uri LEFT JOIN status a ON a.uri = from_uri WHERE relation <> 'superseded_by' AND b.status IN ('archived', 'retired') AND coalesce(a.status, '') NOT IN ('archived', 'retired'))"
+
+
+def _all_links(spark, d):
+    """The documents' links, and a succession beside each contradiction."""
+    links = _doc_links(spark, d)
+    return links.unionByName(links.where("relation = 'contradicts'").withColumn("relation", F.lit("superseded_by")))
+
+
+@query(f"WITH {_SAME_SOURCE}, {V.DOC_TRUST}, {_STATUS}, {_REFERENCES} SELECT from_uri, relation, to_uri FROM refs")
 def audit_active_ref_retired(spark, d):
-    found = audit.retired_references(_doc_links(spark, d), V.doc_trust(spark, d).select("uri", "status"))
-    return found.select(F.col("uris")[0].alias("from_uri"), F.col("uris")[1].alias("to_uri"))
+    found = audit.retired_references(_all_links(spark, d), V.doc_trust(spark, d).select("uri", "status"))
+    return found.select(F.col("evidence")[0].alias("from_uri"), F.col("evidence")[1].alias("relation"), F.col("evidence")[2].alias("to_uri"))
 
 
 _SEEN = "coalesce(CASE WHEN length(observed_at) = 10 THEN observed_at || 'T00:00:00Z' ELSE observed_at END, valid_until, valid_from)"
@@ -384,19 +417,19 @@ def audit_page(spark, d):
     return audit.page_of(every, 20, 50).select(F.array_join("uris", " ").alias("pair"))
 
 
-@query(f"""WITH {_SAME_SOURCE}, {V.DOC_TRUST} SELECT class, count(*) AS findings FROM (SELECT DISTINCT 'contradiction' AS class, least(from_uri, to_uri) AS a, greatest(from_uri, to_uri) AS b FROM links WHERE relation = 'contradicts'
-UNION ALL SELECT DISTINCT 'active_reference_retired', from_uri, to_uri FROM links JOIN doc_trust a ON a.uri = from_uri JOIN doc_trust b ON b.uri = to_uri WHERE a.status <> 'retired' AND b.status = 'retired'
+@query(f"""WITH {_SAME_SOURCE}, {V.DOC_TRUST}, {_STATUS}, {_REFERENCES} SELECT class, count(*) AS findings FROM (SELECT DISTINCT 'contradiction' AS class, least(from_uri, to_uri) AS a, greatest(from_uri, to_uri) AS b FROM links WHERE relation = 'contradicts'
+UNION ALL SELECT 'active_reference_retired', from_uri, to_uri FROM refs
 UNION ALL SELECT 'orphan', uri, '' FROM doc_trust WHERE uri NOT IN (SELECT to_uri FROM links)) GROUP BY class""")
 def audit_counts(spark, d):
     links, trust = _doc_links(spark, d), V.doc_trust(spark, d)
-    every = audit.ordered(audit.contradictions(links), audit.retired_references(links, trust.select("uri", "status")), audit.orphans(trust, links))
+    every = audit.ordered(audit.contradictions(links), audit.retired_references(_all_links(spark, d), trust.select("uri", "status")), audit.orphans(trust, links))
     return every.groupBy("class").agg(F.count("*").alias("findings"))
 
 
 # ---- revisions and changes
 
 
-_LIFE = "CASE WHEN {s0} IS DISTINCT FROM {s1} AND {s1} IN ('archived', 'retired') THEN {s1} WHEN {n1} IS NOT NULL AND {n0} IS DISTINCT FROM {n1} THEN 'superseded' ELSE 'updated' END"
+_LIFE = "CASE WHEN {s0} IS DISTINCT FROM {s1} AND {s1} IN ('archived', 'retired') THEN 'archived' WHEN {n1} IS NOT NULL AND {n0} IS DISTINCT FROM {n1} THEN 'superseded' ELSE 'updated' END"
 
 
 @query(f"WITH {V.REVISIONS} SELECT path, ordinal, CASE WHEN row_number() OVER w = 1 THEN 'added' ELSE {_LIFE.format(s0='lag(status) OVER w', s1='status', n0='lag(successor) OVER w', n1='successor')} END AS class FROM revisions WINDOW w AS (PARTITION BY path ORDER BY ordinal)")
@@ -549,7 +582,7 @@ def graph_path_status(spark, d):
     return spark.createDataFrame([(found["status"], " ".join(found["nodes"]), " ".join(found["relations"]))], "status string, path string, relations string")
 
 
-@query("""WITH o AS (SELECT a.doc_id, a.source, b.doc_id AS o_id, b.source AS o_source, a.doc_id % 3 AS k FROM documents a LEFT JOIN documents b ON b.doc_id = (a.doc_id * 7 + 3) % 1000)
+@query("""WITH o AS (SELECT a.doc_id, a.source, b.doc_id AS o_id, b.source AS o_source, a.doc_id % 3 AS k FROM documents a LEFT JOIN documents b ON b.doc_id = (a.doc_id * 7 + 3) % (SELECT max(doc_id) + 1 FROM documents))
 SELECT 'kb://corpus/' || source || '/' || doc_id || '.md' AS from_uri, CASE WHEN k < 2 AND o_id IS NOT NULL THEN 'kb://corpus/' || o_source || '/' || o_id || '.md' END AS to_uri FROM o""")
 def vault_resolve_links(spark, d):
     """Absolute links, relative ones without extension, and links to nothing, resolved to pages."""
@@ -557,7 +590,7 @@ def vault_resolve_links(spark, d):
 
     pages = V.table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("stem"))
     other = pages.select(F.col("doc_id").alias("o_id"), F.col("stem").alias("o_stem"))
-    met = pages.join(other, (F.col("doc_id") * 7 + 3) % 1000 == F.col("o_id"), "left")
+    met = pages.join(other, _other(pages) == F.col("o_id"), "left")
     raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("/"), "o_stem", F.lit(".md"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("../"), "o_stem"))
     known = met.select(F.concat("stem", F.lit(".md")).alias("path"), F.concat(F.lit("kb://corpus/"), "stem", F.lit(".md")).alias("uri"), F.coalesce(raw, F.lit("nowhere.md")).alias("raw"))
     return vault.resolve(known.select("path", "uri"), known.select(F.col("uri").alias("from_uri"), "raw", F.lit(0).alias("ord"))).select("from_uri", "to_uri")

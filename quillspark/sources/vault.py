@@ -276,7 +276,7 @@ def knowledge_audit(pages: DataFrame, types: tuple[str, ...] = (), tiers: tuple[
     both = links.join(chosen.withColumnRenamed("uri", "from_uri"), "from_uri", "left_semi")
     picked = of(pages)
     found = [
-        audit.authored(of(marks(pages))), audit.orphans(picked, links, entry_points), audit.superseded(of(graph.supersession(succession(pages)))),
+        audit.authored(of(marks(pages))), audit.orphans(picked, links, entry_points), audit.superseded(succession(pages), facts, chosen),
         audit.retired_references(both, facts), audit.duplicate_identities(picked), audit.tag_fragments(picked), audit.ambiguities(picked), audit.contradictions(both),
     ]
     if now and after:
