@@ -1,9 +1,10 @@
-"""Connected components of an edge table, by local contraction and alternating stars.
+"""Connected components of an edge table, by contraction in tasks and pointer jumping.
 
-Each round first joins what the edges of one partition connect (union-find in the task, edges to the least node). Then
-every node's larger neighbours, then the node itself and its smaller ones, are pointed at the least node around. Both
-steps are a minimum by node (pre-aggregated) and a join, so that a node with a third of all edges is neither gathered in
-one group nor sent to one task. Rounds end when each node has one edge, to the least node of its component."""
+Edges (u, v) point from a larger node to a smaller one. Each round joins what the edges of one task connect (union-find,
+edges to the least node at hand): first as the table is read, so that a node has at most one edge a task, then with all
+edges up from a node in one task. Then each edge jumps to the least parent of its upper end, a minimum by node
+(pre-aggregated) and a join. So a node with a third of all edges is neither gathered in one group nor sent to one task.
+Rounds end when each node has one edge, to the least node of its component."""
 
 from __future__ import annotations
 
@@ -13,10 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.tables import written
+from quillspark.llm.tables import partitions, removed, written
 
 #: Edges that a task contracts at once, so that its memory stays bounded.
 EDGES = 1 << 20
+EDGE = "u long, v long"
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,17 +45,12 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield stars()
 
 
-def _large(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v")
-    least = down.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-    met = down.join(least, F.col("u") == F.col("k"))
-    return met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v"))).where("u > v").distinct()
+def _round(edges: DataFrame) -> DataFrame:
+    spark = edges.sparkSession
+    near = edges.mapInArrow(_contract, EDGE)
+    hooked = near.repartition(partitions(spark), "u").mapInArrow(_contract, EDGE)
+    least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
+    return hooked.join(least, F.col("v") == F.col("k"), "left").select("u", F.coalesce("m", "v").alias("v"))
 
 
 def _done(edges: DataFrame) -> bool:
@@ -64,7 +61,8 @@ def _done(edges: DataFrame) -> bool:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v) that is not the least of its component."""
-    now = written(edges.select("u", "v").where("u <> v").mapInArrow(_contract, "u long, v long").distinct(), "stars")
+    now = written(_round(edges.select("u", "v").where("u <> v")), "stars")
     while not _done(now):
-        now = written(_small(_large(now)).mapInArrow(_contract, "u long, v long").distinct(), "stars")
+        now, last = written(_round(now), "stars"), now
+        removed(last)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -33,16 +33,14 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import words
 from quillspark.llm.components import components
-from quillspark.llm.tables import partitions, table, written
+from quillspark.llm.tables import partitions, removed, small, table, written
 
 SHINGLE, PERCENT = 5, 80
 CELL, FANOUT, MOST_BITS = 1024, 16, 8192
@@ -73,15 +71,19 @@ def rarity(docs: DataFrame, k: int) -> np.ndarray:
             for _, sets in shingle_sets(batch.column(0), k):
                 total += np.bincount((np.concatenate(sets) >> _U(64 - _BITS)).astype(np.int64), minlength=1 << _BITS)
         parts = [total[i : i + _PART].tobytes() for i in range(0, 1 << _BITS, _PART)]
-        salt = TaskContext.get().partitionId() % 64
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([salt] * len(parts), pa.int32()), pa.array(parts, pa.binary())], names=["part", "salt", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
 
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": frame["part"][:1], "salt": frame["salt"][:1], "counts": [np.sum([np.frombuffer(c, np.int64) for c in frame["counts"]], axis=0).tobytes()]})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(counts.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
 
-    schema = "part int, salt int, counts binary"
+    schema, n = "part int, counts binary", 1 << _BITS
     counted = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, schema)
-    parts = counted.groupBy("part", "salt").applyInPandas(add, schema).groupBy("part").applyInPandas(add, schema).select("part", "counts").collect()
+    # a row a task and part: the sums are as even as the tasks, and of fixed size
+    parts = counted.repartition(min(partitions(docs.sparkSession), n // _PART), "part").mapInArrow(add, schema).collect()
     total = np.zeros(1 << _BITS, np.int64)
     for part, counts in parts:
         total[part * _PART : (part + 1) * _PART] = np.frombuffer(counts, np.int64)
@@ -439,27 +441,29 @@ def _round(nodes: DataFrame, docs: DataFrame, comps: DataFrame | None, few: bool
     known = nodes.select("node", "firsts").withColumn("comp", F.col("node"))
     if comps is not None:
         known = known.drop("comp").join(comps.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left").withColumn("comp", F.coalesce("component", "node"))
-    met = _in_cells(known.select("node", "comp", F.explode(firsts).alias("token")), "token", None, every)
+    met = written(_in_cells(known.select("node", "comp", F.explode(firsts).alias("token")), "token", None, every), "postings")
     signed = nodes.select(F.col("node").alias("s_node"), "n", "bits")
     full = met.join(signed, F.col("node") == F.col("s_node")).select("token", "cell", "side", "node", "comp", "n", "bits", F.col("parts") > 1)
     dealt = full.repartition(partitions(spark), "token", "cell").sortWithinPartitions("token", "cell")
     found = written(dealt.mapInArrow(_search(percent), MET).distinct(), "met")
+    removed(met)
     split = not every and not found.where("split").isEmpty()
-    found = found.where("NOT split")
-    clusters = components(found.select(F.col("comp").alias("u"), F.col("root").alias("v")).distinct())
-    active = found.select("node", "comp").distinct().join(clusters.withColumnRenamed("node", "k_comp"), F.col("comp") == F.col("k_comp"), "left")
+    pairs = found.where("NOT split")
+    clusters = components(pairs.select(F.col("comp").alias("u"), F.col("root").alias("v")))
+    active = pairs.select("node", "comp").distinct().join(clusters.withColumnRenamed("node", "k_comp"), F.col("comp") == F.col("k_comp"), "left")
     named = nodes.select(F.col("node").alias("n_node"), "n", "rep")
     placed = active.select("node", "comp", F.coalesce("component", "comp").alias("cluster")).join(named, F.col("node") == F.col("n_node")).drop("n_node")
     placed = written(_in_cells(placed, "cluster", "n", every), "placed")
     links = written(_texts(placed, docs).repartition(partitions(spark), "cluster", "cell").sortWithinPartitions("cluster", "cell").mapInArrow(_verify(k, percent), "u long, v long"), "links")
-    return links, split or not every and not placed.where("parts > 1").isEmpty()
+    split = split or not every and not placed.where("parts > 1").isEmpty()
+    removed(found, placed)
+    return links, split
 
 
 def _texts(placed: DataFrame, docs: DataFrame) -> DataFrame:
     """(cluster, cell, side, node, comp, text): each placed node with the text of the row that stands for it."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("hash")).alias("d_rep"), "text")
-    needed = placed.select("rep").distinct()
-    one = rows.join(needed, F.col("d_rep") == F.col("rep"), "left_semi").groupBy("d_rep").agg(F.first("text").alias("text"))
+    one = rows.join(small(placed.select("rep"), 48), F.col("d_rep") == F.col("rep"), "left_semi").groupBy("d_rep").agg(F.first("text").alias("text"))
     return placed.join(one, F.col("rep") == F.col("d_rep")).select("cluster", "cell", "side", "node", "comp", "text")
 
 
@@ -470,6 +474,8 @@ def linked_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
     full = signed.where("n > 0")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "hash"))
     nodes = written(full.groupBy("node").agg(F.min("doc_id").alias("id"), rep.alias("rep"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("firsts").alias("firsts"), F.first("bits").alias("bits")), "nodes")
+    named = written(signed.select("doc_id", "n", "node"), "rows")
+    removed(signed)
     links, _ = _round(nodes, docs, None, True, False, k, percent)
     comps = components(links)
     split, every = True, False
@@ -480,8 +486,8 @@ def linked_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
     of_node = nodes.select("node", "id", "n_copies").join(comps.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
     of_node = of_node.select("node", "id", "n_copies", F.coalesce("component", "node").alias("component"))
     least = of_node.groupBy("component").agg(F.min("id").alias("component_id")).withColumnRenamed("component", "l_component")
-    named = written(of_node.join(least, F.col("component") == F.col("l_component")).select(F.col("node").alias("w_node"), "component_id", "n_copies"), "components")
-    placed = signed.select("doc_id", "n", "node").join(named, (F.col("node") == F.col("w_node")) & (F.col("n") > 0), "left")
+    comp_of = written(of_node.join(least, F.col("component") == F.col("l_component")).select(F.col("node").alias("w_node"), "component_id", "n_copies"), "components")
+    placed = named.join(comp_of, (F.col("node") == F.col("w_node")) & (F.col("n") > 0), "left")
     return placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
 
 

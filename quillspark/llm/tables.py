@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -41,4 +43,28 @@ def written(frame: DataFrame, what: str) -> DataFrame:
         frame.write.parquet(path)
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
-    return spark.read.schema(frame.schema).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    _WRITTEN[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_WRITTEN: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def removed(*frames: DataFrame) -> None:
+    """Removes the files of tables made by ``written`` that nothing reads any more."""
+    for frame in frames:
+        known, path = _WRITTEN.pop(id(frame), (lambda: None, ""))
+        if known() is frame:
+            spark = frame.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+#: Keys of at most so many bytes are sent to every task; more of them are shuffled.
+BROADCAST = 64 << 20
+
+
+def small(keys: DataFrame, width: int) -> DataFrame:
+    """``keys``, a written table's rows of about ``width`` bytes, marked for broadcast if their number allows it."""
+    return F.broadcast(keys) if keys.count() * width <= BROADCAST else keys
