@@ -7,12 +7,16 @@ round every class of pieces, from the longest, sweeps to its successor, the leas
 are settled by rank (longer pieces first, and within a class by the rank of the piece), the gaps are updated, and the
 rounds go on until nothing is left. What no gap holds opens new sequences.
 
-Classes are at most ``capacity`` in number whatever the size of the data, so the sweep over them is small; Spark
-counts them, ranks every piece inside its class (salted, so that a class that holds a third of all rows is not one
-task's), and joins pieces with the ranges of ranks that the rounds gave out.
+There are at most ``capacity`` classes of pieces and as many of gaps, whatever the size of the data, so the sweeps run
+over classes, on the driver, and not over pieces; what they give out are places (a length, a range of ranks, a range of
+sequences), whose number levels off with the classes (28,000 for 500,000 pieces of 4,093 lengths). Spark counts the
+classes, ranks every piece inside its class (salted by the class's count, so that a class that holds a third of all rows
+is not one task's), and joins pieces with the places. The number of sequences is that of best fit on lengths in
+descending order where pieces are small against the capacity, and may be a few more where few lengths occur.
 
-Defined results: a null or empty text is the closing id alone; equal rows are packed one by one; an empty table gives
-an empty result; other columns stay out of the way."""
+Defined results: a null or empty text is the closing id alone; equal rows are packed one by one; a null or repeated
+doc_id is packed like any other; a very long text is encoded whole, in one task, and cut; an empty table gives an empty
+result; other columns stay out of the way."""
 
 from __future__ import annotations
 
@@ -32,7 +36,10 @@ from quillspark.llm.tables import partitions, table, written
 CAPACITY, END_ID = 4096, 1
 # Words whose ids a Python process keeps; it starts anew beyond that.
 KEPT_WORDS = 1_000_000
-_SALTS = 64
+#: Pieces of one length that one task ranks, about.
+_RANKED = 1 << 16
+#: Texts on which ids by word must equal ids of the whole, or every text is encoded whole.
+_PROBES = ("The quick (brown) fox's 12,5 % -- e.g. <tag> naïve ÜBER\tstraße!?\n\nfin.", "a", " a  b ", "don't x_y z--- ...", "日本 語 text, ок")
 # A word that ends in letters or digits of Latin-1, and the punctuation after it ("<" may begin a special token).
 _LETTERS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+")
 _TAIL = re.compile(r"([^<]*[a-z0-9\xdf-\xf6\xf8-\xff])([!-/:;=?@\[-`{-~]+)")
@@ -45,13 +52,15 @@ def _default_vocabulary() -> str:
 
 
 class WordIds:
-    """Ids of texts as little-endian 32-bit bytes. White space parts words for this tokenizer, so ids are kept by word."""
+    """Ids of texts as little-endian 32-bit bytes. Where white space parts words for the tokenizer, as probes tell, ids are
+    kept by word; else each text is encoded whole."""
 
     def __init__(self, path: str, kept: int = KEPT_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept, self.known = Tokenizer.from_file(path), kept, {"": b""}
+        self.by_word = list(self._by_word(list(_PROBES))) == list(self._whole(list(_PROBES)))
 
     def words(self, text: str) -> list[str]:
         try:
@@ -65,6 +74,13 @@ class WordIds:
         return text.split(" ")
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
+        return self._by_word(texts) if self.by_word else self._whole(texts)
+
+    def _whole(self, texts: list[str]) -> Iterator[bytes]:
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            yield np.array(e.ids, "<u4").tobytes()
+
+    def _by_word(self, texts: list[str]) -> Iterator[bytes]:
         split = [self.words(t) for t in texts]
         if len(self.known) > self.kept:
             self.known = {"": b""}
@@ -199,7 +215,8 @@ def packed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = found.sparkSession
     counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = spark.createDataFrame(rounds(counts, capacity), "at_length long, first_rank long, ranks long, first_sequence long, offset long")
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(_SALTS)))
+    sized = spark.createDataFrame([(n, -(-c // _RANKED)) for n, c in counts.items()], "s_length long, salts long")  # a row a class
+    salted = found.join(F.broadcast(sized), F.col("length") == F.col("s_length")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), "salts")).drop("s_length", "salts")
     before = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = before.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select(F.col("length").alias("b_length"), F.col("salt").alias("b_salt"), F.coalesce("before", F.lit(0)).alias("before"))
