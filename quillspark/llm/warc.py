@@ -67,8 +67,7 @@ class _Input:
         self.ended = False
         self.zipped = self._raw(2) == b"\x1f\x8b"
         self.unpacker = None
-        self.out = b""
-        self.left: int | None = None
+        self.out = bytearray()  # grows at its end and shrinks at its front without being copied
 
     def _fill(self, n: int) -> None:
         while len(self.held) - self.at < n and not self.ended:
@@ -108,15 +107,18 @@ class _Input:
                 if self.out.strip():
                     raise ValueError("a record's header ends early")
                 return None
-        whole, self.out = self.out[: found + len(mark)], self.out[found + len(mark) :]
+        return self._cut(found + len(mark))
+
+    def _cut(self, n: int) -> bytes:
+        whole = bytes(self.out[:n])
+        del self.out[:n]
         return whole
 
     def take(self, n: int) -> bytes:
         while len(self.out) < n:
             if not self._more():
                 raise ValueError("a record's block ends early")
-        whole, self.out = self.out[:n], self.out[n:]
-        return whole
+        return self._cut(n)
 
     def skip(self, n: int) -> None:
         """Passes n bytes without decoding them where that is possible."""
@@ -133,14 +135,14 @@ class _Input:
                     raise ValueError("a record's block has another length than its header says")
         elif not self.zipped and len(self.out) < n:
             self._forward(n - len(self.out))
-            self.out = b""
+            self.out.clear()
             return
         while n > len(self.out):
             n -= len(self.out)
-            self.out = b""
+            self.out.clear()
             if not self._more():
                 raise ValueError("a record's block ends early")
-        self.out = self.out[n:]
+        del self.out[:n]
 
     def _forward(self, n: int) -> None:
         have = len(self.held) - self.at
