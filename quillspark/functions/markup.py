@@ -237,25 +237,47 @@ def procedure(body: str) -> tuple[list[dict[str, str]], list[str]]:
     return [step(name, text.partition("\n")[2], 3) for _, name, text in numbered], problems
 
 
+# How a diff begins.
+DIFF_HEAD = ("--- current", "+++ candidate")
+
+
+def _shared_lengths(a: list[int], b: list[int]) -> list[int]:
+    """For each beginning of ``b`` the length of the longest subsequence that it shares with ``a``; one row is held."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        diagonal = 0
+        for k, y in enumerate(b, 1):
+            diagonal, row[k] = row[k], diagonal + 1 if x == y else max(row[k], row[k - 1])
+    return row
+
+
+def _kept(a: list[int], b: list[int], at: int, bt: int) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, found by halving ``a``, so that memory grows with the lines only."""
+    ends = min(len(a), len(b))
+    head = next((k for k in range(ends) if a[k] != b[k]), ends)
+    tail = next((k for k in range(ends - head) if a[-1 - k] != b[-1 - k]), ends - head)
+    pairs = [(at + k, bt + k) for k in range(head)]
+    own, other = a[head : len(a) - tail], b[head : len(b) - tail]
+    if len(own) == 1:
+        pairs += [(at + head, bt + head + other.index(own[0]))] if own[0] in other else []
+    elif own and other:
+        half = len(own) // 2
+        left, right = _shared_lengths(own[:half], other), _shared_lengths(own[half:][::-1], other[::-1])
+        cut = max(range(len(other) + 1), key=lambda k: left[k] + right[len(other) - k])
+        pairs += _kept(own[:half], other[:cut], at + head, bt + head) + _kept(own[half:], other[cut:], at + head + half, bt + head + cut)
+    return pairs + [(at + len(a) - tail + k, bt + len(b) - tail + k) for k in range(tail)]
+
+
 def line_diff(before: str, after: str) -> str:
-    """A line diff over a longest common subsequence; where two choices are equal, deletions come first."""
-    a, b = before.split("\n"), after.split("\n")
-    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
-    out, i, j = ["--- before", "+++ after"], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
-            out.append(f" {a[i]}")
-            i, j = i + 1, j + 1
-        elif i < len(a) and (j == len(b) or table[i + 1][j] >= table[i][j + 1]):
-            out.append(f"-{a[i]}")
-            i += 1
-        else:
-            out.append(f"+{b[j]}")
-            j += 1
-    return "\n".join(out)
+    """A line diff over a longest common subsequence, deletions before insertions. An empty text has no lines."""
+    a, b = (t.split("\n") if t else [] for t in (before, after))
+    number: dict[str, int] = {}
+    x, y = ([number.setdefault(line, len(number)) for line in lines] for lines in (a, b))
+    out, i, j = list(DIFF_HEAD), 0, 0
+    for p, q in [*_kept(x, y, 0, 0), (len(a), len(b))]:
+        out += [f"-{line}" for line in a[i:p]] + [f"+{line}" for line in b[j:q]] + [f" {line}" for line in a[p : p + 1]]
+        i, j = p + 1, q + 1
+    return "\n".join(out) + "\n"
 
 
 def parse_page(path: str, data: bytes) -> dict[str, Any]:

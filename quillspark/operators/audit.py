@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions import times
-from quillspark.operators import graph
+from quillspark.operators import graph, paging
 
 RETIRED = ("archived", "retired")
 SEVERITIES = ("high", "medium", "low")
@@ -142,10 +142,10 @@ def ordered(*findings: DataFrame) -> DataFrame:
     return every.orderBy(rank, F.array_join("uris", "\0"), "class", "id")
 
 
-def page_of(findings: DataFrame, offset: int, limit: int) -> DataFrame:
-    """A page of the ordered findings. The sort is global and distributed; offset and limit take what they need of it."""
+def page(findings: DataFrame, snapshot: str, request: dict, limit: int = 100, cursor: str | None = None) -> tuple[DataFrame, str | None]:
+    """A page of the ordered findings and the next page's cursor, bound to the pages' digest and the request."""
     rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
-    return findings.orderBy(rank, F.array_join("uris", "\0"), "class", "id").offset(offset).limit(limit)
+    return paging.by_offset(findings, [rank, F.array_join("uris", "\0"), "class", "id"], "audit", snapshot, request, limit, cursor)
 
 
 def snapshot_digest(pages: DataFrame) -> DataFrame:

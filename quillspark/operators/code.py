@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators import graph
+
 LEVELS = ("unsupported", "partial", "complete")
 
 
@@ -65,8 +67,57 @@ def diagnostics(found: DataFrame, path: str | None = None, language: str | None
     return found
 
 
+def symbol(symbols: DataFrame, id_: str) -> DataFrame:
+    """The symbol of an id; an unknown id is an error."""
+    found = symbols.where(F.col("id") == id_)
+    if found.isEmpty():
+        raise KeyError(id_)
+    return found
+
+
+def span_is_valid(start_line: Column, start_column: Column, end_line: Column, end_column: Column) -> Column:
+    """Whether lines and columns count from one and the end is not before the start."""
+    return (start_line >= 1) & (start_column >= 1) & ((end_line > start_line) | (end_line == start_line) & (end_column >= start_column))
+
+
+def path_is_valid(path: Column) -> Column:
+    """Whether a path is relative and stays inside its root."""
+    outside = path.startswith("/") | path.startswith("../") | F.contains(path, F.lit("/../")) | F.contains(path, F.lit("\0"))
+    return F.coalesce((path != "") & (path != ".") & ~outside, F.lit(False))
+
+
 def first_relations(relations: DataFrame, symbol: dict, direction: str, limit: int) -> DataFrame:
     """Relations of one symbol: incoming by target name, outgoing by source name or document."""
     own = [n for n in (symbol["name"], symbol.get("qualified_name")) if n]
     hit = F.col("target").isin(*own) if direction == "in" else F.col("source").isin(*own) | (F.col("document_id") == symbol["document_id"])
-    return relations.where(hit).withColumn("n", F.row_number().over(Window.orderBy("id"))).where(F.col("n") <= limit).drop("n")
+    return relations.where(hit).orderBy("id").limit(limit)
+
+
+def path(adjacent: DataFrame, source: str, target: str, direction: str = "out", depth: int = 1000, limit: int = 1000) -> dict:
+    """symbols and relations of the first path that a breadth-first search finds, and whether it was cut off.
+
+    At most ``limit`` symbols are visited, in order of their level, their predecessor's place and their id, and none is
+    gone on from at ``depth`` relations. A level is one join of the arcs with the symbols to go on from, at most
+    ``limit``; so is what comes back."""
+    spark = adjacent.sparkSession
+    near, far = ("from_id", "to_id") if direction == "out" else ("to_id", "from_id")
+    arcs = adjacent.where(F.col(near) != F.col(far)).groupBy(F.col(near).alias("near"), F.col(far).alias("far")).agg(F.min("relation_id").alias("relation_id"))
+    arcs = graph.written(arcs)
+    came: dict[str, tuple[str | None, str | None]] = {source: (None, None)}
+    level, hops = [source], 0
+    while level and target not in came and hops < depth and len(came) < limit:
+        frontier = spark.createDataFrame(list(enumerate(level)), "place int, at string")
+        step = arcs.join(F.broadcast(frontier), F.col("near") == F.col("at")).join(F.broadcast(spark.createDataFrame([(x,) for x in came], "known string")), F.col("far") == F.col("known"), "left_anti")
+        first = step.groupBy("far").agg(F.min(F.struct("place", "near", "relation_id")).alias("x")).select("far", "x.*").orderBy("place", "far").limit(limit - len(came))
+        level = []
+        for r in first.collect():
+            came[r["far"]] = (r["near"], r["relation_id"])
+            level.append(r["far"])
+        hops += 1
+    if target not in came:
+        return {"symbols": [], "relations": [], "truncated": len(came) >= limit}
+    symbols, relations = [target], []
+    while (up := came[symbols[0]])[0] is not None:
+        symbols.insert(0, up[0])
+        relations.insert(0, up[1])
+    return {"symbols": symbols, "relations": relations, "truncated": False}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators import graph
 
 # How much a term in each field weighs.
 WEIGHTS = {"title": 5.0, "aliases": 5.0, "tags": 3.0, "description": 2.0, "path": 2.0, "type": 1.0, "body": 1.0}
@@ -43,16 +44,14 @@ def field_means(lengths: DataFrame) -> DataFrame:
     return sums.withColumn("mean", F.when(F.col("total") == 0, F.lit(1.0)).otherwise(F.col("total") / F.col("n")))
 
 
-def scores(pages: DataFrame, question: str) -> DataFrame:
-    """(uri, score) of the pages that share a term with the question.
+def _asked(pages: DataFrame, question: str) -> list[str]:
+    return pages.sparkSession.range(1).select(T.query_tokens(F.lit(question)).alias("q")).first()["q"]
 
-    Only the question's terms are counted: tokens are filtered before they are exploded, so what is shuffled is a row a
-    page, not a row a token. Terms and fields are added up in a fixed order, so sums are the same on every run."""
-    spark = pages.sparkSession
-    asked = spark.range(1).select(T.query_tokens(F.lit(question)).alias("q")).first()["q"]
-    if not asked:
-        return spark.createDataFrame([], "uri string, score double")
-    wanted = F.array(*[F.lit(t) for t in asked])
+
+def _counted(pages: DataFrame, asked: list[str], *more: Column) -> DataFrame:
+    """(uri, ..., len_<field>, tf_<field>): a few numbers a page, written once, so that the texts are read and cut into
+    tokens only once however often statistics and scores are taken from it."""
+    wanted = F.array(*[F.lit(t) for t in asked]).cast("array<string>")
     fields = [f for f in FIELDS if f in pages.columns]
 
     def counts(tokens: Column) -> Column:
@@ -62,8 +61,14 @@ def scores(pages: DataFrame, question: str) -> DataFrame:
 
     # a generator of one row keeps later projections from being merged into this one and repeating its work
     row = F.struct(*[counts(T.tokens(_field(f))).alias(f) for f in fields])
-    counted = pages.select("uri", F.inline(F.array(row)))
-    counted = counted.select("uri", *[F.col(f"{f}.len").alias(f"len_{f}") for f in fields], *[F.col(f"{f}.tf").alias(f"tf_{f}") for f in fields])
+    counted = pages.select("uri", *more, F.inline(F.array(row)))
+    names = [c for c in counted.columns if c not in fields]
+    return graph.written(counted.select(*names, *[F.col(f"{f}.len").alias(f"len_{f}") for f in fields], *[F.col(f"{f}.tf").alias(f"tf_{f}") for f in fields]))
+
+
+def _scored(counted: DataFrame, asked: list[str]) -> DataFrame:
+    """``counted`` with score. Terms and fields are added up in a fixed order, so sums are the same on every run."""
+    fields = [c.removeprefix("len_") for c in counted.columns if c.startswith("len_")]
     sums = counted.agg(
         F.count("*").alias("n"),
         *[F.sum(f"len_{f}").alias(f"total_{f}") for f in fields],
@@ -80,16 +85,25 @@ def scores(pages: DataFrame, question: str) -> DataFrame:
         df = sums[f"df_{i}"] or 0
         idf = F.log(F.lit(1.0 + (n - df + 0.5) / (df + 0.5)))
         total = total + F.when(weighted > 0, idf * (F.lit(K1 + 1) * weighted) / (F.lit(K1) + weighted)).otherwise(0.0)
-    return counted.select("uri", total.alias("score")).where("score > 0")
+    return counted.withColumn("score", total)
+
+
+def scores(pages: DataFrame, question: str) -> DataFrame:
+    """(uri, score) of the pages that share a term with the question; nothing is shuffled but the statistics."""
+    asked = _asked(pages, question)
+    if not asked:
+        return pages.sparkSession.createDataFrame([], "uri string, score double")
+    return _scored(_counted(pages, asked), asked).select("uri", "score").where("score > 0")
 
 
 def ranked(pages: DataFrame, question: str) -> DataFrame:
     """(uri, class, score) of all hits, unordered."""
     empty = F.array().cast("array<string>")
     column = lambda c: F.col(c) if c in pages.columns else empty
-    classes = pages.select("uri", T.match_class(F.lit(question), F.col("title"), column("aliases"), F.col("path"), column("tags")).alias("class"))
-    hits = classes.join(scores(pages, question), "uri", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return hits.where((F.col("class") > 0) | (F.col("score") > 0))
+    asked = _asked(pages, question)
+    kind = T.match_class(F.lit(question), F.col("title"), column("aliases"), F.col("path"), column("tags")).alias("class")
+    found = _scored(_counted(pages, asked, kind), asked)
+    return found.select("uri", "class", "score").where((F.col("class") > 0) | (F.col("score") > 0))
 
 
 def top(hits: DataFrame, limit: int) -> DataFrame:
@@ -128,8 +142,6 @@ def should_read(path: list[str], candidates: list[str], most: int) -> list[str]:
 
 def query(pages: DataFrame, question: str, limit: int = 3, most_read: int = 3, edges: DataFrame | None = None, depth: int = 3) -> dict:
     """A whole lexical answer: its kind, candidates, path, what to read, and whether the index alone answers it."""
-    from quillspark.operators import graph
-
     kind, ends = T.question_class(question)
     found = path_candidates(pages, ends, limit) if kind == "path" else search(pages, question, limit)
     described = pages.select("uri", "title", "type", T.cut(F.col("description"), 200).alias("description"))

@@ -96,3 +96,16 @@ def nearest(chunked: DataFrame, query: list[float] | Column, limit: int) -> Data
     near = chunked.select("uri", "chunk", vectors.cosine(F.col("embedding"), q).alias("similarity")).where("similarity IS NOT NULL")
     best = near.groupBy("uri").agg(F.max_by(F.struct("chunk", "similarity"), F.struct("similarity", -F.col("chunk"))).alias("x"))
     return best.select("uri", "x.chunk", "x.similarity").orderBy(F.desc("similarity"), "uri").limit(limit)
+
+
+def query(chunked: DataFrame, meta: dict | None, question: str, embedder: Callable[[list[str]], list[list[float]]], trust: DataFrame, model: str, fingerprint: str, dimensions: int, limit: int) -> DataFrame:
+    """The nearest pages to a question, best first, with their live trust facts (uri, ...); a page that is gone falls out.
+
+    The index is checked before the question is embedded; the question's vector must be valid and of the index's size."""
+    check_meta(meta, model, fingerprint, dimensions)
+    found = embedder([question])
+    if len(found) != 1 or len(found[0]) != dimensions or not any(found[0]):
+        raise ValueError("the embedder returned no valid vector for the question")
+    live = trust.withColumnRenamed("uri", "t_uri")
+    best = nearest(chunked.join(live.select("t_uri"), F.col("uri") == F.col("t_uri"), "left_semi"), found[0], limit)
+    return best.join(live, F.col("uri") == F.col("t_uri")).drop("t_uri").orderBy(F.desc("similarity"), "uri")

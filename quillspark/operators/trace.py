@@ -1,4 +1,4 @@
-"""Agent runs and evidence records: budgets, gaps, completeness, latest versions, tombstones, learning."""
+"""Agent runs and evidence records: budgets, gaps, completeness, latest versions, tombstones, learning from runs."""
 
 from __future__ import annotations
 
@@ -60,3 +60,54 @@ def learning(entries: DataFrame, runs: DataFrame) -> DataFrame:
     """(run_id, evidence, outcomes, attributions) of chosen runs: counts of entries, of outcomes, of knowledge uses."""
     chosen = entries.join(runs.select("run_id").distinct(), "run_id", "left_semi")
     return chosen.groupBy("run_id").agg(F.count("*").alias("evidence"), F.count_if(F.col("kind") == "outcome").alias("outcomes"), F.count("knowledge_uri").alias("attributions"))
+
+
+def selected_runs(selections: list[tuple[str, str]], most: int = 20) -> list[str]:
+    """Run ids, in order, of (run_id, learning_key) selections: each run once, one key for all."""
+    if not 1 <= len(selections) <= most:
+        raise ValueError(f"select between 1 and {most} runs")
+    cleaned = sorted((r.strip(), k.strip()) for r, k in selections)
+    if any(not r or not k for r, k in cleaned):
+        raise ValueError("run_id and learning_key must not be empty")
+    if len({r for r, _ in cleaned}) < len(cleaned):
+        raise ValueError("a run is selected twice")
+    if len({k for _, k in cleaned}) > 1:
+        raise ValueError("the selected runs have other learning keys")
+    return [r for r, _ in cleaned]
+
+
+def learned(entries: DataFrame, runs: list[str], most: int = 200) -> dict[str, DataFrame]:
+    """evidence, outcomes and attributions of complete runs, each by run and sequence, and procedure: (uri, revision).
+
+    ``entries``: (run_id, sequence, kind, content, metadata, knowledge_uri, knowledge_revision, feedback). An incomplete
+    run, more than ``most`` entries, an outcome without a boolean metadata.success, and several procedures (or none, with
+    several runs) are errors."""
+    chosen = entries.where(F.col("run_id").isin(*runs))
+    state = {r["run_id"]: r for r in completeness(chosen).collect()}
+    for run in runs:
+        if run not in state or not state[run]["complete"]:
+            raise ValueError(f"run {run!r} is incomplete")
+    if sum(r["entries"] for r in state.values()) > most:
+        raise ValueError(f"the selected evidence exceeds {most} entries")
+    success = F.get_json_object("metadata", "$.success")
+    supporting = F.when(success == "true", True).when(success == "false", False).otherwise(F.raise_error(F.concat(F.lit("an outcome needs a boolean metadata.success: run "), "run_id")).cast("boolean"))
+    place, digest = ("run_id", "sequence"), F.sha2("content", 256).alias("digest")
+    procedures = chosen.select(F.get_json_object("metadata", "$.procedure_uri").alias("uri"), F.get_json_object("metadata", "$.procedure_revision").alias("revision")).where("uri IS NOT NULL").distinct()
+    named = procedures.limit(2).collect()
+    if len(named) > 1 or not named and len(runs) > 1:
+        raise ValueError("learning from several runs needs one procedure and revision")
+    return {
+        "evidence": chosen.select(*place, "kind", digest).orderBy(*place),
+        "outcomes": chosen.where("kind = 'outcome'").select(*place, "content", supporting.alias("supporting")).orderBy(*place),
+        "attributions": chosen.where("kind IN ('knowledge_use', 'feedback')").select(*place, F.col("knowledge_uri").alias("uri"), F.col("knowledge_revision").alias("revision"), "feedback").orderBy(*place),
+        "procedure": procedures,
+    }
+
+
+def proposal(folded: dict[str, DataFrame], title: str, body: str) -> str:
+    """A page that proposes what was learned: the given text, then outcomes for and against with the runs they come from."""
+    rows = folded["outcomes"].collect()  # bounded by the number of entries that may be selected
+    lines = [f"- {'supports' if r['supporting'] else 'contradicts'}: {' '.join(r['content'].split())} (run {r['run_id']}, entry {r['sequence']})" for r in rows]
+    procedure = folded["procedure"].first()
+    source = [f"Procedure: {procedure['uri']} at {procedure['revision']}", ""] if procedure else []
+    return "\n".join([f"# {title}", "", body.strip(), "", *source, "## Outcomes", "", *lines, ""])

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions import vectors
-from quillspark.operators import audit, code, context, graph, history, lexical, semantic, trace
+from quillspark.operators import audit, code, context, graph, history, lexical, paging, semantic, trace
 from quillspark.plans import views as V
 from quillspark.sources import payloads
 
@@ -141,6 +142,41 @@ def page_keyset_next(spark, d):
     return history.keyset_page(V.doc_pages(spark, d).select("uri", "title"), "kb://corpus/src12/", 200)
 
 
+@query(f"WITH {V.DOC_PAGES} SELECT uri, title FROM doc_pages ORDER BY uri LIMIT 100 OFFSET 50")
+def page_cursor(spark, d):
+    """The page after the first fifty, by the first one's cursor."""
+    pages = V.doc_pages(spark, d).select("uri", "title")
+    _, cursor = paging.by_key(pages, "uri", 50)
+    return paging.by_key(pages, "uri", 100, cursor)[0]
+
+
+@query(f"WITH {V.DOC_TRUST} SELECT uri, type, status, tier FROM doc_trust WHERE type = 'de' ORDER BY uri")
+def typed_records(spark, d):
+    return paging.fields(paging.of_type(V.doc_trust(spark, d), "de"), "uri, type,status,tier", ("uri",), ("uri", "type", "status", "tier", "confidence"))
+
+
+@query(f"WITH {V.DOC_PAGES} SELECT uri, title, type FROM doc_pages WHERE type = 'fr' ORDER BY title, uri")
+def typed_refs(spark, d):
+    return paging.refs_of_type(V.doc_pages(spark, d), "fr")
+
+
+@query(f"WITH {V.WEB_PAGES}, r AS (SELECT path, min(host) AS lo, max(host) AS hi FROM web_pages GROUP BY path) SELECT host AS root, path, count(*) AS pages FROM web_pages JOIN r USING (path) WHERE lo <> host OR hi <> host GROUP BY host, path")
+def write_collisions(spark, d):
+    """Pages whose path another host has too."""
+    pages = V.web_pages(spark, d).select(F.col("host").alias("root"), "path")
+    return paging.external_collisions(pages, pages).groupBy("root", "path").agg(F.count("*").alias("pages"))
+
+
+@query("SELECT event_id, 'seen' AS kind, json_extract_string(props, '$.k') AS k, user_id::VARCHAR AS owner FROM events")
+def metadata_merge(spark, d):
+    """A new version that knows its kind and owner only keeps the older one's other field, not its former kind."""
+    events = V.table(spark, d, "events")
+    current = F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("kind"), "event_type", F.lit("note"), F.lit("old"))
+    new = F.create_map(F.lit("kind"), F.lit("seen"), F.lit("owner"), F.col("user_id").cast("string"))
+    merged = events.select("event_id", paging.merged_fields(current, new, ("kind", "note")).alias("m"))
+    return merged.select("event_id", F.col("m")["kind"].alias("kind"), F.col("m")["k"].alias("k"), F.col("m")["owner"].alias("owner")).where("NOT map_contains_key(m, 'note')")
+
+
 @query(f"WITH {V.WEB_PAGES} SELECT path, uri, precedence FROM web_pages QUALIFY row_number() OVER (PARTITION BY path ORDER BY precedence, uri) = 1")
 def overlay_precedence(spark, d):
     return history.overlay(V.web_pages(spark, d).select("path", "uri", "precedence"))
@@ -158,10 +194,11 @@ def type_summary(spark, d):
     return V.doc_pages(spark, d).groupBy(F.col("type").alias("name")).agg(first.alias("x")).select("name", "x.uri", F.col("x.title").alias("description"))
 
 
-@query("SELECT source AS dir, count(*) AS pages, string_agg(doc_id || '.md', ',' ORDER BY doc_id || '.md') AS listed FROM documents GROUP BY source")
+@query("SELECT source AS dir, count(*) AS pages, min(doc_id || '.md') AS first, max(doc_id || '.md') AS last FROM documents GROUP BY source")
 def index_by_directory(spark, d):
-    docs = V.table(spark, d, "documents")
-    return docs.groupBy(F.col("source").alias("dir")).agg(F.count("*").alias("pages"), F.array_join(F.array_sort(F.collect_list(F.concat(F.col("doc_id").cast("string"), F.lit(".md")))), ",").alias("listed"))
+    """Each folder's pages, counted, with the first and the last by name; added up before the shuffle."""
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".md"))
+    return V.table(spark, d, "documents").groupBy(F.col("source").alias("dir")).agg(F.count("*").alias("pages"), F.min(name).alias("first"), F.max(name).alias("last"))
 
 
 # ---- graph
@@ -273,6 +310,17 @@ def vec_validate(spark, d):
     return V.table(spark, d, "embeddings").select("vec_id", vectors.is_valid(F.col("embedding"), 64).alias("valid"))
 
 
+@query(f"""WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0), live AS (SELECT label::VARCHAR AS uri, count(*) AS chunks FROM embeddings WHERE label % 3 <> 1 GROUP BY label)
+SELECT uri, arg_max(vec_id, s) AS chunk, round(max(s), 6) AS similarity, any_value(chunks) AS chunks FROM (SELECT e.label, e.vec_id, {_COSINE} AS s FROM embeddings e, q) JOIN live ON uri = label::VARCHAR GROUP BY uri ORDER BY max(s) DESC, uri LIMIT 4""")
+def vec_query(spark, d):
+    """A question's vector against an index that is checked first; pages that are gone fall out, the others bring live facts."""
+    chunks = V.vec_chunks(spark, d)
+    live = chunks.where("CAST(uri AS INT) % 3 <> 1").groupBy("uri").agg(F.count("*").alias("chunks"))
+    meta = {"model": "given", "fingerprint": "f", "dimensions": 64}
+    found = semantic.query(chunks, meta, "question", lambda _: [_first_vector(spark, d)], live, "given", "f", 64, 4)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 @query()
 def chunk_pack(spark, d):
     pages = V.doc_pages(spark, d)
@@ -313,11 +361,15 @@ def ctx_asof(spark, d):
     return trust.select("uri", times.applicability(times.instant(F.lit("2024-09-01T00:00:00Z")), *[F.col(c) for c in ("valid_from", "valid_until", "observed_at", "occurred_at")]).alias("applicable"))
 
 
-@query("""WITH c AS (SELECT doc_id AS position, text AS content FROM documents ORDER BY doc_id LIMIT 100), p AS (SELECT *, row_number() OVER (ORDER BY position) AS rn, coalesce(sum(length(content)) OVER (ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM c),
+@query(f"""WITH {V.DOC_PAGES}, {_scores(ASKED)}, c AS (SELECT row_number() OVER (ORDER BY score DESC, uri) AS position, body AS content FROM scored JOIN doc_pages USING (uri) ORDER BY position LIMIT 100), p AS (SELECT *, row_number() OVER (ORDER BY position) AS rn, coalesce(sum(length(content)) OVER (ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM c),
 t AS (SELECT *, rn <= 5 AND used < 6000 AS accepted FROM p) SELECT position, accepted, CASE WHEN accepted THEN least(length(content), 6000 - used)::BIGINT END AS kept_chars,
 CASE WHEN NOT accepted THEN CASE WHEN sum(accepted::INT) OVER (ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 5 THEN 'evidence_limit' ELSE 'character_limit' END END AS reason FROM t""")
 def ctx_budget(spark, d):
-    ranked = V.table(spark, d, "documents").select(F.col("doc_id").alias("position"), F.col("text").alias("content")).orderBy("position").limit(100)
+    """The best hundred pages for a question, as far as an answer has room for them."""
+    pages = V.doc_pages(spark, d)
+    best = lexical.scores(pages, ASKED).orderBy(F.desc("score"), "uri").limit(100)
+    placed = best.withColumn("position", F.row_number().over(Window.orderBy(F.desc("score"), "uri")).cast("long"))
+    ranked = placed.join(pages.select("uri", F.col("body").alias("content")), "uri").select("position", "content")
     return context.budget(ranked, 5, 6000).drop("content")
 
 
@@ -412,9 +464,12 @@ def audit_stale(spark, d):
 
 @query(f"WITH {_SAME_SOURCE} SELECT pair FROM (SELECT DISTINCT least(from_uri, to_uri) || ' ' || greatest(from_uri, to_uri) AS pair FROM links WHERE relation = 'contradicts') ORDER BY pair LIMIT 50 OFFSET 20")
 def audit_page(spark, d):
-    """A page of ordered findings; all are of one class and severity here, so their uris decide."""
+    """The page after the first twenty, by a cursor bound to the pages' digest; their uris decide the order here."""
     every = audit.ordered(audit.contradictions(_doc_links(spark, d)))
-    return audit.page_of(every, 20, 50).select(F.array_join("uris", " ").alias("pair"))
+    snapshot = audit.snapshot_digest(V.doc_pages(spark, d).select("uri", F.col("title").alias("revision"))).first()["digest"]
+    _, cursor = audit.page(every, snapshot, {"classes": ["contradiction"]}, 20)
+    found, _ = audit.page(every, snapshot, {"classes": ["contradiction"]}, 50, cursor)
+    return found.select(F.array_join("uris", " ").alias("pair"))
 
 
 @query(f"""WITH {_SAME_SOURCE}, {V.DOC_TRUST}, {_STATUS}, {_REFERENCES} SELECT class, count(*) AS findings FROM (SELECT DISTINCT 'contradiction' AS class, least(from_uri, to_uri) AS a, greatest(from_uri, to_uri) AS b FROM links WHERE relation = 'contradicts'
@@ -459,6 +514,26 @@ def cdc_snapshot_diff(spark, d):
     return history.snapshot_changes(*_snapshots(spark, d))
 
 
+@query(f"""WITH {_SNAPSHOTS}, changes AS (SELECT coalesce(b.path, a.path) AS path, b.revision IS DISTINCT FROM a.revision OR b.origin IS DISTINCT FROM a.origin AS changed FROM b FULL JOIN a ON a.path = b.path)
+SELECT path FROM changes WHERE changed ORDER BY path LIMIT 80 OFFSET 40""")
+def cdc_feed_page(spark, d):
+    """The page after the first 40 changes between two snapshots, by a cursor bound to both snapshots' digests."""
+    before, after = _snapshots(spark, d)
+    digest = lambda f: audit.snapshot_digest(f.select(F.col("path").alias("uri"), F.concat_ws("|", "revision", "origin").alias("revision"))).first()["digest"]
+    both, changes = f"{digest(before)} {digest(after)}", history.snapshot_changes(before, after).select("path")
+    _, cursor = paging.by_offset(changes, ["path"], "changes", both, {}, 40)
+    return paging.by_offset(changes, ["path"], "changes", both, {}, 80, cursor)[0]
+
+
+@query(f"WITH {V.REVISIONS} SELECT path, ordinal, revision FROM revisions WHERE path = (SELECT min(path) FROM revisions) ORDER BY ordinal DESC LIMIT 5 OFFSET 2")
+def hist_keyset(spark, d):
+    """Older revisions of one page, after the two newest, by the second one's ordinal."""
+    revisions = V.revisions(spark, d).select("path", "ordinal", "revision")
+    one = revisions.where(F.col("path") == revisions.agg(F.min("path")).first()[0])
+    _, cursor = paging.by_key(one, "ordinal", 2, descending=True)
+    return paging.by_key(one, "ordinal", 5, cursor, descending=True)[0]
+
+
 @query(f"WITH {_SNAPSHOTS} SELECT * FROM (SELECT coalesce(b.path, a.path) AS path, CASE WHEN a.path IS NULL THEN 'delete' WHEN b.path IS NULL OR b.revision IS DISTINCT FROM a.revision OR b.status IS DISTINCT FROM a.status THEN 'upsert' END AS change FROM b FULL JOIN a ON a.path = b.path) WHERE change IS NOT NULL")
 def code_document_changes(spark, d):
     before, after = (f.select("path", F.col("revision").alias("digest"), F.col("status").alias("language")) for f in _snapshots(spark, d))
@@ -538,6 +613,17 @@ def learn_collect(spark, d):
     return trace.learning(V.runs(spark, d).withColumn("knowledge_uri", F.when(F.col("kind") == "assistant", "kb://x")), runs)
 
 
+@query("""WITH done AS (SELECT conv_id FROM conversations GROUP BY conv_id HAVING min(turn) = 0 AND max(turn) + 1 = count(DISTINCT turn) AND count(*) > 3), picked AS (SELECT conv_id FROM done ORDER BY conv_id LIMIT 5)
+SELECT conv_id::VARCHAR AS run_id, turn AS sequence, length(text) % 2 = 0 AS supporting FROM conversations JOIN picked USING (conv_id) WHERE turn = 2""")
+def learn_fold(spark, d):
+    """What five complete runs have shown: each third entry is an outcome, a success where its length is even."""
+    success = F.when(F.col("sequence") == 2, F.to_json(F.struct((F.length("content") % 2 == 0).alias("success"), F.lit("kb://p").alias("procedure_uri"), F.lit("r1").alias("procedure_revision"))))
+    entries = V.runs(spark, d).select(F.col("run_id").cast("string").alias("run_id"), F.col("run_id").alias("number"), "sequence", F.when(F.col("sequence") == 2, "outcome").otherwise("note").alias("kind"), "content", success.alias("metadata"), F.lit(None).cast("string").alias("knowledge_uri"), F.lit(None).cast("string").alias("knowledge_revision"), F.lit(None).cast("string").alias("feedback"))
+    whole = entries.groupBy("number").agg(F.min("sequence").alias("lo"), F.max("sequence").alias("hi"), F.count_distinct("sequence").alias("n"), F.count("*").alias("c")).where("lo = 0 AND hi + 1 = n AND c > 3")
+    picked = [(str(r["number"]), "key") for r in whole.orderBy("number").limit(5).collect()]  # a learning reads a few chosen runs
+    return trace.learned(entries.drop("number"), trace.selected_runs(picked))["outcomes"].select("run_id", "sequence", "supporting")
+
+
 @query("SELECT event_id, json_extract_string(props, '$.k') AS id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS updated_at, coalesce(nullif(json_extract_string(props, '$.node_id'), ''), nullif(json_extract_string(props, '$.sha'), ''), json_extract_string(props, '$.k')) AS source_id FROM events")
 def payload_fields(spark, d):
     events = V.table(spark, d, "events")
@@ -582,6 +668,18 @@ def graph_path_status(spark, d):
     return spark.createDataFrame([(found["status"], " ".join(found["nodes"]), " ".join(found["relations"]))], "status string, path string, relations string")
 
 
+@query(f"""WITH {V.FK_EDGES}, n AS (SELECT to_uri FROM fk_edges WHERE from_uri = 'customer:1'), r AS (SELECT to_uri FROM fk_edges WHERE from_uri IN (SELECT to_uri FROM n) AND relation = 'in_region')
+SELECT 'customer:1 ' || (SELECT to_uri FROM n) || ' ' || (SELECT to_uri FROM r) AS symbols, 'customer:1>' || (SELECT to_uri FROM n) || ' ' || (SELECT to_uri FROM n) || '>' || (SELECT to_uri FROM r) AS relations, false AS truncated""")
+def code_path(spark, d):
+    """From one symbol to another along relations, within three visits."""
+    edges = V.fk_edges(spark, d)
+    adjacent = edges.select(F.concat("from_uri", F.lit(">"), "to_uri").alias("relation_id"), F.col("from_uri").alias("from_id"), F.col("to_uri").alias("to_id"))
+    nation = edges.where("from_uri = 'customer:1'").select(F.col("to_uri").alias("from_uri"))
+    region = edges.join(nation, "from_uri").select("to_uri").first()[0]
+    found = code.path(adjacent, "customer:1", region, "out", 2, 3)
+    return spark.createDataFrame([(" ".join(found["symbols"]), " ".join(found["relations"]), found["truncated"])], "symbols string, relations string, truncated boolean")
+
+
 @query("""WITH o AS (SELECT a.doc_id, a.source, b.doc_id AS o_id, b.source AS o_source, a.doc_id % 3 AS k FROM documents a LEFT JOIN documents b ON b.doc_id = (a.doc_id * 7 + 3) % (SELECT max(doc_id) + 1 FROM documents))
 SELECT 'kb://corpus/' || source || '/' || doc_id || '.md' AS from_uri, CASE WHEN k < 2 AND o_id IS NOT NULL THEN 'kb://corpus/' || o_source || '/' || o_id || '.md' END AS to_uri FROM o""")
 def vault_resolve_links(spark, d):
@@ -596,12 +694,14 @@ def vault_resolve_links(spark, d):
     return vault.resolve(known.select("path", "uri"), known.select(F.col("uri").alias("from_uri"), "raw", F.lit(0).alias("ord"))).select("from_uri", "to_uri")
 
 
-@query("SELECT 'src/' || source AS dir, count(*) AS pages, string_agg('- [' || substr(split_part(text, chr(10), 1), 1, 20) || '](' || doc_id || '.md)', chr(10) ORDER BY '- [' || substr(split_part(text, chr(10), 1), 1, 20) || '](' || doc_id || '.md)') AS content FROM documents GROUP BY source")
+@query("""SELECT 'src/' || source AS dir, 1 AS kind, '- [' || substr(split_part(text, chr(10), 1), 1, 20) || '](' || doc_id || '.md)' AS line FROM documents
+UNION ALL SELECT DISTINCT 'src', 0, '- ' || source || '/' FROM documents UNION ALL SELECT DISTINCT '', 0, '- src/' FROM documents""")
 def vault_index_pages(spark, d):
+    """The lines of every folder's index: pages, and the folders above them."""
     from quillspark.sources import vault
 
     pages = V.table(spark, d, "documents").select(F.concat(F.lit("src/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.substring(F.substring_index("text", "\n", 1), 1, 20).alias("title"))
-    return vault.index_pages(pages).where("dir LIKE 'src/%'").select("dir", F.size(F.split("content", "\n")).cast("long").alias("pages"), "content")
+    return vault.index_lines(pages)
 
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -648,10 +748,12 @@ def stream_runs(spark, d):
 
 @query()
 def hist_line_diff(spark, d):
-    """Each user turn against the answer to it, line by line; Python in the tasks, since the alignment is a recurrence."""
+    """Each turn against the one before it in its run, line by line; Python in the tasks, since the alignment is a recurrence."""
     from quillspark.functions import markup
 
-    runs = V.runs(spark, d).where("sequence < 2")
-    pairs = runs.groupBy("run_id").agg(F.min_by("content", "sequence").alias("before"), F.max_by("content", "sequence").alias("after"))
-    diff = F.udf(lambda a, b: markup.line_diff(a or "", b or ""), "string")
-    return pairs.select("run_id", diff("before", "after").alias("diff"))
+    @F.pandas_udf("string")
+    def diff(before: pd.Series, after: pd.Series) -> pd.Series:
+        return pd.Series([markup.line_diff(a or "", b or "") for a, b in zip(before, after, strict=True)], dtype=object)
+
+    turns = V.runs(spark, d).withColumn("before", F.lag("content").over(Window.partitionBy("run_id").orderBy("sequence"))).where("sequence > 0")
+    return turns.select("run_id", "sequence", diff("before", "content").alias("diff"))

@@ -59,7 +59,8 @@ class PagedReader(DataSourceReader):
         path = self.options["path"]
         system, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
         pages = sorted(i.path for i in system.get_file_info(fs.FileSelector(root)) if i.is_file and i.base_name.endswith(".json"))
-        return [_Page(p) for p in pages[: int(self.options.get("maxpages", 20))]]
+        first, most = int(self.options.get("firstpage", 1)), self.options.get("maxpages")
+        return [_Page(p) for p in pages[first - 1 :][: int(most) if most else None]]
 
     def read(self, partition: _Page) -> Iterator[tuple]:
         from pyarrow import fs
@@ -72,7 +73,8 @@ class PagedReader(DataSourceReader):
 
 
 class PagedListing(DataSource):
-    """``format("paged_listing")``: options path (a folder of pages), kind, maxPages."""
+    """``format("paged_listing")``: options path (a folder of pages), kind, firstPage (to resume at,
+    from 1) and maxPages (all pages unless given; read on from firstPage + maxPages)."""
 
     @classmethod
     def name(cls) -> str:

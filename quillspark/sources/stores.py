@@ -1,12 +1,14 @@
 """Stores in a shared folder: content-addressed snapshots, generations with a pointer, partitioned indexes, append-only records.
 
-Data files are Parquet written by Spark. A small pointer file names what is current; it is replaced by rename, after the
-data is complete, so readers see the old or the new state and a failed job leaves the old one."""
+Data files are Parquet written by Spark. A pointer is a folder of small numbered files; the one with the greatest number
+names what is current. A new one is put in place by rename, complete and under the next number, after the data is there,
+so readers see the old or the new state and never none, and a failed job leaves the old one."""
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,41 +16,62 @@ from pyspark.sql import functions as F
 from quillspark.operators import audit, trace
 
 
+#: Earlier states that a pointer keeps, for readers that have just listed them.
+KEPT_STATES = 10
+
+
 class Conflict(Exception):
     """The pointer is not what the writer expected."""
 
 
 class Pointer:
-    """A small JSON file that names the current state; replaced only if it still has an expected digest."""
+    """A small JSON state, replaced only if it still has an expected digest.
+
+    Of two writers that expect one state, the rename of the second to the same number fails, as the name is taken; a
+    local file system checks that less strictly than a distributed one."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
-        self.hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        self.fs = self.hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.spark, self.path = spark, path.rstrip("/")
+        self.folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self.fs = self.folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _numbers(self) -> list[int]:
+        if not self.fs.exists(self.folder):
+            return []
+        names = [f.getPath().getName() for f in self.fs.listStatus(self.folder)]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n.removesuffix(".json").isdigit())
+
+    def _at(self, name: str):  # noqa: ANN202  a path of the JVM
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _read(self) -> tuple[int, dict | None, str | None]:
+        for number in reversed(self._numbers()):
+            stream = self.fs.open(self._at(f"{number}.json"))
+            try:
+                raw = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            return number, json.loads(raw), hashlib.sha256(raw.encode()).hexdigest()
+        return 0, None, None
 
     def read(self) -> tuple[dict | None, str | None]:
         """The content and its digest, or nulls."""
-        if not self.fs.exists(self.hadoop):
-            return None, None
-        stream = self.fs.open(self.hadoop)
-        try:
-            raw = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return json.loads(raw), hashlib.sha256(raw.encode()).hexdigest()
+        return self._read()[1:]
 
     def replace(self, content: dict, expected: str | None) -> str:
-        if self.read()[1] != expected:
+        number, _, digest = self._read()
+        if digest != expected:
             raise Conflict(self.path)
         raw = json.dumps(content, sort_keys=True)
-        new = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}.{hashlib.sha256(raw.encode()).hexdigest()[:16]}.new")
-        stream = self.fs.create(new, True)
+        new, target = self._at(f"{uuid.uuid4().hex}.new"), self._at(f"{number + 1}.json")
+        stream = self.fs.create(new, False)
         stream.write(bytearray(raw.encode()))
         stream.close()
-        if self.fs.exists(self.hadoop):
-            self.fs.delete(self.hadoop, False)
-        if not self.fs.rename(new, self.hadoop):
+        if self.fs.exists(target) or not self.fs.rename(new, target):
+            self.fs.delete(new, False)
             raise Conflict(self.path)
+        for old in self._numbers()[:-KEPT_STATES]:
+            self.fs.delete(self._at(f"{old}.json"), False)
         return hashlib.sha256(raw.encode()).hexdigest()
 
 
@@ -127,8 +150,6 @@ class VectorIndex:
         self.spark, self.root = spark, root.rstrip("/")
 
     def replace(self, chunks: DataFrame, scope: str, model: str, fingerprint: str, dimensions: int) -> None:
-        import uuid
-
         version = uuid.uuid4().hex
         path = f"{self.root}/chunks/scope={scope}/{version}"
         chunks.write.parquet(path)
@@ -145,6 +166,26 @@ class VectorIndex:
         return self.spark.read.parquet(known["path"])
 
 
+class SourceCursor:
+    """Where a listing is to be resumed, by repository: a page of an unfinished sync, and after a complete one the time it
+    began less ``overlap`` seconds, so that late records are met again (appending them twice does nothing)."""
+
+    def __init__(self, spark: SparkSession, root: str, repository: str, overlap: int = 60) -> None:
+        name = hashlib.sha256(repository.encode()).hexdigest()[:32]
+        self.pointer, self.overlap = Pointer(spark, f"{root.rstrip('/')}/cursors/{name}"), overlap
+
+    def load(self) -> tuple[dict, str | None]:
+        """({since, page}, what to expect when committing)."""
+        found, mark = self.pointer.read()
+        return found or {"since": None, "page": 1}, mark
+
+    def paused(self, since: float | None, page: int, expected: str | None) -> str:
+        return self.pointer.replace({"since": since, "page": page}, expected)
+
+    def completed(self, began: float, expected: str | None) -> str:
+        return self.pointer.replace({"since": began - self.overlap, "page": 1}, expected)
+
+
 class RecordStore:
     """Append-only records, each key once: equal content again is unchanged, other content under a key is a conflict."""
 

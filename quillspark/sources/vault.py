@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import posixpath
 import re
+import uuid
 from collections.abc import Iterator
 from functools import reduce
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import markup
-from quillspark.operators import graph, history
+from quillspark.operators import graph, history, paging
 
 PAGE = (
     "vault string, root string, precedence int, path string, uri string, title string, description string, type string, aliases array<string>, tags array<string>, body string, metadata string, "
@@ -22,6 +26,13 @@ PAGE = (
 _NAMES = "vault root precedence path uri title description type aliases tags body metadata relationships links maintenance claims sections problem problems revision".split()
 # Names that are never pages, and folders that are not walked.
 RESERVED, SKIPPED = ("index.md", "log.md"), (".git", ".obsidian")
+#: The bundled source's name, and its pages: path -> type, title, body.
+BUNDLE = "core"
+BUNDLED = {
+    "concepts/concept.md": ("Concept", "Concept", "A page that says what a type of page is for. Its title is the type's name, and its path the folder of such pages."),
+    "concepts/procedure.md": ("Concept", "Procedure", "A way to do something, in steps. Each step has inputs, a process and how to see that it is complete."),
+    "concepts/memory.md": ("Concept", "Memory", "A fact that one user's agent is to keep. It is found by that user and agent only."),
+}
 
 
 def scan(spark: SparkSession, root: str, vault: str = "default", precedence: int = 0, tolerant: bool = False) -> DataFrame:
@@ -34,8 +45,6 @@ def scan(spark: SparkSession, root: str, vault: str = "default", precedence: int
     kept = files.select(relative.alias("path"), "content").where(~F.col("path").rlike(skipped))
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-
         for frame in frames:
             rows = []
             for path, data in zip(frame["path"], frame["content"], strict=True):
@@ -80,7 +89,7 @@ def effective(pages: DataFrame) -> DataFrame:
 
 
 def _candidates():  # noqa: ANN202  a user-defined function
-    @F.udf("array<string>")
+    @F.udf("array<string>", useArrow=True)
     def made(path: str, raw: str) -> list[str]:
         found = markup.destination(raw or "")
         if not found:
@@ -142,7 +151,7 @@ def validate(pages: DataFrame, concept_types: DataFrame | None = None) -> DataFr
     bad = pages.select("path", F.lit("error").alias("severity"), F.explode("problems").alias("message"))
     links = pages.select(F.col("uri").alias("from_uri"), F.posexplode("links").alias("ord", "raw"))
     inside = resolve(pages, links).where("to_uri IS NULL").join(pages.select(F.col("uri").alias("from_uri"), "path"), "from_uri")
-    is_internal = F.udf(lambda raw: markup.destination(raw) is not None, "boolean")
+    is_internal = F.udf(lambda raw: markup.destination(raw) is not None, "boolean", useArrow=True)
     broken = inside.where(is_internal("raw")).select("path", F.lit("warning").alias("severity"), F.concat(F.lit("link to nothing: "), "raw").alias("message"))
     names = F.when(F.col("type").rlike(r"^\p{Lu}[\p{L}\p{Nd}]*$"), None).otherwise(F.concat(F.lit("not a type name: "), "type"))
     typed = pages.where("type <> ''").select("path", F.lit("warning").alias("severity"), names.alias("message")).where("message IS NOT NULL")
@@ -154,14 +163,20 @@ def validate(pages: DataFrame, concept_types: DataFrame | None = None) -> DataFr
     return found.distinct().orderBy("path", "severity", "message")
 
 
-def index_pages(pages: DataFrame) -> DataFrame:
-    """(dir, content) of an index page for each folder: its folders, then its pages, by name."""
+def index_lines(pages: DataFrame) -> DataFrame:
+    """(dir, kind, line) of the index of each folder: its folders (kind 0) and its pages (kind 1). No folder is gathered."""
     cut = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
     own = pages.select(cut.alias("dir"), F.lit(1).alias("kind"), F.concat(F.lit("- ["), "title", F.lit("]("), F.substring_index("path", "/", -1), F.lit(")")).alias("line"))
     up = own.where("dir <> ''").select("dir").distinct()
     chain = up.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("dir", "/"))), lambda i: F.array_join(F.slice(F.split("dir", "/"), 1, i), "/"))).alias("d")).distinct()
     folders = chain.select(F.when(F.instr("d", "/") > 0, F.regexp_replace("d", "/[^/]*$", "")).otherwise("").alias("dir"), F.lit(0).alias("kind"), F.concat(F.lit("- "), F.substring_index("d", "/", -1), F.lit("/")).alias("line"))
-    return own.unionByName(folders).groupBy("dir").agg(F.array_sort(F.collect_list(F.struct("kind", "line"))).alias("x")).select("dir", F.array_join(F.transform("x", lambda i: i["line"]), "\n").alias("content"))
+    return own.unionByName(folders)
+
+
+def index_pages(pages: DataFrame) -> DataFrame:
+    """(dir, content) of an index page for each folder: its folders, then its pages, by name. A page is one text, so a
+    folder's lines meet in a task here; ``index_lines`` has them as rows."""
+    return index_lines(pages).groupBy("dir").agg(F.array_sort(F.collect_list(F.struct("kind", "line"))).alias("x")).select("dir", F.array_join(F.transform("x", lambda i: i["line"]), "\n").alias("content"))
 
 
 def rendered(pages: DataFrame, uri: str) -> str:
@@ -179,8 +194,6 @@ def plan_change(pages: DataFrame, vault: str, path: str, content: str, expected:
     """What writing a page would change: its diff, edges added and removed, and a digest that binds the plan.
 
     ``expected`` is the revision that is to be replaced, or null where no page may be there yet."""
-    import hashlib
-
     spark = pages.sparkSession
     uri = markup.uri_of(vault, path)
     now = pages.where(F.col("uri") == uri).select("revision", "body", "metadata").first()
@@ -212,7 +225,7 @@ def first_per_type(pages: DataFrame) -> DataFrame:
 
 
 def write_page(spark: SparkSession, root: str, path: str, content: str) -> bool:
-    """Puts a page in place by rename; false where it is there already, byte for byte."""
+    """Puts a page in place by a rename that replaces an older one at once; false where it is there already, byte for byte."""
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{path}")
     system = target.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -224,13 +237,71 @@ def write_page(spark: SparkSession, root: str, path: str, content: str) -> bool:
                 return False
         finally:
             stream.close()
-    new = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{path}.new")
-    out = system.create(new, True)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() == "file":
+        own = Path(target.toUri().getPath())
+        own.parent.mkdir(parents=True, exist_ok=True)
+        new = own.with_name(f".{own.name}.{uuid.uuid4().hex}")
+        new.write_bytes(data)
+        own.with_name(f".{own.name}.crc").unlink(missing_ok=True)
+        new.replace(own)
+        return True
+    new = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{path}.{uuid.uuid4().hex}.new")
+    out = system.create(new, False)
     out.write(bytearray(data))
     out.close()
-    if system.exists(target):
-        system.delete(target, False)
-    return bool(system.rename(new, target))
+    replace = getattr(jvm.org.apache.hadoop.fs.Options, "Rename").OVERWRITE
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs.Options, "Rename"), 1)
+    options[0] = replace
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(new, target, options)
+    return True
+
+
+def check_write(pages: DataFrame, root: str, vault: str, path: str, content: str, update: bool = False) -> dict:
+    """What a page that is to be written says, or an error: it needs a title and one Concept page of its type, must lie
+    under that page's ``path``, its links must lead to pages, and no other root may have its path unless it is an update."""
+    found = markup.parse_page(path, content.encode())
+    if found["problem"] or found["problems"]:
+        raise ValueError(f"not valid: {found['problem'] or found['problems']}")
+    if not json.loads(found["metadata"] or "{}").get("title"):
+        raise ValueError("a title is required")
+    concepts = pages.where((F.col("type") == "Concept") & (F.col("title") == found["type"])).select(F.get_json_object("metadata", "$.path").alias("folder")).limit(2).collect()
+    if len(concepts) != 1:
+        raise ValueError(f"{'several Concept pages' if concepts else 'no Concept page'} with the title {found['type']!r}")
+    folder = posixpath.normpath(concepts[0]["folder"] or "")
+    if not concepts[0]["folder"] or folder.startswith(("/", "..")):
+        raise ValueError(f"the Concept page {found['type']!r} has no path inside the vault")
+    if folder != "." and not posixpath.normpath(path).startswith(f"{folder}/"):
+        raise ValueError(f"{path} is outside {folder}, the path of {found['type']!r}")
+    spark = pages.sparkSession
+    mine = spark.createDataFrame([(root, path)], "root string, path string")
+    if not update and not paging.external_collisions(mine, pages.select("root", "path")).isEmpty():
+        raise ValueError(f"{path} exists outside this vault already")
+    uri = markup.uri_of(vault, path)
+    known = pages.select("uri", "path").unionByName(spark.createDataFrame([(uri, path)], "uri string, path string")).distinct()
+    inside = [(uri, raw, i) for i, raw in enumerate(found["links"]) if markup.destination(raw) is not None]
+    if inside:
+        missing = resolve(known, spark.createDataFrame(inside, "from_uri string, raw string, ord int")).where("to_uri IS NULL").first()
+        if missing is not None:
+            raise ValueError(f"link to nothing: {missing['raw']}")
+    return {"uri": uri, **found}
+
+
+def vaults(spark: SparkSession, sources: list[tuple[str, str]]) -> DataFrame:
+    """(vault, root, precedence) of the sources, with the bundled one last unless it is among them."""
+    rows = [(vault, root, i) for i, (vault, root) in enumerate(sources)]
+    if BUNDLE not in {vault for vault, _ in sources}:
+        rows.append((BUNDLE, "", len(rows)))
+    return spark.createDataFrame(rows, "vault string, root string, precedence int")
+
+
+def bundled(spark: SparkSession, precedence: int = 1 << 30) -> DataFrame:
+    """The pages that come with the package, to be unioned last: every other source's page of a path wins."""
+    rows = []
+    for path, (type_, title, body) in BUNDLED.items():
+        content = f"---\ntype: {type_}\ntitle: {title}\ndescription: {body.split('. ')[0]}\n---\n{body}\n"
+        found = markup.parse_page(path, content.encode())
+        rows.append({"vault": BUNDLE, "root": "", "precedence": precedence, "path": path, "uri": markup.uri_of(BUNDLE, path), "revision": f"sha256:{hashlib.sha256(content.encode()).hexdigest()}", **found})
+    return spark.createDataFrame(rows, PAGE)
 
 
 def apply_change(pages: DataFrame, root: str, vault: str, path: str, content: str, expected: str | None, digest: str) -> dict:
@@ -243,8 +314,6 @@ def apply_change(pages: DataFrame, root: str, vault: str, path: str, content: st
 
 def add_memory(pages: DataFrame, root: str, text: str, user: str, agent: str) -> str:
     """ADD with a new page of type Memory, or NOOP where this user and agent have that text."""
-    import hashlib
-
     digest = hashlib.sha256(text.strip().encode()).hexdigest()
     known = newest_memory(pages, user, agent).where(F.get_json_object("metadata", "$.hash") == digest)
     if not known.isEmpty():
@@ -258,7 +327,7 @@ def add_memory(pages: DataFrame, root: str, text: str, user: str, agent: str) ->
 
 def procedures(pages: DataFrame, tags: tuple[str, ...] = ()) -> DataFrame:
     """Pages of type Procedure that a model may invoke and that have all tags, with their steps; a faulty contract fails."""
-    parsed = F.udf(lambda body: (lambda r: {"steps": r[0], "problems": r[1]})(markup.procedure(body or "")), "steps array<struct<name:string,inputs:string,process:string,completion:string>>, problems array<string>")
+    parsed = F.udf(lambda body: (lambda r: {"steps": r[0], "problems": r[1]})(markup.procedure(body or "")), "steps array<struct<name:string,inputs:string,process:string,completion:string>>, problems array<string>", useArrow=True)
     wanted = F.array(*[F.lit(t) for t in tags]).cast("array<string>")
     kept = pages.where((F.col("type") == "Procedure") & (F.get_json_object("metadata", "$.invocation") == "model") & (F.size(F.array_except(wanted, "tags")) == 0))
     found = kept.withColumn("p", parsed("body"))

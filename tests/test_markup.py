@@ -63,5 +63,21 @@ def test_line_diff_replays():
     rnd = random.Random(2)
     for _ in range(50):
         a, b = (["x y z w"[rnd.randrange(4) * 2] for _ in range(rnd.randint(1, 12))] for _ in range(2))
-        lines = markup.line_diff("\n".join(a), "\n".join(b)).split("\n")[2:]
+        lines = markup.line_diff("\n".join(a), "\n".join(b)).split("\n")[2:-1]
         assert [x[1:] for x in lines if x[0] != "+"] == a and [x[1:] for x in lines if x[0] != "-"] == b
+        assert sum(x[0] == " " for x in lines) == _shared(a, b)
+    assert markup.line_diff("", "") == "--- current\n+++ candidate\n" and markup.line_diff("", "x\ny") == "--- current\n+++ candidate\n+x\n+y\n"
+    assert markup.line_diff("a\nb\nc", "a\nd\nc").split("\n")[2:-1] == [" a", "-b", "+d", " c"]
+    long = [str(i) for i in range(20_000)]
+    assert markup.line_diff("\n".join(long), "\n".join(long[:9_000] + ["new"] + long[9_001:])).count("\n+") == 2
+
+
+def _shared(a, b):
+    """Length of a longest common subsequence, by recursion."""
+    import functools
+
+    @functools.cache
+    def of(i, j):
+        return 0 if i == len(a) or j == len(b) else 1 + of(i + 1, j + 1) if a[i] == b[j] else max(of(i + 1, j), of(i, j + 1))
+
+    return of(0, 0)
