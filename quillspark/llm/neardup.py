@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import words
@@ -406,21 +406,26 @@ def _verify(k: int, percent: int):  # noqa: ANN202
     return run
 
 
-def _in_cells(rows: DataFrame, key: str, weight: str | None, every: bool) -> DataFrame:
+def _in_cells(rows: DataFrame, key: str, weight: str | None, every: bool, percent: int = 0) -> DataFrame:
     """The rows (key, node, comp, ...) of groups with more than one component, with ``cell`` and ``side``: a group of up to ``CELL`` nodes and ``SHINGLES`` of weight is
     one cell. A larger one is dealt into blocks by node. Unless ``every``, blocks are cells, and each node is in one. Else
     every two nodes that are not both of the group's main component meet: those outside it are in blocks of their own; two
-    blocks meet in the cell of their numbers, and a block meets each block of the main component."""
+    blocks meet in the cell of their numbers, and a block meets each block of the main component. With ``percent`` the rows
+    have n and rem, the shingles from this one on: two nodes whose first common shingle this is share no more than the
+    lesser rem, so a group of two that need more is left out."""
     heavy = F.lit(0) if weight is None else F.col(weight)
     parts = lambda c, w: F.ceil(F.greatest(c / CELL, w / SHINGLES, F.lit(1))).cast("int")
     whole = [F.min("comp").alias("least"), F.max("comp").alias("most")]
+    size = [F.sum("n").alias("s"), F.min("rem").alias("r")] if percent else []
+    size_again = [F.sum("s").alias("s"), F.min("r").alias("r")] if percent else []
+    fits = (F.col("least") != F.col("most")) & ((F.col("all_c") > 2) | ((100 + percent) * F.col("r") >= percent * F.col("s")) if percent else F.lit(True))
     if not every:
-        groups = rows.groupBy(key).agg(*whole, F.count("*").alias("c"), F.sum(heavy).alias("w")).select(F.col(key).alias("g_key"), "least", "most", parts(F.col("c"), F.col("w")).alias("parts"))
+        groups = rows.groupBy(key).agg(*whole, *size, F.count("*").alias("all_c"), F.sum(heavy).alias("w")).where(fits).select(F.col(key).alias("g_key"), parts(F.col("all_c"), F.col("w")).alias("parts"))
     else:
-        by_comp = rows.groupBy(key, "comp").agg(F.count("*").alias("c"), F.sum(heavy).alias("w"))
-        groups = by_comp.groupBy(key).agg(*whole, F.sum("c").alias("all_c"), F.sum("w").alias("all_w"), F.max(F.struct("c", "w", "comp")).alias("top"))
-        groups = groups.select(F.col(key).alias("g_key"), "least", "most", F.col("top.comp").alias("top"), parts(F.col("all_c"), F.col("all_w")).alias("parts"), parts(F.col("all_c") - F.col("top.c"), F.col("all_w") - F.col("top.w")).alias("rest"), parts(F.col("top.c"), F.col("top.w")).alias("main"))
-    met = rows.join(groups.where("least <> most"), F.col(key) == F.col("g_key"))
+        by_comp = rows.groupBy(key, "comp").agg(F.count("*").alias("c"), F.sum(heavy).alias("w"), *size)
+        groups = by_comp.groupBy(key).agg(*whole, *size_again, F.sum("c").alias("all_c"), F.sum("w").alias("all_w"), F.max(F.struct("c", "w", "comp")).alias("top"))
+        groups = groups.where(fits).select(F.col(key).alias("g_key"), F.col("top.comp").alias("top"), parts(F.col("all_c"), F.col("all_w")).alias("parts"), parts(F.col("all_c") - F.col("top.c"), F.col("all_w") - F.col("top.w")).alias("rest"), parts(F.col("top.c"), F.col("top.w")).alias("main"))
+    met = rows.join(groups, F.col(key) == F.col("g_key"))
     hashed = lambda n: F.pmod(F.xxhash64("node"), n).cast("long")
     if not every:
         return met.select(*rows.columns, hashed(F.col("parts")).alias("cell"), F.lit(0).alias("side"), "parts")
@@ -437,11 +442,14 @@ def _in_cells(rows: DataFrame, key: str, weight: str | None, every: bool) -> Dat
 def _round(nodes: DataFrame, docs: DataFrame, comps: DataFrame | None, few: bool, every: bool, k: int, percent: int) -> tuple[DataFrame, bool]:
     """(links found between components, whether some group was split). ``few``: only some of the first shingles meet."""
     spark = nodes.sparkSession
-    firsts = F.filter("firsts", lambda x, i: (i < 2) | (F.pmod(x, F.lit(16)) == 0)) if few else F.col("firsts")
-    known = nodes.select("node", "firsts").withColumn("comp", F.col("node"))
+    known = nodes.select("node", "n", "firsts").withColumn("comp", F.col("node"))
     if comps is not None:
         known = known.drop("comp").join(comps.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left").withColumn("comp", F.coalesce("component", "node"))
-    met = written(_in_cells(known.select("node", "comp", F.explode(firsts).alias("token")), "token", None, every), "postings")
+    posted = known.select("node", "comp", "n", F.posexplode("firsts").alias("place", "token"))
+    if few:
+        posted = posted.where((F.col("place") < 2) | (F.pmod("token", F.lit(16)) == 0))
+    posted = posted.select("token", "node", "comp", F.col("n").cast("int").alias("n"), (F.col("n") - F.col("place")).cast("int").alias("rem"))
+    met = written(_in_cells(posted, "token", None, every, percent).drop("n", "rem"), "postings")
     signed = nodes.select(F.col("node").alias("s_node"), "n", "bits")
     full = met.join(signed, F.col("node") == F.col("s_node")).select("token", "cell", "side", "node", "comp", "n", "bits", F.col("parts") > 1)
     dealt = full.repartition(partitions(spark), "token", "cell").sortWithinPartitions("token", "cell")
@@ -462,19 +470,25 @@ def _round(nodes: DataFrame, docs: DataFrame, comps: DataFrame | None, few: bool
 
 def _texts(placed: DataFrame, docs: DataFrame) -> DataFrame:
     """(cluster, cell, side, node, comp, text): each placed node with the text of the row that stands for it."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("hash")).alias("d_rep"), "text")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(_row(F.col("doc_id"), F.xxhash64("text")).alias("d_rep"), "text")
     one = rows.join(small(placed.select("rep"), 48), F.col("d_rep") == F.col("rep"), "left_semi").groupBy("d_rep").agg(F.first("text").alias("text"))
     return placed.join(one, F.col("rep") == F.col("d_rep")).select("cluster", "cell", "side", "node", "comp", "text")
 
 
-def linked_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_copies) of each row: copies counts the rows with the same set."""
+def _row(doc_id: Column, hashed: Column) -> Column:
+    """What tells a row from others: its doc_id, null ones last, and its text's hash."""
+    return F.struct(doc_id.isNull().alias("no_id"), F.coalesce(doc_id.cast("long"), F.lit(0)).alias("id"), hashed.alias("hash"))
+
+
+def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables: (doc_id, hash, n, node) of each row, and (w_node, component_id, first, n_copies) of each node, where
+    ``first`` tells the component's first row."""
     docs = docs.select("doc_id", "text")
     signed = written(signatures(docs, k, percent, rarity(docs, k)), "signatures")
     full = signed.where("n > 0")
-    rep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "hash"))
+    rep = F.min(_row(F.col("doc_id"), F.col("hash")))
     nodes = written(full.groupBy("node").agg(F.min("doc_id").alias("id"), rep.alias("rep"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("firsts").alias("firsts"), F.first("bits").alias("bits")), "nodes")
-    named = written(signed.select("doc_id", "n", "node"), "rows")
+    rows = written(signed.select("doc_id", "hash", "n", "node"), "rows")
     removed(signed)
     links, _ = _round(nodes, docs, None, True, False, k, percent)
     comps = components(links)
@@ -483,13 +497,37 @@ def linked_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
         new, split = _round(nodes, docs, comps, False, every, k, percent)
         links, every = links.unionByName(new), True
         comps = components(links)
-    of_node = nodes.select("node", "id", "n_copies").join(comps.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
-    of_node = of_node.select("node", "id", "n_copies", F.coalesce("component", "node").alias("component"))
-    least = of_node.groupBy("component").agg(F.min("id").alias("component_id")).withColumnRenamed("component", "l_component")
-    comp_of = written(of_node.join(least, F.col("component") == F.col("l_component")).select(F.col("node").alias("w_node"), "component_id", "n_copies"), "components")
-    placed = named.join(comp_of, (F.col("node") == F.col("w_node")) & (F.col("n") > 0), "left")
+    of_node = nodes.select("node", "id", "rep", "n_copies").join(comps.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
+    of_node = of_node.select("node", "id", "rep", "n_copies", F.coalesce("component", "node").alias("component"))
+    least = of_node.groupBy("component").agg(F.min("id").alias("component_id"), F.min("rep").alias("first")).withColumnRenamed("component", "l_component")
+    found = written(of_node.join(least, F.col("component") == F.col("l_component")).select(F.col("node").alias("w_node"), "component_id", "first", "n_copies"), "components")
+    removed(nodes)
+    return rows, found
+
+
+def linked_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_copies) of each row: copies counts the rows with the same set."""
+    rows, found = _components(docs, k, percent)
+    placed = rows.join(found, (F.col("node") == F.col("w_node")) & (F.col("n") > 0), "left")
     return placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
 
 
+def without_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each component: that with the least doc_id (a null one last) and text hash.
+
+    Rows without words link with nothing and stay. Of rows with one doc_id and one text one stays."""
+    rows, found = _components(docs, k, percent)
+    own = rows.where("n > 0").join(found, F.col("node") == F.col("w_node")).select(_row(F.col("doc_id"), F.col("hash")).alias("row"), "first")
+    gone = written(own.groupBy("row", "first").agg(F.count("*").alias("rows")).where("row <> first OR rows > 1").select(F.col("row").alias("g_row"), (F.col("row") == F.col("first")).alias("again")), "gone")
+    removed(rows, found)
+    marked = docs.withColumn("g_key", _row(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))))
+    kept = marked.join(small(gone, 48), F.col("g_key") == F.col("g_row"), "left_anti").select(*docs.columns)
+    again = gone.where("again")
+    if again.isEmpty():
+        return kept
+    repeated = marked.join(small(again.select("g_row"), 48), F.col("g_key") == F.col("g_row"), "left_semi").select(*docs.columns)
+    return kept.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+
+
 def op4_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_components(table(spark, sf_dir, "documents"), k=4, percent=85).drop("n_copies")
