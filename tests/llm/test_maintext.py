@@ -1,3 +1,7 @@
+import math
+import random
+from html.parser import HTMLParser
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +70,85 @@ def test_columns(spark, docs_of):
     got = maintext.extract(pages).collect()
     assert [(r.page_id, r.text, r.n_chars) for r in got] == [(1, "a", 1), (1, "a", 1), (2, "", 0)]
     assert maintext.extract(pages.limit(0).withColumn("text", F.lit(1))).count() == 0
+
+
+class _Tree(HTMLParser):
+    """An independent tree of well-formed pages: nodes [tag, parent, own characters, own link characters, children]."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.nodes, self.open, self.texts = [["#root", None, 0, 0, []]], [0], []
+        self.feed(html)
+
+    def handle_starttag(self, tag, attrs):
+        self.nodes.append([tag, self.open[-1], 0, 0, []])
+        self.nodes[self.open[-1]][4].append(len(self.nodes) - 1)
+        self.open.append(len(self.nodes) - 1)
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+
+    def handle_data(self, data):
+        n = len(data.replace(" ", ""))
+        self.nodes[self.open[-1]][2] += n
+        if any(self.nodes[i][0] == "a" for i in self.open):
+            self.nodes[self.open[-1]][3] += n
+        self.texts.append((self.open[-1], data))
+
+    def below(self, i):
+        return [i] + [k for c in self.nodes[i][4] for k in self.below(c)]
+
+    def density(self, i):
+        under = self.below(i)
+        body = self.below(next(k for k, n in enumerate(self.nodes) if n[0] == "body"))
+        total = lambda part, at: sum(self.nodes[k][at] for k in part)
+        chars, links = total(under, 2), total(under, 3)
+        tags, link_tags = len(under) - 1, sum(self.nodes[k][0] == "a" for k in under[1:])
+        if not chars:
+            return 0.0
+        inner = chars / (chars - links or 1) * links + total(body, 3) / (total(body, 2) or 1) * chars + math.e
+        value = chars / (links or 1) * (tags or 1) / (link_tags or 1)
+        if value <= 1 or inner <= math.e:
+            return 0.0 if links else chars / (tags or 1)  # no logarithm to that base
+        return chars / (tags or 1) * max(0.0, math.log(value, math.log(inner)))
+
+
+def _random_page(rnd):
+    def part(depth):
+        kind = rnd.random()
+        words = " ".join(rnd.choice(["word", "longer", "a", "density"]) for _ in range(rnd.randint(1, 30)))
+        if depth > 4 or kind < 0.35:
+            return f"<p>{words}</p>"
+        if kind < 0.5:
+            return f"<div><a>{words[:25]}</a> <a>{words[:9]}</a></div>"
+        if kind < 0.6:
+            return f"<p>{words} <a>{words[:12]}</a> <span>{words[:30]}</span></p>"
+        return "<div>" + "".join(part(depth + 1) for _ in range(rnd.randint(1, 4))) + "</div>"
+
+    return f"<html><body>{''.join(part(0) for _ in range(rnd.randint(1, 6)))}</body></html>"
+
+
+def test_densities_sums_and_threshold_equal_an_independent_version():
+    rnd = random.Random(17)
+    for _ in range(120):
+        html = _random_page(rnd)
+        tree, page = _Tree(html), maintext._Page(html)
+        want = [tree.density(i) for i in range(len(tree.nodes))]
+        assert page.tags == [n[0] for n in tree.nodes] and page.densities() == pytest.approx(want)
+        sums = [sum(want[c] for c in n[4]) if n[4] else want[i] for i, n in enumerate(tree.nodes)]
+        best = max(range(len(sums)), key=lambda i: (sums[i], -i))
+        path, i = [], best
+        while i is not None and tree.nodes[i][0] != "#root":
+            path.append(i)
+            i = tree.nodes[i][1]
+        least = min(want[i] for i in path) if path else want[best]
+        taken = set()
+        for i, n in enumerate(want):
+            if n >= least and n > 0:
+                taken |= set(tree.below(max(tree.below(i), key=lambda k: (sums[k], -k))))
+        inline = lambda i: i if tree.nodes[i][0] not in ("a", "span") else inline(tree.nodes[i][1])
+        lines = {}
+        for node, text in tree.texts:
+            lines.setdefault(inline(node), []).append((node, text))
+        expected = [" ".join("".join(t for _, t in parts).split()) for _, parts in sorted(lines.items()) if parts[0][0] in taken]
+        assert maintext.main_text(html).split("\n\n") == [e for e in expected if e]
