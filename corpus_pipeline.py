@@ -19,7 +19,10 @@ def _columns(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose chance of the best grade is too small. The classifier learns from labels of these documents."""
+    """Drops documents whose chance of the best grade is too small. The classifier learns from labels of these documents.
+
+    A null text is judged as an empty one. Null and repeated doc_ids are judged by their texts like any other; equal texts
+    share one fate. Where labels tell nothing apart, all stay. An empty table stays empty; all columns stay."""
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
     return _columns(quality.score(docs, model).where("keep"), docs)
 
@@ -27,20 +30,17 @@ def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component of near duplicates (five words, similarity 0.8): that with the least doc_id.
 
-    Documents without words link with nothing and stay. Rows of one doc_id and one text count once; other texts under a
-    kept doc_id, and texts without a doc_id in a component without any, stay."""
-    found = neardup.linked_components(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_id"), (F.col("n_shingles") > 0).alias("k_words")).distinct()
-    worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")) & (worded == F.col("k_words")))
-    # ids are unique but for repeated rows; only those are looked at again
-    repeated = joined.where("k_words").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("r_id"), F.lit(True).alias("again"))
-    once = joined.join(repeated, F.col("doc_id").eqNullSafe(F.col("r_id")) & F.col("k_words"), "left")
-    return _columns(once.where("again IS NULL"), docs).unionByName(_columns(once.where("again"), docs).dropDuplicates(["doc_id", "text"]))
+    Documents without words link with nothing and stay. Null doc_ids come last in a component, and of them the least text
+    hash stays; of rows with one doc_id and one text one stays; another text under a doc_id is a document of its own. Very
+    long texts count whole. An empty table stays empty; all columns stay."""
+    return neardup.without_duplicates(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in every text, and counts its characters anew."""
+    """Replaces personal data in every text, and counts its characters anew.
+
+    A null text stays null with its count. Equal texts get equal results, whatever their doc_ids; overlapping spans become
+    one. Very long texts are searched whole. An empty table stays empty; no row goes and all columns stay."""
     changed = personal.redact(docs, personal.learn(docs))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
@@ -48,13 +48,20 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    A null source is one of its own. Null and repeated doc_ids draw by source and text; rows equal in all three share one
+    draw. Documents without words have no size and are taken as their source's rate says. Texts are taken whole, however
+    long. An empty table stays empty; all columns stay."""
     mixed = mixing.mixed(docs).where("copies > 0")
     return _columns(mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents (a copy is a document of its own) with their places in sequences."""
+    """The pieces of all documents (a copy is a document of its own) with their places in sequences.
+
+    A null or empty text is one piece of the closing id. Repeated rows are packed one by one; ties in length are ranked by
+    doc_id and piece, null doc_ids first. Very long texts are cut into full pieces. An empty table gives no pieces."""
     return packing.pack(docs)
 
 
