@@ -104,12 +104,11 @@ def path_status(edges: DataFrame, nodes: DataFrame, source: str, target: str, di
     known = {r["uri"] for r in nodes.where(F.col("uri").isin(source, target)).select("uri").collect()}
     if source not in known or target not in known:
         return {"status": "unknown_source" if source not in known else "unknown_target", "nodes": [], "relations": []}
-    arcs = directed(edges, direction, relations)
-    found = shortest_path(arcs, source, target, depth)
-    if found["nodes"]:
+    # one search: it ends at the target if that is near, and else has to go on to tell why there is no path
+    found = shortest_path(directed(edges, direction, relations), source, target)
+    if found["nodes"] and (depth < 0 or len(found["nodes"]) <= depth + 1):
         return {"status": "found", **found}
-    beyond = depth >= 0 and shortest_path(arcs, source, target)["nodes"]
-    return {"status": "depth_exceeded" if beyond else "disconnected", "nodes": [], "relations": []}
+    return {"status": "depth_exceeded" if found["nodes"] else "disconnected", "nodes": [], "relations": []}
 
 
 def ego(edges: DataFrame, uri: str, limit: int = 300) -> DataFrame:

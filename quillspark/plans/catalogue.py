@@ -187,11 +187,18 @@ def pages_per_type(spark, d):
     return V.doc_pages(spark, d).groupBy("type").agg(F.count("*").alias("pages"))
 
 
-@query(f"WITH {V.DOC_PAGES} SELECT type AS name, min_by(uri, doc_id) AS uri, min_by(title, doc_id) AS description FROM doc_pages GROUP BY type")
+@query(f"""WITH {V.DOC_PAGES}, concepts AS (SELECT CASE n_nationkey % 5 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'es' ELSE 'Other' END AS name, 'nation:' || n_nationkey AS uri, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE '' END AS description, n_regionkey AS precedence, n_name AS path FROM nation),
+first AS (SELECT * FROM concepts QUALIFY row_number() OVER (PARTITION BY name ORDER BY precedence, path) = 1)
+SELECT t.name, f.uri, coalesce(nullif(f.description, ''), t.name) AS description FROM (SELECT DISTINCT type AS name FROM doc_pages UNION SELECT 'Concept') t LEFT JOIN first f ON f.name IS NOT DISTINCT FROM t.name""")
 def type_summary(spark, d):
-    """The first page of each type, in scan order, describes it."""
-    first = F.min_by(F.struct("uri", "title"), "doc_id")
-    return V.doc_pages(spark, d).groupBy(F.col("type").alias("name")).agg(first.alias("x")).select("name", "x.uri", F.col("x.title").alias("description"))
+    """Types in use, each described by the first Concept page of that title; nations stand for the Concept pages."""
+    from quillspark.sources import vault
+
+    last = F.col("n_nationkey") % 5
+    title = F.when(last == 0, "en").when(last == 1, "de").when(last == 2, "es").otherwise("Other")
+    concepts = V.table(spark, d, "nation").select(F.lit("Concept").alias("type"), title.alias("title"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("uri"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise("").alias("description"), F.col("n_regionkey").alias("precedence"), F.col("n_name").alias("path"))
+    docs = V.doc_pages(spark, d).select("type", "title", "uri", F.lit("").alias("description"), F.lit(9).alias("precedence"), "path")
+    return vault.first_per_type(docs.unionByName(concepts))
 
 
 @query("SELECT source AS dir, count(*) AS pages, min(doc_id || '.md') AS first, max(doc_id || '.md') AS last FROM documents GROUP BY source")
@@ -204,10 +211,14 @@ def index_by_directory(spark, d):
 # ---- graph
 
 
-@query(f"WITH {V.FK_EDGES} SELECT DISTINCT from_uri, to_uri, relation FROM fk_edges")
+@query(f"""WITH {V.FK_EDGES} SELECT DISTINCT from_uri, to_uri, relation FROM fk_edges UNION
+SELECT 'customer:' || c_custkey, 'nation:' || t, 'links_to' FROM (SELECT c_custkey, c_nationkey, (c_nationkey + c_custkey % 3) % 25 AS t FROM customer) WHERE t <> c_nationkey""")
 def graph_edges_dedup(spark, d):
+    """Explicit edges, repeated ones too, and links from customers to nations, a third of which an explicit edge says already."""
     edges = V.fk_edges(spark, d).withColumn("ord", F.lit(0))
-    return graph.build_edges(edges, edges.select("from_uri", "to_uri", "raw", "ord")).select("from_uri", "to_uri", "relation")
+    target = F.concat(F.lit("nation:"), ((F.col("c_nationkey") + F.col("c_custkey") % 3) % 25).cast("string"))
+    links = V.table(spark, d, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("from_uri"), target.alias("to_uri"), target.alias("raw"), F.lit(1).alias("ord"))
+    return graph.build_edges(edges, links).select("from_uri", "to_uri", "relation")
 
 
 @query(f"WITH {V.FK_EDGES} SELECT DISTINCT from_uri, to_uri, relation FROM fk_edges WHERE from_uri = 'nation:7' OR to_uri = 'nation:7'")
@@ -340,7 +351,7 @@ def ctx_rrf(spark, d):
     long = pages.select("uri", F.length("body").alias("n")).orderBy(F.desc("n"), "uri").limit(100)
     lex = best.withColumn("position", F.row_number().over(Window.orderBy(F.desc("score"), "uri")))
     vec = long.withColumn("position", F.row_number().over(Window.orderBy(F.desc("n"), "uri")))
-    return lexical.fused({"lexical": (lex, 1.0), "vector": (vec, 100.0)}).withColumn("fused", F.round("fused", 9))
+    return lexical.fused({"score": (lex, 1.0), "length": (vec, 100.0)}).withColumn("fused", F.round("fused", 9))
 
 
 _HOLDS = """CASE WHEN valid_from IS NOT NULL OR valid_until IS NOT NULL THEN (valid_from IS NULL OR '2024-09-01T00:00:00Z' >= valid_from) AND (valid_until IS NULL OR '2024-09-01T00:00:00Z' <= valid_until)
@@ -657,15 +668,17 @@ def code_search(spark, d):
 
 
 @query(f"""WITH {V.FK_EDGES}, s AS (SELECT to_uri FROM fk_edges WHERE from_uri = 'customer:1'), r AS (SELECT DISTINCT to_uri FROM fk_edges WHERE from_uri IN (SELECT to_uri FROM s) AND relation = 'in_region')
-SELECT 'found' AS status, 'customer:1 ' || (SELECT to_uri FROM s) || ' ' || (SELECT to_uri FROM r) AS path, 'in_nation in_region' AS relations""")
+SELECT 'region' AS asked, 'found' AS status, 'customer:1 ' || (SELECT to_uri FROM s) || ' ' || (SELECT to_uri FROM r) AS path, 'in_nation in_region' AS relations
+UNION ALL SELECT 'region within one', 'depth_exceeded', '', '' UNION ALL SELECT 'customer', 'disconnected', '', '' UNION ALL SELECT 'nobody', 'unknown_target', '', '' UNION ALL SELECT 'from nobody', 'unknown_source', '', ''""")
 def graph_path_status(spark, d):
-    """From a customer to its region, along edges as they point."""
+    """From a customer to its region along edges as they point, and why there are no other paths."""
     edges = V.fk_edges(spark, d)
     nation = edges.where("from_uri = 'customer:1'").select("to_uri")
     region = edges.where("relation = 'in_region'").join(nation.withColumnRenamed("to_uri", "from_uri"), "from_uri").first()["to_uri"]
     nodes = edges.select(F.col("from_uri").alias("uri")).unionByName(edges.select(F.col("to_uri").alias("uri"))).distinct()
-    found = graph.path_status(edges, nodes, "customer:1", region, depth=3)
-    return spark.createDataFrame([(found["status"], " ".join(found["nodes"]), " ".join(found["relations"]))], "status string, path string, relations string")
+    asked = [("region", "customer:1", region, 3), ("region within one", "customer:1", region, 1), ("customer", region, "customer:1", -1), ("nobody", "customer:1", "customer:-1", 3), ("from nobody", "customer:-1", region, 3)]
+    found = [(name, graph.path_status(edges, nodes, a, b, depth=n)) for name, a, b, n in asked]
+    return spark.createDataFrame([(name, f["status"], " ".join(f["nodes"]), " ".join(f["relations"])) for name, f in found], "asked string, status string, path string, relations string")
 
 
 @query(f"""WITH {V.FK_EDGES}, n AS (SELECT to_uri FROM fk_edges WHERE from_uri = 'customer:1'), r AS (SELECT to_uri FROM fk_edges WHERE from_uri IN (SELECT to_uri FROM n) AND relation = 'in_region')

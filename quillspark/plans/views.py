@@ -66,12 +66,13 @@ DOC_TRUST = f"""doc_trust AS (SELECT 'kb://corpus/' || source || '/' || doc_id |
 
 
 def fk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed edges along foreign keys: customers and suppliers to nations, nations to regions, orders to customers."""
+    """Typed edges along foreign keys: customers and suppliers to nations, nations to regions, orders to customers and parts."""
     parts = [
         ("nation", "nation:", "n_nationkey", "region:", "n_regionkey", "in_region"),
         ("customer", "customer:", "c_custkey", "nation:", "c_nationkey", "in_nation"),
         ("supplier", "supplier:", "s_suppkey", "nation:", "s_nationkey", "in_nation"),
         ("orders", "order:", "o_orderkey", "customer:", "o_custkey", "placed_by"),
+        ("lineitem", "order:", "l_orderkey", "part:", "l_partkey", "contains"),
     ]
     out = None
     for name, a, x, b, y, relation in parts:
@@ -83,7 +84,8 @@ def fk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 FK_EDGES = """fk_edges AS (SELECT 'nation:' || n_nationkey AS from_uri, 'region:' || n_regionkey AS to_uri, 'in_region' AS relation FROM nation
   UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'in_nation' FROM customer
   UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'in_nation' FROM supplier
-  UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey, 'placed_by' FROM orders)"""
+  UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey, 'placed_by' FROM orders
+  UNION ALL SELECT 'order:' || l_orderkey, 'part:' || l_partkey, 'contains' FROM lineitem)"""
 
 
 def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,14 +138,47 @@ def notices(store: GenerationStore, current: Callable[[], DataFrame], send: Call
     return run
 
 
-def hooks(events: DataFrame, rules: list[dict], deliver: Callable[[dict, dict], None]) -> None:
-    """Delivers written pages' events (uri, operation) to the hooks whose scope holds the uri: all, a page, or a prefix by
-    whole segments."""
-    for row in events.toLocalIterator():
-        for rule in rules:
-            target = rule.get("target", "").rstrip("/")
-            if rule["scope"] == "vault" or (rule["scope"] == "page" and row["uri"] == rule["target"]) or (rule["scope"] == "prefix" and row["uri"].startswith(f"{target}/")):
-                deliver(rule, row.asDict())
+def deliveries_due(events: DataFrame, rules: DataFrame) -> DataFrame:
+    """(hook, uri, operation): each event (uri, operation) with the hooks (hook, scope, target) whose scope holds the uri.
+
+    Scopes are all (vault), a page, or a prefix by whole segments: an event has a key for each, so that this is an
+    equi-join whatever the number of hooks."""
+    parts = F.split("uri", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.struct(F.lit("prefix").alias("k_scope"), F.array_join(F.slice(parts, 1, n), "/").alias("k_target")))
+    own = F.array(F.struct(F.lit("vault").alias("k_scope"), F.lit("").alias("k_target")), F.struct(F.lit("page").alias("k_scope"), F.col("uri").alias("k_target")))
+    keyed = events.select("uri", "operation", F.inline(F.concat(own, F.when(F.size(parts) > 1, above).otherwise(F.array().cast("array<struct<k_scope:string,k_target:string>>")))))
+    target = F.when(F.col("scope") == "vault", "").when(F.col("scope") == "prefix", F.regexp_replace(F.coalesce("target", F.lit("")), "/+$", "")).otherwise(F.col("target"))
+    named = rules.select("hook", "scope", target.alias("h_target"))
+    return keyed.join(named, (F.col("k_scope") == F.col("scope")) & (F.col("k_target") == F.col("h_target"))).select("hook", "uri", "operation")
+
+
+def deliver(due: DataFrame, send: Callable[[dict], str], timeout: float = 10.0, output: int = 4096, secrets: tuple[str, ...] = ()) -> DataFrame:
+    """Sends what is due from the tasks: (hook, uri, operation, result, output). ``send`` gets a row and returns its output.
+
+    A send that takes longer than ``timeout`` seconds or fails is told as such and does not stop the others; outputs are
+    cut to ``output`` bytes, and secrets in them are blotted out. Whoever sends must bear a repeat, as tasks may run twice."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from concurrent.futures import ThreadPoolExecutor, TimeoutError
+
+        for frame in frames:
+            results, outputs = [], []
+            for row in frame.to_dict("records"):
+                pool = ThreadPoolExecutor(1)  # one that hangs is left behind
+                try:
+                    result, said = "delivered", pool.submit(send, row).result(timeout) or ""
+                except TimeoutError:
+                    result, said = "timeout", ""
+                except Exception as e:  # what a hook does is not ours to judge
+                    result, said = "failed", str(e)
+                pool.shutdown(wait=False)
+                for secret in secrets:
+                    said = said.replace(secret, "[redacted]") if secret else said
+                results.append(result)
+                outputs.append(said.encode()[:output].decode("utf-8", "ignore"))
+            yield frame.assign(result=results, output=outputs)
+
+    return due.mapInPandas(run, "hook string, uri string, operation string, result string, output string")
 
 
 def ticks(spark: SparkSession, seconds: int = 30) -> DataFrame:

@@ -128,10 +128,23 @@ def test_runs_stream(spark, tmp_path):
 
 
 def test_hooks_and_notices(spark, tmp_path):
-    sent = []
     events = spark.createDataFrame([("kb://v/a/b.md", "write"), ("kb://v/ab.md", "write")], "uri string, operation string")
-    pipelines.hooks(events, [{"scope": "prefix", "target": "kb://v/a"}, {"scope": "page", "target": "kb://v/ab.md"}], lambda rule, e: sent.append((rule["scope"], e["uri"])))
-    assert sent == [("prefix", "kb://v/a/b.md"), ("page", "kb://v/ab.md")]
+    rules = spark.createDataFrame([("p", "prefix", "kb://v/a/"), ("q", "page", "kb://v/ab.md"), ("all", "vault", None), ("none", "prefix", "kb://v/a/b")], "hook string, scope string, target string")
+    due = pipelines.deliveries_due(events, rules)
+    assert sorted((r.hook, r.uri[-4:]) for r in due.collect()) == [("all", "b.md"), ("all", "b.md"), ("p", "b.md"), ("q", "b.md")]
+    assert {r.hook for r in due.where("uri LIKE '%/a/b.md'").collect()} == {"all", "p"}
+
+    def send(row):
+        import time
+
+        if row["hook"] == "p":
+            time.sleep(3)
+        if row["hook"] == "q":
+            raise RuntimeError("token s3cret refused")
+        return "said s3cret " + "x" * 100
+
+    got = {r.hook: (r.result, r.output) for r in pipelines.deliver(due, send, timeout=0.5, output=20, secrets=("s3cret",)).collect()}
+    assert got == {"all": ("delivered", "said [redacted] xxxx"), "p": ("timeout", ""), "q": ("failed", "token [redacted] ref")}
     told, now = [], [spark.createDataFrame([("a", "1", "o"), ("b", "1", "o")], "uri string, revision string, origin string"), spark.createDataFrame([("a", "2", "o"), ("c", "1", "o")], "uri string, revision string, origin string")]
     run = pipelines.notices(stores.GenerationStore(spark, str(tmp_path / "n")), lambda: now[0], lambda u, c: told.append((u, c)))
     run(None, 0)
