@@ -88,6 +88,15 @@ def fields(frame: DataFrame, wanted: str, defaults: tuple[str, ...], allowed: tu
     return frame.select(*names)
 
 
+def lookup(pages: DataFrame, selector: str) -> DataFrame:
+    """The page of a uri; with the authority ``_`` that of the path, from the source that comes first."""
+    scheme, _, rest = selector.partition("://")
+    authority, _, path = rest.partition("/")
+    if authority != "_":
+        return pages.where(F.col("uri") == selector)
+    return pages.where(F.col("path") == path).orderBy("precedence", "uri").limit(1)
+
+
 def of_type(pages: DataFrame, name: str) -> DataFrame:
     """All columns of the pages of exactly this type, by uri."""
     return pages.where(F.col("type") == name).orderBy("uri")

@@ -150,6 +150,14 @@ def page_cursor(spark, d):
     return paging.by_key(pages, "uri", 100, cursor)[0]
 
 
+@query(f"""WITH {V.WEB_PAGES}, p AS (SELECT path FROM web_pages GROUP BY path ORDER BY count(*) DESC, path LIMIT 1) SELECT uri, path FROM web_pages WHERE path = (SELECT path FROM p) ORDER BY precedence, uri LIMIT 1""")
+def page_lookup(spark, d):
+    """The most used path's page, from the source that comes first."""
+    pages = V.web_pages(spark, d)
+    path = pages.groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").first()["path"]
+    return paging.lookup(pages, f"kb://_/{path}").select("uri", "path")
+
+
 @query(f"WITH {V.DOC_TRUST} SELECT uri, type, status, tier FROM doc_trust WHERE type = 'de' ORDER BY uri")
 def typed_records(spark, d):
     return paging.fields(paging.of_type(V.doc_trust(spark, d), "de"), "uri, type,status,tier", ("uri",), ("uri", "type", "status", "tier", "confidence"))
@@ -681,6 +689,20 @@ def graph_path_status(spark, d):
     return spark.createDataFrame([(name, f["status"], " ".join(f["nodes"]), " ".join(f["relations"])) for name, f in found], "asked string, status string, path string, relations string")
 
 
+@query(f"WITH {V.SYMBOLS}, {V.RELATIONS}, own AS (SELECT name, qualified_name, document_id FROM symbols WHERE id = 's7') SELECT r.id, r.source, r.target FROM relations r, own WHERE r.target IN (own.name, own.qualified_name) ORDER BY r.id LIMIT 20")
+def code_relations_in(spark, d):
+    symbol = code.symbol(V.symbols(spark, d), "s7").first().asDict()
+    return code.first_relations(V.relations(spark, d), symbol, "in", 20).select("id", "source", "target")
+
+
+@query("SELECT p_partkey AS id, p_brand AS path FROM part WHERE p_brand = 'Brand#13' AND p_size % 2 = 0 AND p_type LIKE 'ECONOMY%'")
+def code_diagnostics(spark, d):
+    """Parts as diagnostics: a path, a language and a category each."""
+    part = V.table(spark, d, "part")
+    found = part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("path"), F.when(F.col("p_size") % 2 == 0, "go").otherwise("python").alias("language"), F.substring_index("p_type", " ", 1).alias("category"))
+    return code.diagnostics(found, path="Brand#13", language="go", category="ECONOMY").select("id", "path")
+
+
 @query(f"""WITH {V.FK_EDGES}, n AS (SELECT to_uri FROM fk_edges WHERE from_uri = 'customer:1'), r AS (SELECT to_uri FROM fk_edges WHERE from_uri IN (SELECT to_uri FROM n) AND relation = 'in_region')
 SELECT 'customer:1 ' || (SELECT to_uri FROM n) || ' ' || (SELECT to_uri FROM r) AS symbols, 'customer:1>' || (SELECT to_uri FROM n) || ' ' || (SELECT to_uri FROM n) || '>' || (SELECT to_uri FROM r) AS relations, false AS truncated""")
 def code_path(spark, d):

@@ -98,22 +98,24 @@ def deliveries(stream: DataFrame) -> DataFrame:
 
 
 class _Runs(StatefulProcessor):
-    """Follows each run: the next sequence it needs, those that came early, and whether it has its outcome."""
+    """Follows each run: the next sequence it needs, those that came early (a state row each), and whether it has its outcome."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.next = handle.getValueState("next", "next long, ended boolean, early string")
+        self.next = handle.getValueState("next", "next long, ended boolean, waiting long")
+        self.early = handle.getMapState("early", "sequence long", "there boolean")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:  # noqa: N802
-        need, ended, early = self.next.get() if self.next.exists() else (0, False, "")
-        waiting = {int(x) for x in early.split(",") if x}
+        need, ended, waiting = self.next.get() if self.next.exists() else (0, False, 0)
         for frame in rows:
-            waiting |= set(frame["sequence"].astype(int))
             ended = ended or bool((frame["kind"] == "outcome").any())
-        while need in waiting:
-            waiting.discard(need)
-            need += 1
-        waiting = {x for x in waiting if x >= need}
-        self.next.update((need, ended, ",".join(map(str, sorted(waiting)))))
+            for sequence in frame["sequence"].astype(int).tolist():
+                if sequence >= need and not self.early.containsKey((sequence,)):
+                    self.early.updateValue((sequence,), (True,))
+                    waiting += 1
+        while waiting and self.early.containsKey((need,)):
+            self.early.removeKey((need,))
+            need, waiting = need + 1, waiting - 1
+        self.next.update((need, ended, waiting))
         yield pd.DataFrame({"run_id": [key[0]], "entries": [need], "complete": [ended and not waiting]})
 
     def close(self) -> None:
