@@ -82,7 +82,12 @@ def resolve(pages: DataFrame, trust: DataFrame, question: str, strategy: str = "
     from quillspark.operators import graph, lexical
 
     by_rank = Window.orderBy(F.desc("class"), F.desc("score"), "uri")
-    lists = {"lexical": (lexical.top(lexical.ranked(pages, question), pool).withColumn("position", F.row_number().over(by_rank)), STRATEGIES[strategy][0])}
+    hits, taken_hits = lexical.ranked(pages, question), pool
+    if T.question_class(question)[0] == "direct" and "description" in pages.columns:
+        # an exact hit that says what it is answers a direct question alone
+        first = lexical.top(hits, 1).join(pages.select("uri", "description"), "uri").first()
+        taken_hits = 1 if first and first["class"] == 3 and (first["description"] or "").strip() else pool
+    lists = {"lexical": (lexical.top(hits, taken_hits).withColumn("position", F.row_number().over(by_rank)), STRATEGIES[strategy][0])}
     if vector is not None and STRATEGIES[strategy][1]:
         lists["vector"] = (vector.orderBy("position").limit(pool), STRATEGIES[strategy][1])
     fused = lexical.fused(lists)

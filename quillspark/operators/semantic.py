@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import vectors
+from quillspark.operators import graph
 
 CHUNK = 6000
 
@@ -109,3 +111,37 @@ def query(chunked: DataFrame, meta: dict | None, question: str, embedder: Callab
     live = trust.withColumnRenamed("uri", "t_uri")
     best = nearest(chunked.join(live.select("t_uri"), F.col("uri") == F.col("t_uri"), "left_semi"), found[0], limit)
     return best.join(live, F.col("uri") == F.col("t_uri")).drop("t_uri").orderBy(F.desc("similarity"), "uri")
+
+
+def service_embedder(post: Callable[[list[str]], bytes], most: int = 1 << 20) -> Callable[[list[str]], list[list[float]]]:
+    """An embedder from a service's raw answers, {"data": [{"index": 0, "embedding": [...]}, ...]} in any order.
+
+    An answer of more than ``most`` bytes, a missing, repeated or strange index, and vectors of several sizes are errors."""
+
+    def run(texts: list[str]) -> list[list[float]]:
+        raw = post(texts)
+        if len(raw) > most:
+            raise ValueError(f"the answer has more than {most} bytes")
+        found: dict[int, list[float]] = {}
+        for item in json.loads(raw)["data"]:
+            if item["index"] in found or not 0 <= item["index"] < len(texts):
+                raise ValueError(f"unexpected index {item['index']}")
+            found[item["index"]] = [float(x) for x in item["embedding"]]
+        if len(found) != len(texts) or len({len(v) for v in found.values()}) > 1:
+            raise ValueError("the answer lacks vectors, or they have several sizes")
+        return [found[i] for i in range(len(texts))]
+
+    return run
+
+
+def sync(pages: DataFrame, embedder: Callable[[list[str]], list[list[float]]], replace: Callable[[DataFrame, str, int], None], fingerprint: str) -> None:
+    """Chunks and embeds the pages (uri, body) and hands them to ``replace`` (chunks, fingerprint, dimensions) as one state.
+
+    The embedded chunks are written before they are checked and replaced, so that each text is embedded once."""
+    made = graph.written(embed(chunks(pages), embedder))
+    sizes = [r["n"] for r in made.select(F.size("embedding").alias("n")).distinct().limit(2).collect()]
+    if not sizes:
+        raise ValueError("no pages to index")
+    if len(sizes) > 1 or not made.where(~vectors.is_valid(F.col("embedding"), sizes[0])).isEmpty():
+        raise ValueError("the embedder returned vectors that are not valid")
+    replace(made, fingerprint, sizes[0])

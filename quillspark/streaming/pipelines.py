@@ -22,8 +22,9 @@ class IndexMaintainer:
     analyzes what changed, merges, checks that the files are still the same, and publishes. ``observed`` and
     ``published`` count hints; the index is current where they are equal. Many changes, or no generation, mean a reset."""
 
-    def __init__(self, store: GenerationStore, list_files: Callable[[], DataFrame], analyze: Callable[[DataFrame], tuple[DataFrame, DataFrame]], most_changes: int = 512) -> None:
+    def __init__(self, store: GenerationStore, list_files: Callable[[], DataFrame], analyze: Callable[[DataFrame], tuple[DataFrame, DataFrame]], most_changes: int = 512, retries: int = 5, wait: float = 0.1) -> None:
         self.store, self.list_files, self.analyze, self.most_changes = store, list_files, analyze, most_changes
+        self.retries, self.wait = retries, wait
         self.observed, self.published, self.state = 0, 0, "starting"
 
     def digest(self, files: DataFrame) -> str:
@@ -31,8 +32,22 @@ class IndexMaintainer:
         return parts.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("p", "d"))), "\n"), 256)).first()[0]
 
     def reconcile(self, _batch: DataFrame | None = None, _id: int = 0) -> None:
+        """Brings the store up to date; what fails, or meets changing files, is tried again after waits that double."""
         self.observed += 1
-        hint, self.state = self.observed, "pending"
+        for attempt in range(self.retries + 1):
+            try:
+                self._reconcile(self.observed)
+                if self.state != "degraded":
+                    return
+            except Exception:
+                self.state = "failed"
+                if attempt == self.retries:
+                    raise
+            if attempt < self.retries:
+                time.sleep(self.wait * 2**attempt)
+
+    def _reconcile(self, hint: int) -> None:
+        self.state = "pending"
         files = self.list_files().select("path", "digest", "language", "text").persist()
         try:
             digest, old = self.digest(files), self.store.read()
@@ -58,9 +73,10 @@ class IndexMaintainer:
         finally:
             files.unpersist()
 
-    def start(self, hints: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
+    def start(self, hints: DataFrame, checkpoint: str, once: bool = False, every: str = "2 seconds") -> StreamingQuery:
+        """Follows a stream of hints. Those that come within ``every`` are one micro-batch, and so one reconciliation."""
         writer = hints.writeStream.foreachBatch(self.reconcile).option("checkpointLocation", checkpoint)
-        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="2 seconds")).start()
+        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
     def read_current(self, wait: float = 2.0) -> dict[str, DataFrame]:
         """The current generation, after waiting for it; its paths stay pinned for the caller."""

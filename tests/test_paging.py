@@ -170,3 +170,46 @@ def test_write_rules_and_bundle(spark, tmp_path):
 def test_neighbours_come_in_order(spark):
     edges = spark.createDataFrame([("b", "x", "r", "1"), ("a", "x", "s", "1"), ("a", "x", "r", "2"), ("a", "x", "r", "1")], "from_uri string, to_uri string, relation string, raw string").repartition(3)
     assert [(r.from_uri, r.relation, r.raw) for r in graph.neighbours(edges, "x").collect()] == [("a", "r", "1"), ("a", "s", "1"), ("b", "r", "1")]
+
+
+def test_service_answers_are_checked_and_pages_synced(spark, tmp_path):
+    import json
+
+    answer = lambda items: lambda texts: json.dumps({"data": items}).encode()
+    good = answer([{"index": 1, "embedding": [0, 1]}, {"index": 0, "embedding": [1, 0]}])
+    assert semantic.service_embedder(good)(["a", "b"]) == [[1.0, 0.0], [0.0, 1.0]]
+    for bad in ([{"index": 0, "embedding": [1]}], [{"index": 0, "embedding": [1]}] * 2, [{"index": 0, "embedding": [1]}, {"index": 2, "embedding": [1]}], [{"index": 0, "embedding": [1]}, {"index": 1, "embedding": [1, 2]}]):
+        with pytest.raises(ValueError):
+            semantic.service_embedder(answer(bad))(["a", "b"])
+    with pytest.raises(ValueError, match="bytes"):
+        semantic.service_embedder(good, most=10)(["a", "b"])
+    index = stores.VectorIndex(spark, str(tmp_path / "i"))
+    pages = spark.createDataFrame([("a", "red fox"), ("b", "x" * 7000)], "uri string, body string")
+    semantic.sync(pages, semantic.hash_embedder(8), lambda c, f, n: index.replace(c, "s", "hash", f, n), "f1")
+    assert index.read("s").count() == 3 and index.meta("s")["dimensions"] == 8
+    for empty, embedder in ((pages.limit(0), semantic.hash_embedder(8)), (pages, lambda texts: [[0.0, 0.0]] * len(texts))):
+        with pytest.raises(ValueError):
+            semantic.sync(empty, embedder, lambda *_: None, "f")
+
+
+def test_maintainer_tries_again(spark, tmp_path):
+    from quillspark.streaming import pipelines
+
+    files = spark.createDataFrame([("a.py", "1", "python", "x")], "path string, digest string, language string, text string")
+    symbols = spark.createDataFrame([("s", "d", "a", "a")], "id string, document_id string, name string, qualified_name string")
+    relations = spark.createDataFrame([("r", "d", "a", "b")], "id string, document_id string, source string, target string")
+    calls = []
+
+    def analyze(_files):
+        calls.append(1)
+        if len(calls) < 3:
+            raise RuntimeError("not yet")
+        return symbols, relations
+
+    kept = pipelines.IndexMaintainer(stores.GenerationStore(spark, str(tmp_path / "g")), lambda: files, analyze, wait=0.01)
+    kept.reconcile()
+    assert len(calls) == 3 and kept.state == "current" and kept.read_current()["symbols"].count() == 1
+    stuck = pipelines.IndexMaintainer(stores.GenerationStore(spark, str(tmp_path / "h")), lambda: files, lambda _f: 1 / 0, retries=1, wait=0.01)
+    with pytest.raises(ZeroDivisionError):
+        stuck.reconcile()
+    assert stuck.state == "failed"
