@@ -7,11 +7,12 @@ t = floor(ln(w) / r + beta), the sample takes the term with the least ln a = ln
 the lesser weights over the sum of the greater ones.
 
 The gamma triples come from a seeded pool of 65,536, chosen by the upper 16 bits of a hash of (term, k); of equal values the
-least hash wins, so the choice stays consistent. Each sample leaves 16 bits in the fingerprint. All work is local to
-a document: no shuffle.
+least hash wins, so the choice stays consistent. Each sample leaves 16 bits in the fingerprint. A fingerprint needs its
+document alone; the query, which compares each document with the next by doc_id, shuffles texts once, by blocks of doc_id.
 
 Defined results: null is an empty text; texts without words share one fingerprint and are alike to 1.0 with each
-other, to 0.0 with texts that have words; equal texts have equal fingerprints; no text is too long."""
+other, to 0.0 with texts that have words; equal texts have equal fingerprints; a very long text takes memory in
+proportion to its words, in one task; an empty table gives an empty result."""
 
 from __future__ import annotations
 

@@ -13,7 +13,8 @@ taken so: to all of the outermost ``article`` around it, with heading and short
 
 A task reads one page at a time; nothing is shuffled. Defined results: null, empty or textless html gives an empty
 text; unclosed and stray tags, unclosed comments and quotes are read as browsers roughly do; equal pages give equal
-texts; extra columns stay."""
+texts; of nodes with equal sums the first in the page is taken; a very long page takes memory in proportion to itself, in
+one task; an empty table gives an empty result; extra columns stay, but for text and n_chars."""
 
 from __future__ import annotations
 

@@ -6,8 +6,8 @@ the bytes back: it looks for the capture pattern, verifies every page's checksum
 values, also across pages, parts the logical streams by serial number, and derives times from granule positions. Both
 work document by document, without a shuffle.
 
-Defined results: null is an empty text, whose payload is 192 blanks; equal texts give equal bytes; a text may span any
-number of pages. Bytes that are not Ogg, damaged pages and lost pages give ``damaged`` > 0 (or a null media column a
+Defined results: null is an empty text, whose payload is 192 blanks; equal texts give equal bytes; a very long text spans
+as many pages as it needs; an empty table gives an empty result; other columns stay. Bytes that are not Ogg, damaged pages and lost pages give ``damaged`` > 0 (or a null media column a
 null row), never an error."""
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ column expressions. A candidate inside a base span adds nothing. Without a plus
 a number stays, and so does "me at host.com", which is mostly prose.
 
 Defined results: a null text is an empty one; positions are code points, the end excluded; equal rows get equal spans;
-nothing is shuffled but the counts; an empty table gives an empty result; other columns stay."""
+a span that several candidates of a kind propose counts once a candidate, and redaction makes overlapping spans one; very
+long texts are searched whole, in time in proportion to their length; nothing is shuffled but the counts; an empty table
+gives an empty result; other columns stay."""
 
 from __future__ import annotations
 
