@@ -28,14 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.tables import partitions, table, written
 
 CAPACITY, END_ID = 4096, 1
-# Words whose ids a Python process keeps; it starts anew beyond that.
-KEPT_WORDS = 1_000_000
+# Words whose ids a Python process keeps, in two halves: a full one becomes the former, and the one before it goes.
+KEPT_WORDS = 600_000
+#: Bytes of text that are encoded together.
+PORTION = 1 << 21
 #: Pieces of one length that one task ranks, about.
 _RANKED = 1 << 16
 #: Texts on which ids by word must equal ids of the whole, or every text is encoded whole.
@@ -60,6 +63,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept, self.known = Tokenizer.from_file(path), kept, {"": b""}
+        self.before: dict[str, bytes] = {}
         self.by_word = list(self._by_word(list(_PROBES))) == list(self._whole(list(_PROBES)))
 
     def words(self, text: str) -> list[str]:
@@ -82,9 +86,13 @@ class WordIds:
 
     def _by_word(self, texts: list[str]) -> Iterator[bytes]:
         split = [self.words(t) for t in texts]
-        if len(self.known) > self.kept:
-            self.known = {"": b""}
+        if len(self.known) > self.kept // 2:
+            self.known, self.before = {"": b""}, self.known
         new = set().union(*split).difference(self.known)
+        # words of the former half that are still met move over
+        found = {w: self.before[w] for w in new if w in self.before}
+        self.known.update(found)
+        new.difference_update(found)
         # punctuation at a word's end is tokenized apart from it anyway; so the word itself is often known already
         parts = {w: m.groups() for w in new if (m := _TAIL.fullmatch(w))}
         new.difference_update(parts)
@@ -125,21 +133,19 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
         ids = _made[path]
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            at = 0
-            while at < len(names):
-                part, size = [], 0
-                while at + len(part) < len(names) and size < 1 << 21:
-                    part.append(texts[at + len(part)] or "")
-                    size += len(part[-1])
+            # a few texts at a time become Python's, whatever the batch holds
+            sizes = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)).astype(np.int64))
+            at, n = 0, batch.num_rows
+            while at < n:
+                upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PORTION, "right")))
+                names, part = batch.column(0).slice(at, upto - at).to_pylist(), [t or "" for t in batch.column(1).slice(at, upto - at).to_pylist()]
+                at = upto
                 rows: list[tuple] = []
-                for doc_id, made in zip(names[at : at + len(part)], ids.ids(part), strict=True):
+                for doc_id, made in zip(names, ids.ids(part), strict=True):
                     made += end
-                    n = len(made) // 4
-                    for k, start in enumerate(range(0, n, capacity)):
+                    for k, start in enumerate(range(0, len(made) // 4, capacity)):
                         own = made[4 * start : 4 * (start + capacity)]
                         rows.append((doc_id, k, start, len(own) // 4, zlib.crc32(own)))
-                at += len(part)
                 columns = list(zip(*rows, strict=True))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
