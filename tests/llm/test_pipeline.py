@@ -1,10 +1,13 @@
+import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from quillspark.llm import mixing
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +65,67 @@ def test_run_and_odd_tables(spark, stored):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf_dir)
         assert empty.count() == 0
+
+
+def _shingles(text):
+    found = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return {tuple(found[i : i + 5]) for i in range(len(found) - 4)} if len(found) >= 5 else {tuple(found)} if found else set()
+
+
+def test_near_duplicates_equal_brute_force(spark, stored):
+    """One document of each component of links at five words and 0.8, by all pairs; null and repeated ids too."""
+    rnd, rows = random.Random(4), []
+    for i in range(60):
+        base = [f"w{rnd.randrange(400)}" for _ in range(rnd.randint(1, 60))]
+        for _ in range(rnd.randint(1, 4)):
+            own = list(base)
+            for _ in range(rnd.randint(0, 3)):
+                own[rnd.randrange(len(own))] = f"n{rnd.randrange(99)}"
+            rows.append((rnd.choice([None, rnd.randrange(150), 1000 + len(rows)]), " ".join(own), "s", "en"))
+    rows += [(5000, None, "s", "en"), (5001, "", "s", "en"), (None, " ", "s", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, stored()).collect())
+    sets, group = [_shingles(r[1]) for r in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    kept = [got_ for got_ in got.elements()]
+    wordless = [(r[0], r[1]) for r, s in zip(rows, sets, strict=True) if not s]
+    assert sorted(map(str, (k for k in kept if not _shingles(k[1])))) == sorted(map(str, wordless))
+    by_group = defaultdict(list)
+    for r, g, s in zip(rows, group, sets, strict=True):
+        if s:
+            by_group[g].append((r[0], r[1]))
+    chosen = [k for k in kept if _shingles(k[1])]
+    assert len(chosen) == len(by_group)
+    for members in by_group.values():
+        own = [k for k in chosen if k in members]
+        ids = [m[0] for m in members if m[0] is not None]
+        assert any(k[0] == (min(ids) if ids else None) for k in own)
+
+
+def test_mix_equals_brute_force_and_keeps_null_ids(spark, stored):
+    """Copies by the formula, with the draw made anew by hashlib; null ids are taken as others are."""
+    rows = [(i, f"w{i} " * (i % 9), ["a", "b", None][i % 3], "en") for i in range(300)] + [(None, f"v{i} x", "c", "en") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = Counter((r.doc_id, r.text, r.source) for r in corpus_pipeline.mix_sources(spark, docs, stored()).collect())
+    targets = {(r.source): r.target / r.source_size for r in mixing.mixed(docs).select("source", "target", "source_size").distinct().collect() if r.source_size}
+    digest = lambda x: hashlib.md5(x.encode()).hexdigest()
+    for doc_id, text, source, _ in rows:
+        key = ":".join(["-" if doc_id is None else str(doc_id), "-" if source is None else digest(source), digest(text)])
+        rate = targets[source]
+        assert got[doc_id, text, source] == int(rate) + (int(digest(key)[:8], 16) / 2**32 < rate - int(rate))
+    assert sum(n for (doc_id, *_), n in got.items() if doc_id is None) > 100
+
+
+def test_redaction_equals_brute_force(spark, stored):
+    """Texts with base spans only: what the four patterns find is replaced, leftmost kinds first, and nothing else."""
+    rows = [(i, f"mail a{i}@b.example.org, host 10.1.{i}.7 or +1 (555) 010-{1000 + i} / 4111111111111111 end", "s", "en") for i in range(120)] + [(900, None, "s", "en"), (901, "plain", "s", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("n_chars", F.length("text").cast("long"))
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.redact_personal_data(spark, docs, stored()).collect()}
+    for i, text, *_ in rows:
+        want = text
+        for pattern, kind in ((r"[a-z0-9]+@[a-z.]+(?=,)", "EMAIL"), (r"10(\.\d+){3}", "IP"), (r"\+1 \(555\) 010-\d+", "PHONE"), (r"4111111111111111", "CARD")):
+            want = want if want is None else re.sub(pattern, f"[{kind}]", want)
+        assert got[i] == (want, None if want is None else len(want))
