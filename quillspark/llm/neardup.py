@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import words
 from quillspark.llm.components import components
-from quillspark.llm.tables import partitions, removed, small, table, written
+from quillspark.llm.tables import partitions, removed, small, small_batches, table, written
 
 SHINGLE, PERCENT = 5, 80
 CELL, FANOUT, MOST_BITS = 1024, 16, 8192
@@ -484,6 +484,7 @@ def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
     """Written tables: (doc_id, hash, n, node) of each row, and (w_node, component_id, first, n_copies) of each node, where
     ``first`` tells the component's first row."""
     docs = docs.select("doc_id", "text")
+    small_batches(docs.sparkSession)
     signed = written(signatures(docs, k, percent, rarity(docs, k)), "signatures")
     full = signed.where("n > 0")
     rep = F.min(_row(F.col("doc_id"), F.col("hash")))

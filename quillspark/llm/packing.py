@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.tables import partitions, table, written
+from quillspark.llm.tables import small_batches, table, written
 
 CAPACITY, END_ID = 4096, 1
 # Words whose ids a Python process keeps, in two halves: a full one becomes the former, and the one before it goes.
@@ -126,6 +126,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """A row for each piece of each document."""
     path = vocabulary or _default_vocabulary()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _made:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from quillspark.llm import words
-from quillspark.llm.tables import table, written
+from quillspark.llm.tables import small_batches, table, written
 
 SAMPLE, FEATURES, LEAST_TEXTS, LEAST_Z, KEEP_AT, GRADES = 20_000, 2_000, 5, 5.0, 0.8, 3
 _U = np.uint64
@@ -169,6 +169,7 @@ def grade(quality: Column, toxic: Column) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FEATURES, seed: int = 11) -> Model:
     """A model from at most about ``sample`` ratings (doc_id, quality, toxic)."""
+    small_batches(docs.sparkSession)
     rated = labels.where("doc_id IS NOT NULL").select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade")).distinct()
     total = rated.select("doc_id").distinct().count()
     share = min(1.0, sample / max(total, 1))

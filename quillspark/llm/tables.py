@@ -20,6 +20,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of a batch that goes to Python, where the session does not say: texts are long, and a batch is held several times.
+BATCH = 2_000
+_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_RECORDS, None) is None:
+        spark.conf.set(_RECORDS, str(BATCH))
+
+
 def shared(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one under the warehouse where that is unset (as in tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
