@@ -407,12 +407,13 @@ def _verify(k: int, percent: int):  # noqa: ANN202
 
 
 def _in_cells(rows: DataFrame, key: str, weight: str | None, every: bool, percent: int = 0) -> DataFrame:
-    """The rows (key, node, comp, ...) of groups with more than one component, with ``cell`` and ``side``: a group of up to ``CELL`` nodes and ``SHINGLES`` of weight is
-    one cell. A larger one is dealt into blocks by node. Unless ``every``, blocks are cells, and each node is in one. Else
-    every two nodes that are not both of the group's main component meet: those outside it are in blocks of their own; two
-    blocks meet in the cell of their numbers, and a block meets each block of the main component. With ``percent`` the rows
-    have n and rem, the shingles from this one on: two nodes whose first common shingle this is share no more than the
-    lesser rem, so a group of two that need more is left out."""
+    """The rows (key, node, comp, ...) of groups with more than one component, with ``cell`` and ``side``.
+
+    A group of up to ``CELL`` nodes and ``SHINGLES`` of weight is one cell. A larger one is dealt into blocks by node. Unless
+    ``every``, blocks are cells, and each node is in one. Else every two nodes that are not both of the group's main
+    component meet: those outside it are in blocks of their own; two blocks meet in the cell of their numbers, and a block
+    meets each block of the main component. With ``percent`` the rows have n and rem, the shingles from this one on: two
+    nodes whose first common shingle this is share no more than the lesser rem, so a group of two that need more is left out."""
     heavy = F.lit(0) if weight is None else F.col(weight)
     parts = lambda c, w: F.ceil(F.greatest(c / CELL, w / SHINGLES, F.lit(1))).cast("int")
     whole = [F.min("comp").alias("least"), F.max("comp").alias("most")]
