@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from quillspark.llm import fingerprints, language, maintext, media, mixing, neardup, packing, personal, quality, warc
+from quillspark.llm import fingerprints, language, maintext, media, mixing, neardup, packing, personal, quality, repeats, warc
 
 QUERIES = {
     "op1_consistent_weighted_fingerprints": fingerprints.op1_consistent_weighted_fingerprints,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_warc_revisits": warc.op8_warc_revisits,
     "op9_text_density_extraction": maintext.op9_text_density_extraction,
     "op10_hyperdimensional_language": language.op10_hyperdimensional_language,
+    "op11_periodic_runs": repeats.op11_periodic_runs,
 }
 ORACLES = {"op2_source_mix": mixing.OP2_SQL}
