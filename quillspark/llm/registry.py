@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from quillspark.llm import fingerprints, language, maintext, media, mixing, neardup, packing, personal, quality, repeats, warc
+from quillspark.llm import fingerprints, language, maintext, manifest, media, mixing, neardup, packing, personal, quality, repeats, warc
 
 QUERIES = {
     "op1_consistent_weighted_fingerprints": fingerprints.op1_consistent_weighted_fingerprints,
@@ -14,5 +14,6 @@ QUERIES = {
     "op9_text_density_extraction": maintext.op9_text_density_extraction,
     "op10_hyperdimensional_language": language.op10_hyperdimensional_language,
     "op11_periodic_runs": repeats.op11_periodic_runs,
+    "op12_merkle_manifest": manifest.op12_merkle_manifest,
 }
-ORACLES = {"op2_source_mix": mixing.OP2_SQL}
+ORACLES = {"op2_source_mix": mixing.OP2_SQL, "op12_merkle_manifest": manifest.OP12_SQL}
