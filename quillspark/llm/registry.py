@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from quillspark.llm import fingerprints, language, maintext, manifest, media, mixing, neardup, packing, personal, quality, repeats, warc
+from quillspark.llm import fingerprints, language, linefilter, maintext, manifest, media, mixing, neardup, packing, personal, quality, repeats, warc
 
 QUERIES = {
     "op1_consistent_weighted_fingerprints": fingerprints.op1_consistent_weighted_fingerprints,
@@ -15,5 +15,6 @@ QUERIES = {
     "op10_hyperdimensional_language": language.op10_hyperdimensional_language,
     "op11_periodic_runs": repeats.op11_periodic_runs,
     "op12_merkle_manifest": manifest.op12_merkle_manifest,
+    "op13_cuckoo_lines": linefilter.op13_cuckoo_lines,
 }
-ORACLES = {"op2_source_mix": mixing.OP2_SQL, "op12_merkle_manifest": manifest.OP12_SQL}
+ORACLES = {"op2_source_mix": mixing.OP2_SQL, "op12_merkle_manifest": manifest.OP12_SQL, "op13_cuckoo_lines": linefilter.OP13_SQL}
