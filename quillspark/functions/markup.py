@@ -6,10 +6,16 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import math
 import re
+from collections.abc import Iterator
 from typing import Any
 from urllib.parse import quote, unquote, urlsplit
 
+import numpy as np
+
+from quillspark.functions import markdown
+
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})")
 _HEADING = re.compile(r"^(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$")
 MAINTENANCE = ("stale", "incorrect", "duplicate")
@@ -118,32 +124,9 @@ def _without_code(line: str) -> str:
     return "".join(out)
 
 
-_INLINE = re.compile(r"!?\[(?:[^\[\]\\]|\\.|\[[^\]]*\])*\]\(\s*(<[^<>\n]*>|(?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.)*\))*)(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^)]*\)))?\s*\)")
-_DEFINITION = re.compile(r"^ {0,3}\[([^\]]+)\]:\s*(<[^<>]*>|\S+)")
-_REFERENCE = re.compile(r"!?\[([^\[\]]*)\](?:\[([^\[\]]*)\])?(?!\()")
-_AUTO = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*)>")
-
-
 def link_spans(body: str) -> list[tuple[int, int, str]]:
-    """(start, end, destination) of inline links and images, autolinks, and definitions that are referred to."""
-    lines = [(at, _without_code(line)) for _, at, line in unfenced(body)]
-    defined: dict[str, tuple[int, int, str]] = {}
-    for at, line in lines:
-        if (m := _DEFINITION.match(line)) and (key := " ".join(m[1].lower().split())) not in defined:
-            defined[key] = (at + m.start(2), at + m.end(2), m[2])
-    out, used = [], set()
-    for at, line in lines:
-        if _DEFINITION.match(line):
-            continue
-        for m in _INLINE.finditer(line):
-            out.append((at + m.start(1), at + m.end(1), m[1]))
-        out += [(at + m.start(1), at + m.end(1), m[1]) for m in _AUTO.finditer(line)]
-        for m in _REFERENCE.finditer(line):
-            key = " ".join((m[2] or m[1]).lower().split())
-            if key in defined and key not in used:
-                used.add(key)
-                out.append(defined[key])
-    return sorted((a, b, d[1:-1] if d.startswith("<") else re.sub(r"\\([!-/:-@\[-`{-~])", r"\1", d)) for a, b, d in out)
+    """(start, end, destination) of inline links and images, autolinks, and definitions that are referred to, by place."""
+    return sorted({(x.start, x.end, x.dest) for x in markdown.links(body)})
 
 
 def destination(raw: str, scheme: str = "kb") -> tuple[str, str] | None:
@@ -187,12 +170,11 @@ def candidates(path: str, kind: str, target: str) -> list[str]:
 
 def rewrite_links(body: str, new: dict[str, str]) -> str:
     """The body with each destination that is a key of ``new`` replaced; all other bytes stay."""
-    for start, end, dest in reversed(link_spans(body)):
+    for start, end, dest in reversed(markdown.spans(body)):
         plain, mark, suffix = dest.partition("#")
         target = new.get(dest) or (f"{new[plain]}{mark}{suffix}" if plain in new else None)
         if target:
-            raw = body[start:end]
-            body = body[:start] + (f"<{target}>" if raw.startswith("<") else target) + body[end:]
+            body = body[:start] + target + body[end:]
     return body
 
 
@@ -241,43 +223,47 @@ def procedure(body: str) -> tuple[list[dict[str, str]], list[str]]:
 DIFF_HEAD = ("--- current", "+++ candidate")
 
 
-def _shared_lengths(a: list[int], b: list[int]) -> list[int]:
-    """For each beginning of ``b`` the length of the longest subsequence that it shares with ``a``; one row is held."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for k, y in enumerate(b, 1):
-            diagonal, row[k] = row[k], diagonal + 1 if x == y else max(row[k], row[k - 1])
-    return row
-
-
-def _kept(a: list[int], b: list[int], at: int, bt: int) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence, found by halving ``a``, so that memory grows with the lines only."""
-    ends = min(len(a), len(b))
-    head = next((k for k in range(ends) if a[k] != b[k]), ends)
-    tail = next((k for k in range(ends - head) if a[-1 - k] != b[-1 - k]), ends - head)
-    pairs = [(at + k, bt + k) for k in range(head)]
-    own, other = a[head : len(a) - tail], b[head : len(b) - tail]
-    if len(own) == 1:
-        pairs += [(at + head, bt + head + other.index(own[0]))] if own[0] in other else []
-    elif own and other:
-        half = len(own) // 2
-        left, right = _shared_lengths(own[:half], other), _shared_lengths(own[half:][::-1], other[::-1])
-        cut = max(range(len(other) + 1), key=lambda k: left[k] + right[len(other) - k])
-        pairs += _kept(own[:half], other[:cut], at + head, bt + head) + _kept(own[half:], other[cut:], at + head + half, bt + head + cut)
-    return pairs + [(at + len(a) - tail + k, bt + len(b) - tail + k) for k in range(tail)]
+def _suffixes(a: np.ndarray, b: np.ndarray, below: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows of the lengths of longest common subsequences of ``a[i:]`` and ``b[j:]``, from the last i down, under ``below``."""
+    for x in a[::-1]:
+        met = below.copy()
+        same = np.flatnonzero(b == x)
+        met[same] = below[same + 1] + 1
+        below = np.maximum.accumulate(met[::-1])[::-1]
+        yield below
 
 
 def line_diff(before: str, after: str) -> str:
-    """A line diff over a longest common subsequence, deletions before insertions. An empty text has no lines."""
-    a, b = (t.split("\n") if t else [] for t in (before, after))
+    """A line diff along a longest common subsequence: a common line is kept; else the old line goes where no longer
+    subsequence needs it; else the new one comes. An empty text has no lines.
+
+    Of the table's rows, as many as the root of their number are held; those between are made again as the walk gets there.
+    So memory is the lines times that root, not the product of both texts' lines."""
+    old, new = (t.split("\n") if t else [] for t in (before, after))
     number: dict[str, int] = {}
-    x, y = ([number.setdefault(line, len(number)) for line in lines] for lines in (a, b))
+    a, b = (np.array([number.setdefault(line, len(number)) for line in lines], np.int64) for lines in (old, new))
+    step = max(math.isqrt(len(a)), 1)
+    below = np.zeros(len(b) + 1, np.int32)
+    held = {len(a): below}
+    for k, row in enumerate(_suffixes(a, b, below), 1):
+        if (len(a) - k) % step == 0:
+            held[len(a) - k] = row
     out, i, j = list(DIFF_HEAD), 0, 0
-    for p, q in [*_kept(x, y, 0, 0), (len(a), len(b))]:
-        out += [f"-{line}" for line in a[i:p]] + [f"+{line}" for line in b[j:q]] + [f" {line}" for line in a[p : p + 1]]
-        i, j = p + 1, q + 1
-    return "\n".join(out) + "\n"
+    while i < len(a):
+        last = min((i // step + 1) * step, len(a))
+        rows = [*_suffixes(a[i:last], b, held[last])][::-1] + [held[last]]
+        first = i
+        while i < last:
+            if j < len(b) and a[i] == b[j]:
+                out.append(f" {old[i]}")
+                i, j = i + 1, j + 1
+            elif j == len(b) or rows[i + 1 - first][j] >= rows[i - first][j + 1]:
+                out.append(f"-{old[i]}")
+                i += 1
+            else:
+                out.append(f"+{new[j]}")
+                j += 1
+    return "\n".join(out + [f"+{line}" for line in new[j:]]) + "\n"
 
 
 def parse_page(path: str, data: bytes) -> dict[str, Any]:
@@ -325,7 +311,7 @@ def parse_page(path: str, data: bytes) -> dict[str, Any]:
         "body": body,
         "metadata": json.dumps(plain, default=str, sort_keys=True),
         "relationships": relationships,
-        "links": [d for _, _, d in link_spans(body)],
+        "links": [x.dest for x in markdown.links(body)],
         "maintenance": maintenance,
         "claims": claims(body),
         "sections": sections(body),

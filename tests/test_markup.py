@@ -59,25 +59,35 @@ def test_procedures():
     assert [s["name"] for s in steps] == ["First", "Last"] and len(problems) == 3
 
 
-def test_line_diff_replays():
+def _plain_diff(a, b):
+    """The whole table of common lengths, and the walk along it."""
+    n, m = len(a), len(b)
+    common = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in reversed(range(n)):
+        for j in reversed(range(m)):
+            common[i][j] = common[i + 1][j + 1] + 1 if a[i] == b[j] else max(common[i + 1][j], common[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < n or j < m:
+        if i < n and j < m and a[i] == b[j]:
+            out, i, j = [*out, f" {a[i]}"], i + 1, j + 1
+        elif i < n and (j == m or common[i + 1][j] >= common[i][j + 1]):
+            out, i = [*out, f"-{a[i]}"], i + 1
+        else:
+            out, j = [*out, f"+{b[j]}"], j + 1
+    return out
+
+
+def test_line_diff_is_the_canonical_one():
     rnd = random.Random(2)
-    for _ in range(50):
-        a, b = (["x y z w"[rnd.randrange(4) * 2] for _ in range(rnd.randint(1, 12))] for _ in range(2))
-        lines = markup.line_diff("\n".join(a), "\n".join(b)).split("\n")[2:-1]
-        assert [x[1:] for x in lines if x[0] != "+"] == a and [x[1:] for x in lines if x[0] != "-"] == b
-        assert sum(x[0] == " " for x in lines) == _shared(a, b)
+    for k in range(2500):
+        most = 8 if k < 2000 else 40
+        a, b = ([rnd.choice("wxyz"[: rnd.randint(1, 4)]) for _ in range(rnd.randint(1, most))] for _ in range(2))
+        assert markup.line_diff("\n".join(a), "\n".join(b)).split("\n") == ["--- current", "+++ candidate", *_plain_diff(a, b), ""]
+    assert markup.line_diff("c\nd", "c\nc\nd\nd").split("\n")[2:-1] == [" c", "+c", " d", "+d"]
     assert markup.line_diff("", "") == "--- current\n+++ candidate\n" and markup.line_diff("", "x\ny") == "--- current\n+++ candidate\n+x\n+y\n"
-    assert markup.line_diff("a\nb\nc", "a\nd\nc").split("\n")[2:-1] == [" a", "-b", "+d", " c"]
-    long = [str(i) for i in range(20_000)]
-    assert markup.line_diff("\n".join(long), "\n".join(long[:9_000] + ["new"] + long[9_001:])).count("\n+") == 2
+    assert markup.line_diff("x\n", "") == "--- current\n+++ candidate\n-x\n-\n"
 
 
-def _shared(a, b):
-    """Length of a longest common subsequence, by recursion."""
-    import functools
-
-    @functools.cache
-    def of(i, j):
-        return 0 if i == len(a) or j == len(b) else 1 + of(i + 1, j + 1) if a[i] == b[j] else max(of(i + 1, j), of(i, j + 1))
-
-    return of(0, 0)
+def test_line_diff_of_long_texts():
+    long = [str(i) for i in range(8_000)]
+    assert markup.line_diff("\n".join(long), "\n".join(long[:3_000] + ["new"] + long[3_001:])).count("\n+") == 2
