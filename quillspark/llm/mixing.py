@@ -8,7 +8,8 @@ the fraction. The targets need one row a source in one task; documents are never
 
 Defined results: a null or wordless text has size 0 and taken 0; a null source is a source of its own, last in order; a
 null doc_id draws by source and text, and so do other texts under one doc_id; rows equal in all three draw alike; a very
-long text is taken whole or not at all; other columns stay; an empty table gives an empty result."""
+long text is taken whole or not at all; other columns stay, but for those
+named like a result, which are replaced; an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -51,7 +52,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """All columns of ``docs`` with size, source_size, target, rate and copies (how often the mix takes the document)."""
+    """All columns of ``docs`` with size, source_size, target, rate and copies (how often the mix takes the document). Columns
+    of these names that ``docs`` has are replaced; ``tables.held`` keeps them."""
     named = docs.drop("size", "source_size", "target", "rate", "copies", "mix_source")
     sized = named.withColumn("size", size_of(F.col("text")))
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import words
 from quillspark.llm.components import components
-from quillspark.llm.tables import partitions, removed, small, small_batches, table, written
+from quillspark.llm.tables import held, partitions, released, removed, small, table, written
 
 SHINGLE, PERCENT = 5, 80
 CELL, FANOUT, MOST_BITS = 1024, 16, 8192
@@ -485,7 +485,6 @@ def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
     """Written tables: (doc_id, hash, n, node) of each row, and (w_node, component_id, first, n_copies) of each node, where
     ``first`` tells the component's first row."""
     docs = docs.select("doc_id", "text")
-    small_batches(docs.sparkSession)
     signed = written(signatures(docs, k, percent, rarity(docs, k)), "signatures")
     full = signed.where("n > 0")
     rep = F.min(_row(F.col("doc_id"), F.col("hash")))
@@ -515,20 +514,21 @@ def linked_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
 
 
 def without_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one row of each component: that with the least doc_id (a null one last) and text hash.
+    """``docs``, with all their columns, with one row of each component: that with the least doc_id (a null one last) and text hash.
 
     Rows without words link with nothing and stay. Of rows with one doc_id and one text one stays."""
     rows, found = _components(docs, k, percent)
     own = rows.where("n > 0").join(found, F.col("node") == F.col("w_node")).select(_row(F.col("doc_id"), F.col("hash")).alias("row"), "first")
     gone = written(own.groupBy("row", "first").agg(F.count("*").alias("rows")).where("row <> first OR rows > 1").select(F.col("row").alias("g_row"), (F.col("row") == F.col("first")).alias("again")), "gone")
     removed(rows, found)
-    marked = docs.withColumn("g_key", _row(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))))
-    kept = marked.join(small(gone, 48), F.col("g_key") == F.col("g_row"), "left_anti").select(*docs.columns)
+    own = held(docs, "doc_id", "text")
+    marked = own.withColumn("g_key", _row(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))))
+    kept = marked.join(small(gone, 48), F.col("g_key") == F.col("g_row"), "left_anti").select(*own.columns)
     again = gone.where("again")
-    if again.isEmpty():
-        return kept
-    repeated = marked.join(small(again.select("g_row"), 48), F.col("g_key") == F.col("g_row"), "left_semi").select(*docs.columns)
-    return kept.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+    if not again.isEmpty():
+        repeated = marked.join(small(again.select("g_row"), 48), F.col("g_key") == F.col("g_row"), "left_semi").select(*own.columns)
+        kept = kept.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+    return released(kept, docs, "doc_id", "text")
 
 
 def op4_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:

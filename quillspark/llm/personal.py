@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.tables import table
+from quillspark.llm.tables import held, released, table
 
 KINDS, CHANCE, ROUNDS, RATE = ("email", "ip", "card", "phone"), 0.5, 40, 0.3
 _LOCAL, _NAME = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -243,8 +243,10 @@ def _wanted(kind: str, model: Model):  # noqa: ANN202
 
 
 def find(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with base_<kind> and all_<kind>, arrays of (start, end): what the base finds, and that with what the model adds."""
-    found = _with_spans(docs.drop(*[f"{p}_{k}" for p in ("base", "all") for k in KINDS]), F.coalesce(F.col("text"), F.lit("")))
+    """``docs`` with base_<kind> and all_<kind>, arrays of (start, end): what the base finds, and that with what the model adds.
+
+    Columns of these names, or of those in between (raw_, any_, cand_<kind>, pd_text), are replaced; ``held`` keeps them."""
+    found = _with_spans(docs.drop("pd_text", *[f"{p}_{k}" for p in ("base", "all", "any", "raw", "cand") for k in KINDS]), F.coalesce(F.col("text"), F.lit("")))
     columns = {}
     for k in KINDS:
         base = F.col(f"base_{k}")
@@ -261,8 +263,8 @@ def _listed(prefix: str) -> Column:
 
 
 def redact(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with each span in ``text`` replaced by its kind in brackets; overlapping spans become one, of the first's kind."""
-    found = find(docs, model)
+    """``docs``, with all their columns, with each span in ``text`` replaced by its kind in brackets; overlapping spans become one, of the first's kind."""
+    found = find(held(docs, "text"), model)
     named = lambda k: lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"), F.lit(k).alias("k"))
     spans = F.array_sort(F.concat(*[F.transform(f"all_{k}", named(k)) for k in KINDS]))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -274,7 +276,7 @@ def redact(docs: DataFrame, model: Model) -> DataFrame:
 
     whole = F.aggregate(spans, start, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(F.col("text"), acc["at"] + 1, F.length("text")))), ""))
     changed = F.when(F.size(spans) > 0, whole).otherwise(F.col("text"))
-    return found.withColumn("text", changed).drop(*[f"{p}_{k}" for p in ("base", "all") for k in KINDS])
+    return released(found.withColumn("text", changed), docs, "text")
 
 
 def op6_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:

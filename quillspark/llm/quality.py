@@ -11,7 +11,8 @@ occurs; the hashes whose grades differ most from the others' are the features, `
 text, whole, in one pass without a shuffle.
 
 Defined results: a null text is an empty one; without ratings, with ratings of one grade, or where no feature tells the
-grades apart, all documents are kept with the prior's expected grade; equal texts score alike; other columns stay;
+grades apart, all documents are kept with the prior's expected grade; equal texts score alike; other columns stay (but for those
+named like the three results, which are replaced);
 ratings of unknown documents do not count; a null quality counts as 0, a null toxic as 0; a document rated with several
 grades counts once with each, equal ratings count once, and of several texts under one doc_id the least one counts, so
 that repeated rows cannot swell the sample; a very long text takes memory in proportion to itself, in one task; an empty
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from quillspark.llm import words
-from quillspark.llm.tables import small_batches, table, written
+from quillspark.llm.tables import table, written
 
 SAMPLE, FEATURES, LEAST_TEXTS, LEAST_Z, KEEP_AT, GRADES = 20_000, 2_000, 5, 5.0, 0.8, 3
 _U = np.uint64
@@ -169,7 +170,6 @@ def grade(quality: Column, toxic: Column) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FEATURES, seed: int = 11) -> Model:
     """A model from at most about ``sample`` ratings (doc_id, quality, toxic)."""
-    small_batches(docs.sparkSession)
     rated = labels.where("doc_id IS NOT NULL").select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade")).distinct()
     total = rated.select("doc_id").distinct().count()
     share = min(1.0, sample / max(total, 1))
@@ -232,7 +232,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
 
 
 def score(docs: DataFrame, model: Model, keep_at: float = KEEP_AT) -> DataFrame:
-    """``docs`` with expected_grade, tail_probability and keep."""
+    """``docs`` with expected_grade, tail_probability and keep; columns of these names that ``docs`` has are replaced."""
     docs = docs.drop("expected_grade", "tail_probability", "keep")
     schema = StructType([*docs.schema, StructField("expected_grade", DoubleType()), StructField("tail_probability", DoubleType()), StructField("keep", BooleanType())])
 

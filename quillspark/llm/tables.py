@@ -1,9 +1,11 @@
-"""Small helpers that the operators share: reading a table, batches to tasks, and the shared folder."""
+"""Small helpers that the operators share: reading a table, columns that are carried, batches to tasks, and the shared folder."""
 
 from __future__ import annotations
 
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,18 +18,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns of ``docs`` that an operator uses, and all others in one struct, so that no name of the operator's own
+    can meet one of theirs, whatever they are called."""
+    known = [docs[f"`{c}`"] for c in docs.columns if c in used]
+    others = [docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in used]
+    return docs.select(*known, F.struct(F.lit(0).alias("n"), *others).alias("others"))
+
+
+def released(frame: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
+    """The columns of ``docs`` again, in their order, from a frame that came of ``held(docs, *used)``."""
+    return frame.select(*[F.col(c) if c in used else F.col("others").getField(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Rows of a batch that goes to Python, where the session does not say: texts are long, and a batch is held several times.
-BATCH = 2_000
-_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of a batch that goes to Python while a table is written, where the session does not say: texts are long,
+#: and a batch is held several times.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(2_000), "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
-def small_batches(spark: SparkSession) -> None:
-    if spark.conf.get(_RECORDS, None) is None:
-        spark.conf.set(_RECORDS, str(BATCH))
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Settings that hold while something runs. Those that the session has itself stay; the others are taken back after."""
+    new = [k for k in wanted if spark.conf.get(k, None) is None]
+    for k in new:
+        spark.conf.set(k, wanted[k])
+    try:
+        yield
+    finally:
+        for k in new:
+            spark.conf.unset(k)
 
 
 def shared(spark: SparkSession) -> str:
@@ -47,12 +70,8 @@ def written(frame: DataFrame, what: str) -> DataFrame:
     What the write shuffled is of no use afterwards, so those files go at once, not when the driver collects garbage."""
     spark = frame.sparkSession
     path = fresh(spark, what)
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
-    try:
+    with settings(spark, BATCH | {_CLEAN: "true"}):
         frame.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     out = spark.read.schema(frame.schema).parquet(path)
     _WRITTEN[id(out)] = (weakref.ref(out), path)
     return out

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillspark.llm import mixing
+from quillspark.llm import mixing, tables
 
 
 @pytest.fixture(scope="module")
@@ -70,6 +70,42 @@ def test_run_and_odd_tables(spark, stored):
         assert empty.count() == 0
 
 
+#: Names that the stages use inside, or might.
+_CLASHING = """g_row g_key row hash node comp component cluster first again rows w_node n rep pd_text cand_email base_ip any_ip raw_phone
+all_card mix_source size source_size rate target copies copy keep tail_probability expected_grade others c0 c1 length piece start
+offset sequence_id salt a.b x:y""".split()
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_stages_keep_columns_of_any_name(spark, stored, k):
+    rows = [(i, f"w{i % 5} a b c d e f g me{i}@x.example.org", "s" if i % 2 else None, "en") for i in range(12)] + [(3, None, "s", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    sf_dir = stored(labels=spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int"))
+    names = _CLASHING + (["n_chars"] if k == 2 else [])
+    more = docs.select("*", *[F.concat(F.lit(f"{n}-"), F.col("lang")).alias(n) if n != "n_chars" else F.lit(7).alias(n) for n in names])
+    stage = corpus_pipeline.STAGES[k][1]
+    got, plain = stage(spark, more, sf_dir), stage(spark, docs, sf_dir)
+    assert got.columns == more.columns
+    told = got.collect()
+    assert Counter((r.doc_id, r.text) for r in told) == Counter((r.doc_id, r.text) for r in plain.collect())
+    assert all(r[n] == f"{n}-en" for r in told for n in names if n != "n_chars")
+
+
+def test_packing_ignores_columns_of_any_name(spark, stored):
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(9)], "doc_id long, text string")
+    more = docs.select("*", *[F.lit("x").alias(n) for n in _CLASHING])
+    stage = corpus_pipeline.STAGES[4][1]
+    told = lambda frame: sorted(tuple(r)[:5] for r in stage(spark, frame, stored()).collect())
+    assert told(more) == told(docs)
+
+
+def test_settings_of_the_session_stay(spark, stored):
+    before = {k: spark.conf.get(k, None) for k in tables.BATCH}
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, stored()).count() == 1
+    assert {k: spark.conf.get(k, None) for k in tables.BATCH} == before
+
+
 def _shingles(text):
     found = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
     return {tuple(found[i : i + 5]) for i in range(len(found) - 4)} if len(found) >= 5 else {tuple(found)} if found else set()
