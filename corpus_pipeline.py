@@ -11,11 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import mixing, neardup, packing, personal, quality
-from quillspark.llm.tables import table, written
-
-
-def _columns(docs: DataFrame, like: DataFrame) -> DataFrame:
-    return docs.select(*like.columns)
+from quillspark.llm.tables import held, released, table, written
 
 
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +20,7 @@ def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text is judged as an empty one. Null and repeated doc_ids are judged by their texts like any other; equal texts
     share one fate. Where labels tell nothing apart, all stay. An empty table stays empty; all columns stay."""
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
-    return _columns(quality.score(docs, model).where("keep"), docs)
+    return released(quality.score(held(docs, "text"), model).where("keep"), docs, "text")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,14 +33,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in every text, and counts its characters anew.
+    """Replaces personal data in every text, and counts its characters anew (n_chars, where there is such a column).
 
     A null text stays null with its count. Equal texts get equal results, whatever their doc_ids; overlapping spans become
     one. Very long texts are searched whole. An empty table stays empty; no row goes and all columns stay."""
     changed = personal.redact(docs, personal.learn(docs))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return _columns(changed, docs)
+    return changed
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +49,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null source is one of its own. Null and repeated doc_ids draw by source and text; rows equal in all three share one
     draw. Documents without words have no size and are taken as their source's rate says. Texts are taken whole, however
     long. An empty table stays empty; all columns stay."""
-    mixed = mixing.mixed(docs).where("copies > 0")
-    return _columns(mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), docs)
+    used = ("doc_id", "source", "text")
+    mixed = mixing.mixed(held(docs, *used)).where("copies > 0")
+    return released(mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), docs, *used)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
