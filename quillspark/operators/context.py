@@ -73,16 +73,16 @@ def excerpts(sections: DataFrame, question: str, limit: int) -> DataFrame:
 STRATEGIES = {"lexical": (1.0, 0.0), "vector": (1.0, 100.0), "hybrid": (1.0, 1.0)}
 
 
-def resolve(pages: DataFrame, trust: DataFrame, question: str, strategy: str = "lexical", vector: DataFrame | None = None, constraints: dict | None = None, most_items: int = 5, most_chars: int = 6000, edges: DataFrame | None = None, depth: int = 2, pool: int = 100) -> dict:
+def resolve(pages: DataFrame, trust: DataFrame, question: str, strategy: str = "lexical", vector: DataFrame | None = None, constraints: dict | None = None, most_items: int = 5, most_chars: int = 6000, edges: DataFrame | None = None, depth: int = 2, pool: int = 100, index: Index | None = None) -> dict:
     """Evidence for a question: excerpts of the pages taken, why others were left out, paths from the first to the others.
 
     ``pages``: (uri, title, path, type, tags, body, sections); ``trust``: what ``omission`` reads; ``vector``: (uri, position)
-    of a vector search. Candidates are a pool of at most ``pool`` from each list, fused by reciprocal ranks; a candidate
+    of a vector search; ``index``: a stored index of the pages, which are read themselves without one. Candidates are a pool of at most ``pool`` from each list, fused by reciprocal ranks; a candidate
     that is no page any more is stale. Everything up to the final rows is one plan over that bounded pool."""
     from quillspark.operators import graph, lexical
 
     by_rank = Window.orderBy(F.desc("class"), F.desc("score"), "uri")
-    hits, taken_hits = lexical.ranked(pages, question), pool
+    hits, taken_hits = lexical.best(index, question, pool) if index is not None else lexical.ranked(pages, question), pool
     if T.question_class(question)[0] == "direct" and "description" in pages.columns:
         # an exact hit that says what it is answers a direct question alone
         first = lexical.top(hits, 1).join(pages.select("uri", "description"), "uri").first()

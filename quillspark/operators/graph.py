@@ -3,18 +3,38 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one under the warehouse where that is unset."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared").rstrip("/")
+
+
 def written(frame: DataFrame) -> DataFrame:
     """The frame as a table in the folder that all executors share; cuts lineage, and survives lost executors."""
     spark = frame.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    path = f"{shared(spark)}/graph-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    _WRITTEN[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_WRITTEN: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def removed(*frames: DataFrame) -> None:
+    """Removes the files of tables made by ``written`` that nothing reads any more."""
+    for frame in frames:
+        known, path = _WRITTEN.pop(id(frame), (lambda: None, ""))
+        if known() is frame:
+            spark = frame.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def build_edges(explicit: DataFrame, links: DataFrame) -> DataFrame:

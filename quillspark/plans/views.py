@@ -10,6 +10,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def version(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
+    """What tells a table's state from a later one: bytes, files and the folder's time."""
+    out = []
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        held = files.getContentSummary(path)
+        out.append((name, held.getLength(), held.getFileCount(), files.getFileStatus(path).getModificationTime()))
+    return tuple(out)
+
+
 def spread(frame: DataFrame) -> DataFrame:
     """A frame read from one file, dealt out for heavy work on texts. A table of many files is left as it is: it is read
     in enough parts already."""
