@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions import times
-from quillspark.operators import graph, paging
+from quillspark.operators import graph, paging, ranks
 
 RETIRED = ("archived", "retired")
+#: Pages that one finding names; a group of more is several findings, each with the next of its pages.
+MEMBERS = 10_000
 SEVERITIES = ("high", "medium", "low")
 
 
@@ -83,10 +85,10 @@ def retired_references(edges: DataFrame, trust: DataFrame, retired: tuple[str, .
 
 def duplicate_identities(pages: DataFrame, marked: DataFrame | None = None) -> DataFrame:
     """Two or more pages of one type with one normalised title or alias, unless one is marked (from_uri, to_uri) as the
-    other's duplicate."""
+    other's duplicate. A group of more than MEMBERS pages is several findings."""
     names = F.concat(F.array("title"), F.coalesce("aliases", F.array().cast("array<string>")))
     keyed = pages.select("uri", "type", F.explode(names).alias("name")).select("uri", "type", T.identity(F.col("name")).alias("identity")).where("identity <> ''").distinct()
-    groups = keyed.groupBy("type", "identity").agg(F.array_sort(F.collect_set("uri")).alias("uris")).where(F.size("uris") > 1)
+    groups = ranks.parts_of(keyed, ["type", "identity"], "uri", MEMBERS).where("size > 1").withColumnRenamed("members", "uris")
     if marked is not None:
         pairs = marked.select("from_uri", "to_uri")
         member = keyed.select("type", "identity", F.col("uri").alias("from_uri")).join(pairs, "from_uri").join(keyed.select(F.col("type").alias("t2"), F.col("identity").alias("i2"), F.col("uri").alias("to_uri")), "to_uri")
@@ -95,9 +97,11 @@ def duplicate_identities(pages: DataFrame, marked: DataFrame | None = None) -> D
 
 
 def tag_fragments(pages: DataFrame) -> DataFrame:
-    """Tags that differ in spelling only."""
-    tags = pages.select("uri", F.explode("tags").alias("tag")).withColumn("normal", T.identity(F.col("tag"))).where("normal <> ''").distinct()
-    groups = tags.groupBy("normal").agg(F.array_sort(F.collect_set("tag")).alias("spellings"), F.array_sort(F.collect_set("uri")).alias("uris")).where(F.size("spellings") > 1)
+    """Tags that differ in spelling only, with the pages that have them; more than MEMBERS pages are several findings."""
+    tags = pages.select("uri", F.explode("tags").alias("tag")).withColumn("normal", T.identity(F.col("tag"))).where("normal <> ''")
+    # spellings are counted in tasks first; pages come in ranked parts, so a common tag is no single row
+    spelled = tags.select("normal", "tag").distinct().groupBy("normal").agg(F.array_sort(F.collect_list("tag")).alias("spellings")).where(F.size("spellings") > 1)
+    groups = ranks.parts_of(tags, ["normal"], "uri", MEMBERS).withColumnRenamed("members", "uris").join(spelled, "normal")
     return _found(groups, "tag_fragmentation", "candidate", "low", F.col("uris"), F.col("spellings"))
 
 
@@ -135,17 +139,24 @@ def finding_id(frame: DataFrame) -> DataFrame:
     return frame.withColumn("id", F.concat(F.lit("sha256:"), F.sha2(F.to_json(F.struct("class", "uris", "evidence")), 256)))
 
 
+def _order() -> list[Column]:
+    rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
+    return [rank, F.array_join("uris", "\0"), F.col("class"), F.col("id")]
+
+
 def ordered(*findings: DataFrame) -> DataFrame:
     """All findings with ids, in order: severity, uris, class, id."""
-    every = finding_id(reduce(DataFrame.unionByName, findings))
-    rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
-    return every.orderBy(rank, F.array_join("uris", "\0"), "class", "id")
+    return finding_id(reduce(DataFrame.unionByName, findings)).orderBy(*_order())
 
 
-def page(findings: DataFrame, snapshot: str, request: dict, limit: int = 100, cursor: str | None = None) -> tuple[DataFrame, str | None]:
-    """A page of the ordered findings and the next page's cursor, bound to the pages' digest and the request."""
-    rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
-    return paging.by_offset(findings, [rank, F.array_join("uris", "\0"), "class", "id"], "audit", snapshot, request, limit, cursor)
+def listed(*findings: DataFrame) -> ranks.Listing:
+    """All findings with ids, stored once in that order, for pages at any place."""
+    return ranks.listing(finding_id(reduce(DataFrame.unionByName, findings)), _order())
+
+
+def page(findings: DataFrame | ranks.Listing, snapshot: str, request: dict, limit: int = 100, cursor: str | None = None) -> tuple[DataFrame, str | None]:
+    """A page of the findings in order and the next page's cursor, bound to the pages' digest and the request."""
+    return paging.by_offset(findings, _order(), "audit", snapshot, request, limit, cursor)
 
 
 def snapshot_digest(pages: DataFrame) -> DataFrame:

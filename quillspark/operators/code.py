@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators import graph
+from quillspark.operators import graph, ranks
 
+#: Symbols that one candidate set's row names; a name of more is several rows of the dictionary.
+SET = 1000
 LEVELS = ("unsupported", "partial", "complete")
 
 
@@ -16,32 +20,71 @@ def names(symbols: DataFrame) -> DataFrame:
     return named.where("name IS NOT NULL AND name <> ''").distinct()
 
 
-def resolve(relations: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Relations with candidates (ids of symbols so named, in order) and resolution: unresolved, resolved or ambiguous."""
-    by_name = names(symbols).groupBy("name").agg(F.array_sort(F.collect_set("symbol_id")).alias("found"))
-    met = relations.drop("candidates", "resolution").join(by_name, relations["target"] == by_name["name"], "left").drop("name")
-    candidates = F.coalesce("found", F.array().cast("array<string>"))
-    return met.withColumn("candidates", candidates).withColumn("resolution", F.when(F.size("candidates") == 0, "unresolved").when(F.size("candidates") == 1, "resolved").otherwise("ambiguous")).drop("found")
-
-
-def adjacency(relations: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(relation_id, from_id, to_id): sources by name or by document, targets by name or candidate. Each alternative is an
-    equi-join; an OR would plan a nested loop."""
-    named = names(symbols)
-    by_name = relations.select(F.col("id").alias("relation_id"), F.col("source").alias("name")).join(named, "name").select("relation_id", F.col("symbol_id").alias("from_id"))
-    by_doc = relations.select(F.col("id").alias("relation_id"), "document_id").join(symbols.select("document_id", F.col("id").alias("from_id")), "document_id").select("relation_id", "from_id")
-    sources = by_name.unionByName(by_doc).distinct()
-    keys = relations.select(F.col("id").alias("relation_id"), F.explode(F.concat(F.array("target"), F.coalesce("candidates", F.array().cast("array<string>")))).alias("name"))
-    ids = named.unionByName(symbols.select(F.col("id").alias("name"), F.col("id").alias("symbol_id")))
-    targets = keys.join(ids, "name").select("relation_id", F.col("symbol_id").alias("to_id")).distinct()
-    return sources.join(targets, "relation_id")
-
-
-def neighbours(adjacent: DataFrame, symbol: str, direction: str = "out") -> DataFrame:
+def candidate_sets(symbols: DataFrame, most: int = SET) -> DataFrame:
+    """(name, part, size, members): the dictionary of candidate sets, each name once, its symbols in order and in ranked parts
+    of at most ``most``. A name that a third of all symbols have is many rows, made in many tasks."""
+    return ranks.parts_of(names(symbols), ["name"], "symbol_id", most)
+
+
+def resolve(relations: DataFrame, symbols: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """Relations with candidates (ids of symbols so named, in order), n_candidates and resolution: unresolved, resolved or
+    ambiguous. A relation is joined with the first part of its name's set, so no row carries more than ``SET`` ids; those of
+    a larger set are in the dictionary (``candidate_sets``) under the relation's target."""
+    sets = candidate_sets(symbols) if sets is None else sets
+    first = sets.where("part = 0").select(F.col("name").alias("c_name"), F.col("size").alias("n_candidates"), F.col("members").alias("candidates"))
+    met = relations.drop("candidates", "n_candidates", "resolution").join(first, F.col("target") == F.col("c_name"), "left").drop("c_name")
+    n = F.coalesce("n_candidates", F.lit(0).cast("long"))
+    met = met.withColumns({"n_candidates": n, "candidates": F.coalesce("candidates", F.array().cast("array<string>"))})
+    return met.withColumn("resolution", F.when(F.col("n_candidates") == 0, "unresolved").when(F.col("n_candidates") == 1, "resolved").otherwise("ambiguous"))
+
+
+@dataclass
+class Adjacency:
+    """Symbols and relations as two sides of a graph whose middle are keys: names, ids and documents.
+
+    ``symbols`` (symbol_id, key, side) and ``relations`` (relation_id, key, side) say which keys a symbol answers to and
+    which a relation names, as source (side out) and as target (in). A walk is two half steps over keys; the pairs of a
+    document's symbols with its relations' targets are never made, so rows are linear in symbols and relations."""
+
+    symbols: DataFrame
+    relations: DataFrame
+
+    def step(self, near: DataFrame, direction: str = "out") -> DataFrame:
+        """(symbol_id, place, relation_id, came): what symbols ``near`` (at, place) lead to, each with the least (place, symbol
+        it was reached from, relation)."""
+        first, second = ("out", "in") if direction == "out" else ("in", "out")
+        # half a step to the relations: of each key the least place, so a document's symbols meet its relations once
+        keys = near.join(self.symbols.where(F.col("side") == first), F.col("at") == F.col("symbol_id")).groupBy("key").agg(F.min(F.struct("place", F.col("at").alias("came"))).alias("x"))
+        met = self.relations.where(F.col("side") == first).join(keys, "key").groupBy("relation_id").agg(F.min("x").alias("x"))
+        # and half a step to the symbols: of each key the least relation
+        far = self.relations.where(F.col("side") == second).join(met, "relation_id").groupBy("key").agg(F.min(F.struct("x.place", "x.came", "relation_id")).alias("y"))
+        found = self.symbols.where(F.col("side") == second).join(far, "key").groupBy("symbol_id").agg(F.min("y").alias("y"))
+        return found.select("symbol_id", "y.place", "y.relation_id", "y.came")
+
+
+def _keys(**kinds: Column) -> Column:
+    told = [F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"{k[0]}:"), c)) for k, c in kinds.items()]
+    return F.explode(F.array_distinct(F.array_compact(F.array(*told))))
+
+
+def adjacency(relations: DataFrame, symbols: DataFrame) -> Adjacency:
+    """A relation leads from the symbols that have its source as a name or are in its document, to those that have its target
+    or a candidate as a name, or a candidate as id."""
+    own = symbols.select(F.col("id").alias("symbol_id"), "name", "qualified_name", "document_id")
+    answers = {"out": _keys(n=F.col("name"), nq=F.col("qualified_name"), d=F.col("document_id")), "in": _keys(n=F.col("name"), nq=F.col("qualified_name"), i=F.col("symbol_id"))}
+    sides = [own.select("symbol_id", keys.alias("key"), F.lit(side).alias("side")) for side, keys in answers.items()]
+    given = relations.select(F.col("id").alias("relation_id"), "source", "target", "document_id", (F.col("candidates") if "candidates" in relations.columns else F.lit(None).cast("array<string>")).alias("candidates"))
+    out = given.select("relation_id", _keys(n=F.col("source"), d=F.col("document_id")).alias("key"), F.lit("out").alias("side"))
+    named = F.concat(F.array("target"), F.coalesce("candidates", F.array().cast("array<string>")))
+    targets = F.concat(F.transform(named, lambda c: F.concat(F.lit("n:"), c)), F.transform(F.coalesce("candidates", F.array().cast("array<string>")), lambda c: F.concat(F.lit("i:"), c)))
+    back = given.select("relation_id", F.explode(F.array_distinct(F.filter(targets, lambda k: k.isNotNull() & (F.length(k) > 2)))).alias("key"), F.lit("in").alias("side"))
+    return Adjacency(sides[0].unionByName(sides[1]), out.unionByName(back))
+
+
+def neighbours(adjacent: Adjacency, symbol: str, direction: str = "out") -> DataFrame:
     """(symbol_id, relation_id): neighbours of a symbol, each with its first relation, in order."""
-    near, far = ("from_id", "to_id") if direction == "out" else ("to_id", "from_id")
-    met = adjacent.where((F.col(near) == symbol) & (F.col(far) != symbol))
-    return met.groupBy(F.col(far).alias("symbol_id")).agg(F.min("relation_id").alias("relation_id")).orderBy("symbol_id", "relation_id")
+    near = adjacent.symbols.sparkSession.createDataFrame([(0, symbol)], "place int, at string")
+    return adjacent.step(near, direction).where(F.col("symbol_id") != symbol).select("symbol_id", "relation_id").orderBy("symbol_id")
 
 
 def coverage(documents: DataFrame) -> DataFrame:
@@ -87,32 +130,42 @@ def path_is_valid(path: Column) -> Column:
 
 
 def first_relations(relations: DataFrame, symbol: dict, direction: str, limit: int) -> DataFrame:
-    """Relations of one symbol: incoming by target name, outgoing by source name or document."""
+    """Relations of one symbol: incoming by target name, outgoing by source name or document; at most ``limit``, in order, each
+    with the total and whether some were left out."""
     own = [n for n in (symbol["name"], symbol.get("qualified_name")) if n]
     hit = F.col("target").isin(*own) if direction == "in" else F.col("source").isin(*own) | (F.col("document_id") == symbol["document_id"])
-    return relations.where(hit).orderBy("id").limit(limit)
+    return graph.bounded(relations.where(hit), ["id"], limit)
+
+
+def arcs(pairs: DataFrame) -> Adjacency:
+    """Adjacency from (relation_id, from_id, to_id) rows, each a relation between two known symbols."""
+    pairs = pairs.withColumn("relation_id", F.struct("relation_id", "from_id", "to_id"))
+    ids = pairs.select(F.explode(F.array("from_id", "to_id")).alias("symbol_id")).distinct()
+    sides = lambda frame, name, **keys: [frame.select(name, F.col(k).alias("key"), F.lit(side).alias("side")) for side, k in keys.items()]
+    of_symbols = sides(ids, "symbol_id", out="symbol_id", **{"in": "symbol_id"})
+    of_pairs = sides(pairs, "relation_id", out="from_id", **{"in": "to_id"})
+    return Adjacency(of_symbols[0].unionByName(of_symbols[1]), of_pairs[0].unionByName(of_pairs[1]))
 
 
-def path(adjacent: DataFrame, source: str, target: str, direction: str = "out", depth: int = 1000, limit: int = 1000) -> dict:
+def path(adjacent: Adjacency | DataFrame, source: str, target: str, direction: str = "out", depth: int = 1000, limit: int = 1000) -> dict:
     """symbols and relations of the first path that a breadth-first search finds, and whether it was cut off.
 
-    At most ``limit`` symbols are visited, in order of their level, their predecessor's place and their id, and none is
-    gone on from at ``depth`` relations. A level is one join of the arcs with the symbols to go on from, at most
-    ``limit``; so is what comes back."""
-    spark = adjacent.sparkSession
-    near, far = ("from_id", "to_id") if direction == "out" else ("to_id", "from_id")
-    arcs = adjacent.where(F.col(near) != F.col(far)).groupBy(F.col(near).alias("near"), F.col(far).alias("far")).agg(F.min("relation_id").alias("relation_id"))
-    arcs = graph.written(arcs)
+    ``adjacent``: an ``Adjacency``, or (relation_id, from_id, to_id) rows. At most ``limit`` symbols are visited, in order of
+    their level, their predecessor's place and their id, and none is gone on from at ``depth`` relations. A level is two
+    half steps from the symbols to go on from, at most ``limit``; so is what comes back."""
+    adjacent = adjacent if isinstance(adjacent, Adjacency) else arcs(adjacent)
+    spark = adjacent.symbols.sparkSession
     came: dict[str, tuple[str | None, str | None]] = {source: (None, None)}
     level, hops = [source], 0
     while level and target not in came and hops < depth and len(came) < limit:
         frontier = spark.createDataFrame(list(enumerate(level)), "place int, at string")
-        step = arcs.join(F.broadcast(frontier), F.col("near") == F.col("at")).join(F.broadcast(spark.createDataFrame([(x,) for x in came], "known string")), F.col("far") == F.col("known"), "left_anti")
-        first = step.groupBy("far").agg(F.min(F.struct("place", "near", "relation_id")).alias("x")).select("far", "x.*").orderBy("place", "far").limit(limit - len(came))
+        known = spark.createDataFrame([(x,) for x in came], "known string")
+        step = adjacent.step(F.broadcast(frontier), direction).join(F.broadcast(known), F.col("symbol_id") == F.col("known"), "left_anti")
         level = []
-        for r in first.collect():
-            came[r["far"]] = (r["near"], r["relation_id"])
-            level.append(r["far"])
+        for r in step.orderBy("place", "symbol_id").limit(limit - len(came)).collect():
+            relation = r["relation_id"] if isinstance(r["relation_id"], str) else r["relation_id"]["relation_id"]
+            came[r["symbol_id"]] = (r["came"], relation)
+            level.append(r["symbol_id"])
         hops += 1
     if target not in came:
         return {"symbols": [], "relations": [], "truncated": len(came) >= limit}

@@ -1,9 +1,14 @@
-"""Typed directed graphs as edge tables (from_uri, to_uri, relation, raw)."""
+"""Typed directed graphs as edge tables (from_uri, to_uri, relation, raw).
+
+Searches walk an edge table as it is, or ``stored`` arcs: each edge under both its ends, partitioned by a hash of the node
+and sorted by it, so that a hop reads the buckets of its frontier only. A hop takes the frontier's arcs before anything is
+made distinct; what is kept of a level is a row a node with its predecessor, not whole paths."""
 
 from __future__ import annotations
 
 import uuid
 import weakref
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -87,45 +92,187 @@ def bounded(frame: DataFrame, order: list, limit: int) -> DataFrame:
     return frame.orderBy(*order).limit(limit).crossJoin(F.broadcast(total)).withColumn("truncated", F.col("total") > limit)
 
 
-def paths_from(arcs: DataFrame, source: str, depth: int, targets: list[str] | None = None) -> DataFrame:
-    """(node, level, path): the shortest path to each node within ``depth``, of equal lengths the least by node names.
-
-    A level is one join of the frontier with the arcs and a minimum by node, so each node is kept once. The loop ends
+#: Partitions of stored arcs, frontiers whose nodes are named in the scan's filter, arcs of a bucket's file, and frontiers that
+#: one task puts in order.
+BUCKETS, NAMED, FILE, SORTED = 64, 1000, 1 << 20, 100_000
+
+
+@dataclass
+class Walk:
+    """Stored arcs and how they are walked: out, in or both, and by which relations."""
+
+    spark: SparkSession
+    folder: str
+    direction: str = "out"
+    relations: tuple[str, ...] = ()
+
+    def along(self, direction: str, relations: tuple[str, ...] = ()) -> Walk:
+        if direction not in ("out", "in", "both"):
+            raise ValueError(f"unknown direction {direction!r}")
+        return Walk(self.spark, self.folder, direction, relations)
+
+    def rows(self, names: list[str] | None, back: bool) -> DataFrame:
+        """(node, other, relation) of some nodes, or of all."""
+        found = self.spark.read.parquet(self.folder)
+        if names is not None:
+            made = F.array(*[F.pmod(F.xxhash64(F.lit(n)), F.lit(BUCKETS)).cast("int") for n in names])
+            buckets = sorted(set(self.spark.range(1).select(made.alias("b")).first()["b"])) if names else []
+            found = found.where(F.col("bucket").isin(buckets) & F.col("node").isin(names))
+        if self.direction != "both":
+            found = found.where(F.col("side") == ("in" if back != (self.direction == "in") else "out"))
+        if self.relations:
+            found = found.where(F.col("relation").isin(*self.relations))
+        return found.select("node", "other", "relation")
+
+
+def stored(edges: DataFrame) -> Walk:
+    """Arcs of an edge table (from_uri, to_uri, relation), stored once for any number of searches. A node with very many
+    edges is in several files of its bucket."""
+    spark = edges.sparkSession
+    folder = f"{shared(spark)}/arcs-{uuid.uuid4().hex}"
+    end = lambda node, other, side: F.struct(F.col(node).alias("node"), F.col(other).alias("other"), F.col("relation"), F.lit(side).alias("side"))
+    arcs = edges.select(F.inline(F.array(end("from_uri", "to_uri", "out"), end("to_uri", "from_uri", "in")))).withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(BUCKETS)).cast("int"))
+    files = -(-2 * edges.count() // (FILE * BUCKETS)) or 1
+    dealt = arcs.repartition("bucket", F.pmod(F.xxhash64("other"), F.lit(files))).sortWithinPartitions("bucket", "node", "other")
+    dealt.write.partitionBy("bucket").parquet(folder)
+    return Walk(spark, folder)
+
+
+def _hop(arcs: DataFrame | Walk, near: DataFrame | list[str], back: bool = False) -> DataFrame:
+    """(node, other, relation) of the arcs from ``near`` (nodes by name, or a frame with node), against their direction if ``back``."""
+    names = near if isinstance(near, list) else None
+    if isinstance(arcs, Walk):
+        found = arcs.rows(names, back)
+    else:
+        a, b = ("to_uri", "from_uri") if back else ("from_uri", "to_uri")
+        found = arcs.select(F.col(a).alias("node"), F.col(b).alias("other"), F.col("relation") if "relation" in arcs.columns else F.lit(None).cast("string").alias("relation"))
+        found = found if names is None else found.where(F.col("node").isin(names))
+    return found if names is not None else found.join(near, "node")
+
+
+def _named(level: DataFrame, n: int) -> DataFrame | list[str]:
+    """A level's nodes by name, where they are few."""
+    return [r["node"] for r in level.select("node").collect()] if n <= NAMED else level.select("node")
+
+
+def levels_from(arcs: DataFrame | Walk, source: str, depth: int, targets: list[str] | None = None) -> list[DataFrame]:
+    """The levels of a search from ``source``, each (node, place, parent) in the shared folder: of the predecessors of a node
+    the one with the least path by node names, and the node's place among its level's least paths.
+
+    A level is a join of the frontier with the arcs and a minimum by node, so each node is kept once. The search ends
     when nothing new is found, or all targets are."""
-    spark = arcs.sparkSession
-    arcs = written(arcs.select("from_uri", "to_uri").distinct())
-    seen = spark.createDataFrame([(source, 0, [source])], "node string, level int, path array<string>")
-    frontier, level, waiting = seen, 0, set(targets or ()) - {source}
-    while (depth < 0 or level < depth) and (targets is None or waiting):
-        level += 1
-        step = frontier.join(arcs, F.col("node") == F.col("from_uri")).select(F.col("to_uri").alias("node"), F.lit(level).alias("level"), F.concat("path", F.array("to_uri")).alias("path"))
-        frontier = written(step.join(seen.select("node"), "node", "left_anti").groupBy("node", "level").agg(F.min("path").alias("path")))
-        if frontier.isEmpty():
+    from quillspark.operators import ranks
+
+    spark = arcs.spark if isinstance(arcs, Walk) else arcs.sparkSession
+    levels, n, waiting = [spark.createDataFrame([(source, 0, None)], "node string, place long, parent string")], 1, set(targets or ()) - {source}
+    seen = levels[0].select("node")
+    while (depth < 0 or len(levels) <= depth) and (targets is None or waiting):
+        last = levels[-1]
+        near = _named(last, n)
+        met = _hop(arcs, near).select("node", "other").distinct() if isinstance(near, list) else _hop(arcs, near).select("node", "other")
+        came = met.join(last.select("node", "place"), "node").groupBy("other").agg(F.min(F.struct("place", F.col("node").alias("parent"))).alias("x"))
+        new = written(came.select(F.col("other").alias("node"), F.col("x.place").alias("before"), "x.parent").join(seen, "node", "left_anti"))
+        n = new.count()
+        if not n:
+            removed(new)
             break
-        if targets is not None:
-            waiting -= {r["node"] for r in frontier.where(F.col("node").isin(*waiting)).select("node").collect()}
-        seen = seen.unionByName(frontier)
-    return seen
+        if n <= SORTED:
+            placed = new.withColumn("place", (F.row_number().over(Window.orderBy("before", "node")) - 1).cast("long"))
+        else:
+            placed = ranks.ranked(new, [], ["before", "node"]).withColumnRenamed("rank", "place")
+        level = written(placed.select("node", "place", "parent"))
+        removed(new)
+        if waiting:
+            waiting -= {r["node"] for r in level.where(F.col("node").isin(*waiting)).select("node").collect()}
+        levels.append(level)
+        seen = seen.unionByName(level.select("node"))
+    return levels
+
+
+def reached(arcs: DataFrame | Walk, source: str, depth: int = -1) -> DataFrame:
+    """(node, level) of all nodes within ``depth``."""
+    out = None
+    for k, level in enumerate(levels_from(arcs, source, depth)):
+        own = level.select("node", F.lit(k).alias("level"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
-def shortest_path(arcs: DataFrame, source: str, target: str, depth: int = -1) -> dict:
+def paths_from(arcs: DataFrame | Walk, source: str, depth: int, targets: list[str] | None = None) -> DataFrame:
+    """(node, level, path): the shortest path to each node within ``depth`` (or to the targets, where they are given), of equal
+    lengths the least by node names, put together from the levels' predecessors."""
+    levels = levels_from(arcs, source, depth, targets)
+    out = None
+    for k, level in enumerate(levels):
+        own = level if targets is None else level.where(F.col("node").isin(*targets))
+        way = own.select("node", F.array("node").alias("path"), F.col("parent").alias("up"))
+        for above in reversed(levels[:k]):
+            up = above.select(F.col("node").alias("up"), F.col("parent").alias("next"))
+            way = way.join(up, "up").select("node", F.concat(F.array("up"), "path").alias("path"), F.col("next").alias("up"))
+        way = way.select("node", F.lit(k).alias("level"), "path")
+        out = way if out is None else out.unionByName(way)
+    return out
+
+
+def _between(arcs: DataFrame | Walk, source: str, target: str, depth: int) -> list[str]:
+    """The shortest path, of equal ones the least by node names; empty where there is none within ``depth``.
+
+    Searched from both ends, the side with the smaller frontier first. Where levels meet, those nodes of the forward levels
+    are kept that lead to the meeting; then the path is read off node by node, the least name at each step."""
+    if source == target:
+        return [source]
+    spark = arcs.spark if isinstance(arcs, Walk) else arcs.sparkSession
+    sides = {back: [spark.createDataFrame([(end,)], "node string")] for back, end in ((False, source), (True, target))}
+    sizes = {False: 1, True: 1}
+    while True:
+        if 0 <= depth <= len(sides[False]) + len(sides[True]) - 2:
+            return []
+        back = sizes[True] < sizes[False]
+        own = sides[back]
+        seen = own[0]
+        for level in own[1:]:
+            seen = seen.unionByName(level)
+        found = _hop(arcs, _named(own[-1], sizes[back]), back).select(F.col("other").alias("node")).distinct()
+        new = written(found.join(seen, "node", "left_anti"))
+        sizes[back] = new.count()
+        if not sizes[back]:
+            return []
+        own.append(new)
+        meeting = new.join(sides[not back][-1], "node")
+        if not meeting.isEmpty():
+            break
+    forward, backward = sides[False], sides[True]
+    leading = [written(meeting)]
+    for level in reversed(forward[1:-1]):
+        into = _hop(arcs, _named(leading[0], leading[0].count()), True).select(F.col("other").alias("node")).distinct()
+        leading.insert(0, written(level.join(into, "node", "left_semi")))
+    way = [source]
+    for level in leading + backward[-2::-1] if len(forward) > 1 else backward[-2::-1]:
+        step = _hop(arcs, [way[-1]]).select(F.col("other").alias("node")).join(level, "node", "left_semi")
+        way.append(step.agg(F.min("node")).first()[0])
+    removed(*leading, *forward[1:], *backward[1:])
+    return way
+
+
+def shortest_path(arcs: DataFrame | Walk, source: str, target: str, depth: int = -1) -> dict:
     """nodes and relations (the least of each hop) of the path; empty where there is none."""
-    found = paths_from(arcs, source, depth, [target]).where(F.col("node") == target).select("path").first()
-    nodes = list(found["path"]) if found else []
+    nodes = _between(arcs, source, target, depth)
     relations: list[str | None] = []
-    if len(nodes) > 1 and "relation" in arcs.columns:
-        hops = arcs.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(nodes, nodes[1:], strict=False))], "hop int, from_uri string, to_uri string")
-        relations = [r["relation"] for r in hops.join(arcs, ["from_uri", "to_uri"]).groupBy("hop").agg(F.min("relation").alias("relation")).orderBy("hop").collect()]
+    if len(nodes) > 1 and (isinstance(arcs, Walk) or "relation" in arcs.columns):
+        spark = arcs.spark if isinstance(arcs, Walk) else arcs.sparkSession
+        hops = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(nodes, nodes[1:], strict=False))], "hop int, node string, other string")
+        relations = [r["relation"] for r in F.broadcast(hops).join(_hop(arcs, nodes[:-1]), ["node", "other"]).groupBy("hop").agg(F.min("relation").alias("relation")).orderBy("hop").collect()]
     return {"nodes": nodes, "relations": relations}
 
 
-def path_status(edges: DataFrame, nodes: DataFrame, source: str, target: str, direction: str = "out", relations: tuple[str, ...] = (), depth: int = -1) -> dict:
+def path_status(edges: DataFrame | Walk, nodes: DataFrame, source: str, target: str, direction: str = "out", relations: tuple[str, ...] = (), depth: int = -1) -> dict:
     """The path, and found, unknown_source, unknown_target, disconnected or depth_exceeded."""
     known = {r["uri"] for r in nodes.where(F.col("uri").isin(source, target)).select("uri").collect()}
     if source not in known or target not in known:
         return {"status": "unknown_source" if source not in known else "unknown_target", "nodes": [], "relations": []}
-    # one search: it ends at the target if that is near, and else has to go on to tell why there is no path
-    found = shortest_path(directed(edges, direction, relations), source, target)
+    # one search from both ends: where there is no path, the smaller side is soon used up
+    arcs = edges.along(direction, relations) if isinstance(edges, Walk) else directed(edges, direction, relations)
+    found = shortest_path(arcs, source, target)
     if found["nodes"] and (depth < 0 or len(found["nodes"]) <= depth + 1):
         return {"status": "found", **found}
     return {"status": "depth_exceeded" if found["nodes"] else "disconnected", "nodes": [], "relations": []}

@@ -14,6 +14,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators.ranks import Listing
+
 
 class InvalidCursor(ValueError):
     """The cursor cannot be read, or belongs to another listing, snapshot or request."""
@@ -38,18 +40,21 @@ def request_digest(request: dict) -> str:
     return f"sha256:{hashlib.sha256(json.dumps(request, sort_keys=True).encode()).hexdigest()}"
 
 
-def by_offset(rows: DataFrame, order: list[str | Column], kind: str, snapshot: str, request: dict, limit: int, cursor: str | None = None) -> tuple[DataFrame, str | None]:
-    """A page of ``rows`` in order, and the next page's cursor, null at the end."""
+def by_offset(rows: DataFrame | Listing, order: list[str | Column], kind: str, snapshot: str, request: dict, limit: int, cursor: str | None = None) -> tuple[DataFrame, str | None]:
+    """A page of ``rows`` in order, and the next page's cursor, null at the end.
+
+    A ``Listing`` has its order already: where several pages are taken, store the rows once and a page reads its own ranges only."""
     asked, offset = request_digest(request), 0
     if cursor is not None:
         at = decode(cursor, {"version", "kind", "snapshot", "request", "offset"})
         if (at["version"], at["kind"], at["snapshot"], at["request"]) != (1, kind, snapshot, asked) or not isinstance(at["offset"], int):
             raise InvalidCursor(cursor)
         offset = at["offset"]
-    total = rows.count()
+    stored = isinstance(rows, Listing)
+    total = rows.total if stored else rows.count()
     if not 0 <= offset <= total:
         raise InvalidCursor(str(cursor))
-    page = rows.orderBy(*order).offset(offset).limit(limit)
+    page = rows.page(offset, limit) if stored else rows.orderBy(*order).offset(offset).limit(limit)
     last = offset + limit
     return page, encode({"version": 1, "kind": kind, "snapshot": snapshot, "request": asked, "offset": last}) if last < total else None
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions import vectors
-from quillspark.operators import audit, code, context, graph, history, lexical, paging, semantic, trace
+from quillspark.operators import audit, code, context, graph, history, lexical, paging, ranks, semantic, trace
 from quillspark.plans import views as V
 from quillspark.sources import payloads
 
@@ -77,10 +77,10 @@ def _scores(question: str, pages: str = "doc_pages") -> str:
 
 # ---- lexical ranking
 
-_INDEXES: dict[tuple, lexical.Index] = {}
+_INDEXES: dict[tuple, lexical.Index | graph.Walk] = {}
 
 
-def _stored(spark: SparkSession, d: str, tables: tuple[str, ...], build: Callable[[], lexical.Index]) -> lexical.Index:
+def _stored(spark: SparkSession, d: str, tables: tuple[str, ...], build: Callable[[], lexical.Index | graph.Walk]) -> lexical.Index | graph.Walk:
     """An index of some tables, built at the first question that an application asks of them as they are now."""
     key = (spark.sparkContext.applicationId, d, V.version(spark, d, *tables))
     if key not in _INDEXES:
@@ -237,6 +237,10 @@ def index_by_directory(spark, d):
 # ---- graph
 
 
+def _fk_arcs(spark: SparkSession, d: str) -> graph.Walk:
+    return _stored(spark, d, ("nation", "customer", "supplier", "orders", "lineitem"), lambda: graph.stored(V.fk_edges(spark, d)))
+
+
 @query(f"""WITH {V.FK_EDGES} SELECT DISTINCT from_uri, to_uri, relation FROM fk_edges UNION
 SELECT 'customer:' || c_custkey, 'nation:' || t, 'links_to' FROM (SELECT c_custkey, c_nationkey, (c_nationkey + c_custkey % 3) % 25 AS t FROM customer) WHERE t <> c_nationkey""")
 def graph_edges_dedup(spark, d):
@@ -264,13 +268,13 @@ level1 AS (SELECT to_uri AS node, 1 AS level FROM both_ways WHERE from_uri = 're
 level3 AS (SELECT DISTINCT b.to_uri AS node, 3 AS level FROM level2 JOIN both_ways b ON node = from_uri WHERE b.to_uri <> 'region:1' AND b.to_uri NOT IN (SELECT node FROM level1 UNION ALL SELECT node FROM level2))
 SELECT 'region:1' AS node, 0 AS level UNION ALL SELECT * FROM level1 UNION ALL SELECT * FROM level2 UNION ALL SELECT * FROM level3""")
 def graph_reachable_by_level(spark, d):
-    return graph.paths_from(graph.undirected(V.fk_edges(spark, d)), "region:1", 3).select("node", "level")
+    return graph.reached(_fk_arcs(spark, d).along("both"), "region:1", 3)
 
 
 @query(f"""WITH {V.FK_EDGES} SELECT s.from_uri AS node, 'customer:1 ' || n.to_uri || ' ' || s.from_uri AS path FROM fk_edges n JOIN fk_edges s ON n.to_uri = s.to_uri WHERE n.from_uri = 'customer:1' AND s.from_uri LIKE 'supplier:%'""")
 def graph_shortest_paths(spark, d):
     """One search from a customer; its paths to all suppliers of its nation."""
-    found = graph.paths_from(graph.undirected(V.fk_edges(spark, d)), "customer:1", 2)
+    found = graph.paths_from(_fk_arcs(spark, d).along("both"), "customer:1", 2)
     return found.where(F.col("node").startswith("supplier:")).select("node", F.array_join("path", " ").alias("path"))
 
 
@@ -502,7 +506,7 @@ def audit_stale(spark, d):
 @query(f"WITH {_SAME_SOURCE} SELECT pair FROM (SELECT DISTINCT least(from_uri, to_uri) || ' ' || greatest(from_uri, to_uri) AS pair FROM links WHERE relation = 'contradicts') ORDER BY pair LIMIT 50 OFFSET 20")
 def audit_page(spark, d):
     """The page after the first twenty, by a cursor bound to the pages' digest; their uris decide the order here."""
-    every = audit.ordered(audit.contradictions(_doc_links(spark, d)))
+    every = audit.listed(audit.contradictions(_doc_links(spark, d)))
     snapshot = audit.snapshot_digest(V.doc_pages(spark, d).select("uri", F.col("title").alias("revision"))).first()["digest"]
     _, cursor = audit.page(every, snapshot, {"classes": ["contradiction"]}, 20)
     found, _ = audit.page(every, snapshot, {"classes": ["contradiction"]}, 50, cursor)
@@ -557,7 +561,7 @@ def cdc_feed_page(spark, d):
     """The page after the first 40 changes between two snapshots, by a cursor bound to both snapshots' digests."""
     before, after = _snapshots(spark, d)
     digest = lambda f: audit.snapshot_digest(f.select(F.col("path").alias("uri"), F.concat_ws("|", "revision", "origin").alias("revision"))).first()["digest"]
-    both, changes = f"{digest(before)} {digest(after)}", history.snapshot_changes(before, after).select("path")
+    both, changes = f"{digest(before)} {digest(after)}", ranks.listing(history.snapshot_changes(before, after).select("path"), ["path"])
     _, cursor = paging.by_offset(changes, ["path"], "changes", both, {}, 40)
     return paging.by_offset(changes, ["path"], "changes", both, {}, 80, cursor)[0]
 
@@ -703,7 +707,8 @@ def graph_path_status(spark, d):
     region = edges.where("relation = 'in_region'").join(nation.withColumnRenamed("to_uri", "from_uri"), "from_uri").first()["to_uri"]
     nodes = edges.select(F.col("from_uri").alias("uri")).unionByName(edges.select(F.col("to_uri").alias("uri"))).distinct()
     asked = [("region", "customer:1", region, 3), ("region within one", "customer:1", region, 1), ("customer", region, "customer:1", -1), ("nobody", "customer:1", "customer:-1", 3), ("from nobody", "customer:-1", region, 3)]
-    found = [(name, graph.path_status(edges, nodes, a, b, depth=n)) for name, a, b, n in asked]
+    arcs = _fk_arcs(spark, d)
+    found = [(name, graph.path_status(arcs, nodes, a, b, depth=n)) for name, a, b, n in asked]
     return spark.createDataFrame([(name, f["status"], " ".join(f["nodes"]), " ".join(f["relations"])) for name, f in found], "asked string, status string, path string, relations string")
 
 

@@ -32,6 +32,36 @@ def test_paths_equal_breadth_first_search(spark):
             assert found.get(f"n{n}", []) == _bfs(arcs, "n0", f"n{n}", depth)
 
 
+def test_stored_arcs_give_the_same_paths(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BUCKETS", 3)
+    rnd = random.Random(7)
+    arcs = list({(f"n{rnd.randrange(16)}", f"n{rnd.randrange(16)}") for _ in range(30)})
+    edges = spark.createDataFrame([(a, b, rnd.choice("pq")) for a, b in arcs] * 2, "from_uri string, to_uri string, relation string")
+    walk = graph.stored(edges)
+    both = arcs + [(b, a) for a, b in arcs]
+    for t in range(0, 16, 3):
+        found = graph.shortest_path(walk, "n0", f"n{t}")
+        assert found["nodes"] == _bfs(arcs, "n0", f"n{t}", -1) and len(found["relations"]) == max(len(found["nodes"]) - 1, 0)
+        assert graph.shortest_path(walk.along("in"), "n0", f"n{t}", 3)["nodes"] == _bfs([(b, a) for a, b in arcs], "n0", f"n{t}", 3)
+        monkeypatch.setattr(graph, "NAMED", 2)
+        assert graph.shortest_path(walk.along("both"), "n0", f"n{t}")["nodes"] == _bfs(both, "n0", f"n{t}", -1)
+        monkeypatch.setattr(graph, "NAMED", 1000)
+    monkeypatch.setattr(graph, "SORTED", 2)
+    found = {r.node: list(r.path) for r in graph.paths_from(walk.along("both"), "n0", 3).collect()}
+    assert found == {f"n{n}": way for n in range(16) if (way := _bfs(both, "n0", f"n{n}", 3))}
+    assert {r.node: r.level + 1 for r in graph.reached(walk.along("both"), "n0", 3).collect()} == {n: len(way) for n, way in found.items()}
+    only = walk.along("out", ("p",))
+    assert graph.shortest_path(only, "n0", "n1")["nodes"] == _bfs([(r.from_uri, r.to_uri) for r in edges.where("relation = 'p'").collect()], "n0", "n1", -1)
+
+
+def test_a_hop_reads_the_buckets_of_its_frontier(spark):
+    edges = spark.createDataFrame([(f"a{i}", f"b{i}", "r") for i in range(200)], "from_uri string, to_uri string, relation string")
+    walk = graph.stored(edges)
+    plan = walk.rows(["a1", "a2"], False)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan
+    assert "In(node, [a1,a2])" in plan and walk.rows(["a1", "a2"], False).count() == 2
+
+
 def test_status_and_cycles(spark):
     edges = spark.createDataFrame([("a", "b", "r", "b"), ("b", "c", "r", "c"), ("b", "c", "q", "c")], "from_uri string, to_uri string, relation string, raw string")
     nodes = spark.createDataFrame([(x,) for x in "abcd"], "uri string")
