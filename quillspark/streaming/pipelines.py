@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quillspark.operators import code, history
+from quillspark.sources.changes import FileChanges
 from quillspark.sources.stores import GenerationStore
 
 
@@ -63,7 +64,7 @@ class IndexMaintainer:
                 symbols, relations = self.analyze(files.join(upserts, "path", "left_semi"))
                 gone = changes.select("path")
                 symbols = symbols.unionByName(old["symbols"].join(gone, "path", "left_anti"))
-                relations = relations.unionByName(old["relations"].drop("candidates", "resolution").join(gone, "path", "left_anti"))
+                relations = relations.unionByName(old["relations"].drop("candidates", "n_candidates", "resolution").join(gone, "path", "left_anti"))
             tables = {"documents": files.select("path", "digest", "language"), "symbols": symbols, "relations": code.resolve(relations, symbols)}
             if self.digest(self.list_files().select("path", "digest")) != digest:
                 self.state = "degraded"  # the files changed meanwhile; the next hint starts anew
@@ -88,13 +89,41 @@ class IndexMaintainer:
         return self.store.read()
 
 
-class _Deliveries(StatefulProcessor):
+class _Kept(StatefulProcessor):
+    """State that ends: a timer lets it go ``keep`` seconds after it was last (or first) touched, and a row tells of that.
+
+    Time is the watermark's where the stream has one (``event``), else the clock's."""
+
+    def __init__(self, keep: float | None, event: bool) -> None:
+        self.keep, self.event = keep, event
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+
+    def hold(self, timers: object, again: bool) -> None:
+        """Sets the timer; with ``again`` one that is set already is put off."""
+        if self.keep is None:
+            return
+        known = list(self.handle.listTimers())
+        if known and not again:
+            return
+        for timer in known:
+            self.handle.deleteTimer(timer)
+        now = timers.getCurrentWatermarkInMs() if self.event else timers.getCurrentProcessingTimeInMs()
+        self.handle.registerTimer(int(max(now, 0) + self.keep * 1000))
+
+    def close(self) -> None:
+        """Nothing to release."""
+
+
+class _Deliveries(_Kept):
     """Keeps the digest of each delivery: the same again is unchanged, another one a conflict."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.digest = handle.getValueState("digest", "digest string")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         known = self.digest.get()[0] if self.digest.exists() else None
         for frame in rows:
             results = []
@@ -103,24 +132,37 @@ class _Deliveries(StatefulProcessor):
                 known = known or digest
             yield pd.DataFrame({"delivery_id": key[0], "digest": frame["digest"], "result": results})
         self.digest.update((known,))
+        self.hold(timers, again=False)
 
-    def close(self) -> None:
-        """Nothing to release."""
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        digest = self.digest.get()[0] if self.digest.exists() else None
+        self.digest.clear()
+        yield pd.DataFrame({"delivery_id": [key[0]], "digest": [digest], "result": ["released"]})
 
 
-def deliveries(stream: DataFrame) -> DataFrame:
-    """(delivery_id, digest, result) of a stream of (delivery_id, digest); needs the RocksDB state store."""
-    return stream.groupBy("delivery_id").transformWithStateInPandas(_Deliveries(), "delivery_id string, digest string, result string", "Append", "None")
+def _timed(keep: float | None, at: str | None) -> str:
+    return "None" if keep is None else "ProcessingTime" if at is None else "EventTime"
 
 
-class _Runs(StatefulProcessor):
+def deliveries(stream: DataFrame, keep: float | None = None, at: str | None = None) -> DataFrame:
+    """(delivery_id, digest, result) of a stream of (delivery_id, digest): created, unchanged or conflict; needs the RocksDB
+    state store.
+
+    With ``keep``, a delivery is forgotten so many seconds after it came (by the watermark of column ``at``, or the clock), and
+    a row with result released says so; state then holds what came within that time only, and the same id later counts as created."""
+    keyed = stream.groupBy("delivery_id")
+    return keyed.transformWithStateInPandas(_Deliveries(keep, at is not None), "delivery_id string, digest string, result string", "Append", _timed(keep, at))
+
+
+class _Runs(_Kept):
     """Follows each run: the next sequence it needs, those that came early (a state row each), and whether it has its outcome."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.next = handle.getValueState("next", "next long, ended boolean, waiting long")
         self.early = handle.getMapState("early", "sequence long", "there boolean")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         need, ended, waiting = self.next.get() if self.next.exists() else (0, False, 0)
         for frame in rows:
             ended = ended or bool((frame["kind"] == "outcome").any())
@@ -132,15 +174,26 @@ class _Runs(StatefulProcessor):
             self.early.removeKey((need,))
             need, waiting = need + 1, waiting - 1
         self.next.update((need, ended, waiting))
-        yield pd.DataFrame({"run_id": [key[0]], "entries": [need], "complete": [ended and not waiting]})
+        self.hold(timers, again=True)
+        yield self.told(key, need, ended and not waiting, False)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        need, ended, waiting = self.next.get() if self.next.exists() else (0, False, 0)
+        self.next.clear()
+        self.early.clear()
+        yield self.told(key, need, ended and not waiting, True)
+
+    def told(self, key: tuple, entries: int, complete: bool, released: bool) -> pd.DataFrame:
+        return pd.DataFrame({"run_id": [key[0]], "entries": [entries], "complete": [complete], "released": [released]})
 
-    def close(self) -> None:
-        """Nothing to release."""
 
+def run_completeness(stream: DataFrame, keep: float | None = None, at: str | None = None) -> DataFrame:
+    """(run_id, entries, complete, released) after each batch of a stream of (run_id, sequence, kind).
 
-def run_completeness(stream: DataFrame) -> DataFrame:
-    """(run_id, entries, complete) after each batch of a stream of (run_id, sequence, kind)."""
-    return stream.groupBy("run_id").transformWithStateInPandas(_Runs(), "run_id string, entries long, complete boolean", "Update", "None")
+    With ``keep``, a run that has been silent for so many seconds (by the watermark of column ``at``, or the clock) is let go of,
+    with or without its outcome, and a row with released set says how far it had come."""
+    keyed = stream.groupBy("run_id")
+    return keyed.transformWithStateInPandas(_Runs(keep, at is not None), "run_id string, entries long, complete boolean, released boolean", "Update", _timed(keep, at))
 
 
 def notices(store: GenerationStore, current: Callable[[], DataFrame], send: Callable[[str, str], None]) -> Callable[[DataFrame, int], None]:
@@ -204,6 +257,12 @@ def ticks(spark: SparkSession, seconds: int = 30) -> DataFrame:
     return spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("advanceMillisPerBatch", seconds * 1000).load()
 
 
+def file_changes(spark: SparkSession, folder: str, state: str) -> DataFrame:
+    """A stream of the files of a folder that are new, changed or gone; ``state`` is a shared folder of the stream's own."""
+    spark.dataSource.register(FileChanges)
+    return spark.readStream.format("file_changes").option("path", folder).option("state", state).load()
+
+
 def file_hints(spark: SparkSession, folder: str) -> DataFrame:
     """A stream that has a row for each new file of a folder. Files that change under their name are seen at a tick."""
     return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder).select("path", "modificationTime")
