@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.sources import islands
+
 # Languages by extension, and other names for them.
 LANGUAGES = {"py": "python", "go": "go", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "rs": "rust", "c": "c", "cpp": "cpp", "rb": "ruby", "sh": "shell"}
 ALIASES = {"golang": "go", "js": "javascript", "jsx": "javascript", "node": "javascript", "ts": "typescript", "tsx": "typescript", "py": "python"}
-SYMBOLS = "id string, document_id string, path string, language string, kind string, name string, qualified_name string, start_line int"
+SPAN = "start_column int, end_line int, end_column int, start_byte int, end_byte int"
+SYMBOLS = f"id string, document_id string, path string, language string, kind string, name string, qualified_name string, start_line int, {SPAN}"
 RELATIONS = "id string, document_id string, path string, kind string, source string, target string"
 
 
@@ -50,13 +55,17 @@ def analyze_python(path: str, text: str) -> tuple[list[tuple], list[tuple], str
     except (SyntaxError, ValueError) as e:
         return [], [], f"syntax: {e}"
     symbols, relations = [], []
+    starts = list(accumulate((len(x.encode()) for x in text.split("\n")), lambda a, b: a + b + 1, initial=0))
+
+    def span(node: ast.AST) -> tuple[int, ...]:
+        return node.col_offset + 1, node.end_lineno, node.end_col_offset + 1, starts[node.lineno - 1] + node.col_offset, starts[node.end_lineno - 1] + node.end_col_offset
 
     def walk(node: ast.AST, prefix: str) -> None:
         for child in ast.iter_child_nodes(node):
             inner = prefix
             if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
                 inner = f"{prefix}.{child.name}" if prefix else child.name
-                symbols.append(("class" if isinstance(child, ast.ClassDef) else "function", child.name, inner, child.lineno))
+                symbols.append(("class" if isinstance(child, ast.ClassDef) else "function", child.name, inner, child.lineno, span(child)))
             elif isinstance(child, ast.Import | ast.ImportFrom):
                 relations.extend(("imports", prefix, a.name) for a in child.names)
             elif isinstance(child, ast.Call):
@@ -69,21 +78,44 @@ def analyze_python(path: str, text: str) -> tuple[list[tuple], list[tuple], str
     return symbols, relations, None
 
 
-_DEFINES = re.compile(r"^\s*(?:export\s+)?(?:async\s+)?(?:func|function|class|type|struct|interface|fn|def)\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)", re.M)
+def _placed(text: str) -> Callable[[int], tuple[int, int, int]]:
+    """From a place in the text to (line, column, byte); lines and columns, in bytes, count from 1."""
+    lines = [0, *(m.end() for m in re.finditer("\n", text))]
+    sizes = list(accumulate((len(text[x:y].encode()) for x, y in zip(lines, [*lines[1:], len(text)], strict=True)), initial=0))
+
+    def place(i: int) -> tuple[int, int, int]:
+        k = bisect_right(lines, i) - 1
+        column = len(text[lines[k] : i].encode())
+        return k + 1, column + 1, sizes[k] + column
+
+    return place
 
 
-def analyze_text(path: str, text: str) -> tuple[list[tuple], list[tuple], str | None]:
-    """Definitions by their leading keyword, for languages without an analyzer of their own."""
-    return [("declaration", m[1], "", text.count("\n", 0, m.start(1)) + 1) for m in _DEFINES.finditer(text)], [], None
+def analyze_islands(language: str) -> Callable[[str, str], tuple[list[tuple], list[tuple], list[str]]]:
+    """An analyzer of declarations and imports (``sources.islands``): an import is a relation from the file to its text."""
 
+    def analyze_one(path: str, text: str) -> tuple[list[tuple], list[tuple], list[str]]:
+        found, place = islands.islands(text, language), _placed(text)
+        symbols = []
+        for kind, name, qualified, start, end in found.symbols:
+            (line, column, first), (end_line, end_column, last) = place(start), place(end)
+            symbols.append((kind, name[:256], qualified, line, (column, end_line, end_column, first, last)))
+        imports = [("import", path, text[a:b][:512]) for _, a, b in found.imports]
+        return symbols, imports, [f"line {place(a)[0]}: {what}" for what, a, _ in found.errors]
 
-ANALYZERS: dict[str, Callable] = {"python": analyze_python}
+    return analyze_one
+
+
+ANALYZERS: dict[str, Callable] = {"python": analyze_python} | {n: analyze_islands(n) for n in sorted({*LANGUAGES.values()} - {"python"})}
 
 
 def analyze(accepted: DataFrame, analyzers: dict[str, Callable] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Symbols, relations and diagnostics of accepted files; analyzers by language are pluggable."""
+    """Symbols, relations and diagnostics of accepted files; analyzers by language are pluggable.
+
+    An analyzer takes (path, text) and gives symbols (kind, name, qualified name, line and, where known, a span), relations
+    (kind, source, target) and what is wrong: null, a message or several. Files in a language without one have nothing."""
     known = analyzers or ANALYZERS
-    schema = f"what string, {RELATIONS}, language string, name string, qualified_name string, start_line int, message string"
+    schema = f"what string, {RELATIONS}, language string, name string, qualified_name string, start_line int, {SPAN}, message string"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,15 +126,16 @@ def analyze(accepted: DataFrame, analyzers: dict[str, Callable] | None = None) -
             rows = []
             for path, language, digest, text in zip(frame["path"], frame["language"], frame["digest"], frame["text"], strict=True):
                 doc = key(path, digest)
-                found, related, problem = known.get(language, analyze_text)(path, text)
-                rows += [("symbol", key(doc, k, n, q, line), doc, path, k, None, None, language, n, q, line, None) for k, n, q, line in found]
-                rows += [("relation", key(doc, k, a, b, i), doc, path, k, a, b, language, None, None, None, None) for i, (k, a, b) in enumerate(related)]
-                if problem:
-                    rows.append(("diagnostic", key(doc, problem), doc, path, "syntax", None, None, language, None, None, None, problem))
-            yield pd.DataFrame(rows, columns=names)
+                found, related, problem = known[language](path, text) if language in known else ([], [], None)
+                for k, n, q, line, *span in found:
+                    rows.append(("symbol", key(doc, k, n, q, line, *span), doc, path, k, None, None, language, n, q, line, *(span[0] if span else (None,) * 5), None))
+                rows += [("relation", key(doc, k, a, b, i), doc, path, k, a, b, language, *(None,) * 9) for i, (k, a, b) in enumerate(related)]
+                problems = [problem] if isinstance(problem, str) else problem or []
+                rows += [("diagnostic", key(doc, i, p), doc, path, "syntax", None, None, language, *(None,) * 8, p) for i, p in enumerate(problems)]
+            yield pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in ("start_line", *[x.split()[0] for x in SPAN.split(", ")])})
 
     every = accepted.select("path", "language", "digest", "text").mapInPandas(run, schema)
     of = lambda what, columns: every.where(F.col("what") == what).select(*columns)
-    symbols = of("symbol", ["id", "document_id", "path", "language", "kind", "name", "qualified_name", "start_line"])
+    symbols = of("symbol", ["id", "document_id", "path", "language", "kind", "name", "qualified_name", "start_line", *[x.split()[0] for x in SPAN.split(", ")]])
     relations = of("relation", ["id", "document_id", "path", "kind", "source", "target"])
     return symbols, relations, of("diagnostic", ["path", "language", F.col("kind").alias("category"), "message"])
