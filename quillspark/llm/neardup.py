@@ -5,9 +5,10 @@ similarity of their sets reaches ``percent``. Copies, documents of one set, are
 links are not enumerated: pairs of nodes known to be in one component are never tried, so the search yields some links that
 span each component, neither all pairs nor their number. The method:
 
-1. Shingles are put in one order for all documents, rare ones first (rarity by a sketch of counts of fixed size, so
-   that passages many documents share come last). Linked sets share one of the first n - ceil(t n) + 1 shingles of both:
-   documents meet where they share one of these.
+1. Shingles are put in one order for all documents, rare ones first, so that passages many documents share come last:
+   by a sketch of counts, whose size goes with the input up to a bound, and, where shingles are still met by more nodes of
+   different components than a cell holds, by exact counts of the shingles of those nodes. Linked sets share one of
+   the first n - ceil(t n) + 1 shingles of both: documents meet where they share one of these.
 2. The nodes that meet at a shingle form a signature tree: leaves hold a bitmap of the set's shingles and its size,
    inner nodes the OR of their children's bitmaps and the range of their sizes. A dual traversal drops pairs of nodes
    whose sizes do not fit or whose largest possible overlap, the common bits plus what bits may hide, is too small.
@@ -46,8 +47,9 @@ SHINGLE, PERCENT = 5, 80
 CELL, FANOUT, MOST_BITS = 1024, 16, 8192
 #: Shingles of the texts that one block of a cell verifies at once, but for a single longer text.
 SHINGLES = 1 << 21
-#: The sketch of counts: 2 ** 20 counters in parts of 2 ** 12, whatever the size of the data.
-_BITS, _PART = 20, 1 << 12
+#: The sketch of counts: 2 ** 20 counters or, for more shingles, so many that each counts about ``MEAN`` of them, but 2 ** 24 at
+#: most (a byte each where they are sent); in parts of 2 ** 12.
+_BITS, _MOST_BITS, _PART, MEAN = 20, 24, 1 << 12, 512
 _U = np.uint64
 
 
@@ -62,44 +64,97 @@ def node_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def sketch_bits(docs: DataFrame) -> int:
+    """The size of the sketch, by the bytes of all texts: about one shingle in six bytes."""
+    n = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    return min(max((n // MEAN).bit_length(), _BITS), _MOST_BITS)
+
+
 def rarity(docs: DataFrame, k: int) -> np.ndarray:
     """A class for each counter of the sketch: 0 for common counts, higher ones for more frequent shingles."""
+    bits = sketch_bits(docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << _BITS, np.int64)
+        total = np.zeros(1 << bits, np.int32)
         for batch in batches:
             for _, sets in shingle_sets(batch.column(0), k):
-                total += np.bincount((np.concatenate(sets) >> _U(64 - _BITS)).astype(np.int64), minlength=1 << _BITS)
-        parts = [total[i : i + _PART].tobytes() for i in range(0, 1 << _BITS, _PART)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
+                at, n = np.unique((np.concatenate(sets) >> _U(64 - bits)).astype(np.int64), return_counts=True)
+                total[at] += n.astype(np.int32)
+        held = [i for i in range(0, 1 << bits, _PART) if total[i : i + _PART].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i // _PART for i in held], pa.int32()), pa.array([total[i : i + _PART].astype(np.int64).tobytes() for i in held], pa.binary())], names=["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 sums[part] = sums.get(part, 0) + np.frombuffer(counts.as_buffer(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
+        # what comes to the driver: a logarithm of each counter, and each part's sum
+        logs = [np.rint(4 * np.log2(np.maximum(x, 1))).astype(np.uint8).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(logs, pa.binary()), pa.array([int(x.sum()) for x in sums.values()], pa.int64())], names=["part", "logs", "total"])
 
-    schema, n = "part int, counts binary", 1 << _BITS
-    counted = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, schema)
+    n = 1 << bits
+    counted = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, "part int, counts binary")
     # a row a task and part: the sums are as even as the tasks, and of fixed size
-    parts = counted.repartition(min(partitions(docs.sparkSession), n // _PART), "part").mapInArrow(add, schema).collect()
-    total = np.zeros(1 << _BITS, np.int64)
-    for part, counts in parts:
-        total[part * _PART : (part + 1) * _PART] = np.frombuffer(counts, np.int64)
-    usual = max(total.mean(), 1.0)
-    return np.where(total > 4 * usual, np.log2(np.maximum(total / usual, 1)), 0).astype(np.uint8)
+    parts = counted.repartition(min(partitions(docs.sparkSession), n // _PART), "part").mapInArrow(add, "part int, logs binary, total long").collect()
+    classes, total = np.zeros(n, np.uint8), 0
+    for part, logs, own in parts:
+        classes[part * _PART : (part + 1) * _PART] = np.frombuffer(logs, np.uint8)
+        total += own
+    # quarters of powers of two above four times the usual count
+    usual = 4 * np.log2(max(total / n, 1.0))
+    return np.clip((classes - usual) / 4, 0, 31).astype(np.uint8) * (classes > usual + 8)
+
+
+#: The common shingles that are sent to all tasks, 16 bytes each, the most common ones first.
+_COMMON = 1 << 20
 
 
-def prefix(shingles: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
-    """The shingles of which linked sets share one, rarest first."""
+def prefix(shingles: np.ndarray, classes: np.ndarray, percent: int, common: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The shingles of which linked sets share one, rarest first; ``common`` ones, counted exactly, come last of all."""
     n = len(shingles)
     p = n - -(-percent * n // 100) + 1
-    key = (classes[(shingles >> _U(64 - _BITS)).astype(np.int64)].astype(_U) << _U(58)) | (words.mix(shingles) >> _U(6))
+    rank = classes[(shingles >> _U(64 - (len(classes).bit_length() - 1))).astype(np.int64)]
+    if common is not None and len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], shingles), len(common[0]) - 1)
+        rank = np.where(common[0][at] == shingles, common[1][at], rank)
+    key = (rank.astype(_U) << _U(58)) | (words.mix(shingles) >> _U(6))
     first = np.argpartition(key, p - 1)[:p] if p < n else np.arange(n)
     return shingles[first[np.argsort(key[first])]][:p]
 
 
+def common_shingles(nodes: DataFrame, comps: DataFrame, docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Shingles that too many documents of different components share, in order, each with its place in the order of all (above
+    the sketch's classes); null where there are none.
+
+    A sketch cannot tell a common shingle from a rare one where all its counters are high. So shingles by which more than
+    a cell's nodes outside one component meet are looked for, and where there are some, the shingles of those nodes'
+    texts are counted exactly, added up in tasks first."""
+    spark = nodes.sparkSession
+    placed = nodes.select("node", "firsts").join(comps.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
+    posted = placed.select("node", F.coalesce("component", "node").alias("comp"), F.explode("firsts").alias("token"))
+    by_comp = posted.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    wide = written(by_comp.groupBy("token").agg((F.sum("c") - F.max("c")).alias("outside")).where(F.col("outside") > CELL).select(F.col("token").alias("h_token")), "wide")
+    if wide.isEmpty():
+        removed(wide)
+        return None
+    touched = nodes.select("node", "rep", F.explode("firsts").alias("token")).join(wide, F.col("token") == F.col("h_token"), "left_semi").select("rep").distinct()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(_row(F.col("doc_id"), F.xxhash64("text")).alias("d_rep"), "text")
+    texts = rows.join(touched, F.col("d_rep") == F.col("rep"), "left_semi").select("text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, sets in shingle_sets(batch.column(0), k):
+                tokens, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(tokens)), pa.array(n, pa.int64())], names=["token", "n"])
+
+    counted = texts.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > CELL)
+    found = counted.orderBy(F.desc("n"), "token").limit(_COMMON).collect()
+    removed(wide)
+    tokens, n = np.array([r["token"] for r in found], np.int64).view(_U), np.array([r["n"] for r in found], np.int64)
+    order = np.argsort(tokens)
+    return tokens[order], (32 + np.minimum(np.log2(n[order] / CELL), 31)).astype(np.uint8)
+
+
 def bitmap(shingles: np.ndarray) -> bytes:
     width = min(MOST_BITS, max(64, 1 << int(4 * len(shingles) - 1).bit_length()))
     bits = np.zeros(width, bool)
@@ -111,15 +166,15 @@ def _signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
 
-def signatures(docs: DataFrame, k: int, percent: int, classes: np.ndarray) -> DataFrame:
+def signatures(docs: DataFrame, k: int, percent: int, classes: np.ndarray, common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """(doc_id, hash of the text, n, node, first shingles, bitmap) of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)  # 1 MB, whatever the data's size
+    shared = docs.sparkSession.sparkContext.broadcast((classes, common))  # 16 MB each at most, whatever the data's size
     schema = "doc_id long, hash long, n long, node long, firsts array<long>, bits binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, sets in shingle_sets(batch.column(2), k):
-                firsts = [_signed(prefix(s, shared.value, percent)) if len(s) else np.zeros(0, np.int64) for s in sets]
+                firsts = [_signed(prefix(s, shared.value[0], percent, shared.value[1])) if len(s) else np.zeros(0, np.int64) for s in sets]
                 ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -485,7 +540,8 @@ def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
     """Written tables: (doc_id, hash, n, node) of each row, and (w_node, component_id, first, n_copies) of each node, where
     ``first`` tells the component's first row."""
     docs = docs.select("doc_id", "text")
-    signed = written(signatures(docs, k, percent, rarity(docs, k)), "signatures")
+    classes = rarity(docs, k)
+    signed = written(signatures(docs, k, percent, classes), "signatures")
     full = signed.where("n > 0")
     rep = F.min(_row(F.col("doc_id"), F.col("hash")))
     nodes = written(full.groupBy("node").agg(F.min("doc_id").alias("id"), rep.alias("rep"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("firsts").alias("firsts"), F.first("bits").alias("bits")), "nodes")
@@ -493,6 +549,12 @@ def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
     removed(signed)
     links, _ = _round(nodes, docs, None, True, False, k, percent)
     comps = components(links)
+    common = common_shingles(nodes, comps, docs, k)
+    if common is not None:
+        # all sets are ordered anew, as the order must be one for all documents
+        again = signatures(docs, k, percent, classes, common).where("n > 0").groupBy(F.col("node").alias("o_node")).agg(F.first("firsts").alias("firsts"))
+        nodes, old = written(nodes.drop("firsts").join(again, F.col("node") == F.col("o_node")).drop("o_node"), "nodes"), nodes
+        removed(old)
     split, every = True, False
     while split:
         new, split = _round(nodes, docs, comps, False, every, k, percent)

@@ -347,15 +347,13 @@ def read_archives(spark: SparkSession, path: str, **options: str) -> DataFrame:
 
 
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses are read with their payloads; of revisits, which have none, and so of nothing else, the headers alone are
+    read. Both predicates go down to the reader."""
     path = fresh(spark, "warc")
     write_pages(table(spark, sf_dir, "pages"), path)
-    found = read_archives(spark, path)
-    number = lambda c: F.regexp_extract(c, r"page:(-?\d+)>", 1)
-    stored = F.col("type") == "response"
-    return found.select(
-        F.expr("try_cast(nullif(regexp_extract(record_id, 'page:(-?[0-9]+)>', 1), '') AS long)").alias("page_id"),
-        F.when(stored, F.length("payload").cast("long")).otherwise(F.col("payload_length").cast("long")).alias("payload_bytes"),
-        F.when(stored, base32_sha1(F.col("payload"))).otherwise(F.substring_index("payload_digest", ":", -1)).alias("payload_digest"),
-        F.col("type").alias("record_type"),
-        F.when(~stored, number(F.col("refers_to")).cast("long")).alias("refers_to"),
-    )
+    responses = read_archives(spark, path).where("type = 'response'").select("record_id", "type", F.length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), F.lit(None).cast("long").alias("refers_to"))
+    heads = read_archives(spark, path, payload="false").where("type = 'revisit'")
+    number = F.regexp_extract("refers_to", r"page:(-?\d+)>", 1).cast("long")
+    revisits = heads.select("record_id", "type", F.col("payload_length").cast("long").alias("payload_bytes"), F.substring_index("payload_digest", ":", -1).alias("payload_digest"), number.alias("refers_to"))
+    page_id = F.expr("try_cast(nullif(regexp_extract(record_id, 'page:(-?[0-9]+)>', 1), '') AS long)")
+    return responses.unionByName(revisits).select(page_id.alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")

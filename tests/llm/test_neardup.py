@@ -117,6 +117,37 @@ def test_rows_between_stages_grow_with_the_family_not_with_its_pairs(docs_of, mo
     assert most[2] <= 2.2 * most[1] and most[1] <= 2.2 * most[0] and most[2] <= 8 * 600
 
 
+def test_rows_stay_linear_with_a_common_passage_and_no_sketch(docs_of, monkeypatch):
+    """What a saturated sketch leads to: it tells nothing apart, and a passage that all documents share comes like any other."""
+    monkeypatch.setattr(neardup, "CELL", 64)
+    monkeypatch.setattr(neardup, "rarity", lambda docs, k: np.zeros(1 << 20, np.uint8))
+    rows, kept = [], neardup.written
+
+    def counted(frame, what):
+        table = kept(frame, what)
+        rows[-1] = max(rows[-1], table.count()) if what != "rows" else rows[-1]
+        return table
+
+    monkeypatch.setattr(neardup, "written", counted)
+    passage = " ".join(f"p{i}" for i in range(90))
+    for n in (300, 600):
+        rnd = random.Random(n)
+        rows.append(0)
+        texts = [(i, " ".join(f"o{rnd.randrange(10**7)}" for _ in range(200)) + " " + passage) for i in range(n)] + [(9000 + i, " ".join(f"c{j}" for j in range(150 + i))) for i in range(3)]
+        got = neardup.linked_components(docs_of(texts), 4, 85).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i) for i in range(n)] + [(9000 + i, 9000) for i in range(3)]
+    assert rows[1] <= 2.2 * rows[0] and rows[1] <= 4 * 600
+
+
+def test_the_sketch_grows_with_the_input(docs_of, monkeypatch):
+    docs = docs_of([(i, "some words and more words " * 40) for i in range(50)])
+    assert neardup.sketch_bits(docs) == neardup._BITS
+    monkeypatch.setattr(neardup, "_BITS", 13)
+    monkeypatch.setattr(neardup, "MEAN", 1)
+    assert neardup.sketch_bits(docs) == 14 == neardup.rarity(docs, 5).size.bit_length() - 1
+    assert neardup.sketch_bits(docs.limit(0)) == 13
+
+
 def test_blocks_of_a_family_meet(docs_of, monkeypatch):
     monkeypatch.setattr(neardup, "CELL", 16)
     rows = list(enumerate(_near_copies(5, 90, 14)))

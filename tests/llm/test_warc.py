@@ -49,6 +49,14 @@ def test_predicates_are_pushed_and_payloads_skipped(spark, tmp_path):
     assert heads.where("headers['warc-profile'] IS NOT NULL").count() == 49
 
 
+def test_the_query_reads_payloads_of_responses_only(spark, stored):
+    pages = spark.createDataFrame([(i, "u", "same " * 900) for i in range(40)] + [(90, "v", "own")], "page_id long, url string, html string")
+    found = warc.op8_warc_revisits(spark, stored(pages=pages))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan warc") == 2 and "= response" not in plan and "= revisit" not in plan
+    assert found.where("record_type = 'response'").count() == 2 and found.count() == 41
+
+
 @pytest.mark.parametrize("packed", [lambda parts: b"".join(a + b for a, b in parts), lambda parts: b"".join(gzip.compress(a + b) for a, b in parts), lambda parts: b"".join(warc.member(a) + warc.member(b) for a, b in parts)])
 def test_other_archives(packed):
     parts = [warc.record({"WARC-Type": "warcinfo", "Content-Type": "text/plain"}, b"made\r\n\r\nby"), warc.record({"WARC-Type": "response", "Content-Type": "application/http"}, b"HTTP/1.1 200\r\nA: b\r\n\r\nbody" * 1), warc.record({"WARC-Type": "resource"}, b"z" * 300000)]
