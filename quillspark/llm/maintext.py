@@ -48,18 +48,20 @@ _FORMS = frozenset(["form", "fieldset"])
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status".split())
 #: Words of class or id that mark what is not the article.
 _MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adslot adbox adsbygoogle banner promo promos promotion sponsor sponsored sponsors sidebar sidebars rail comment comments commentlist disqus respond replies discussion cookie cookies consent gdpr notice notices notification alert disclaimer newsletter subscribe subscription signup login popup modal overlay paywall share sharing social related recommended recommendations trending breadcrumb breadcrumbs nav navbar navigation menu menus footer masthead toolbar topbar pagination pager widget widgets search skip tags".split()
+    "ad ads adv advert adverts advertisement advertising adsense adslot adbox adsbygoogle banner promo promos promotion sponsor sponsored sponsors sidebar sidebars rail comment comments commentlist disqus respond replies discussion reactions thoughts cookie cookies consent gdpr notice notices notification alert disclaimer newsletter subscribe subscription signup login popup modal overlay paywall share sharing social related recommended recommendations trending breadcrumb breadcrumbs nav navbar navigation menu menus footer masthead toolbar topbar pagination pager widget widgets search skip tags".split()
 )
 #: Marks that are an article's own subjects too; inside an article they say nothing.
-_SUBJECTS = frozenset("discussion notice notices notification alert disclaimer banner promotion advertising consent cookie cookies rail search skip tags social sharing share related recommended recommendations trending respond replies subscription signup login navigation menu menus toolbar widget widgets modal overlay popup footer sponsor sponsors".split())
+_SUBJECTS = frozenset("discussion reactions thoughts notice notices notification alert disclaimer banner promotion advertising consent cookie cookies rail search skip tags social sharing share related recommended recommendations trending respond replies subscription signup login navigation menu menus toolbar widget widgets modal overlay popup footer sponsor sponsors".split())
 #: Words that beside a mark only say where or what box it is.
-_NEUTRAL = frozenset("area bar block body bottom box buttons container content form global inner item items left link links list main outer page primary right secondary section site slot thread top unit wrap wrapper".split())
+_NEUTRAL = frozenset("area bar block body bottom box buttons container content form global inner item items left link links list main outer page primary reader readers right secondary section site slot thread top unit user users visitor visitors wrap wrapper".split())
 _COMMENTS = frozenset(["comment", "comments", "commentlist"])
 _HEADERS = frozenset(["header", "siteheader", "pageheader"])
 _CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "tbody": "thead tbody tr td th", "tfoot": "tbody tr td th", "thead": "tr td th"}
 _CLOSES = {k: frozenset(v.split()) for k, v in _CLOSES.items()}
 _UNTIL = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"])}
 _CLEAR, _ALL = _MARKS - _SUBJECTS, _MARKS | _HEADERS
+#: Links from which a list of nothing else is judged by its own density inside an article.
+_LINKS = 5
 _HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -109,6 +111,7 @@ class _Page:
         self.tags, self.parents, self.ends = ["#root"], [-1], [0]
         self.chars, self.link_chars, self.count, self.links = [0], [0], [0], [0]
         self.marked = [False]
+        self.refused: list[int] = []  # link lists that an article or main holds
         self.pieces: list[list[tuple[int, str]]] = []  # by block of text
         self._read(html)
         gone = self._gone()
@@ -319,6 +322,8 @@ class _Page:
         wide = {around[i] if around[i] >= 0 else i for i in taken}
         if around[best] < 0:
             wide.update(i for i in path if self.tags[i] == "main")
+        # what the widening brings in must pass by its own density where links are nearly all of it
+        self.refused = [i for i in range(len(sums)) if density[i] < threshold and self.links[i] >= _LINKS and 10 * self.link_chars[i] >= 9 * self.chars[i] and i not in taken]
         return [(i, self.ends[i]) for i in wide]
 
 
@@ -335,11 +340,16 @@ def main_text(html: str | None) -> str:
             covered[-1] = (covered[-1][0], max(b, covered[-1][1]))
         else:
             covered.append((a, b))
-    out = []
-    for node, text in page.blocks:
-        i = bisect_right(covered, (node, len(page.tags))) - 1
-        if i >= 0 and node <= covered[i][1]:
-            out.append(text)
+    lists: list[tuple[int, int]] = []
+    for i in page.refused:
+        if not lists or i > lists[-1][1]:
+            lists.append((i, page.ends[i]))
+
+    def inside(ranges: list[tuple[int, int]], node: int) -> bool:
+        i = bisect_right(ranges, (node, len(page.tags))) - 1
+        return i >= 0 and node <= ranges[i][1]
+
+    out = [text for node, text in page.blocks if inside(covered, node) and not inside(lists, node)]
     return "\n\n".join(out)
 
 

@@ -60,6 +60,19 @@ def test_marks_do_not_take_the_text(html, want):
     assert maintext.main_text(html).split("\n\n") == want
 
 
+def test_link_lists_inside_an_article_must_pass_by_density():
+    links = "".join(f"<a href={i}>some link {i}</a> " for i in range(50))
+    for page in (f"<article><h1>Head</h1><p>{_LONG}</p><div>{links}</div><p>{_LONG}</p><p>see <a href=x>this</a></p></article>", f"<main><h1>Head</h1><p>{_LONG}</p><p>{_LONG}</p><ul><li>{links}</ul><p>see <a href=x>this</a></p></main>"):
+        assert maintext.main_text(page).split("\n\n") == ["Head", _P, _P, "see this"]
+    few = f"<article><p>{_LONG}</p><ul><li><a href=1>first source</a><li><a href=2>second source</a></ul></article>"
+    assert maintext.main_text(few).split("\n\n") == [_P, "first source", "second source"]
+
+
+@pytest.mark.parametrize("name", ["reader-thoughts", "reader-comments", "userComments", "visitor_reactions"])
+def test_comments_by_other_names(name):
+    assert maintext.main_text(f"<body><div><h1>Head</h1><p>{_LONG}</p><p>{_LONG}</p></div><div class='{name}'><p>{_P}</p></div></body>").split("\n\n") == ["Head", _P, _P]
+
+
 def test_bad_pages_end():
     for html in ("<" * 50000, "<div>" * 30000 + "x", "<p " + "a='b" * 20000, "<b>" * 20000 + "<p>" * 20000, "<!--" * 20000, "</div>" * 20000, "<script>" + "x" * 10000):
         assert isinstance(maintext.main_text(html), str)
