@@ -118,6 +118,12 @@ def lex_bm25_topk(spark, d):
     return lexical.search(_doc_index(spark, d), ASKED, 10)
 
 
+@query(f"WITH {V.DOC_PAGES}, {_scores('src3')} SELECT uri, class, round(score * 100, 0) / 100 AS score FROM (SELECT uri, {_class('src3')} AS class, coalesce(score, 0.0) AS score FROM doc_pages LEFT JOIN scored USING (uri)) WHERE class > 0 OR score > 0 ORDER BY class DESC, score DESC, uri LIMIT 40")
+def lex_name_search(spark, d):
+    """A question that names and paths hold as a phrase: its pages are found by the grams of names in the stored index."""
+    return lexical.search(_doc_index(spark, d), "src3", 40)
+
+
 @query(f"WITH {V.DOC_PAGES}, scoped AS (SELECT doc_pages.* FROM doc_pages JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0 AND type = 'en'), {_scores(ASKED, 'scoped')} SELECT uri, round(score * 100, 0) / 100 AS score FROM scored ORDER BY scored.score DESC, uri LIMIT 5")
 def lex_memory_scoped(spark, d):
     """The scope is cut out before corpus statistics are taken."""
@@ -712,10 +718,16 @@ def graph_path_status(spark, d):
     return spark.createDataFrame([(name, f["status"], " ".join(f["nodes"]), " ".join(f["relations"])) for name, f in found], "asked string, status string, path string, relations string")
 
 
-@query(f"WITH {V.SYMBOLS}, {V.RELATIONS}, own AS (SELECT name, qualified_name, document_id FROM symbols WHERE id = 's7') SELECT r.id, r.source, r.target FROM relations r, own WHERE r.target IN (own.name, own.qualified_name) ORDER BY r.id LIMIT 20")
+@query(f"WITH {V.SYMBOLS}, {V.RELATIONS}, own AS (SELECT name, qualified_name, document_id FROM symbols WHERE id = 's7'), r AS (SELECT r.id, r.source, r.target FROM relations r, own WHERE r.target IN (own.name, own.qualified_name)) SELECT *, (SELECT count(*) FROM r) AS total, (SELECT count(*) FROM r) > 20 AS truncated FROM r ORDER BY id LIMIT 20")
 def code_relations_in(spark, d):
     symbol = code.symbol(V.symbols(spark, d), "s7").first().asDict()
-    return code.first_relations(V.relations(spark, d), symbol, "in", 20).select("id", "source", "target")
+    return code.first_relations(V.relations(spark, d), symbol, "in", 20).select("id", "source", "target", "total", "truncated")
+
+
+@query(f"WITH {V.SYMBOLS}, n AS (SELECT DISTINCT id AS symbol_id, unnest([name, qualified_name]) AS name FROM symbols), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY symbol_id) - 1 AS rank, count(*) OVER (PARTITION BY name) AS size FROM n WHERE name <> '') SELECT name, rank // 2 AS part, any_value(size) AS size, string_agg(symbol_id, ',' ORDER BY symbol_id) AS members FROM r GROUP BY name, rank // 2")
+def code_candidate_sets(spark, d):
+    """The dictionary of candidate sets, here in parts of two symbols."""
+    return code.candidate_sets(V.symbols(spark, d), 2).select("name", "part", "size", F.array_join("members", ",").alias("members"))
 
 
 @query("SELECT p_partkey AS id, p_brand AS path FROM part WHERE p_brand = 'Brand#13' AND p_size % 2 = 0 AND p_type LIKE 'ECONOMY%'")
@@ -804,6 +816,23 @@ def stream_runs(spark, d):
     return found.groupBy("run_id").agg(F.max_by(F.struct("entries", "complete"), "batch").alias("x")).select("run_id", "x.entries", "x.complete")
 
 
+@query("""SELECT doc_id, unnest([0, 1, 2, 3]) AS place, unnest([doc_id || '.md', source || '/(' || doc_id || ').md', 'pic ' || doc_id || '.png', 'r&' || doc_id || '.md']) AS dest FROM documents""")
+def vault_body_links(spark, d):
+    """Each document's id in links of a Markdown text: in a paragraph, over two lines, around an image, by a definition; and in
+    indented code, HTML, an escape and a code span, where they are none."""
+    from quillspark.functions import markdown
+
+    @F.pandas_udf("array<string>")
+    def read(bodies: pd.Series) -> pd.Series:
+        return pd.Series([[x.dest for x in markdown.links(b)] for b in bodies], dtype=object)
+
+    n = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    parts = ["> see [one](", n, ".md)\n\n    [code](", n, ".md)\n\n<div>\n[html](", n, ".md)\n</div>\n\n- [![two](<pic ", n, ".png>)\n  lines](", "source", "/(", n, ").md) \\[no](", n, ".md) `[no](", n, ".md)`, [Ref]\n\n[ref]:\n r&amp;", n, ".md\n"]
+    body = F.concat(*[p if not isinstance(p, str) else F.col(p) if p == "source" else F.lit(p) for p in parts])
+    made = V.table(spark, d, "documents").select("doc_id", F.posexplode(read(body)).alias("place", "dest"))
+    return made.select("doc_id", F.col("place").cast("int").alias("place"), "dest")
+
+
 @query()
 def hist_line_diff(spark, d):
     """Each turn against the one before it in its run, line by line; Python in the tasks, since the alignment is a recurrence."""
