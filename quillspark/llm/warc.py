@@ -10,7 +10,8 @@ Each writing task writes a file of its own under a new name, and the commit name
 files of failed attempts are never read. Files are reached through pyarrow's file systems, so the folder may be any that
 driver and executors share.
 
-Defined results: a null html or url is an empty one; control characters in header values are percent-encoded; equal
+Defined results: a null html or url is an empty one; a null page_id is last among equal payloads and named by nothing, a
+repeated one names its rows alike; a very long page is one record, held whole by the task that writes or reads it; control characters in header values are percent-encoded; equal
 rows are written each; an empty table gives an empty archive; records that end early or lack a version line raise."""
 
 from __future__ import annotations
