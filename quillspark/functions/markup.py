@@ -129,21 +129,53 @@ def link_spans(body: str) -> list[tuple[int, int, str]]:
     return sorted({(x.start, x.end, x.dest) for x in markdown.links(body)})
 
 
+_BAD_ESCAPE = re.compile(r"%(?![0-9A-Fa-f]{2})")
+
+
 def destination(raw: str, scheme: str = "kb") -> tuple[str, str] | None:
-    """(kind, target) of a link inside the corpus: kind uri for canonical ones, else absolute or relative path."""
+    """(kind, target) of a link inside the corpus: kind uri for canonical ones, else absolute or relative path; invalid, with the
+    destination, for a uri of the scheme that is not canonical and for broken escapes. Null for links to elsewhere."""
+    raw = raw.strip()
     if not raw or raw.startswith("#"):
         return None
-    parts = urlsplit(raw)
-    if parts.scheme:
-        return ("uri", uri_of(parts.netloc, unquote(parts.path).lstrip("/"), scheme)) if parts.scheme == scheme and parts.netloc else None
-    if parts.netloc or not parts.path:
+    try:
+        parts = urlsplit(raw)
+    except ValueError:
+        return "invalid", raw
+    if parts.scheme == scheme:
+        found = canonical_uri(raw, True, scheme)
+        return ("uri", found) if found else ("invalid", raw)
+    if parts.scheme or parts.netloc or raw.startswith("//") or not parts.path:
         return None
+    if _BAD_ESCAPE.search(parts.path):
+        return "invalid", raw
     path = unquote(parts.path)
     return ("absolute", path.lstrip("/")) if path.startswith("/") else ("relative", path)
 
 
 def uri_of(vault: str, path: str, scheme: str = "kb") -> str:
-    return f"{scheme}://{quote(vault or 'default')}/{quote(path)}"
+    """The one identity of a page: its path with all but letters, digits and ``-_.~/$&+,:;=@`` escaped."""
+    return f"{scheme}://{quote(vault.strip() or 'default')}/{quote(path, safe='/$&+,:;=@')}"
+
+
+def canonical_uri(raw: str, suffix: bool = False, scheme: str = "kb") -> str | None:
+    """The page's uri where ``raw`` is exactly one, with ``suffix`` also one that a query or fragment follows; else null."""
+    if not raw or raw != raw.strip():
+        return None
+    parts = urlsplit(raw)
+    if parts.scheme != scheme or not parts.netloc or "@" in parts.netloc or _BAD_ESCAPE.search(parts.path) or not suffix and ("?" in raw or "#" in raw):
+        return None
+    path = unquote(parts.path.removeprefix("/"))
+    if not path or "\\" in path or path.startswith("/") or clean(path) != path:
+        return None
+    found = uri_of(unquote(parts.netloc), path, scheme)
+    return found if with_suffix(found, raw) == raw else None
+
+
+def with_suffix(uri: str, raw: str) -> str:
+    """A uri with the query and fragment that an authored destination has."""
+    at = min((i for i in (raw.find("?"), raw.find("#")) if i >= 0), default=len(raw))
+    return uri + raw[at:]
 
 
 def clean(path: str) -> str | None:

@@ -277,7 +277,11 @@ def best(index: Index, question: str, limit: int, scope: str = "", by_class: boo
         wanted = wanted.unionByName(named.select(F.pmod(F.xxhash64("uri"), F.lit(index.segments)).cast("int").alias("segment")))
     wanted = wanted.distinct()
     some = [r["segment"] for r in wanted.limit(NAMED + 1).collect()]
-    chosen = blocks.where(F.col("segment").isin(some)) if len(some) <= NAMED else blocks.join(wanted, "segment", "left_semi")
+    if len(some) <= NAMED:
+        chosen = blocks.where(F.col("segment").isin(some))
+        graph.removed(heads)
+    else:
+        chosen = blocks.join(wanted, "segment", "left_semi")
     hits = scored(chosen)
     if named is None:
         hits = hits.withColumn("class", F.lit(0))

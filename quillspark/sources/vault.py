@@ -95,7 +95,7 @@ def _candidates():  # noqa: ANN202  a user-defined function
         if not found:
             return []
         kind, target = found
-        return [target] if kind == "uri" else markup.candidates(path, kind, target)
+        return [target] if kind == "uri" else [] if kind == "invalid" else markup.candidates(path, kind, target)
 
     return made
 
@@ -183,7 +183,7 @@ def rendered(pages: DataFrame, uri: str) -> str:
     """A page's body with links to known pages as canonical uris."""
     one = pages.where(F.col("uri") == uri)
     links = one.select(F.col("uri").alias("from_uri"), F.posexplode("links").alias("ord", "raw"))
-    new = {r["raw"]: r["to_uri"] for r in resolve(pages, links).where("to_uri IS NOT NULL").collect()}
+    new = {r["raw"]: markup.with_suffix(r["to_uri"], r["raw"]) for r in resolve(pages, links).where("to_uri IS NOT NULL").collect()}
     row = one.select("body").first()
     if row is None:
         raise KeyError(uri)

@@ -28,6 +28,18 @@ def test_destinations_and_candidates():
     assert markup.candidates("e.md", "relative", "../f") == []
 
 
+def test_uris_are_canonical_or_nothing():
+    uri = "kb://Test/notes/a%20note.md"
+    assert markup.uri_of("Test", "notes/a note.md") == uri == markup.canonical_uri(uri) == markup.canonical_uri(f"{uri}?view=full#part", suffix=True)
+    assert markup.canonical_uri(f"{uri}#section%2Fchild", suffix=True) == uri and markup.destination(f"{uri}#part") == ("uri", uri)
+    for raw in ("kb://Test/notes/../a.md", "kb://Test//notes/a.md", "kb://user@Test/notes/a.md", "kb://Test/notes%2Fa.md", "KB://Test/notes/a.md", f"{uri}#part", f" {uri}", "kb://Test/", "kb://Test/a\\b.md", "kb://Test/a b.md", "kb:///a.md", "kb://Test/%zz.md"):
+        assert markup.canonical_uri(raw) is None, raw
+        if raw.lower().startswith("kb") and "#" not in raw:
+            assert markup.destination(raw)[0] == "invalid", raw
+    assert markup.destination("bad%ZZ.md") == ("invalid", "bad%ZZ.md") and markup.destination("//cdn.example.com/x") is None
+    assert markup.with_suffix("kb://v/p.md", "p.md?q=1#s") == "kb://v/p.md?q=1#s" and markup.uri_of(" ", "a&b.md") == "kb://default/a&b.md"
+
+
 def test_rewrite_keeps_other_bytes():
     body = "a [x](p.md#s) `[x](p.md)` <b> [y](<p.md>)"
     assert markup.rewrite_links(body, {"p.md": "kb://v/p.md"}) == "a [x](kb://v/p.md#s) `[x](p.md)` <b> [y](<kb://v/p.md>)"
