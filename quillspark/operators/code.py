@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import graph, ranks
 
-#: Symbols that one candidate set's row names; a name of more is several rows of the dictionary.
-SET = 1000
+#: Symbols that one candidate set's row names, a name of more is several rows of the dictionary; and tasks that relations to one
+#: name are dealt out to.
+SET, DEALT = 1000, 16
 LEVELS = ("unsupported", "partial", "complete")
 
 
@@ -27,12 +28,18 @@ def candidate_sets(symbols: DataFrame, most: int = SET) -> DataFrame:
 
 
 def resolve(relations: DataFrame, symbols: DataFrame, sets: DataFrame | None = None) -> DataFrame:
-    """Relations with candidates (ids of symbols so named, in order), n_candidates and resolution: unresolved, resolved or
-    ambiguous. A relation is joined with the first part of its name's set, so no row carries more than ``SET`` ids; those of
-    a larger set are in the dictionary (``candidate_sets``) under the relation's target."""
-    sets = candidate_sets(symbols) if sets is None else sets
-    first = sets.where("part = 0").select(F.col("name").alias("c_name"), F.col("size").alias("n_candidates"), F.col("members").alias("candidates"))
-    met = relations.drop("candidates", "n_candidates", "resolution").join(first, F.col("target") == F.col("c_name"), "left").drop("c_name")
+    """Relations with candidates (ids of all symbols so named, in order), n_candidates and resolution: unresolved, resolved or
+    ambiguous. What comes out is as large as relations times candidates; a task holds a relation and its name's set at a time,
+    and relations to one name are dealt out to ``DEALT`` tasks. With a dictionary of ``sets`` (``candidate_sets``) a row carries the
+    first part of its name's set only; the others are in the dictionary under the relation's target."""
+    if sets is None:
+        parts = candidate_sets(symbols).groupBy("name").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("part", "members"))).alias("parts"))
+        known = parts.select("name", "size", F.flatten("parts.members").alias("members"), F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("dealt"))
+    else:
+        known = sets.where("part = 0").select("name", "size", "members", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("dealt"))
+    known = known.select(F.col("name").alias("c_name"), F.col("dealt").alias("c_dealt"), F.col("size").alias("n_candidates"), F.col("members").alias("candidates"))
+    own = relations.drop("candidates", "n_candidates", "resolution")
+    met = own.join(known, (F.col("target") == F.col("c_name")) & (F.pmod(F.xxhash64("id"), F.lit(DEALT)).cast("int") == F.col("c_dealt")), "left").drop("c_name", "c_dealt")
     n = F.coalesce("n_candidates", F.lit(0).cast("long"))
     met = met.withColumns({"n_candidates": n, "candidates": F.coalesce("candidates", F.array().cast("array<string>"))})
     return met.withColumn("resolution", F.when(F.col("n_candidates") == 0, "unresolved").when(F.col("n_candidates") == 1, "resolved").otherwise("ambiguous"))
