@@ -93,8 +93,8 @@ def bounded(frame: DataFrame, order: list, limit: int) -> DataFrame:
 
 
 #: Partitions of stored arcs, frontiers whose nodes are named in the scan's filter, arcs of a bucket's file, and frontiers that
-#: one task puts in order.
-BUCKETS, NAMED, FILE, SORTED = 64, 1000, 1 << 20, 100_000
+#: one task puts in order; and frontiers whose hashes all tasks get, so that only arcs that leave them are shuffled.
+BUCKETS, NAMED, FILE, SORTED, HASHED = 64, 1000, 1 << 20, 100_000, 2_000_000
 
 
 @dataclass
@@ -138,8 +138,9 @@ def stored(edges: DataFrame) -> Walk:
     return Walk(spark, folder)
 
 
-def _hop(arcs: DataFrame | Walk, near: DataFrame | list[str], back: bool = False) -> DataFrame:
-    """(node, other, relation) of the arcs from ``near`` (nodes by name, or a frame with node), against their direction if ``back``."""
+def _hop(arcs: DataFrame | Walk, near: DataFrame | list[str] | None, back: bool = False) -> DataFrame:
+    """(node, other, relation) of the arcs from ``near`` (nodes by name, a frame with node, or null for all nodes), against their
+    direction if ``back``."""
     names = near if isinstance(near, list) else None
     if isinstance(arcs, Walk):
         found = arcs.rows(names, back)
@@ -147,7 +148,7 @@ def _hop(arcs: DataFrame | Walk, near: DataFrame | list[str], back: bool = False
         a, b = ("to_uri", "from_uri") if back else ("from_uri", "to_uri")
         found = arcs.select(F.col(a).alias("node"), F.col(b).alias("other"), F.col("relation") if "relation" in arcs.columns else F.lit(None).cast("string").alias("relation"))
         found = found if names is None else found.where(F.col("node").isin(names))
-    return found if names is not None else found.join(near, "node")
+    return found.join(near, "node") if isinstance(near, DataFrame) else found
 
 
 def _named(level: DataFrame, n: int) -> DataFrame | list[str]:
@@ -155,33 +156,53 @@ def _named(level: DataFrame, n: int) -> DataFrame | list[str]:
     return [r["node"] for r in level.select("node").collect()] if n <= NAMED else level.select("node")
 
 
-def levels_from(arcs: DataFrame | Walk, source: str, depth: int, targets: list[str] | None = None) -> list[DataFrame]:
+def _left(arcs: DataFrame | Walk, level: DataFrame, n: int) -> DataFrame:
+    """(node, other, relation, place) of the arcs from a level of ``n`` nodes. Arcs of a frontier that is not large are told by
+    its nodes' hashes before they are shuffled, so a hop over an edge table shuffles what leaves the frontier, not all edges."""
+    near = level.select("node", "place")
+    if n <= NAMED:
+        return _hop(arcs, _named(level, n)).join(F.broadcast(near), "node")
+    found = _hop(arcs, None)
+    if n <= HASHED:
+        told = near.select(F.xxhash64("node").alias("told")).distinct()
+        found = found.join(F.broadcast(told), F.xxhash64("node") == F.col("told"), "left_semi")
+    return found.join(near, "node")
+
+
+def levels_from(arcs: DataFrame | Walk, source: str, depth: int, targets: list[str] | None = None, paths: bool = True) -> list[DataFrame]:
     """The levels of a search from ``source``, each (node, place, parent) in the shared folder: of the predecessors of a node
     the one with the least path by node names, and the node's place among its level's least paths.
 
     A level is a join of the frontier with the arcs and a minimum by node, so each node is kept once. The search ends
-    when nothing new is found, or all targets are."""
+    when nothing new is found, or all targets are. Places are null at ``depth``, from where nothing goes on, and without
+    ``paths``, where parents are too."""
     from quillspark.operators import ranks
 
     spark = arcs.spark if isinstance(arcs, Walk) else arcs.sparkSession
     levels, n, waiting = [spark.createDataFrame([(source, 0, None)], "node string, place long, parent string")], 1, set(targets or ()) - {source}
     seen = levels[0].select("node")
     while (depth < 0 or len(levels) <= depth) and (targets is None or waiting):
-        last = levels[-1]
-        near = _named(last, n)
-        met = _hop(arcs, near).select("node", "other").distinct() if isinstance(near, list) else _hop(arcs, near).select("node", "other")
-        came = met.join(last.select("node", "place"), "node").groupBy("other").agg(F.min(F.struct("place", F.col("node").alias("parent"))).alias("x"))
-        new = written(came.select(F.col("other").alias("node"), F.col("x.place").alias("before"), "x.parent").join(seen, "node", "left_anti"))
-        n = new.count()
-        if not n:
+        met = _left(arcs, levels[-1], n)
+        if paths:
+            came = met.groupBy("other").agg(F.min(F.struct("place", F.col("node").alias("parent"))).alias("x")).select(F.col("other").alias("node"), F.col("x.place").alias("before"), "x.parent")
+        else:
+            came = met.select(F.col("other").alias("node"), F.lit(None).cast("long").alias("before"), F.lit(None).cast("string").alias("parent")).dropDuplicates(["node"])
+        new = came.join(seen, "node", "left_anti")
+        if not paths or len(levels) == depth:
+            level = written(new.select("node", F.lit(None).cast("long").alias("place"), "parent"))
+            n = level.count()
+        else:
+            new = written(new)
+            n = new.count()
+            if n <= SORTED:
+                placed = new.withColumn("place", (F.row_number().over(Window.orderBy("before", "node")) - 1).cast("long"))
+            else:
+                placed = ranks.ranked(new, [], ["before", "node"]).withColumnRenamed("rank", "place")
+            level = written(placed.select("node", "place", "parent"))
             removed(new)
+        if not n:
+            removed(level)
             break
-        if n <= SORTED:
-            placed = new.withColumn("place", (F.row_number().over(Window.orderBy("before", "node")) - 1).cast("long"))
-        else:
-            placed = ranks.ranked(new, [], ["before", "node"]).withColumnRenamed("rank", "place")
-        level = written(placed.select("node", "place", "parent"))
-        removed(new)
         if waiting:
             waiting -= {r["node"] for r in level.where(F.col("node").isin(*waiting)).select("node").collect()}
         levels.append(level)
@@ -192,7 +213,7 @@ def levels_from(arcs: DataFrame | Walk, source: str, depth: int, targets: list[s
 def reached(arcs: DataFrame | Walk, source: str, depth: int = -1) -> DataFrame:
     """(node, level) of all nodes within ``depth``."""
     out = None
-    for k, level in enumerate(levels_from(arcs, source, depth)):
+    for k, level in enumerate(levels_from(arcs, source, depth, paths=False)):
         own = level.select("node", F.lit(k).alias("level"))
         out = own if out is None else out.unionByName(own)
     return out
