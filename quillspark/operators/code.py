@@ -91,7 +91,7 @@ def adjacency(relations: DataFrame, symbols: DataFrame) -> Adjacency:
 def neighbours(adjacent: Adjacency, symbol: str, direction: str = "out") -> DataFrame:
     """(symbol_id, relation_id): neighbours of a symbol, each with its first relation, in order."""
     near = adjacent.symbols.sparkSession.createDataFrame([(0, symbol)], "place int, at string")
-    return adjacent.step(near, direction).where(F.col("symbol_id") != symbol).select("symbol_id", "relation_id").orderBy("symbol_id")
+    return adjacent.step(F.broadcast(near), direction).where(F.col("symbol_id") != symbol).select("symbol_id", "relation_id").orderBy("symbol_id")
 
 
 def coverage(documents: DataFrame) -> DataFrame:
