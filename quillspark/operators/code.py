@@ -144,24 +144,30 @@ def first_relations(relations: DataFrame, symbol: dict, direction: str, limit: i
     return graph.bounded(relations.where(hit), ["id"], limit)
 
 
-def arcs(pairs: DataFrame) -> Adjacency:
-    """Adjacency from (relation_id, from_id, to_id) rows, each a relation between two known symbols."""
-    pairs = pairs.withColumn("relation_id", F.struct("relation_id", "from_id", "to_id"))
-    ids = pairs.select(F.explode(F.array("from_id", "to_id")).alias("symbol_id")).distinct()
-    sides = lambda frame, name, **keys: [frame.select(name, F.col(k).alias("key"), F.lit(side).alias("side")) for side, k in keys.items()]
-    of_symbols = sides(ids, "symbol_id", out="symbol_id", **{"in": "symbol_id"})
-    of_pairs = sides(pairs, "relation_id", out="from_id", **{"in": "to_id"})
-    return Adjacency(of_symbols[0].unionByName(of_symbols[1]), of_pairs[0].unionByName(of_pairs[1]))
+@dataclass
+class Pairs:
+    """Adjacency as (relation_id, from_id, to_id) rows, each a relation between two known symbols. A step is one join with the
+    symbols to go on from; where these are broadcast, the rows are read and not shuffled."""
+
+    relations: DataFrame
+
+    def step(self, near: DataFrame, direction: str = "out") -> DataFrame:
+        """As ``Adjacency.step``; of relations with one id the least pair comes first."""
+        a, b = ("from_id", "to_id") if direction == "out" else ("to_id", "from_id")
+        met = self.relations.select(F.col(a).alias("at"), F.col(b).alias("symbol_id"), F.struct("relation_id", "from_id", "to_id").alias("relation_id")).where("symbol_id IS NOT NULL")
+        least = F.min(F.struct("place", F.col("at").alias("came"), "relation_id")).alias("y")
+        found = met.join(near, "at").groupBy("symbol_id").agg(least)
+        return found.select("symbol_id", "y.place", "y.relation_id", "y.came")
 
 
 def path(adjacent: Adjacency | DataFrame, source: str, target: str, direction: str = "out", depth: int = 1000, limit: int = 1000) -> dict:
     """symbols and relations of the first path that a breadth-first search finds, and whether it was cut off.
 
     ``adjacent``: an ``Adjacency``, or (relation_id, from_id, to_id) rows. At most ``limit`` symbols are visited, in order of
-    their level, their predecessor's place and their id, and none is gone on from at ``depth`` relations. A level is two
-    half steps from the symbols to go on from, at most ``limit``; so is what comes back."""
-    adjacent = adjacent if isinstance(adjacent, Adjacency) else arcs(adjacent)
-    spark = adjacent.symbols.sparkSession
+    their level, their predecessor's place and their id, and none is gone on from at ``depth`` relations. A level is a step
+    from the symbols to go on from, at most ``limit``; so is what comes back."""
+    adjacent = adjacent if isinstance(adjacent, Adjacency) else Pairs(adjacent)
+    spark = adjacent.relations.sparkSession
     came: dict[str, tuple[str | None, str | None]] = {source: (None, None)}
     level, hops = [source], 0
     while level and target not in came and hops < depth and len(came) < limit:
