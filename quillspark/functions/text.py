@@ -32,6 +32,29 @@ def tokens(value: Column, drop_stop_words: bool = True) -> Column:
     return keep_words(made) if drop_stop_words else made
 
 
+def token_counts(value: Column, wanted: list[str]) -> Column:
+    """(len, tf): how many ``tokens`` a value has, and how often each wanted one is among them, without making them.
+
+    Tokens are the runs of letters and numbers that are no stop words, and the compounds that such runs make up."""
+    lower = F.lower(F.coalesce(value, F.lit("")))
+    words = F.filter(F.split(lower, r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
+    compounds = F.regexp_extract_all(lower, F.lit(r"[\p{L}\p{N}]+(?:[-_/.]+[\p{L}\p{N}]+)+"), F.lit(0))
+
+    def met(found: Column) -> Column:
+        return F.filter(found, lambda t: t.isin(*wanted)) if wanted else F.array().cast("array<string>")
+
+    def times(found: Column, q: str) -> Column:
+        return F.size(F.filter(found, lambda t: t == q))
+
+    def told(both: Column) -> Column:
+        hits = F.concat(met(both["words"]), met(both["compounds"]))
+        tf = F.transform(F.array(hits), lambda h: F.array(*[times(h, q) for q in wanted]).cast("array<int>"))
+        return F.struct((F.size(both["words"]) + F.size(both["compounds"])).alias("len"), F.element_at(tf, 1).alias("tf"))
+
+    # the lambdas bind what is found, so that each is made once
+    return F.element_at(F.transform(F.array(F.struct(words.alias("words"), compounds.alias("compounds"))), told), 1)
+
+
 def query_tokens(value: Column) -> Column:
     """Distinct tokens of a query, in order; where all are stop words, they count after all."""
     kept = F.array_distinct(tokens(value))

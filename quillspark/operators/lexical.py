@@ -63,18 +63,11 @@ def _asked(pages: DataFrame, question: str) -> list[str]:
 
 
 def _counted(pages: DataFrame, asked: list[str], *more: Column) -> DataFrame:
-    """(uri, ..., len_<field>, tf_<field>): a few numbers a page, written once, so that the texts are read and cut into
-    tokens only once however often statistics and scores are taken from it."""
-    wanted = F.array(*[F.lit(t) for t in asked]).cast("array<string>")
+    """(uri, ..., len_<field>, tf_<field>): a few numbers a page, written once, so that the texts are read and their tokens
+    counted only once however often statistics and scores are taken from it."""
     fields = [f for f in FIELDS if f in pages.columns]
-
-    def counts(tokens: Column) -> Column:
-        """Length, and how often each asked term occurs. The lambda binds the tokens, so they are made once."""
-        made = F.transform(F.array(tokens), lambda t: F.struct(F.size(t).alias("len"), F.transform(wanted, lambda q: F.size(F.filter(t, lambda x: x == q))).alias("tf")))
-        return F.element_at(made, 1)
-
     # a generator of one row keeps later projections from being merged into this one and repeating its work
-    row = F.struct(*[counts(T.tokens(_field(f))).alias(f) for f in fields])
+    row = F.struct(*[T.token_counts(_field(f), asked).alias(f) for f in fields])
     counted = pages.select("uri", *more, F.inline(F.array(row)))
     names = [c for c in counted.columns if c not in fields]
     return graph.written(counted.select(*names, *[F.col(f"{f}.len").alias(f"len_{f}") for f in fields], *[F.col(f"{f}.tf").alias(f"tf_{f}") for f in fields]))

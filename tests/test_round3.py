@@ -6,7 +6,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import audit, code, graph
+from quillspark.functions import text as T
+from quillspark.operators import audit, code, graph, lexical
 from quillspark.plans import catalogue
 
 
@@ -101,3 +102,20 @@ def test_hops_over_an_edge_table_store_no_arcs(spark, monkeypatch):
 def test_searches_by_foreign_keys_shuffle_no_table(spark, monkeypatch, name):
     monkeypatch.setattr(graph, "stored", None)
     catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+
+
+def test_token_counts_equal_tokens(spark):
+    """Counts equal the tokens made one by one, also for odd runs of separators, stop words in compounds and letters of other scripts."""
+    rng = random.Random(2)
+    pieces = ["the", "of", "Apache", "licençe", "漢字", "x1", "İ", "é", "Ⅷ", "-", "_", "/", ".", "--", " ", "\n", "(", " ", "a-the", "src3/12.md"]
+    texts = [None, "", "-", "the-of", "._a-b_."] + ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 25))) for _ in range(300)]
+    wanted = ["apache", "x1", "the", "a-the", "src3/12.md", "md"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in frame.select(T.tokens(F.col("text")).alias("tokens"), T.token_counts(F.col("text"), wanted).alias("c")).collect():
+        assert r.c.len == len(r.tokens) and list(r.c.tf) == [r.tokens.count(q) for q in wanted], r
+
+
+@pytest.mark.parametrize("name", ["lex_bm25_topk", "lex_name_search", "lex_memory_scoped", "ctx_rrf", "ctx_budget"])
+def test_single_questions_build_no_index(spark, monkeypatch, name):
+    monkeypatch.setattr(lexical, "build", None)
+    assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
