@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import graph, ranks
 
-#: Symbols that one candidate set's row names, a name of more is several rows of the dictionary; and tasks that relations to one
-#: name are dealt out to.
-SET, DEALT = 1000, 16
+#: Symbols that one candidate set's row names, a name of more is several rows of the dictionary; candidates that a task lists,
+#: relations to a name that list more are dealt out to several tasks; and as how many candidates a relation itself counts.
+SET, LISTED, OWN = 1000, 30_000_000, 10
 LEVELS = ("unsupported", "partial", "complete")
 
 
@@ -27,22 +28,38 @@ def candidate_sets(symbols: DataFrame, most: int = SET) -> DataFrame:
     return ranks.parts_of(names(symbols), ["name"], "symbol_id", most)
 
 
-def resolve(relations: DataFrame, symbols: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+def whole_sets(symbols: DataFrame) -> DataFrame:
+    """(name, size, members): each name once with all its symbols in order, put together from the parts of the dictionary."""
+    parts = candidate_sets(symbols).groupBy("name").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("part", "members"))).alias("parts"))
+    return parts.select("name", "size", F.flatten("parts.members").alias("members"))
+
+
+def resolve(relations: DataFrame, symbols: DataFrame, sets: DataFrame | None = None, told: Callable[[Column], Column] = lambda c: c) -> DataFrame:
     """Relations with candidates (ids of all symbols so named, in order), n_candidates and resolution: unresolved, resolved or
-    ambiguous. What comes out is as large as relations times candidates; a task holds a relation and its name's set at a time,
-    and relations to one name are dealt out to ``DEALT`` tasks. With a dictionary of ``sets`` (``candidate_sets``) a row carries the
-    first part of its name's set only; the others are in the dictionary under the relation's target."""
-    if sets is None:
-        parts = candidate_sets(symbols).groupBy("name").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("part", "members"))).alias("parts"))
-        known = parts.select("name", "size", F.flatten("parts.members").alias("members"), F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("dealt"))
-    else:
-        known = sets.where("part = 0").select("name", "size", "members", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("dealt"))
-    known = known.select(F.col("name").alias("c_name"), F.col("dealt").alias("c_dealt"), F.col("size").alias("n_candidates"), F.col("members").alias("candidates"))
+    ambiguous. With a dictionary of ``sets`` (``candidate_sets``) a row carries the first part of its name's set only; the others
+    are in the dictionary under the relation's target. ``told`` is what a row says of its candidates, such as a text of them,
+    and is made once a set.
+
+    What comes out is as large as relations times candidates. Relations to one name come out one after the other, in as few
+    tasks as list at most ``LISTED`` candidates each, so that a columnar file has one copy of a text for all of them."""
     own = relations.drop("candidates", "n_candidates", "resolution")
-    met = own.join(known, (F.col("target") == F.col("c_name")) & (F.pmod(F.xxhash64("id"), F.lit(DEALT)).cast("int") == F.col("c_dealt")), "left").drop("c_name", "c_dealt")
-    n = F.coalesce("n_candidates", F.lit(0).cast("long"))
-    met = met.withColumns({"n_candidates": n, "candidates": F.coalesce("candidates", F.array().cast("array<string>"))})
-    return met.withColumn("resolution", F.when(F.col("n_candidates") == 0, "unresolved").when(F.col("n_candidates") == 1, "resolved").otherwise("ambiguous"))
+    whole = whole_sets(symbols) if sets is None else sets.where("part = 0").select("name", "size", "members")
+    whole = graph.written(whole.select(F.col("name").alias("c_name"), F.col("size").alias("n_candidates"), F.size("members").alias("c_listed"), told(F.col("members")).alias("candidates")))
+    listed = own.groupBy(F.col("target").alias("c_target")).agg(F.count("*").alias("n")).join(whole.select("c_name", "c_listed"), F.col("c_target") == F.col("c_name"), "left")
+    listed = listed.select("c_target", (F.col("n") * (F.coalesce("c_listed", F.lit(0)) + OWN)).alias("n"))
+    # a row with the names of more than a task's candidates, of which there are at most as many as tasks
+    sums = graph.written(listed.agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("n") > LISTED, F.struct("c_target", F.ceil(F.col("n") / LISTED).cast("int").alias("c_tasks")))).alias("hot")))
+    tasks = max(int(relations.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(sums.first()["n"] or 0) // LISTED))
+    hot = F.broadcast(sums.select(F.inline("hot")))
+    dealt = F.coalesce("c_tasks", F.lit(1))
+    known = whole.join(hot, F.col("c_name") == F.col("c_target"), "left").withColumn("c_place", F.explode(F.sequence(F.lit(0), dealt - 1))).drop("c_target", "c_tasks", "c_listed")
+    placed = own.join(hot, F.col("target").eqNullSafe(F.col("c_target")), "left").withColumn("c_dealt", F.pmod(F.xxhash64("id"), dealt).cast("int")).drop("c_target", "c_tasks")
+    # a merge keeps the relations in the order of their targets
+    same = (F.col("target") == F.col("c_name")) & (F.col("c_dealt") == F.col("c_place"))
+    met = placed.repartition(tasks, "target", "c_dealt").join(known.repartition(tasks, "c_name", "c_place").hint("merge"), same, "left").drop("c_name", "c_place", "c_dealt")
+    met = met.withColumns({"n_candidates": F.coalesce("n_candidates", F.lit(0).cast("long")), "candidates": F.coalesce("candidates", told(F.array().cast("array<string>")))})
+    n = F.col("n_candidates")
+    return met.withColumn("resolution", F.when(n == 0, "unresolved").when(n == 1, "resolved").otherwise("ambiguous"))
 
 
 @dataclass
